@@ -1,0 +1 @@
+"""No streaming operators: every job of this engine is a batch over a sealed snapshot (see README)."""
