@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import packing, quality, secrets, urls
+from tideline.llm import neardup, packing, quality, secrets, suffixes, urls
+from tideline.session import ship, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(ship(spark), sf_dir, "documents")
 
 
 URL_RULES = (
@@ -20,8 +21,7 @@ URL_RULES = (
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return urls.judge_urls(pages, URL_RULES)
+    return urls.judge_urls(table(ship(spark), sf_dir, "pages"), URL_RULES)
 
 
 OP1_SQL = """
@@ -86,10 +86,20 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.measure(_documents(spark, sf_dir), length=100)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL}
