@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import neardup, packing, quality, secrets, suffixes, urls
+from tideline.llm import fingerprints, lm, neardup, packing, quality, secrets, suffixes, urls
 from tideline.session import ship, table
 
 
@@ -47,6 +47,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), ids=False)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(_documents(spark, sf_dir)))
     return rows.drop("n_lines")
@@ -86,6 +90,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
 
@@ -97,8 +105,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op8_lm_scores": op8_lm_scores,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
