@@ -39,7 +39,8 @@ from tideline.llm.words import runs
 from tideline.session import broadcast_if_small, cut
 
 K = 32
-STARTS = 1_000_000  # string starts handled at once; positions must fit in POS_BITS with the overlap
+STARTS = 250_000  # string starts handled at once; positions must fit in POS_BITS with the overlap
+BUCKET = 8192  # occurrences sorted at once in a task
 POS_BITS = np.uint64(20)
 FILTER_BYTES = 64 << 20
 HOT = 50_000
@@ -219,7 +220,7 @@ def _ranks(group: np.ndarray, buf: np.ndarray, start: np.ndarray, n: np.ndarray,
     """
     size = -(-width // 8) * 8
     k = np.arange(size)
-    text = buf[np.clip(start[:, None] + step * k, 0, max(0, len(buf) - 1))] if len(buf) else np.zeros((len(n), size), np.uint8)
+    text = buf[np.clip(start[:, None] + step * k, 0, len(buf) - 1)] if len(buf) else np.zeros((len(n), size), np.uint8)
     text = np.where(k < n[:, None], text, 0).astype(np.uint8)
     words = text.view(">u8").astype(np.uint64)
     order = np.lexsort((n, *words.T[::-1], group))
@@ -257,10 +258,21 @@ def _spans(table: pa.Table, length: int) -> pa.Table:
     found, start, buf = _load(table)
     several = np.isin(found["hash"], _twice(found["hash"]))
     found, start = found[several], start[several]
-    lo, hi = repeats(found, start, buf, length)
-    hit = hi >= 0
-    at = found["at"][hit]
-    return pa.table({"id": found["id"][hit], "h1": found["h1"][hit], "s": at - hi[hit], "e": at - lo[hit] + length})
+    order = np.argsort(found["hash"], kind="stable")
+    found, start = found[order], start[order]
+    new = np.flatnonzero(np.concatenate(([True], found["hash"][1:] != found["hash"][:-1]))) if len(found) else np.zeros(0, np.int64)
+    out, at = [], 0
+    while at < len(found):  # whole groups of one hash, about BUCKET occurrences at a time
+        later = new[np.searchsorted(new, at + BUCKET) :]
+        to = int(later[0]) if len(later) else len(found)
+        part = found[at:to]
+        lo, hi = repeats(part, start[at:to], buf, length)
+        hit = hi >= 0
+        p = part["at"][hit]
+        out.append(pa.table({"id": part["id"][hit], "h1": part["h1"][hit], "s": p - hi[hit], "e": p - lo[hit] + length}))
+        at = to
+    empty = pa.table({c: np.zeros(0, np.int64) for c in ("id", "h1", "s", "e")})
+    return pa.concat_tables([empty, *out])
 
 
 def _twice(h: np.ndarray) -> np.ndarray:
@@ -294,7 +306,7 @@ def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
 def spans(work: DataFrame, length: int, n_bytes: int, hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(id, h1, s, e): repeated byte ranges, overlapping, of distinct texts (rows of `keyed`)."""
     spark = work.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (parts - 1).bit_length())
     samples = 2 * n_bytes // (length - K + 2) + 1
     segment = 1 << max(6, min(4 * samples >> bits, 8 * filter_bytes >> bits).bit_length())
