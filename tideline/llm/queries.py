@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import fingerprints, lm, neardup, packing, quality, secrets, suffixes, urls
+from tideline.llm import chat, fingerprints, lm, neardup, packing, pieces, quality, secrets, suffixes, urls
 from tideline.session import ship, table
 
 
@@ -43,6 +43,10 @@ from parts p left join best b on p.page_id = b.page_id
 """
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.profile(_documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), ids=False)
 
@@ -90,6 +94,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op7_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(ship(spark), sf_dir, "conversations"))
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_documents(spark, sf_dir))
 
@@ -104,10 +112,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_pieces": op2_pieces,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_chat_repair": op7_chat_repair,
     "op8_lm_scores": op8_lm_scores,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_suffix_dedup": op10_suffix_dedup,
