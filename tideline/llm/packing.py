@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CACHE = 400_000
 LONGEST_CACHED = 48
@@ -145,7 +146,7 @@ def pack(
     for name in ("start", "length", "ids_crc32", "doc_tokens"):
         schema = schema.add(name, "long")
     if ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     pieces = rows.mapInArrow(each, schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 

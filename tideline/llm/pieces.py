@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.words import mix
 
@@ -269,7 +270,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 kept = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
-    return rows.mapInArrow(each, docs.select(*keep).schema.add("ids", "array<int>"))
+    return rows.mapInArrow(each, docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str = "piece_bpe_32k.model") -> DataFrame:

@@ -95,15 +95,15 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
             F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")
         ),
     )
-    found = only.select(
-        *keep,
-        F.struct(
-            counts.alias("w"),
-            line_counts.alias("l"),
-            F.length(F.translate("_text", SPACE_CHARS, "")).cast("long").alias("c"),
-            (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("s"),
-        ).alias("_m"),
+    measured = F.struct(
+        counts.alias("w"),
+        line_counts.alias("l"),
+        F.length(F.translate("_text", SPACE_CHARS, "")).cast("long").alias("c"),
+        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("s"),
     )
+    # A filter on the verdict must not be pushed below the measurements, which would then be computed once per use;
+    # it can't pass a generator.
+    found = only.select(*keep, F.explode(F.array(measured)).alias("_m"))
     return found.select(
         *keep,
         F.col("_m.w.n").alias("n_words"),
