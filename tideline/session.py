@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,21 +33,24 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where it is unset (tests) take a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))
-    sc.setCheckpointDir(where)
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a DataFrame in the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a DataFrame as a table in the shared folder and read it back: nothing before it is computed again.
+
+    A table, and not checkpoint(), because it is compressed and columnar, and because a checkpoint carries the plan's
+    inferred constraints along, which grow without end in the iterative operators.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
