@@ -33,7 +33,7 @@ from tideline.session import broadcast_if_small, cut
 
 ROWS = 5
 MISS = 1e-7
-STARS = 3
+STARS = 2
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -134,30 +134,53 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, doc_id:
                 yield pa.RecordBatch.from_arrays([pa.array(digests(flat, sizes), pa.binary()), sets], ["node", "shingles"])
 
     sets = few.mapInArrow(each, "node binary, shingles array<long>")
-    return sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return sets.join(broadcast_if_small(nodes.select("node"), 24), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one partition as links to the least node that they reach within it: the same components, and at most
+    one link per node, before anything is shuffled."""
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x], x = root, up
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    out = [(x, find(x)) for x in list(parent)]
+    a, b = zip(*out, strict=True) if out else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node with a link. Each round every node moves to the neighbour (or itself) that is least
-    in a random order of that round, and links between moved nodes stay; a constant share of nodes goes each time."""
+    in a random order of that round (in the first, least by name, which settles stars), and links between moved nodes
+    stay; a constant share of nodes goes each time."""
     spark = links.sparkSession
     steps: list[DataFrame] = []
-    edges = cut(links.select("a", "b").distinct())
+    edges = cut(links.select("a", "b").mapInArrow(_stars, "a binary, b binary"))
     while not edges.isEmpty():
-        order = F.xxhash64("u", F.lit(len(steps)))
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        ends = both.union(both.select("v", F.col("v").alias("u")))
+        order = F.xxhash64("u", F.lit(len(steps))) if steps else F.lit(0)
+        ends = edges.select(F.explode(F.array(*[F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v in "ab" for u in "ab"])).alias("e")).select("e.*")
         step = cut(ends.groupBy("v").agg(F.min(F.struct(order.alias("o"), "u")).alias("least")).select("v", F.col("least.u").alias("p")))
         steps.append(step)
-        a = step.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        b = step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        moved = edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        edges = cut(moved.distinct())
+        a = broadcast_if_small(step.select(F.col("v").alias("a"), F.col("p").alias("pa")), 48)
+        b = broadcast_if_small(step.select(F.col("v").alias("b"), F.col("p").alias("pb")), 48)
+        moved = edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        edges = cut(moved.mapInArrow(_stars, "a binary, b binary"))
     if not steps:
         return spark.createDataFrame([], "node binary, label binary")
     labels = steps[0].select(F.col("v").alias("node"), F.col("p").alias("label"))
     for step in steps[1:]:
-        labels = labels.join(step.withColumnRenamed("v", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
+        labels = labels.join(broadcast_if_small(step.withColumnRenamed("v", "label"), 48), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
     return cut(labels)
 
 
@@ -173,48 +196,93 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
     """(node, label): the component of every node that has a link."""
     spark = nodes.sparkSession
-    rows = nodes.select("node", "n", F.explode("bands").alias("key"))
+    rows = nodes.select("node", "n", "first_doc", F.explode("bands").alias("key"))
     busy = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = cut(rows.join(busy, "key"))
-    wanted = cut(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_doc"))
+    wanted = cut(members.select("node", "first_doc").distinct())
+    members = members.drop("first_doc")
     sets = cut(full_sets(docs, wanted, width, text, doc_id))
     close = F.lit(100) * F.least("n", "hub.n") >= F.lit(percent) * F.greatest("n", "hub.n")
-    ordered = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = tried = spark.createDataFrame([], "a binary, b binary")
-    labels = None
+    ordered = F.struct(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    links, labels = spark.createDataFrame([], "a binary, b binary"), None
     for star in range(STARS):
-        at = members.withColumn("label", F.col("node")) if labels is None else _mixed(members, labels)
-        hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("o"), "node", "n", "label")).alias("hub"))
-        pairs = at.join(hub, "key").where((F.col("label") != F.col("hub.label")) & close).select(ordered(F.col("node"), F.col("hub.node")).alias("p")).select("p.*").distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if star else pairs)
-        if pairs.isEmpty():
-            continue
-        tried = tried.union(pairs)
+        at = _labelled(members, labels)
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("o"), "node", "n", "label")).alias("hub")
+        hubs = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo <> hi").select("key", "hub")
+        pairs = at.join(hubs, "key").where((F.col("label") != F.col("hub.label")) & close).select(ordered.alias("p")).select("p.*").distinct()
         found = cut(confirmed(pairs, sets, percent))
+        if found.isEmpty():
+            continue
         links = links.union(found)
         labels = components(links)
-    if labels is None:
-        return spark.createDataFrame([], "node binary, label binary")
-    at = cut(_mixed(members, labels))
+    at = _labelled(members, labels)
+    mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    at = cut(at.join(mixed, "key"))
     if not at.isEmpty():
-        main = at.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"))
-        outside = at.join(main.select("key", F.col("m.label").alias("main")), "key").where("label <> main")
-        hub = outside.select("key", F.struct("node", "n", "label", "main").alias("hub"))
-        # A pair of two outside members would come up twice; the larger node of the two stands on the hub's side.
-        once = (F.col("label") == F.col("hub.main")) | (F.col("node") < F.col("hub.node"))
-        pairs = at.join(hub, "key").where((F.col("label") != F.col("hub.label")) & once & close)
-        pairs = pairs.select(ordered(F.col("node"), F.col("hub.node")).alias("p")).select("p.*").distinct().join(tried, ["a", "b"], "left_anti")
-        found = cut(confirmed(cut(pairs), sets, percent))
+        found = cut(across(at, sets, percent))
         if not found.isEmpty():
             labels = components(links.union(found))
-    return labels
+    return labels if labels is not None else spark.createDataFrame([], "node binary, label binary")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with labels, of buckets that hold more than one component."""
-    at = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return at.join(mixed, "key", "left_semi")
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(broadcast_if_small(labels, 48), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+BLOCK = 1024
+
+
+def across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that share a bucket, one per pair of components and block at most.
+
+    Buckets that share nodes form a family, so that a pair is looked at once and not once per band. The members outside
+    a family's largest component are a query set against all its members, block by block; pairs are counted inside a
+    task and never emitted.
+    """
+    # A bucket is a node of its own here, named by its key in decimal digits.
+    families = components(at.select(F.col("node").alias("a"), F.encode(F.col("key").cast("string"), "utf-8").alias("b")))
+    families = broadcast_if_small(families.withColumnRenamed("label", "family"), 48)
+    rows = cut(at.select("node", "label").distinct().join(families, "node"))
+    main = rows.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family")
+    main = main.agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size")).select("family", F.col("m.label").alias("main"), F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil((F.col("size") - F.col("m.c")) / BLOCK).alias("asks"))
+    rows = rows.join(broadcast_if_small(cut(main), 64), "family").withColumn("ask", F.col("label") != F.col("main")).join(sets, "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), n)
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    kept = ["family", "node", "label", "shingles"]
+    asked = rows.select(*kept, place(F.col("blocks")).alias("block"), to_all(F.col("asks")).alias("part"), F.lit(False).alias("ask"))
+    asking = rows.where("ask").select(*kept, to_all(F.col("blocks")).alias("block"), place(F.col("asks")).alias("part"), F.lit(True).alias("ask"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ask = table["ask"].to_numpy(zero_copy_only=False)
+        nodes, labels = table["node"].to_pylist(), table["label"].to_pylist()
+        sizes = np.array([len(x) for x in table["shingles"]], np.int64)
+        flat = np.concatenate([c.flatten().to_numpy() for c in table["shingles"].chunks])
+        row = np.repeat(np.arange(len(nodes)), sizes)
+        slot = np.where(ask, np.cumsum(ask) - 1, np.cumsum(~ask) - 1)
+        shared = np.zeros((int(ask.sum()), int((~ask).sum())), np.int32)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        new = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        asks = np.concatenate(([0], np.cumsum(ask[row])))
+        ends = np.concatenate((new[1:], [len(flat)]))
+        count = asks[ends] - asks[new]
+        for i in np.flatnonzero((count > 0) & (count < ends - new)).tolist():
+            mine = row[new[i] : ends[i]]
+            is_ask = ask[mine]
+            shared[np.ix_(slot[mine[is_ask]], slot[mine[~is_ask]])] += 1
+        x, y = np.flatnonzero(ask), np.flatnonzero(~ask)
+        union = sizes[x][:, None] + sizes[y][None, :] - shared
+        out = {}
+        for i, j in zip(*np.nonzero(100 * shared >= percent * union), strict=True):
+            la, lb = labels[x[i]], labels[y[j]]
+            if la != lb:
+                out.setdefault((min(la, lb), max(la, lb)), (nodes[x[i]], nodes[y[j]]))
+        a, b = zip(*out.values(), strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return asked.unionByName(asking).groupBy("family", "block", "part").applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -63,7 +63,7 @@ class Model:
         return float(self.ratio[transitions(token)].mean()) if self.ratio is not None else float("-inf")
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 10_000, threshold: float = 0.7, smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 10_000, threshold: float = 0.35, smoothing: float = 0.5) -> Model:
     """Count transitions of random and ordinary tokens in a bounded sample of documents."""
     key = F.xxhash64(F.col(doc_id))
     few = docs.select(doc_id).orderBy(key, doc_id).limit(sample_docs).select(F.col(doc_id).alias("_id"))
