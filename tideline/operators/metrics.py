@@ -23,7 +23,7 @@ def rank_ic(rows: DataFrame, score: str = "score", label: str = "label", least:
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
-    rows = ic.agg(F.avg("rank_ic").alias("mean"), F.stddev_samp("rank_ic").alias("std"), F.avg((F.round("rank_ic", 12) > 0).cast("double")).alias("pos"), F.count("rank_ic").alias("dates"), F.sum("n").alias("observations"))
+    rows = ic.agg(F.avg("rank_ic").alias("mean"), F.stddev_samp("rank_ic").alias("std"), F.avg(F.coalesce(F.round("rank_ic", 12) > 0, F.lit(False)).cast("double")).alias("pos"), F.count("rank_ic").alias("dates"), F.sum("n").alias("observations"))
     return rows.select(
         F.col("mean").alias("rank_ic_mean"), F.col("std").alias("rank_ic_std"), F.try_divide("mean", "std").alias("rank_icir"), F.col("pos").alias("rank_ic_positive_fraction"), "observations", "dates"
     )

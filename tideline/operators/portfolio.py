@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.metrics import information_ratio
+from tideline.operators.metrics import information_ratio, wealth
 
 
 def rebalance_dates(rows: DataFrame, weekday: int = 4) -> DataFrame:
@@ -52,6 +52,25 @@ def weekly_ledger(rows: DataFrame, fraction: float = 0.1, cap: float = 0.05, par
     return out.select("datetime", "ordinal", "turnover", cost.alias("cost"), "gross", (F.col("gross") - cost).alias("net"), "invested", "names")
 
 
+def portfolio_metrics(ledger: DataFrame, periods: int = 52) -> DataFrame:
+    """Information ratios, compounded yearly returns, drawdown, turnover, invested share, cost, and the safeguards."""
+    rows = wealth(ledger.withColumn("series", F.lit(1)), "net")
+    yearly = lambda r: F.exp(F.sum(F.log1p(F.col(r))) * periods / F.count("*")) - 1
+    return rows.agg(
+        information_ratio("net", periods).alias("net_ir"),
+        information_ratio("gross", periods).alias("gross_ir"),
+        yearly("net").alias("annual_net"),
+        yearly("gross").alias("annual_gross"),
+        F.avg("turnover").alias("mean_turnover"),
+        F.avg("invested").alias("mean_invested"),
+        F.sum("cost").alias("total_cost"),
+        F.min("drawdown").alias("max_drawdown"),
+        F.max("names").alias("most_names"),
+        F.count("*").alias("periods"),
+        F.bool_and((F.col("cost") >= 0) & (F.col("invested") <= 1 + 1e-9)).alias("safe"),
+    )
+
+
 def mixed(draw, block, seed: int, n: int):
     """A start index from whole-number mixing: the same in every engine."""
     m = 2147483647

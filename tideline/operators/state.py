@@ -24,8 +24,8 @@ def population(panel: DataFrame) -> DataFrame:
 
 
 def digest_of(lines: Column) -> Column:
-    """SHA-256 of the sorted lines of a group."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256)
+    """SHA-256 of the sorted lines of a group, each followed by NUL."""
+    return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(lines)), "\0"), F.lit("\0")), 256)
 
 
 def daily_state(rows: DataFrame) -> DataFrame:
@@ -41,8 +41,9 @@ def daily_state(rows: DataFrame) -> DataFrame:
 
 
 def state_digest(state: DataFrame, columns: tuple[str, ...], digits: int = 4) -> DataFrame:
-    """Digest of a date's values in canonical text; a half is rounded up, whatever its last bits are."""
-    text = F.concat_ws("|", F.date_format("datetime", "yyyy-MM-dd"), *[F.coalesce(F.round(F.col(c) + 1e-9, digits).cast("decimal(38,4)").cast("string"), F.lit("")) for c in columns])
+    """Digest of a date's count, keys and values in canonical text; a half is rounded up, whatever its last bits are."""
+    head = [F.date_format("datetime", "yyyy-MM-dd"), F.col("population_count").cast("string"), F.col("population_keyset_sha256")]
+    text = F.concat_ws("|", *head, *[F.coalesce(F.round(F.col(c) + 1e-9, digits).cast("decimal(38,4)").cast("string"), F.lit("")) for c in columns])
     return state.withColumn("state_sha256", F.sha2(text, 256))
 
 

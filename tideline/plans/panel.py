@@ -221,7 +221,7 @@ pop as (
   where feature_eligible and ret_mean_20 is not null and ret_std_20 is not null and ret_1d is not null and turnover_mean_20 is not null),
 state as (
   select datetime, avg(ret_mean_20) mkt_trend_20, median(ret_std_20) mkt_vol_20, avg((ret_1d > 0)::double) mkt_breadth_1d, median(turnover_mean_20) mkt_turnover_20,
-         count(*) population_count, sha256(string_agg(instrument, chr(10) order by instrument)) population_keyset_sha256 from pop group by datetime)"""
+         count(*) population_count, sha256(string_agg(instrument, chr(0) order by instrument) || chr(0)) population_keyset_sha256 from pop group by datetime)"""
 oracles.PARTS["state"] = ((), ("features",), _STATE_SQL)
 _STATE = ("mkt_trend_20", "mkt_vol_20", "mkt_breadth_1d", "mkt_turnover_20")
 
@@ -240,12 +240,13 @@ def keyset_digest(x: Inputs) -> DataFrame:
     return _state(x).select("datetime", "population_count", "population_keyset_sha256")
 
 
-_DIGEST_SQL = "sha256(concat_ws('|', strftime(datetime, '%Y-%m-%d'), coalesce(round(mkt_breadth_1d + 1e-9, 4)::decimal(38,4)::varchar, ''), coalesce(round(mkt_turnover_20 + 1e-9, 4)::decimal(38,4)::varchar, '')))"
+_TEXT = lambda c: f"coalesce(round({c} + 1e-9, 4)::decimal(38,4)::varchar, '')"
+_DIGEST_SQL = f"sha256(concat_ws('|', strftime(datetime, '%Y-%m-%d'), population_count::varchar, population_keyset_sha256, {', '.join(map(_TEXT, _STATE))}))"
 
 
 @query(oracles.sql(f"select datetime, {_DIGEST_SQL} state_sha256 from state", "state"))
 def state_digest(x: Inputs) -> DataFrame:
-    return state.state_digest(_state(x), ("mkt_breadth_1d", "mkt_turnover_20")).select("datetime", "state_sha256")
+    return state.state_digest(_state(x), _STATE).select("datetime", "state_sha256")
 
 
 @query(oracles.sql(f"select p.datetime, p.instrument, {_r(_STATE, 4)} from panel p left join state s on s.datetime = p.datetime", "state"))
@@ -277,7 +278,7 @@ def rank_ic(x: Inputs) -> DataFrame:
     return rounded(metrics.rank_ic(x.scores()), 6, "rank_ic")
 
 
-@query(oracles.sql("select round(avg(rank_ic) + 1.234e-7::double, 6) + 0::double rank_ic_mean, round(stddev_samp(rank_ic) + 1.234e-7::double, 6) + 0::double rank_ic_std, round(avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) + 1.234e-7::double, 6) + 0::double rank_icir, round(avg((round(rank_ic, 12) > 0)::double) + 1.234e-7::double, 6) + 0::double rank_ic_positive_fraction, count(rank_ic) dates, sum(n)::bigint observations from ic", "scores"))
+@query(oracles.sql("select round(avg(rank_ic) + 1.234e-7::double, 6) + 0::double rank_ic_mean, round(stddev_samp(rank_ic) + 1.234e-7::double, 6) + 0::double rank_ic_std, round(avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) + 1.234e-7::double, 6) + 0::double rank_icir, round(avg(coalesce(round(rank_ic, 12) > 0, false)::double) + 1.234e-7::double, 6) + 0::double rank_ic_positive_fraction, count(rank_ic) dates, sum(n)::bigint observations from ic", "scores"))
 def ic_summary(x: Inputs) -> DataFrame:
     return rounded(metrics.ic_summary(metrics.rank_ic(x.scores())), 6, "rank_ic_mean", "rank_ic_std", "rank_icir", "rank_ic_positive_fraction")
 
@@ -361,11 +362,17 @@ def drawdown(x: Inputs) -> DataFrame:
     return rounded(metrics.wealth(_weekly(x), "net").select("series", "datetime", "wealth", "drawdown"), 5, "wealth", "drawdown")
 
 
-@query(oracles.sql("select round(avg(net) / stddev_samp(net) * sqrt(52) + 1.234e-7::double, 5) + 0::double information_ratio, round(sum(turnover) + 1.234e-7::double, 5) + 0::double turnover, round(sum(cost) + 1.234e-7::double, 5) + 0::double cost, round(avg(invested) + 1.234e-7::double, 5) + 0::double invested, max(names)::bigint most_names, count(*) periods, bool_and(cost >= 0 and invested <= 1 + 1e-9) safe from wl", "ledger_weeks"))
+_IR = "avg({0}) / stddev_samp({0}) * sqrt(52)"
+_SUMMARY = {
+    "net_ir": _IR.format("net"), "gross_ir": _IR.format("gross"), "annual_net": "exp(sum(ln(1 + net)) * 52 / count(*)) - 1", "annual_gross": "exp(sum(ln(1 + gross)) * 52 / count(*)) - 1",
+    "mean_turnover": "avg(turnover)", "mean_invested": "avg(invested)", "total_cost": "sum(cost)", "max_drawdown": "min(drawdown)",
+}
+_DRAWN = "(select *, w / max(w) over (order by datetime) - 1 drawdown from (select *, exp(sum(ln(1 + net)) over (order by datetime)) w from wl))"
+
+
+@query(oracles.sql(f"select {', '.join(f'{_q(v, 5)} {k}' for k, v in _SUMMARY.items())}, max(names)::bigint most_names, count(*) periods, bool_and(cost >= 0 and invested <= 1 + 1e-9) safe from {_DRAWN}", "ledger_weeks"))
 def portfolio_summary(x: Inputs) -> DataFrame:
-    wl = portfolio.weekly_ledger(x.events_daily)
-    out = wl.agg(metrics.information_ratio("net").alias("information_ratio"), F.sum("turnover").alias("turnover"), F.sum("cost").alias("cost"), F.avg("invested").alias("invested"), F.max("names").alias("most_names"), F.count("*").alias("periods"), F.bool_and((F.col("cost") >= 0) & (F.col("invested") <= 1 + 1e-9)).alias("safe"))
-    return rounded(out, 5, "information_ratio", "turnover", "cost", "invested")
+    return rounded(portfolio.portfolio_metrics(portfolio.weekly_ledger(x.events_daily)), 5, *_SUMMARY)
 
 
 _PAIRS = "pairs as (select row_number() over (order by datetime) - 1 i, avg(intraday_return) / 100 candidate, avg(gap_return) / 100 benchmark from daily where intraday_return is not null and gap_return is not null group by datetime)"
