@@ -26,6 +26,10 @@ def past_seal(rows: DataFrame, boundary: str, column: str = "datetime") -> DataF
     return rows.where(F.col(column) >= F.lit(boundary).cast("date"))
 
 
+def wrong_partition(rows: DataFrame, partition: str, column: str = "datetime") -> DataFrame:
+    return rows.where(F.col(partition) != F.year(column))
+
+
 def time_order(rows: DataFrame) -> DataFrame:
     """How many rows break event <= published <= vendor <= prediction < tradable = label start < label end."""
     pairs = {"event_after_published": "event_time > published_time", "published_after_vendor": "published_time > vendor_time", "vendor_after_prediction": "vendor_time > prediction_time", "prediction_not_before_tradable": "prediction_time >= tradable_time", "tradable_not_label_start": "tradable_time <> label_start_time", "label_start_not_before_end": "label_start_time >= label_end_time"}

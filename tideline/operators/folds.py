@@ -72,3 +72,10 @@ def out_of_order(bounds: DataFrame) -> DataFrame:
     rank = F.when(F.col("segment") == "train", 0).when(F.col("segment") == "valid", 1).otherwise(2)
     w = Window.partitionBy("fold_id").orderBy(rank)
     return bounds.withColumn("before", F.lag("last_date").over(w)).where("first_date <= before")
+
+
+def prepare(panel: DataFrame, segments: dict, column_sets: dict, segment: str, column_set: str) -> DataFrame:
+    """The rows of a named segment (inclusive dates) with the columns of a named set; unknown names are errors."""
+    first, last = segments[segment]
+    inside = F.col("datetime").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return panel.where(inside).select("datetime", "instrument", *column_sets[column_set])

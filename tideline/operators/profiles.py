@@ -120,3 +120,10 @@ def replay_differences(a: DataFrame, b: DataFrame, keys: list[str], value: str)
     x, y = a.select(*keys, F.col(value).alias("left_value")), b.select(*keys, F.col(value).alias("right_value"))
     both = x.withColumn("in_left", F.lit(True)).join(y.withColumn("in_right", F.lit(True)), keys, "full")
     return both.where(F.col("in_left").isNull() | F.col("in_right").isNull() | ~F.col("left_value").eqNullSafe(F.col("right_value"))).select(*keys, "left_value", "right_value")
+
+
+def interval_matches(rows: DataFrame, other: DataFrame, key: str, end: str) -> DataFrame:
+    """How many intervals have a partner with the same key and the same (or equally open) end."""
+    o = other.select(F.col(key).alias("_key"), F.col(end).alias("_end"))
+    both = rows.join(o, (rows[key] == o["_key"]) & rows[end].eqNullSafe(o["_end"]), "left")
+    return both.agg(F.count("*").alias("rows"), F.count("_key").alias("matched"), (F.count("*") - F.count("_key")).alias("missing"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import safe
-from tideline.operators import checks, folds, intervals, metrics, portfolio, profiles, scoring
-from tideline.operators.features import FEATURE_COLUMNS, features
+from tideline.operators import checks, folds, intervals, profiles, scoring, state
+from tideline.operators.features import features
 from tideline.plans import oracles
-from tideline.plans.panel import KEYS, OFF_TIES, Inputs, _q, rounded
+from tideline.plans.panel import KEYS, Inputs, _q, rounded
 from tideline.plans.registry import query
 from tideline.session import shared_folder
 from tideline.sources import readers
@@ -347,6 +347,42 @@ def ledger_missing(x: Inputs) -> DataFrame:
     return checks.missing_starts(x.journal, x.ledger)
 
 
+@query(oracles.sql("select count(*) \"rows\", count(b.instrument) matched, count(*) - count(b.instrument) missing from membership a left join (select distinct instrument, eff_to from membership where index_id = 'IDX1') b on b.instrument = a.instrument and b.eff_to is not distinct from a.eff_to where a.index_id = 'IDX0'", "membership"))
+def interval_compare(x: Inputs) -> DataFrame:
+    other = x.membership.where("index_id = 'IDX1'").select("instrument", "eff_to").distinct()
+    return profiles.interval_matches(x.membership.where("index_id = 'IDX0'"), other, "instrument", "eff_to")
+
+
+@query(oracles.sql("select m.index_id, m.instrument, m.eff_from, s.exchange, i.s_nationkey from membership m join master s on s.instrument = m.instrument left join instruments i on i.instrument = m.instrument order by m.eff_from desc, m.index_id, m.instrument limit 200", "membership", "master", "instruments"))
+def dimension_lookup(x: Inputs) -> DataFrame:
+    rows = x.membership.join(x.master.select("instrument", "exchange"), "instrument").join(x.instruments.select("instrument", "s_nationkey"), "instrument", "left")
+    return rows.orderBy(F.desc("eff_from"), "index_id", "instrument").limit(200).select("index_id", "instrument", "eff_from", "exchange", "s_nationkey")
+
+
+@query(oracles.sql("select datetime, instrument from panel where year(datetime) <> year(datetime + 7)", "panel"))
+def q_partition_year(x: Inputs) -> DataFrame:
+    """Rows whose partition year (here of the week after) is not their own year."""
+    return checks.wrong_partition(x.panel.withColumn("year", F.year(F.date_add("datetime", 7))), "year").select(*KEYS)
+
+
+@query(oracles.sql("select datetime from state where year(datetime) = 1998", "state"))
+def q_state_digest(x: Inputs) -> DataFrame:
+    """Dates whose stored digest is not the one computed again; one year's digests are altered."""
+    now = state.daily_state(state.population(features(x.panel, (20,)))).select("datetime", "population_keyset_sha256")
+    stored = now.withColumn("population_keyset_sha256", F.when(F.year("datetime") == 1998, F.lit("?")).otherwise(F.col("population_keyset_sha256")))
+    return checks.declared_against_observed(now, stored, "datetime", "population_keyset_sha256").select("datetime")
+
+
+@query(oracles.sql("select s.datetime, s.instrument from scores s where s.score is not null and s.label is not null", "scores"))
+def complete_case(x: Inputs) -> DataFrame:
+    return scoring.complete(x.scores(), ["score", "label"]).select(*KEYS)
+
+
+@query(oracles.sql("select datetime, instrument, turnover, volume from panel where datetime between date '1997-01-06' and date '1997-12-29'", "panel"))
+def segment_prepare(x: Inputs) -> DataFrame:
+    return folds.prepare(x.panel, {"valid": ("1997-01-06", "1997-12-29")}, {"feature": ("turnover", "volume")}, "valid", "feature")
+
+
 # Models
 
 
