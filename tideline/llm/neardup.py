@@ -34,6 +34,7 @@ from tideline.session import broadcast_if_small, cut
 ROWS = 5
 MISS = 1e-7
 STARS = 2
+LINKS_PER_TASK = 250_000
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -166,16 +167,19 @@ def components(links: DataFrame) -> DataFrame:
     stay; a constant share of nodes goes each time."""
     spark = links.sparkSession
     steps: list[DataFrame] = []
-    edges = cut(links.select("a", "b").mapInArrow(_stars, "a binary, b binary"))
-    while not edges.isEmpty():
+    edges, count = links.select("a", "b"), links.count()
+    while count:
+        # Few links lie in few partitions, where one pass joins most of them; many stay spread out.
+        edges = cut(edges.coalesce(1 + count // LINKS_PER_TASK).mapInArrow(_stars, "a binary, b binary"))
         order = F.xxhash64("u", F.lit(len(steps))) if steps else F.lit(0)
         ends = edges.select(F.explode(F.array(*[F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v in "ab" for u in "ab"])).alias("e")).select("e.*")
         step = cut(ends.groupBy("v").agg(F.min(F.struct(order.alias("o"), "u")).alias("least")).select("v", F.col("least.u").alias("p")))
         steps.append(step)
         a = broadcast_if_small(step.select(F.col("v").alias("a"), F.col("p").alias("pa")), 48)
         b = broadcast_if_small(step.select(F.col("v").alias("b"), F.col("p").alias("pb")), 48)
-        moved = edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-        edges = cut(moved.mapInArrow(_stars, "a binary, b binary"))
+        edges = edges.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        edges = cut(edges)
+        count = edges.count()
     if not steps:
         return spark.createDataFrame([], "node binary, label binary")
     labels = steps[0].select(F.col("v").alias("node"), F.col("p").alias("label"))
