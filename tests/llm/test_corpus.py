@@ -119,6 +119,36 @@ def test_lm_scores(docs, rows, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_model_score_has_single_pairs(docs, rows):
+    """`score` against brute force with the same quantisation: by joins exactly, by the filter but for its false hits."""
+
+    def about(c):
+        level = math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) if c else 0
+        low = math.ceil(lm.BASE**level - 1e-9)
+        return (low + max(low, math.ceil(lm.BASE ** (level + 1) - 1e-9) - 1)) / 2 if c else 0
+
+    token = [[*WORD.findall((r[1] or "").translate(LOWER)), None] for r in rows]
+    training = [t for r, t in zip(rows, token, strict=True) if zlib.crc32(str(r[0]).encode()) % 10]
+    words = Counter(t for ts in training for t in ts)
+    pairs = Counter(p for ts in training for p in zip(["<s>", *ts], ts))
+    assert sum(c == 1 for c in pairs.values()) > 1000
+    n, v = sum(words.values()), len(words)
+
+    def want(ts):
+        out = 0
+        for a, b in zip(["<s>", *ts], ts):
+            own = (about(words[b]) + 0.1) / (n + 0.1 * (v + 1))
+            pair, before = about(pairs[a, b]), about(len(training)) if a == "<s>" else about(words[a])
+            out += math.log10((pair + lm.MU * own) / (max(before, pair) + lm.MU))
+        return out
+
+    right = sorted(((r[0], len(ts), want(ts)) for r, ts in zip(rows, token, strict=True)))
+    for most, per_token in ((0, 1e-9), (lm.MAX_BYTES, 0.02)):
+        got = sorted((r.doc_id, r.n_tokens, r.score) for r in lm.score(docs, max_bytes=most).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in right]
+        assert sum(abs(g[2] - w[2]) for g, w in zip(got, right, strict=True)) < per_token * sum(w[1] for w in right)
+
+
 def test_filter_reads_levels_back():
     import numpy as np
 

@@ -2,8 +2,8 @@
 
 Counts of words and word pairs over all training texts are gathered by hash range. Each count is quantised to a level
 on a logarithmic scale and the filter holds (n-gram, 1), (n-gram, 2), ... up to its level, so a count is read back by
-probing levels until the first miss; errors only ever raise a count, and by few levels. A pair seen once is level 0
-and takes no space. Probabilities of a word after another are the filter's pair count backed by the word's own
+probing levels until the first miss; errors only ever raise a count, and by few levels. A word or pair seen once is
+level 1 and has its entry like any other. Probabilities of a word after another are the filter's pair count backed by the word's own
 probability (Dirichlet smoothing); begin and end of a text count as words.
 
 Filter and exact word counts go to the executors as one file that tasks memory-map, if they stay under `max_bytes`.
@@ -42,11 +42,12 @@ MASK32 = np.uint64(0xFFFFFFFF)
 
 
 def word_levels(counts: np.ndarray) -> np.ndarray:
-    """Level 1 for a word seen once, and one more for every factor BASE."""
+    """Level 1 for a word or pair seen once, and one more for every factor BASE."""
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
 def pair_levels(counts: np.ndarray) -> np.ndarray:
+    """The scale that leaves single occurrences out, at level 0. The model does not use it: its pairs have word_levels."""
     return word_levels(counts) - 1
 
 
@@ -87,7 +88,7 @@ def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def gather_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per hash range: sorted word hashes with counts, pair hashes with counts over 1, and sizes."""
+    """One row per hash range: sorted word hashes with counts, pair hashes with counts, and sizes."""
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (parts - 1).bit_length())
 
@@ -111,11 +112,10 @@ def gather_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             hs = [np.frombuffer(table["hashes"][int(i)].as_buffer(), np.uint64) for i in at]
             cs = [np.frombuffer(table["counts"][int(i)].as_buffer(), np.uint32).astype(np.int64) for i in at]
             h, c = _merge(np.concatenate(hs), np.concatenate(cs)) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            levels = word_levels(c) if kind == 0 else pair_levels(c)
+            levels = word_levels(c)
             if kind == 0:
                 real = h != BEGIN
                 row |= {"tokens": [int(c[real].sum())], "words": [int(real.sum())]}
-            h, c = h[levels > 0], c[levels > 0]
             row |= {f"{name}_entries": [int(levels.sum())], f"{name}_hashes": [h.tobytes()], f"{name}_counts": [c.tobytes()]}
         return pa.table({f: pa.array(row[f], t) for f, t in FIELDS})
 
@@ -182,9 +182,9 @@ def write_table(counts: DataFrame, path: str, stats) -> None:
             for i in range(batch.num_rows):
                 part = batch.column("part")[i].as_py()
                 seen = np.zeros(segment, bool)
-                for name, levels in (("word", word_levels), ("pair", pair_levels)):
+                for name in ("word", "pair"):
                     h = np.frombuffer(batch.column(f"{name}_hashes")[i].as_buffer(), np.uint64)
-                    top = levels(np.frombuffer(batch.column(f"{name}_counts")[i].as_buffer(), np.int64))
+                    top = word_levels(np.frombuffer(batch.column(f"{name}_counts")[i].as_buffer(), np.int64))
                     for level in range(1, int(top.max(initial=0)) + 1):
                         seen[_bit_places(h[top >= level], level, segment, bits).ravel() - part * segment] = True
                 packed = [np.packbits(seen, bitorder="little").tobytes()]
@@ -256,7 +256,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bytes
                 before = np.concatenate(([begin], own[:-1]))
                 starts = np.cumsum(n) - n
                 before[starts] = begin
-                pair = count_of(t.level(pairs_of(previous, token)), 0)
+                pair = count_of(t.level(pairs_of(previous, token)), 1)
                 log = _log_scores(pair, before, own, t.n, t.v)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -280,10 +280,10 @@ def score_by_join(docs: DataFrame, counts: DataFrame, stats: dict, text: str = "
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                for name, levels, first in (("word", word_levels, 1), ("pair", pair_levels, 0)):
+                for name in ("word", "pair"):
                     h = np.frombuffer(batch.column(f"{name}_hashes")[i].as_buffer(), np.int64)
                     c = np.frombuffer(batch.column(f"{name}_counts")[i].as_buffer(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(count_of(levels(c), first))], ["gram", "exact", "about"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(count_of(word_levels(c), 1))], ["gram", "exact", "about"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
