@@ -151,6 +151,30 @@ def test_bootstrap_of_a_shift_is_above_zero(spark):
     assert few.low is None
 
 
+def test_reference_bootstrap_has_its_draws_and_blocks(spark):
+    from pathlib import Path
+
+    import duckdb
+    import numpy as np
+
+    import __spark_entry__
+    from tideline.plans import panel as plans
+
+    got = __spark_entry__.queries()["bootstrap_ci_reference"](spark, __spark_entry__.SMALL).first()
+    db = duckdb.connect()
+    for path in Path(__spark_entry__.SMALL).glob("*.parquet"):
+        db.sql(f"create view {path.stem} as select * from read_parquet('{path}{'/*.parquet' if path.is_dir() else ''}')")
+    assert tuple(got) == pytest.approx(db.sql(__spark_entry__.oracle_sql()["bootstrap_ci_reference"]).fetchall()[0], abs=2e-5)
+    rows = plans._pairs(plans.Inputs(spark, __spark_entry__.SMALL)).orderBy("i").toPandas()
+    n, deltas = len(rows), []
+    for draw in range(2000):
+        starts = [portfolio.mixed(draw, block, 7, n) for block in range(-(-n // 4))]
+        at = np.concatenate([(s + np.arange(4)) % n for s in starts])[:n]
+        a, b = (rows[c].to_numpy()[at] for c in ("candidate", "benchmark"))
+        deltas.append((a.mean() / a.std(ddof=1) - b.mean() / b.std(ddof=1)) * 52**0.5)
+    assert got.draws == 2000 and (got.low, got.high) == pytest.approx(tuple(np.quantile(deltas, [0.025, 0.975])), abs=2e-5)
+
+
 def test_promotion_paths(spark):
     cols = "seed_share double, fold_share double, ci_low double, best_year_share double, stress_ir double, hard_failures int"
     rows = [(1.0, 1.0, 0.1, 0.3, 0.5, 0), (1.0, 1.0, -0.1, 0.3, 0.5, 0), (0.4, 1.0, 0.1, 0.3, 0.5, 0), (1.0, 1.0, 0.1, 0.3, 0.5, 2)]

@@ -378,6 +378,14 @@ def portfolio_summary(x: Inputs) -> DataFrame:
 _PAIRS = "pairs as (select row_number() over (order by datetime) - 1 i, avg(intraday_return) / 100 candidate, avg(gap_return) / 100 benchmark from daily where intraday_return is not null and gap_return is not null group by datetime)"
 
 
+def _pairs(x: Inputs) -> DataFrame:
+    rows = features.daily(x.panel).where("intraday_return is not null and gap_return is not null")
+    per = rows.groupBy("datetime").agg((F.avg("intraday_return") / 100).alias("candidate"), (F.avg("gap_return") / 100).alias("benchmark"))
+    dates = per.select("datetime").join(x.calendar, F.col("session") == F.col("datetime"))
+    first = dates.agg(F.min("pos")).first()[0] or 0
+    return per.join(x.calendar, F.col("session") == F.col("datetime")).select((F.col("pos") - first).cast("long").alias("i"), "candidate", "benchmark")
+
+
 @query(oracles.sql(f"""
 , {_PAIRS}, n as (select count(*) n from pairs),
 starts as (select draw, block, (7919 * draw + 104729 * block + 17) % 2147483647 x from (select unnest(range(200)) draw), (select unnest(range((select (n + 7) // 8 from n))) block)),
@@ -387,12 +395,20 @@ per as (select draw, avg(candidate) / stddev_samp(candidate) * sqrt(52) - avg(be
 select round((select avg(candidate) / stddev_samp(candidate) * sqrt(52) - avg(benchmark) / stddev_samp(benchmark) * sqrt(52) from pairs) + 1.234e-7::double, 5) + 0::double point,
        round(quantile_cont(d, 0.025) + 1.234e-7::double, 5) + 0::double low, round(quantile_cont(d, 0.975) + 1.234e-7::double, 5) + 0::double high, count(*) draws from per""", "features"))
 def bootstrap_ci(x: Inputs) -> DataFrame:
-    rows = features.daily(x.panel).where("intraday_return is not null and gap_return is not null")
-    per = rows.groupBy("datetime").agg((F.avg("intraday_return") / 100).alias("candidate"), (F.avg("gap_return") / 100).alias("benchmark"))
-    dates = per.select("datetime").join(x.calendar, F.col("session") == F.col("datetime"))
-    first = dates.agg(F.min("pos")).first()[0] or 0
-    pairs = per.join(x.calendar, F.col("session") == F.col("datetime")).select((F.col("pos") - first).cast("long").alias("i"), "candidate", "benchmark")
-    return rounded(portfolio.bootstrap(pairs), 5, "point", "low", "high")
+    return rounded(portfolio.bootstrap(_pairs(x)), 5, "point", "low", "high")
+
+
+@query(oracles.sql(f"""
+, {_PAIRS}, n as (select count(*) n from pairs),
+starts as (select draw, block, (7919 * draw + 104729 * block + 7) % 2147483647 x from (select unnest(range(2000)) draw), (select unnest(range((select (n + 3) // 4 from n))) block)),
+m1 as (select draw, block, (x * x + 12345) % 2147483647 x from starts), m2 as (select draw, block, (x * x + 12345) % 2147483647 x from m1),
+taken as (select draw, ((x % n) + o) % n i from m2, n, (select unnest(range(4)) o) where block * 4 + o < n),
+per as (select draw, avg(candidate) / stddev_samp(candidate) * sqrt(52) - avg(benchmark) / stddev_samp(benchmark) * sqrt(52) d from taken join pairs using (i) group by draw)
+select round((select avg(candidate) / stddev_samp(candidate) * sqrt(52) - avg(benchmark) / stddev_samp(benchmark) * sqrt(52) from pairs) + 1.234e-7::double, 5) + 0::double point,
+       round(quantile_cont(d, 0.025) + 1.234e-7::double, 5) + 0::double low, round(quantile_cont(d, 0.975) + 1.234e-7::double, 5) + 0::double high, count(*) draws from per""", "features"))
+def bootstrap_ci_reference(x: Inputs) -> DataFrame:
+    """The interval with the reference's numbers: 2,000 draws of blocks of 4, seed 7."""
+    return rounded(portfolio.bootstrap(_pairs(x), draws=2000, length=4, seed=7), 5, "point", "low", "high")
 
 
 _CMP = "cmp as (select user_id % 5 seed, 'f' || (epoch_us(ts) // 86400000000 % 5)::varchar fold_id, cast(avg(cast(value as decimal(20,6))) as double) - 50 net_ir_delta from events group by 1, 2)"
