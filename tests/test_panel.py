@@ -192,3 +192,41 @@ def test_peer_context_ignores_order_and_other_dates(spark):
     more = [*rows[::-1], (DAY + timedelta(1), "x", 9.0, 9.0)]
     two = {r.instrument: (r.c0, r.c1) for r in peer_context(spark.createDataFrame(more, cols), anchors, 2).where(F.col("datetime") == F.lit(DAY)).collect()}
     assert all(one[k] == pytest.approx(two[k]) for k in one)
+
+
+def test_models_take_all_features():
+    from tideline.operators import scoring
+
+    assert scoring.MODEL_FEATURES == scoring.PEER_FEATURES == features.FEATURE_COLUMNS
+
+
+def test_trees_end_by_validation_with_patience(spark):
+    from tideline.operators import scoring
+
+    assert scoring.best_round([5, 3, 4, 2, 4, 4, 1], 2) == (4, True) and scoring.best_round([5, 3, 2], 2) == (3, False)
+    rows = [(k % 2 == 0, float(k * 37 % 101), float(k * 53 % 97), float(k * 37 % 101) + 0.5 * (k * 53 % 97)) for k in range(600)]
+    df = spark.createDataFrame(rows, "t boolean, a double, b double, label double").coalesce(2)
+    model = scoring.fit_trees(df.where("t"), df.where("not t"), ("a", "b"), rounds=40, patience=10)
+    assert model.getNumTrees > 10
+
+
+def test_peer_forward_needs_no_whole_date(spark):
+    import numpy as np
+
+    from tideline.operators import scoring
+
+    rows = [(DAY + timedelta(k % 2), f"i{k:02d}", k % 7 / 7, 1 - k % 5 / 4, k % 3 - 1.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "datetime date, instrument string, a double, b double, c double").repartition(5)
+    out = scoring.peer_forward(df, ("a", "b", "c"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = {r.instrument: r.score for r in out.collect()}
+    w, soft = scoring.weights(3, 8, 2), lambda x: np.exp(x) / np.exp(x).sum(1, keepdims=True)
+    for day in range(2):
+        mine = [r for r in rows if r[0] == DAY + timedelta(day)]
+        h = np.tanh(np.array([r[2:] for r in mine]) @ w["encode"])
+        a = soft(h @ w["assign"])
+        p = (a.T @ h) / a.sum(0)[:, None]
+        seen = [soft((h @ w["query"][:, at]) @ (p @ w["key"][:, at]).T / 3**0.5) @ (p @ w["value"][:, at]) for at in (slice(0, 3), slice(3, 6))]
+        want = np.concatenate([h, h - np.concatenate(seen, 1)], 1) @ w["out"]
+        assert [got[r[1]] for r in mine] == pytest.approx(list(want))
+    assert len(got) == 40

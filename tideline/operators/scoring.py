@@ -2,29 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODEL_FEATURES = ("ret_mean_5", "ret_std_5", "turnover_mean_5", "log_volume_mean_5", "close_location", "intraday_return")
-PEER_FEATURES = ("close_location", "intraday_return", "high_low_range", "turnover_raw")
+from tideline.operators.features import FEATURE_COLUMNS
+from tideline.session import cut, shared_folder
+
+MODEL_FEATURES = PEER_FEATURES = FEATURE_COLUMNS
+#: A task lets its sums of dates go when it holds this many.
+HELD_DATES = 1000
 
 
 def complete(rows: DataFrame, columns) -> DataFrame:
     return rows.na.drop(subset=list(columns))
 
 
-def fit_trees(train: DataFrame, valid: DataFrame, columns, rounds: int = 10) -> object:
-    """Squared loss with early stopping on the validation part, row and column subsampling."""
-    both = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="x").transform(both)
-    model = GBTRegressor(featuresCol="x", labelCol="label", predictionCol="score", validationIndicatorCol="is_valid", maxIter=rounds, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=7)
-    return model.fit(vectors)
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """Rounds up to the best one that `patience` further rounds do not better, and whether there were that many."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_trees(train: DataFrame, valid: DataFrame, columns, rounds: int = 500, patience: int = 50) -> object:
+    """Squared loss with row and column subsampling, up to the best round on the validation part.
+
+    Spark's own stopping has no patience: it ends at the first round that gains little. So trees are fitted without it,
+    in doubled numbers until the validation errors of their prefixes have ended or `rounds` are reached, and then up to
+    the best round; rounds depend on those before only, so the trees are the same. Parts have to be stored tables.
+    """
+    sc = train.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(train.sparkSession))
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="x")
+    train, valid = (vectors.transform(part).select("x", "label") for part in (train, valid))
+    trees = GBTRegressor(featuresCol="x", labelCol="label", predictionCol="score", maxDepth=5, maxBins=255, minInstancesPerNode=50, stepSize=0.03, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=7)
+    n, ended = patience, False
+    while not ended and n < rounds:
+        n = min(rounds, 2 * n)
+        model = trees.copy({trees.maxIter: n}).fit(train)
+        best, ended = best_round(model.evaluateEachIteration(valid, "squared"), patience)
+    return model if best == n else trees.copy({trees.maxIter: best}).fit(train)
 
 
 def score(model, rows: DataFrame, columns) -> DataFrame:
@@ -34,14 +65,18 @@ def score(model, rows: DataFrame, columns) -> DataFrame:
 
 def walk_forward(rows: DataFrame, fold_ids: list[str], columns=MODEL_FEATURES) -> DataFrame:
     """Fit on each fold's training part, score its test part, and lay the folds' scores end to end."""
-    rows = complete(rows, [*columns, "label"])
-    out = []
-    for fold in fold_ids:
+    rows = cut(complete(rows, [*columns, "label"]))
+
+    def one(fold: str) -> DataFrame | None:
         part = {s: rows.where((F.col("fold_id") == fold) & (F.col("segment") == s)) for s in ("train", "valid", "test")}
         if part["train"].isEmpty() or part["valid"].isEmpty():
-            continue
+            return None
         model = fit_trees(part["train"].select(*columns, "label"), part["valid"].select(*columns, "label"), columns)
-        out.append(score(model, part["test"], columns).withColumns({"fold_id": F.lit(fold), "model_id": F.lit("boosted_trees")}))
+        return score(model, part["test"], columns).withColumns({"fold_id": F.lit(fold), "model_id": F.lit("boosted_trees")})
+
+    # Rounds are many short jobs; folds side by side fill the cores.
+    with ThreadPoolExecutor(max(1, len(fold_ids))) as pool:
+        out = [x for x in pool.map(inheritable_thread_target(rows.sparkSession)(one), fold_ids) if x is not None]
     if not out:
         return rows.select("datetime", "instrument", F.lit(0.0).alias("score"), "fold_id", F.lit("boosted_trees").alias("model_id")).limit(0)
     return reduce(DataFrame.unionByName, out)
@@ -56,26 +91,54 @@ def weights(width: int, prototypes: int, heads: int, seed: int = 11) -> dict[str
 def peer_forward(rows: DataFrame, columns=PEER_FEATURES, prototypes: int = 8, heads: int = 2, given: dict | None = None) -> DataFrame:
     """Score of every row from its own encoding and its attention over the prototypes of its date.
 
-    One group per date: a cross-section of instruments, and rows times prototypes inside it.
+    Tasks add up the parts of a date that they read, a combining aggregation adds those up to the prototypes, and rows
+    are scored in batches after a join by date: no task holds a date.
     """
     w = given or weights(len(columns), prototypes, heads)
     names = list(columns)
+    width = w["encode"].shape[1]
 
     def softmax(x: np.ndarray, axis: int) -> np.ndarray:
         e = np.exp(x - x.max(axis=axis, keepdims=True))
         return e / e.sum(axis=axis, keepdims=True)
 
-    def forward(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.tanh(np.clip(pdf[names].to_numpy(float), -3, 3) @ w["encode"])
-        a = softmax(h @ w["assign"], 1)
-        p = (a.T @ h) / np.maximum(a.sum(0)[:, None], 1e-8)
-        size = h.shape[1] // heads
-        context = []
-        for k in range(heads):
-            part = slice(k * size, (k + 1) * size)
-            q, key, v = h @ w["query"][:, part], p @ w["key"][:, part], p @ w["value"][:, part]
-            context.append(softmax(q @ key.T / np.sqrt(size), 1) @ v)
-        joined = np.concatenate([h, h - np.concatenate(context, 1)], 1)
-        return pdf[["datetime", "instrument"]].assign(score=joined @ w["out"])
-
-    return rows.select("datetime", "instrument", *names).groupBy("datetime").applyInPandas(forward, "datetime date, instrument string, score double")
+    def encoded(pdf: pd.DataFrame) -> np.ndarray:
+        return np.tanh(np.clip(pdf[names].to_numpy(float), -3, 3) @ w["encode"])
+
+    def flushed(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(d, k, row.tolist()) for d, s in held.items() for k, row in enumerate(s)], columns=["day", "k", "s"])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per date and prototype: the weighted sum of encodings, and the weight as its last element."""
+        held: dict = {}
+        for pdf in batches:
+            h = encoded(pdf)
+            a = softmax(h @ w["assign"], 1)
+            h = np.concatenate([h, np.ones((len(h), 1))], 1)
+            for d, at in pdf.groupby("day").indices.items():
+                held[d] = held.get(d, 0) + a[at].T @ h[at]
+            if len(held) > HELD_DATES:
+                yield flushed(held)
+                held = {}
+        yield flushed(held)
+
+    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = width // heads
+        for pdf in batches:
+            h, context = encoded(pdf), np.zeros((len(pdf), width))
+            for at in pdf.groupby("day").indices.values():
+                s = np.array(pdf["s"].iloc[at[0]]).reshape(-1, width + 1)
+                p = s[:, :-1] / np.maximum(s[:, -1:], 1e-8)
+                for k in range(heads):
+                    part = slice(k * size, (k + 1) * size)
+                    q, key, v = h[at] @ w["query"][:, part], p @ w["key"][:, part], p @ w["value"][:, part]
+                    context[at, part] = softmax(q @ key.T / np.sqrt(size), 1) @ v
+            yield pdf[["datetime", "instrument"]].assign(score=np.concatenate([h, h - context], 1) @ w["out"])
+
+    # Rows without a date are a cross-section of their own.
+    day = F.coalesce(F.unix_date("datetime"), F.lit(-(2**31)))
+    rows = cut(rows.select("datetime", "instrument", *names, day.alias("day")))
+    parts = rows.select("day", *names).mapInPandas(sums, "day int, k int, s array<double>")
+    added = parts.groupBy("day", "k").agg(F.array(*[F.sum(F.col("s")[j]) for j in range(width + 1)]).alias("s"))
+    dates = added.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("s")).select("day", F.flatten("s.s").alias("s"))
+    return rows.join(dates, "day").mapInPandas(forward, "datetime date, instrument string, score double")

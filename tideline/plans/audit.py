@@ -394,5 +394,5 @@ def gbt_walk_forward(x: Inputs) -> DataFrame:
 
 @query(None)
 def peer_forward(x: Inputs) -> DataFrame:
-    rows = features(x.panel, ()).select(*KEYS, *scoring.PEER_FEATURES).na.drop()
+    rows = x.feats().select(*KEYS, *scoring.PEER_FEATURES).na.drop()
     return scoring.peer_forward(rows)
