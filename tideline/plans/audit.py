@@ -11,7 +11,7 @@ from tideline.operators.features import features
 from tideline.plans import oracles
 from tideline.plans.panel import KEYS, Inputs, _q, rounded
 from tideline.plans.registry import query
-from tideline.session import shared_folder
+from tideline.session import unique_folder
 from tideline.sources import readers
 
 ZONE = "Asia/Shanghai"
@@ -48,7 +48,7 @@ def snapshot_halt_overlap(x: Inputs) -> DataFrame:
 
 @query(oracles.sql("select year(datetime)::int \"year\", count(*) \"rows\" from panel group by 1", "panel"))
 def matrix_sink(x: Inputs) -> DataFrame:
-    return readers.write_years(x.panel, f"{shared_folder(x.spark)}/matrix-years")
+    return readers.write_years(x.panel, unique_folder(x.spark, "matrix-years"))
 
 
 @query(oracles.sql("select 'S' || strftime(session, '%Y%m%d') session_id, session, session::timestamp + interval 90 minute open_utc, session::timestamp + interval 7 hour close_utc from calendar", "calendar"))
@@ -102,7 +102,7 @@ def csv_long_sink(x: Inputs) -> DataFrame:
 
 @query(None)
 def jsonl_scan(x: Inputs) -> DataFrame:
-    path = f"{shared_folder(x.spark)}/journal-json"
+    path = unique_folder(x.spark, "journal-json")
     x.journal.write.mode("overwrite").json(path)
     return x.spark.read.schema(x.journal.schema).option("mode", "FAILFAST").json(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,12 +35,27 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests) a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where it is unset a temporary one stands in, but only on a local master:
+    executors elsewhere would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/tideline-{spark.sparkContext.applicationId}"
+
+
+def unique_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, so that two runs never write to one place."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this application has cut. Results not yet read are lost; call it when all are."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,7 +64,7 @@ def cut(df: DataFrame) -> DataFrame:
     A table, and not checkpoint(), because it is compressed and columnar, and because a checkpoint carries the plan's
     inferred constraints along, which grow without end in the iterative operators.
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = unique_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,9 +76,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of a batch between the JVM and Python where the session leaves Spark's 10,000: rows here are whole texts.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the package to the Python workers, which on a cluster (or from another folder) can't import it otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId not in _shipped:
         root = Path(__file__).parent
         name = Path(tempfile.mkdtemp(prefix="spark-")) / "tideline_package.zip"

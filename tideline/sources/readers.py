@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.session import shared_folder
+from tideline.session import unique_folder
 
 
 def assert_schema(df: DataFrame, expected: dict[str, str]) -> DataFrame:
@@ -31,10 +31,11 @@ def before(rows: DataFrame, column: str, cutoff: str) -> DataFrame:
 
 
 def write_years(matrix: DataFrame, path: str, column: str = "datetime") -> DataFrame:
-    """Write one folder per year and count its rows."""
+    """Write one folder per year, and count the rows that the files hold."""
     years = matrix.withColumn("year", F.year(column))
-    years.write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(path)
-    return years.groupBy("year").agg(F.count("*").alias("rows"))
+    years.write.partitionBy("year").option("compression", "zstd").parquet(path)
+    written = matrix.sparkSession.read.schema(years.schema).parquet(path)
+    return written.groupBy("year").agg(F.count("*").alias("rows"))
 
 
 def extract_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, fetch: int = 10_000) -> DataFrame:
@@ -53,17 +54,17 @@ RECORD = T.StructType(
 
 def json_round_trip(panel: DataFrame, name: str = "snapshot") -> DataFrame:
     """Rows as nested JSON records, written, read back with a fixed schema, and the date parsed from the key again."""
-    path = f"{shared_folder(panel.sparkSession)}/{name}-json-{abs(hash(name)) % 10}"
+    path = unique_folder(panel.sparkSession, f"{name}-json")
     key = F.concat_ws(":", "instrument", F.date_format("datetime", "yyyyMMdd"))
-    panel.select(key.alias("raw_key"), F.sha2(key, 256).alias("sample_id"), F.struct("close", "volume").alias("payload")).write.mode("overwrite").json(path)
+    panel.select(key.alias("raw_key"), F.sha2(key, 256).alias("sample_id"), F.struct("close", "volume").alias("payload")).write.json(path)
     back = panel.sparkSession.read.schema(RECORD).option("mode", "FAILFAST").json(path)
     parts = F.split("raw_key", ":")
     return back.select(F.to_date(parts[1], "yyyyMMdd").alias("datetime"), parts[0].alias("instrument"), "sample_id", "payload.close", "payload.volume")
 
 
 def csv_round_trip(rows: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(rows.sparkSession)}/{name}-csv"
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    path = unique_folder(rows.sparkSession, f"{name}-csv")
+    rows.write.option("header", True).csv(path)
     return rows.sparkSession.read.schema(rows.schema).option("header", True).csv(path)
 
 
