@@ -5,8 +5,8 @@ for each set bit of the rest, longest first. Pieces of one length form a bucket,
 so no sequence crosses documents and none needs padding. The work is one pass over the texts, without a shuffle.
 
 Tokenising caches the ids of text between spaces (a byte-level BPE never joins across a space that follows a
-non-space), at most `CACHE` entries a worker; what is not cached goes to the tokenizer. Long texts are handled span by
-span, so memory follows the batch's text, not its tokens.
+non-space), at most `CACHE` short entries, dropped when a task ends; what is not cached goes to the tokenizer. Long
+texts are handled span by span, so memory follows the batch's text, not its tokens.
 
 Defined cases: null text counts as empty and gives the end id alone; repeated rows are packed each on their own with
 sequence ids of their own; an empty table gives no pieces; only the `keep` columns of the input are carried over.
@@ -109,27 +109,33 @@ def pack(
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        for batch in batches:
-            row, start, length, crc, total, own = [], [], [], [], [], []
-            size = 0
-            for i, t in enumerate(batch.column("_text")):
-                raw = encoder.encode(t.as_py()) + end
-                n, at = len(raw) // 4, 0
-                for k in piece_lengths(n, max_length):
-                    piece = raw[4 * at : 4 * (at + k)]
-                    row.append(i)
-                    start.append(at)
-                    length.append(k)
-                    crc.append(zlib.crc32(piece))
-                    total.append(n)
-                    if ids:
-                        own.append(piece)
-                    at += k
-                size += len(raw)
-                if ids and size > 16 << 20:
-                    yield out(batch, row, start, length, crc, total, own)
-                    row, start, length, crc, total, own, size = [], [], [], [], [], [], 0
-            yield out(batch, row, start, length, crc, total, own)
+        try:
+            for batch in batches:
+                yield from packed(encoder, batch)
+        finally:
+            encoder.cache.clear()
+
+    def packed(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, start, length, crc, total, own = [], [], [], [], [], []
+        size = 0
+        for i, t in enumerate(batch.column("_text")):
+            raw = encoder.encode(t.as_py()) + end
+            n, at = len(raw) // 4, 0
+            for k in piece_lengths(n, max_length):
+                piece = raw[4 * at : 4 * (at + k)]
+                row.append(i)
+                start.append(at)
+                length.append(k)
+                crc.append(zlib.crc32(piece))
+                total.append(n)
+                if ids:
+                    own.append(piece)
+                at += k
+            size += len(raw)
+            if ids and size > 16 << 20:
+                yield out(batch, row, start, length, crc, total, own)
+                row, start, length, crc, total, own, size = [], [], [], [], [], [], 0
+        yield out(batch, row, start, length, crc, total, own)
 
     def out(batch, row, start, length, crc, total, own) -> pa.RecordBatch:
         kept = batch.select(list(keep)).take(pa.array(row, pa.int64()))
