@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -57,8 +58,6 @@ def test_near_duplicates_of_nothing(none):
 
 
 def test_sketch_fills_and_estimates():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 600).astype(np.uint64)
     b = np.concatenate((a[:500], rng.integers(0, 2**63, 100).astype(np.uint64)))
@@ -85,13 +84,26 @@ def removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 2])
-def test_suffix_dedup(docs, rows, hot):
-    want = removed(rows, 100)
-    got = Counter(tuple(r) for r in suffixes.measure(docs, 100, hot=hot).collect())
+@pytest.mark.parametrize(("length", "hot"), [(100, 50_000), (100, 2), (10, 50_000), (37, 5), (300, 50_000)])
+def test_suffix_dedup(docs, rows, length, hot):
+    want = removed(rows, length)
+    got = Counter(tuple(r) for r in suffixes.measure(docs, length, hot=hot).collect())
     assert got == Counter((i, *want[i, t or ""]) for i, t, *_ in rows)
 
 
+def test_suffix_dedup_takes_whole_ids_only(docs):
+    with pytest.raises(TypeError):
+        suffixes.measure(docs.withColumn("doc_id", docs.id))
+
+
+def test_every_pair_of_positions_meets_in_the_cover():
+    for period, residues in suffixes.COVERS.items():
+        assert {(a - b) % period for a in residues for b in residues} == set(range(period))
+    cover = suffixes.Cover(100)
+    at = cover.positions(np.arange(500))[0]
+    assert (np.diff(at) > 0).all() and all((at < x).sum() == cover.until(np.array([x]))[0] for x in range(200))
+
+
 def test_suffix_dedup_keeps_columns(docs, none):
     out = suffixes.cleaned(docs, 100)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -150,8 +162,6 @@ def test_lm_model_score_has_single_pairs(docs, rows):
 
 
 def test_filter_reads_levels_back():
-    import numpy as np
-
     counts = np.array([1, 2, 3, 10, 1000])
     about = lm.count_of(lm.word_levels(counts), 1)
     assert about[0] == 1 and (abs(np.log(about / counts)) < math.log(lm.BASE)).all()

@@ -27,8 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.suffixes import _by_part
-from tideline.llm.words import chain, mix, runs, word_hashes
+from tideline.llm.words import by_part, chain, mix, runs, word_hashes
 from tideline.session import cut
 
 BASE = 1.5
@@ -100,7 +99,7 @@ def gather_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 for kind, grams in ((0, np.concatenate((token, np.full(len(n), BEGIN, np.uint64)))), (1, pairs_of(previous, token))):
                     h, c = np.unique(grams, return_counts=True)
                     c = c.astype(np.uint32)
-                    out += [(p, kind, h[at].tobytes(), c[at].tobytes()) for p, at in _by_part(h, bits)]
+                    out += [(p, kind, h[at].tobytes(), c[at].tobytes()) for p, at in by_part(h, bits)]
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "kind", "hashes", "counts"])
 

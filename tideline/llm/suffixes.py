@@ -1,111 +1,131 @@
 """Removal of repeated passages: every byte covered by a string of `length` bytes that also starts earlier.
 
-Suffixes are sorted blockwise, one bucket at a time, and long ties are resolved by ranks of sampled suffixes. The
-sample is a cover in this sense: two equal strings of `length` bytes hold a sampled position at the same shift. Taking
-positions by residue (a difference cover) would sample one position in eight at least and ship all of them; here the
-sample is chosen by content, the least hash among the K-grams of each window of `length` bytes, which has the same
-property at about 2 / (length - K + 2) of the positions.
-
-1. Sampled K-gram hashes are counted by hash range. What occurs twice goes into a bit filter of bounded size that is
-   broadcast. A filter too small for the corpus lets more through; it never loses a repeat.
-2. Each sampled position that passes is sent to its bucket with the bytes that its strings span (at most
-   2 * length). A string belongs to exactly one sampled position: the least in it.
-3. In a bucket, the suffixes at sampled positions are sorted by content, to the right and to the left, and neighbours'
-   common lengths are kept. A string that starts p bytes before its sampled position equals another one iff their
-   right contexts agree on length - p bytes and their left ones on p, which is read off those ranks without comparing
-   text again. All but the earliest of equal strings are repeats.
-4. A sampled position with more than `hot` occurrences is not gathered in one task: its strings become rows, the
-   earliest of each is found by a combining aggregation and joined back.
+Difference-cover blockwise construction. In every text the positions whose residue modulo `period` lies in a perfect
+difference set are the cover sample: for any two positions i and j exactly one shift d below the period (or, if they
+are congruent, one at residue 0) makes i + d and j + d both sampled. So two equal strings of `length` bytes hold
+sampled positions at one shift, and the suffixes there share their first length - period + 1 bytes (a gram). Only
+suffixes at sampled positions are ever sorted, one bucket at a time; all others follow from their ranks.
+
+1. Gram hashes of the sample are counted by hash range. What occurs at two residues, or twice at residue 0, goes into
+   a bit filter of bounded size that is broadcast. A filter too small for the corpus lets more through; it never loses
+   a repeat.
+2. Each sampled suffix that passes is sent to its bucket with the bytes that its strings span: `length` to the right,
+   period - 1 to the left.
+3. A bucket's suffixes are sorted by gram and content, and their left contexts likewise; the sorted order with
+   neighbours' common lengths is the rank table. A string that starts p bytes before a sampled position equals another
+   one iff their left contexts agree on p bytes and the sampled suffixes on length - p, which is read off the ranks
+   without comparing text again. All but the earliest of equal strings are repeats. Memory follows the bucket.
+4. Grams with more than `hot` occurrences are not gathered in one task. The strings around them are named by 128-bit
+   digests; equal ones are reduced inside each run of texts first, the rest is counted and filtered as in 1, and a
+   combining aggregation finds the earliest.
 
 Exact copies of a whole text are found first, by 128-bit digests, so they cost a row each.
 
-Defined cases: null text is empty; texts under `length` bytes lose nothing; rows equal in doc_id and text count as one
-document and get the same result; rows that share a doc_id with different texts are ordered by a hash of the text;
-null doc_ids come last; an empty table gives no rows; other columns are not carried over by `measure` and all are
-kept by `cleaned`.
+Defined cases: doc_id is an integer column (else TypeError); null text is empty; texts under `length` bytes lose
+nothing; rows equal in doc_id and text count as one document and get the same result; rows that share a doc_id with
+different texts are ordered by a hash of the text; null doc_ids come last; an empty table gives no rows; other columns
+are not carried over by `measure` and all are kept by `cleaned`.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.llm.words import runs
+from tideline.llm.words import by_part, chain, runs
 from tideline.session import broadcast_if_small, cut
 
-K = 32
-STARTS = 250_000  # string starts handled at once; positions must fit in POS_BITS with the overlap
-BUCKET = 8192  # occurrences sorted at once in a task
-POS_BITS = np.uint64(20)
+#: Perfect difference sets by period: every residue is the difference of two members. Fixed values.
+COVERS = {
+    3: (0, 1),
+    7: (0, 1, 3),
+    13: (0, 1, 3, 9),
+    21: (0, 1, 4, 14, 16),
+    31: (0, 1, 3, 8, 12, 18),
+    57: (0, 1, 3, 13, 32, 36, 43, 52),
+    73: (0, 1, 3, 7, 15, 31, 36, 54, 63),
+}
+GRAM = 28  # bytes of a gram, where the length allows it
+CHUNK = 1 << 18  # sampled positions handled at once
+BUCKET = 8192  # suffixes sorted at once in a task
+PART_SAMPLES = 1 << 20  # sampled positions counted in one group
+PART_BYTES = 24 << 20  # bytes of contexts in one bucket
 FILTER_BYTES = 64 << 20
 HOT = 50_000
 LAST = 2**63 - 1
+SMALLER, LARGER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+@dataclass(frozen=True)
+class Cover:
+    """Sampled positions for strings of `length` bytes."""
+
+    length: int
+
+    def __post_init__(self):
+        if self.length < 10:
+            raise ValueError("length must be 10 or more")
+
+    @cached_property
+    def period(self) -> int:
+        return max(v for v in COVERS if v <= max(3, self.length - GRAM + 1))
+
+    @property
+    def residues(self) -> np.ndarray:
+        return np.array(COVERS[self.period], np.int64)
+
+    @cached_property
+    def gram(self) -> int:
+        """Bytes that are hashed: what all strings around a sampled position share to its right, 64 at most."""
+        return min(64, self.length - self.period + 1)
+
+    def positions(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position and residue number of the given numbers in the sample."""
+        turn, which = np.divmod(count, len(self.residues))
+        return turn * self.period + self.residues[which], which
+
+    def until(self, limit: np.ndarray) -> np.ndarray:
+        """How many sampled positions lie under each limit."""
+        turn, rest = np.divmod(np.maximum(limit, 0), self.period)
+        return turn * len(self.residues) + np.searchsorted(self.residues, rest, "left")
 
 
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """id (null last), text, and two digests of the text."""
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer column")
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), t.alias("text"))
     return rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), F.col("text"), F.lit(2)), "n": F.octet_length("text").cast("long")})
 
 
-def _words(buf: np.ndarray, count: int) -> np.ndarray:
-    """The eight bytes from every position as one word."""
-    return np.ndarray((count,), "<u8", buf, strides=(1,))
-
-
-def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the K bytes from every position."""
-    n = len(buf) - K + 1
-    w = _words(buf, len(buf) - 7)
-    h = w[: n + 16] * np.uint64(0x9E3779B97F4A7C15)
-    h += w[8 : n + 24] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    out = h[:n] * np.uint64(0xBF58476D1CE4E5B9)
-    out += h[16 : n + 16] * np.uint64(0x94D049BB133111EB)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(29)
-    return out
-
+def hashes(buf: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the `size` bytes from each position; the last word overlaps the one before."""
+    words = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    places = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
+    return chain([np.full(len(at), seed, np.uint64), *(words[at + k] for k in places)])
 
-def sampled(buf: np.ndarray, ends: np.ndarray, length: int):
-    """(position, first start, last start, hash) of the sampled positions of texts laid end to end.
 
-    A string's sampled position is that of its least hash, the leftmost of equals; strings never cross an end.
-    """
-    width = length - K + 1
-    found = []
-    for c in range(0, len(buf) - length + 1, STARTS):
-        part = buf[c : c + STARTS + length - 1]
-        h = gram_hashes(part)
-        v = (h >> POS_BITS << POS_BITS) | np.arange(len(h), dtype=np.uint64)
-        m, size = v, 1
-        while size * 2 <= width:
-            m = np.minimum(m[: len(m) - size], m[size:])
-            size *= 2
-        if size < width:
-            m = np.minimum(m[: len(m) - (width - size)], m[width - size :])
-        at = (m & np.uint64((1 << int(POS_BITS)) - 1)).astype(np.int64)
-        # Starts whose string runs over an end don't count.
-        over = np.zeros(len(at) + 1, np.int64)
-        for e in ends[np.searchsorted(ends, c, "right") : np.searchsorted(ends, c + len(at) + length, "right")] - c:
-            over[max(0, e - length + 1) : max(0, min(e, len(at)))] = 1
-        starts = np.flatnonzero(over[:-1] == 0)
-        at = at[starts]
-        if not len(at):
-            continue
-        new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        last = np.concatenate((new[1:], [len(at)])) - 1
-        found.append((at[new] + c, starts[new] + c, starts[last] + c, h[at[new]]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def sampled(buf: np.ndarray, ends: np.ndarray, cover: Cover, chunk: int = CHUNK):
+    """Chunks of (position, text number, residue number, gram hash) of the sample of texts laid end to end."""
+    begins = ends - np.diff(ends, prepend=0)
+    n = cover.until(ends - begins - cover.length + cover.period)
+    stop = np.cumsum(n)
+    for c in range(0, int(stop[-1]) if len(n) else 0, chunk):
+        number = np.arange(c, min(c + chunk, int(stop[-1])))
+        doc = np.searchsorted(stop, number, "right")
+        at, residue = cover.positions(number - (stop - n)[doc])
+        at += begins[doc]
+        yield at, doc, residue, hashes(buf, at, cover.gram)
 
 
 def _laid_out(texts: list[bytes], length: int):
@@ -115,77 +135,161 @@ def _laid_out(texts: list[bytes], length: int):
     return np.array(rows, np.int64), buf, np.cumsum([len(texts[i]) for i in rows], dtype=np.int64)
 
 
-def _by_part(hashes: np.ndarray, bits: int):
-    """(part, rows) for each hash range, by one sort."""
-    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
-    for p in range(1 << bits):
-        if cuts[p + 1] > cuts[p]:
-            yield p, order[cuts[p] : cuts[p + 1]]
-
-
-def count_samples(work: DataFrame, length: int, bits: int, segment: int, hot: int) -> list:
-    """For each hash range, the bits of the filter and the hashes that occur more than `hot` times."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    return SMALLER.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def _unpack(blob: pa.Scalar) -> bytes:
+    return LARGER.decompress(blob.as_buffer())
+
+
+@dataclass(frozen=True)
+class Filter:
+    """Which hashes repeat. A hash is known by its first part_bits + key_bits bits; a key travels with four bits of
+    its residue number in `width` bytes."""
+
+    part_bits: int
+    width: int
+    segment: int
+
+    @property
+    def key_bits(self) -> int:
+        return 8 * self.width - 4
+
+    @classmethod
+    def of(cls, samples: int, filter_bytes: int) -> Filter:
+        part_bits = max(4, (samples // PART_SAMPLES).bit_length())
+        # 64 times as many hashes as samples, so that strangers rarely meet; the rest of the hash stays at home.
+        bits = (64 * samples + 1).bit_length() - part_bits + 4
+        width = min(7, max(2, -(-bits // 8)), (64 - part_bits) // 8)
+        segment = 1 << max(6, min(2 * samples >> part_bits, 8 * filter_bytes >> part_bits).bit_length() - 1)
+        return cls(part_bits, width, segment)
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.part_bits - self.key_bits)
+
+    def slots(self, keys: np.ndarray, anywhere: bool) -> np.ndarray:
+        """Bit of a hash that occurs at several residues, or (the other one) twice at residue 0."""
+        own = keys & np.uint64((1 << self.key_bits) - 1)
+        if not anywhere:
+            own = own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+        return (own & np.uint64(self.segment - 1)).astype(np.int64)
+
+    def passes(self, bits: np.ndarray, h: np.ndarray, residue: np.ndarray) -> np.ndarray:
+        keys = self.keys(h)
+        base = (keys >> np.uint64(self.key_bits)).astype(np.int64) * self.segment
+
+        def seen(anywhere):
+            bit = base + self.slots(keys, anywhere)
+            return bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+
+        return seen(True) | (residue == 0) & seen(False)
+
+    def rows(self, h: np.ndarray, residue: np.ndarray):
+        """(part, keys with residues, keys seen oftener, how often): a key and residue is sent twice at most."""
+        mask = np.uint64((1 << 8 * self.width) - 1)
+        v = np.sort(self.keys(h) << np.uint64(4) | residue.astype(np.uint64))
+        third = np.zeros(len(v), bool)
+        third[2:] = v[2:] == v[:-2]
+        more, times = np.unique(v[third], return_counts=True)
+        v = v[~third]
+        parts = np.arange((1 << self.part_bits) + 1, dtype=object) << 8 * self.width
+        cuts, cuts_more = np.searchsorted(v, np.array(parts[:-1], np.uint64)), np.searchsorted(more, np.array(parts[:-1], np.uint64))
+        cuts, cuts_more = np.append(cuts, len(v)), np.append(cuts_more, len(more))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            planes = v[cuts[p] : cuts[p + 1]].view(np.uint8).reshape(-1, 8)[:, : self.width].T
+            a, b = cuts_more[p], cuts_more[p + 1]
+            yield p, _pack(planes), (more[a:b] & mask).tobytes(), times[a:b].astype("<i8").tobytes()
+
+    def read(self, blob: pa.Scalar) -> np.ndarray:
+        planes = np.frombuffer(_unpack(blob), np.uint8).reshape(self.width, -1)
+        out = np.zeros((planes.shape[1], 8), np.uint8)
+        out[:, : self.width] = planes.T
+        return out.view("<u8").ravel()
+
+    def count(self, table: pa.Table, hot: int) -> pa.Table:
+        """One part's filter bits, its keys with more than `hot` occurrences, and how many occurrences pass."""
+        part = table["part"][0].as_py()
+        v = np.sort(np.concatenate([self.read(b) for b in table["keys"]]))
+        keys = v >> np.uint64(4)
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        last = np.concatenate((new[1:], [len(v)])) - 1
+        n = last - new + 1
+        several = v[new] != v[last]
+        twice = ~several & (n > 1) & (v[new] & np.uint64(15) == 0)
+        more = np.concatenate([np.frombuffer(b.as_buffer(), "<u8") for b in table["more"]])
+        times = np.concatenate([np.frombuffer(b.as_buffer(), "<i8") for b in table["times"]])
+        np.add.at(n, np.searchsorted(keys[new], more >> np.uint64(4)), times)
+        seen = np.zeros(self.segment, bool)
+        seen[self.slots(keys[new[several]], True)] = True
+        seen[self.slots(keys[new[twice]], False)] = True
+        often = keys[new[(n > hot) & (several | twice)]] | np.uint64(part << self.key_bits)
+        row = [[part], [_pack(np.packbits(seen, bitorder="little"))], [often.tobytes()], [int(n[several | twice].sum())]]
+        return pa.table({"part": pa.array(row[0], pa.int64()), "bits": pa.array(row[1], pa.binary()), "hot": pa.array(row[2], pa.binary()), "n": pa.array(row[3], pa.int64())})
+
+    def gather(self, counted: DataFrame, hot: int) -> tuple[bytes, bytes, int]:
+        """The filter (FILTER_BYTES at most), the hot keys and the number of occurrences that pass, on the driver."""
+        bits, often, total = np.zeros((1 << self.part_bits) * self.segment // 8, np.uint8), [], 0
+        rows = counted.groupBy("part").applyInArrow(lambda t: self.count(t, hot), "part long, bits binary, hot binary, n long")
+        for row in rows.collect():
+            at = row["part"] * self.segment // 8
+            bits[at : at + self.segment // 8] = np.frombuffer(LARGER.decompress(bytes(row["bits"])), np.uint8)
+            often.append(bytes(row["hot"]))
+            total += row["n"]
+        return bits.tobytes(), b"".join(often), total
+
+
+COUNTED = "part long, keys binary, more binary, times binary"
+
+
+def _counted(rows) -> pa.RecordBatch:
+    part, *blobs = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "keys", "more", "times"])
+
+
+def count_samples(work: DataFrame, cover: Cover, kind: Filter) -> DataFrame:
+    """Gram hashes of the sample by hash range, one row a range and chunk."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in runs(batch.column(0)):
-                _, buf, ends = _laid_out(texts, length)
-                if len(buf):
-                    h = sampled(buf, ends, length)[3]
-                    rows = [(p, h[at].tobytes()) for p, at in _by_part(h, bits)]
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows]), pa.array([b for _, b in rows], pa.binary())], ["part", "hashes"])
-
-    def count(table: pa.Table) -> pa.Table:
-        h = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table["hashes"]]))
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        n = np.diff(np.concatenate((new, [len(h)])))
-        twice = h[new[n > 1]]
-        seen = np.zeros(segment, bool)
-        seen[(twice & np.uint64(segment - 1)).astype(np.int64)] = True
-        rows = [table["part"][0].as_py()], [np.packbits(seen, bitorder="little").tobytes()], [h[new[n > hot]].tobytes()]
-        return pa.table({"part": pa.array(rows[0], pa.int64()), "bits": pa.array(rows[1], pa.binary()), "hot": pa.array(rows[2], pa.binary())})
+                _, buf, ends = _laid_out(texts, cover.length)
+                for _, _, residue, h in sampled(buf, ends, cover):
+                    yield _counted(list(kind.rows(h, residue)))
 
-    hashes = work.select("text").mapInArrow(emit, "part long, hashes binary")
-    return hashes.groupBy("part").applyInArrow(count, "part long, bits binary, hot binary").collect()
+    return work.select("text").mapInArrow(emit, COUNTED)
 
 
-OCCURRENCE = np.dtype([("hash", "<u8"), ("id", "<i8"), ("h1", "<i8"), ("at", "<i8"), ("left", "<i4"), ("right", "<i4")])
+OCCURRENCE = (("id", "<i8"), ("h1", "<i8"), ("at", "<i8"), ("left", "<i4"), ("right", "<i4"))
 
 
-def _contexts(work: DataFrame, length: int, bits: int, shared) -> DataFrame:
-    """(part, occurrences, bytes) of sampled positions that pass the filter, or (part -1, …) of the hot ones."""
+def _contexts(work: DataFrame, cover: Cover, kind: Filter, bits: int, shared) -> DataFrame:
+    """(bucket, occurrences, bytes) of the sampled suffixes that pass the filter and are not hot."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, raw, hot = shared.value
-        filter_ = np.frombuffer(raw, np.uint8)
-        hot = np.frombuffer(hot, np.uint64)
+        raw, hot = (np.frombuffer(x, t) for x, t in zip(shared.value, (np.uint8, np.uint64), strict=True))
         for batch in batches:
             for first, texts in runs(batch.column(2)):
-                rows, buf, ends = _laid_out(texts, length)
+                rows, buf, ends = _laid_out(texts, cover.length)
                 if not len(buf):
                     continue
-                ids = batch.column(0).slice(first, len(texts)).to_numpy()[rows]
-                h1 = batch.column(1).slice(first, len(texts)).to_numpy()[rows]
-                at, lo, hi, h = sampled(buf, ends, length)
-                bit = (h >> np.uint64(64 - bits)).astype(np.int64) * segment + (h & np.uint64(segment - 1)).astype(np.int64)
-                ok = filter_[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
-                at, lo, hi, h = at[ok], lo[ok], hi[ok], h[ok]
-                doc = np.searchsorted(ends, at, "right")
-                begin = ends[doc] - np.array([len(texts[i]) for i in rows], np.int64)[doc]
-                found = np.zeros(len(at), OCCURRENCE)
-                found["hash"], found["id"], found["h1"], found["at"] = h, ids[doc], h1[doc], at - begin
-                found["left"], found["right"] = at - lo, hi + length - at
-                is_hot = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-                out = []
-                for p, mine in [*_by_part(h, bits), (-1, np.flatnonzero(is_hot))]:
-                    mine = mine[~is_hot[mine]] if p >= 0 else mine
-                    if len(mine):
-                        out.append((p, found[mine].tobytes(), _gather(buf, lo[mine], hi[mine] + length).tobytes()))
-                if out:
-                    kinds = (pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "occurrences", "bytes"])
+                ids, h1s = (batch.column(k).slice(first, len(texts)).to_numpy()[rows] for k in (0, 1))
+                begins = ends - np.diff(ends, prepend=0)
+                for at, doc, residue, h in sampled(buf, ends, cover):
+                    ok = kind.passes(raw, h, residue)
+                    if len(hot):
+                        ok &= ~np.isin(kind.keys(h), hot)
+                    at, doc, h = at[ok], doc[ok], h[ok]
+                    left = np.minimum(at - begins[doc], cover.period - 1)
+                    right = np.minimum(ends[doc] - at, cover.length)
+                    columns = (ids[doc], h1s[doc], at - begins[doc], left, right)
+                    out = []
+                    for p, mine in by_part(h, bits):
+                        head = [c[mine].astype(t) for c, (_, t) in zip(columns, OCCURRENCE, strict=True)]
+                        out.append((p, _pack(*head), _pack(_gather(buf, at[mine] - left[mine], at[mine] + right[mine]))))
+                    if out:
+                        part, *blobs = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "occurrences", "bytes"])
 
     return work.select("id", "h1", "text").mapInArrow(emit, "part long, occurrences binary, bytes binary")
 
@@ -197,19 +301,25 @@ def _gather(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return buf[skip + np.arange(n.sum())]
 
 
-def _load(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _load(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Occurrences in document order, where the bytes of each begin, and the bytes. A row given twice counts once."""
-    found = np.concatenate([np.frombuffer(b.as_buffer(), OCCURRENCE) for b in table["occurrences"]])
-    buf = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in table["bytes"]])
-    n = (found["left"] + found["right"]).astype(np.int64)
+    columns: dict[str, list] = {name: [] for name, _ in OCCURRENCE}
+    size = sum(np.dtype(t).itemsize for _, t in OCCURRENCE)
+    for blob in table["occurrences"]:
+        raw = _unpack(blob)
+        count, at = len(raw) // size, 0
+        for name, t in OCCURRENCE:
+            columns[name].append(np.frombuffer(raw, t, count, at).astype(np.int64))
+            at += count * np.dtype(t).itemsize
+    found = {name: np.concatenate(parts) for name, parts in columns.items()}
+    buf = np.frombuffer(b"".join(map(_unpack, table["bytes"])), np.uint8)
+    n = found["left"] + found["right"]
     start = np.cumsum(n) - n
-    order = np.lexsort((-found["left"], found["at"], found["h1"], found["id"]))
-    found, start = found[order], start[order]
-    same = np.zeros(len(found), bool)
-    if len(found) > 1:
-        a, b = found[1:], found[:-1]
-        same[1:] = (a["id"] == b["id"]) & (a["h1"] == b["h1"]) & (a["at"] == b["at"]) & (a["left"] == b["left"])
-    return found[~same], start[~same], buf
+    order = np.lexsort((found["at"], found["h1"], found["id"]))
+    same = np.zeros(len(order), bool)
+    same[1:] = np.all([np.diff(found[name][order]) == 0 for name in ("id", "h1", "at")], axis=0)
+    order = order[~same]
+    return {name: c[order] for name, c in found.items()}, start[order], buf
 
 
 def _ranks(group: np.ndarray, buf: np.ndarray, start: np.ndarray, n: np.ndarray, step: int, width: int):
@@ -231,21 +341,23 @@ def _ranks(group: np.ndarray, buf: np.ndarray, start: np.ndarray, n: np.ndarray,
     return order, np.concatenate(([-1], common)) if len(order) else np.zeros(0, np.int64)
 
 
-def repeats(found: np.ndarray, start: np.ndarray, buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each occurrence (in document order) the least and the largest p of its repeated strings; -1 if none."""
-    lo, hi = np.full(len(found), length), np.full(len(found), -1)
-    group = found["hash"]
-    left, right = found["left"].astype(np.int64), found["right"].astype(np.int64)
+def repeats(group: np.ndarray, left: np.ndarray, right: np.ndarray, start: np.ndarray, buf: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray]:
+    """For each occurrence (in document order) the least and the largest p of its repeated strings; -1 if none.
+
+    All strings of an occurrence hold its gram, so the bytes that any of them cover are one range.
+    """
+    length = cover.length
+    lo, hi = np.full(len(group), length), np.full(len(group), -1)
     order_r, common_r = _ranks(group, buf, start + left, right, 1, length)
-    order_l, common_l = _ranks(group, buf, start + left - 1, left, -1, length - K)
-    class_r, class_l = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-    for p in range(length - K + 1):
+    order_l, common_l = _ranks(group, buf, start + left - 1, left, -1, cover.period - 1)
+    class_r, class_l = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    for p in range(cover.period):
         live = np.flatnonzero((length - right <= p) & (p <= left))
         if len(live) < 2:
             continue
         class_r[order_r] = np.cumsum(common_r < length - p)
         class_l[order_l] = np.cumsum(common_l < p)
-        key = class_r[live] * (len(found) + 1) + class_l[live]
+        key = class_r[live] * (len(group) + 1) + class_l[live]
         again = np.ones(len(live), bool)
         again[np.unique(key, return_index=True)[1]] = False
         hit = live[again]
@@ -254,73 +366,123 @@ def repeats(found: np.ndarray, start: np.ndarray, buf: np.ndarray, length: int)
     return lo, hi
 
 
-def _spans(table: pa.Table, length: int) -> pa.Table:
+def _spans(table: pa.Table, cover: Cover) -> pa.Table:
+    """Repeated ranges of one bucket; its suffixes are sorted about BUCKET at a time, whole groups of one gram."""
     found, start, buf = _load(table)
-    several = np.isin(found["hash"], _twice(found["hash"]))
-    found, start = found[several], start[several]
-    order = np.argsort(found["hash"], kind="stable")
-    found, start = found[order], start[order]
-    new = np.flatnonzero(np.concatenate(([True], found["hash"][1:] != found["hash"][:-1]))) if len(found) else np.zeros(0, np.int64)
+    h = hashes(buf, start + found["left"], cover.gram)
+    order = np.argsort(h, kind="stable")
+    g = h[order]
+    new = np.concatenate(([True], g[1:] != g[:-1]))
+    single = new & np.concatenate((new[1:], [True]))
+    order, g = order[~single], g[~single]
+    new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
     out, at = [], 0
-    while at < len(found):  # whole groups of one hash, about BUCKET occurrences at a time
+    while at < len(order):
         later = new[np.searchsorted(new, at + BUCKET) :]
-        to = int(later[0]) if len(later) else len(found)
-        part = found[at:to]
-        lo, hi = repeats(part, start[at:to], buf, length)
+        to = int(later[0]) if len(later) else len(order)
+        mine = order[at:to]
+        part = {name: c[mine] for name, c in found.items()}
+        lo, hi = repeats(g[at:to], part["left"], part["right"], start[mine], buf, cover)
         hit = hi >= 0
         p = part["at"][hit]
-        out.append(pa.table({"id": part["id"][hit], "h1": part["h1"][hit], "s": p - hi[hit], "e": p - lo[hit] + length}))
+        out.append((part["id"][hit], part["h1"][hit], p - hi[hit], p - lo[hit] + cover.length))
         at = to
-    empty = pa.table({c: np.zeros(0, np.int64) for c in ("id", "h1", "s", "e")})
-    return pa.concat_tables([empty, *out])
-
-
-def _twice(h: np.ndarray) -> np.ndarray:
-    h = np.sort(h)
-    return h[1:][h[1:] == h[:-1]]
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+    return _ranges(*columns)
+
+
+def _ranges(ids: np.ndarray, h1s: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
+    """Ranges of each text, with overlapping ones joined."""
+    order = np.lexsort((s, h1s, ids))
+    ids, h1s, s, e = (x[order] for x in (ids, h1s, s, e))
+    if len(s):
+        text = np.concatenate(([0], np.cumsum((ids[1:] != ids[:-1]) | (h1s[1:] != h1s[:-1]))))
+        wide = int(e.max()) + 1
+        reach = np.maximum.accumulate(e + text * wide)
+        new = np.concatenate(([True], s[1:] + text[1:] * wide > reach[:-1]))
+        last = np.concatenate((np.flatnonzero(new)[1:], [len(s)])) - 1
+        ids, h1s, s, e = ids[new], h1s[new], s[new], (reach - text * wide)[last]
+    return pa.table({"id": ids, "h1": h1s, "s": s, "e": e})
+
+
+def _hot_strings(batch: pa.RecordBatch, cover: Cover, kind: Filter, hot: np.ndarray):
+    """Chunks of (id, h1, start, two names, place, bytes) of the distinct strings around hot grams, in document order."""
+    for first, texts in runs(batch.column(2)):
+        ids, h1s = (batch.column(k).slice(first, len(texts)).to_numpy() for k in (0, 1))
+        whose = dict.fromkeys(zip(ids.tolist(), h1s.tolist(), strict=True))
+        at_row = {key: i for i, key in enumerate(zip(ids.tolist(), h1s.tolist(), strict=True))}
+        order = [at_row[key] for key in sorted(whose)]
+        rows, buf, ends = _laid_out([texts[i] for i in order], cover.length)
+        if not len(buf):
+            continue
+        ids, h1s = ids[order][rows], h1s[order][rows]
+        begins = ends - np.diff(ends, prepend=0)
+        for at, doc, _, h in sampled(buf, ends, cover, CHUNK // 4):
+            ok = np.isin(kind.keys(h), hot)
+            at, doc = at[ok], doc[ok]
+            lo, hi = np.maximum(at - cover.period + 1, begins[doc]), np.minimum(at, ends[doc] - cover.length) + 1
+            lo[1:] = np.maximum(lo[1:], np.where(doc[1:] == doc[:-1], hi[:-1], 0))
+            n = np.maximum(hi - lo, 0)
+            starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            if len(starts):
+                doc = np.repeat(doc, n)
+                yield ids[doc], h1s[doc], starts - begins[doc], *(hashes(buf, starts, cover.length, seed) for seed in (1, 2))
+
+
+def _hot_spans(work: DataFrame, cover: Cover, kind: Filter, shared, samples: int, filter_bytes: int) -> DataFrame:
+    """Repeated strings around grams too frequent for one task: reduced in every chunk, counted, and only those left
+    that may repeat in another chunk become rows of a combining aggregation."""
+    names = Filter.of(samples, filter_bytes)
+    texts = work.select("id", "h1", "text")
+
+    def chunks(batches: Iterator[pa.RecordBatch]):
+        hot = np.frombuffer(shared.value[1], np.uint64)
+        for batch in batches:
+            for ids, h1s, starts, a, b in _hot_strings(batch, cover, kind, hot):
+                order = np.lexsort((starts, h1s, ids, b, a))
+                later = np.zeros(len(order), bool)
+                later[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+                yield [x[order] for x in (ids, h1s, starts, a, b)], later
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, _, a, _), later in chunks(batches):
+            yield _counted(list(names.rows(a[~later], np.zeros(int((~later).sum()), np.int64))))
 
-def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
-    """The same for positions too frequent for one task: one row per string, combined to its earliest start."""
+    raw, _, _ = names.gather(texts.mapInArrow(counted, COUNTED), LAST)
+    seen = work.sparkSession.sparkContext.broadcast(raw)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found, start, buf = _load(pa.Table.from_batches([batch.slice(i, 1)]))
-                raw = buf.tobytes()
-                ids, h1s, starts, keys = [], [], [], []
-                for f, b in zip(found, start, strict=True):
-                    for j in range(int(f["left"] + f["right"]) - length + 1):
-                        ids.append(int(f["id"]))
-                        h1s.append(int(f["h1"]))
-                        starts.append(int(f["at"] - f["left"] + j))
-                        keys.append(hashlib.blake2b(raw[b + j : b + j + length], digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1s, pa.int64()), pa.array(starts, pa.int64()), pa.array(keys, pa.binary())], ["id", "h1", "s", "key"])
-
-    rows = cut(hot.mapInArrow(strings, "id long, h1 long, s long, key binary").distinct())
-    first = rows.groupBy("key").agg(F.min(F.struct("id", "h1", "s")).alias("first"))
-    later = rows.join(first, "key").where(F.struct("id", "h1", "s") != F.col("first"))
-    return later.select("id", "h1", "s", (F.col("s") + length).alias("e"))
+        bits = np.frombuffer(seen.value, np.uint8)
+        for (ids, h1s, starts, a, b), later in chunks(batches):
+            inside = _ranges(ids[later], h1s[later], starts[later], starts[later] + cover.length)
+            left = ~later
+            left[left] = names.passes(bits, a[left], np.zeros(int(left.sum()), np.int64))
+            k = len(inside)
+            columns = [np.concatenate((inside[c].to_numpy(), x[left])) for c, x in (("id", ids), ("h1", h1s), ("s", starts), ("e", starts + cover.length))]
+            none = np.arange(k + int(left.sum())) < k
+            keys = [pa.array(np.concatenate((np.zeros(k, np.int64), x[left].view(np.int64))), mask=none) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *keys], ["id", "h1", "s", "e", "a", "b"])
+
+    rows = cut(texts.mapInArrow(strings, "id long, h1 long, s long, e long, a long, b long"))
+    place = F.struct("id", "h1", "s")
+    first = rows.where("a is not null").groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    across = rows.join(broadcast_if_small(first.select("a", "b", "first"), 56), ["a", "b"]).where(place != F.col("first"))
+    return rows.where("a is null").select("id", "h1", "s", "e").unionByName(across.select("id", "h1", "s", "e"))
 
 
 def spans(work: DataFrame, length: int, n_bytes: int, hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(id, h1, s, e): repeated byte ranges, overlapping, of distinct texts (rows of `keyed`)."""
-    spark = work.sparkSession
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, (parts - 1).bit_length())
-    samples = 2 * n_bytes // (length - K + 2) + 1
-    segment = 1 << max(6, min(4 * samples >> bits, 8 * filter_bytes >> bits).bit_length())
-    filter_ = np.zeros((1 << bits) * segment // 8, np.uint8)
-    frequent = []
-    for row in count_samples(work, length, bits, segment, hot):
-        p = row["part"] * segment // 8
-        filter_[p : p + segment // 8] = np.frombuffer(row["bits"], np.uint8)
-        frequent.append(bytes(row["hot"]))
-    shared = spark.sparkContext.broadcast((segment, filter_.tobytes(), b"".join(frequent)))
-    contexts = _contexts(work, length, bits, shared)
-    found = contexts.where("part >= 0").groupBy("part").applyInArrow(lambda t: _spans(t, length), "id long, h1 long, s long, e long")
-    if any(frequent):
-        found = found.unionByName(_hot_spans(contexts.where("part < 0"), length))
+    cover = Cover(length)
+    samples = n_bytes * len(cover.residues) // cover.period + 1
+    kind = Filter.of(samples, filter_bytes)
+    raw, often, passing = kind.gather(count_samples(work, cover, kind), hot)
+    shared = work.sparkSession.sparkContext.broadcast((raw, often))
+    # Buckets by the bytes that are sent, so that a task sorts as much at a time at every size.
+    bits = max(1, (passing * (length + cover.period) // PART_BYTES).bit_length())
+    contexts = _contexts(work, cover, kind, bits, shared)
+    found = contexts.groupBy("part").applyInArrow(lambda t: _spans(t, cover), "id long, h1 long, s long, e long")
+    if often:
+        found = found.unionByName(_hot_spans(work, cover, kind, shared, samples, filter_bytes))
     return found
 
 

@@ -28,6 +28,15 @@ def runs(column: pa.Array):
         yield at, out
 
 
+def by_part(hashes: np.ndarray, bits: int):
+    """(part, rows) for each hash range, by one sort."""
+    part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        yield p, order[cuts[p] : cuts[p + 1]]
+
+
 def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, text after text, and the number of words of each text.
 
