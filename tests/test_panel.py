@@ -230,3 +230,98 @@ def test_peer_forward_needs_no_whole_date(spark):
         want = np.concatenate([h, h - np.concatenate(seen, 1)], 1) @ w["out"]
         assert [got[r[1]] for r in mine] == pytest.approx(list(want))
     assert len(got) == 40
+
+
+def test_names_without_a_return_are_not_bought(spark):
+    rows = [(DAY, f"i{k}", 10.0 - k, None if k < 2 else 0.01 * k, True, 1e9) for k in range(6)] + [(DAY, "x", 99.0, 0.5, False, 1e9), (DAY, "y", None, 0.5, True, 1e9)]
+    df = spark.createDataFrame(rows, "datetime date, instrument string, score double, forward_return double, tradable boolean, adv20 double")
+    got = portfolio.top_fraction(df, 0.5).orderBy("r").collect()
+    assert [(r.instrument, r.k) for r in got] == [("i2", 2), ("i3", 2)]
+    ledger = portfolio.weekly_ledger(df, fraction=0.5, cap=1.0).first()
+    assert ledger.names == 2 and ledger.gross == pytest.approx(0.5 * 0.02 + 0.5 * 0.03)
+
+
+def test_a_total_loss_is_a_drawdown_of_one(spark):
+    rows = spark.createDataFrame([(d, "s", r) for d, r in zip(weeks(4), [0.1, -1.0, 0.2, None], strict=True)], "datetime date, series string, net double")
+    got = metrics.wealth(rows, "net").orderBy("datetime").collect()
+    assert [r.wealth for r in got] == pytest.approx([1.1, 0.0, 0.0, 0.0]) and [r.drawdown for r in got] == pytest.approx([0.0, -1.0, -1.0, -1.0])
+
+
+def test_state_needs_all_seven_flags(spark):
+    sources = "0.01d ret_mean_20, 0.1d ret_std_20, 1.0d ret_1d, 0.3d turnover_mean_20"
+    flags = {c: "true" for c in state.REQUIRED} | {c: "false" for c in state.REFUSED}
+    row = lambda f: spark.sql(f"select date'2020-01-06' datetime, 'a' instrument, {sources}, {', '.join(f'{v} {c}' for c, v in f.items())}")
+    assert state.state_population(row(flags)).count() == 1
+    for c, v in flags.items():
+        assert state.state_population(row(flags | {c: "false" if v == "true" else "true"})).count() == 0
+        assert state.state_population(row(flags | {c: "cast(null as boolean)"})).count() == 0
+        with pytest.raises(ValueError, match=c):
+            state.state_population(row({k: x for k, x in flags.items() if k != c}))
+
+
+def test_active_until_delisted(spark):
+    rows = spark.createDataFrame([(date(2020, 3, k), i) for k in (1, 10) for i in "ABC"], "datetime date, instrument string")
+    master = spark.createDataFrame([("A", None), ("B", date(2020, 3, 10))], "instrument string, delist_date date")
+    got = {(r.instrument, r.datetime.day) for r in intervals.is_active(rows, master).where("is_active").collect()}
+    assert got == {("A", 1), ("A", 10), ("B", 1)}
+
+
+def test_a_leaking_feature_is_found(spark):
+    p = panel(spark)
+    leak = lambda rows: rows.withColumn("ahead", F.lead("amount").over(features.history()))
+    got = checks.future_poison(p, str(weeks(80)[60]), build=leak, columns=("ahead",)).collect()
+    assert {(r.instrument, r.datetime, r.changed) for r in got} == {(i, weeks(80)[60], 1) for i in "AB"}
+
+
+def test_folds_follow_the_calendar(spark):
+    days = [date(2012, 1, 2) + timedelta(days=30 * k) for k in range(12 * 9)]
+    calendar = spark.createDataFrame([(d, k + 1) for k, d in enumerate(days)], "session date, pos int")
+    got = sorted(tuple(r) for r in folds.calendar_folds(calendar, 5, wait=6, seal=2020).collect())
+    assert got == sorted(tuple(r) for r in folds.annual_folds(spark, 2012, 2018, 2019, 5).collect())
+
+
+def test_contract_readers_refuse(spark, tmp_path):
+    from tideline.operators import contracts
+    from tideline.sources import readers
+
+    def calendar(name, ids):
+        path = str(tmp_path / name)
+        spark.createDataFrame([(i,) for i in ids], "session_id string").coalesce(1).write.option("header", True).csv(path)
+        return contracts.read_calendar(spark, path, "session_id string", "2021-01-01")
+
+    p = contracts.PREFIX
+    assert [str(r.session) for r in calendar("good", [f"{p}2020-01-02", f"{p}2020-01-03"]).collect()] == ["2020-01-02", "2020-01-03"]
+    for name, ids, why in (("none", [], "empty"), ("twice", [f"{p}2020-01-02"] * 2, "repeated"), ("back", [f"{p}2020-01-03", f"{p}2020-01-02"], "ascending"), ("late", [f"{p}2021-01-02"], "sealed")):
+        with pytest.raises(ValueError, match=why):
+            calendar(name, ids)
+    with pytest.raises(ValueError, match="2 times"):
+        contracts.attach_one(spark.sql("select 'a' k"), spark.sql("select 'a' k, 1 v union all select 'a', 2"), "k")
+
+    columns = {"datetime": "date", "instrument": "string", "close": "double"}
+    own = panel(spark, n=60).select(*columns)
+    years = own.groupBy(F.year("datetime").alias("year")).agg(F.count("*").alias("rows"))
+    bound = lambda name, rows, declared=years: (readers.write_years(rows, str(tmp_path / name)), contracts.read_bound(spark, str(tmp_path / name), [2020], columns, declared, 2030))[1]
+    assert bound("sound", own).count() == own.where("year(datetime) = 2020").count()
+    with pytest.raises(ValueError, match="declared"):
+        bound("short", own.where("instrument = 'A'"))
+    with pytest.raises(ValueError, match="missing"):
+        bound("gaps", own.withColumn("close", F.when(F.col("instrument") == "A", F.col("close"))))
+    with pytest.raises(ValueError, match="repeated"):
+        bound("again", own.withColumn("instrument", F.lit("A")))
+    with pytest.raises(ValueError, match="sealed"):
+        contracts.read_bound(spark, str(tmp_path / "sound"), [2031], columns, years, 2030)
+
+
+def test_shared_folder_is_asked_for_off_a_local_master(spark, monkeypatch):
+    from tideline import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Elsewhere)

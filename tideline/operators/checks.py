@@ -71,14 +71,17 @@ def incomplete_cells(long: DataFrame, sample: list[str], names: list[str]) -> Da
     return expected.join(long.select(*sample, "feature_name"), [*sample, "feature_name"], "left_anti")
 
 
-def future_poison(panel: DataFrame, protected: str, factor: float = 1_000_003.0) -> DataFrame:
-    """Rows up to the protected date whose features change when every later amount is multiplied: none may."""
-    d = F.col("datetime")
-    later = d > F.lit(protected).cast("date")
+def future_poison(panel: DataFrame, protected: str, factor: float = 1_000_003.0, build=features, columns: tuple[str, ...] = FEATURE_COLUMNS) -> DataFrame:
+    """Rows up to the protected date, and how many of their features change, when every later amount is multiplied:
+    none may. Both panels go through `build` together, told apart by their instruments, and are compared in one sort."""
+    later = F.col("datetime") > F.lit(protected).cast("date")
     bitten = panel.withColumn("amount", F.when(later, F.col("amount") * factor).otherwise(F.col("amount")))
-    text = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FEATURE_COLUMNS]), 256)
-    digest = lambda rows: features(rows).where(~later).select("datetime", "instrument", text.alias("digest"))
-    return replay_differences(digest(panel), digest(bitten), ["datetime", "instrument"], "digest")
+    name = F.col("instrument")
+    both = panel.withColumn("_copy", F.lit(0)).unionByName(bitten.withColumn("_copy", F.lit(1))).withColumn("instrument", F.struct(name.alias("name"), F.col("_copy").alias("copy")))
+    rows = build(both).where(~later).select("datetime", "instrument.name", F.struct(*columns).alias("own"))
+    pairs = rows.groupBy("datetime", "name").agg(F.min("own").alias("a"), F.max("own").alias("b"))
+    changed = sum((F.when(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), 0).otherwise(1) for c in columns), F.lit(0))
+    return pairs.select("datetime", F.col("name").alias("instrument"), changed.alias("changed")).where("changed > 0")
 
 
 def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.session import broadcast_if_small
+
 
 def annual_folds(spark: SparkSession, first_train_year: int, first_test_year: int, last_test_year: int, train_years: int) -> DataFrame:
+    """Folds of the given test years, one year each after one of validation."""
+    years = spark.range(first_test_year, last_test_year + 1).select(F.col("id").cast("int").alias("y"), F.lit(first_train_year).alias("first"))
+    return _ranges(years, train_years)
+
+
+def calendar_folds(calendar: DataFrame, train_years: int, wait: int = 4, seal: int | None = None) -> DataFrame:
+    """Folds of every year of a calendar that has `wait` years before it; years from the seal on have none."""
+    year = F.year("session")
+    first = calendar.agg(F.min(year).alias("first"))
+    years = calendar.select(year.alias("y")).distinct().crossJoin(first).where(F.col("y") >= F.col("first") + wait)
+    return _ranges(years if seal is None else years.where(F.col("y") < seal), train_years)
+
+
+def _ranges(years: DataFrame, train_years: int) -> DataFrame:
     y = F.col("y")
     day = lambda year, text: F.to_date(F.concat(year.cast("string"), F.lit(text)))
-    begin = F.greatest(y - 1 - train_years, F.lit(first_train_year))
-    return spark.range(first_test_year, last_test_year + 1).select(F.col("id").cast("int").alias("y")).select(
+    begin = F.greatest(y - 1 - train_years, F.col("first"))
+    return years.select(
         F.concat(F.lit("wf_"), y.cast("string")).alias("fold_id"),
         day(begin, "-01-01").alias("train_start"),
         day(y - 2, "-12-31").alias("train_end"),
@@ -33,7 +49,7 @@ def embargoed(folds: DataFrame, calendar: DataFrame, sessions: int) -> DataFrame
 
 def purged_segments(rows: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows by fold and segment. Training and validation labels must end before the next range starts; the test range is
-    embargoed but not purged. The fold table has one row per year and is broadcast."""
+    embargoed but not purged. The fold table has one row per year."""
     d, e = F.col("datetime"), F.col("label_end")
     segment = (
         F.when(d.between(F.col("train_start"), F.col("train_end")) & (e < F.col("valid_start")), "train")
@@ -41,7 +57,7 @@ def purged_segments(rows: DataFrame, folds: DataFrame) -> DataFrame:
         .when((d >= F.col("test_from")) & (d <= F.col("test_end")), "test")
     )
     hit = d.between(F.col("train_start"), F.col("test_end"))
-    return rows.join(F.broadcast(folds), hit).withColumn("segment", segment).where("segment is not null")
+    return rows.join(broadcast_if_small(folds, 128), hit).withColumn("segment", segment).where("segment is not null")
 
 
 def segment_bounds(tagged: DataFrame) -> DataFrame:
@@ -58,7 +74,7 @@ def standardizer(tagged: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def standardized(tagged: DataFrame, fitted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    rows = tagged.join(F.broadcast(fitted), "fold_id", "left")
+    rows = tagged.join(broadcast_if_small(fitted, 32 + 16 * len(columns)), "fold_id", "left")
     return rows.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_scale") for c in columns}).drop(*fitted.columns[1:])
 
 

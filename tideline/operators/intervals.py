@@ -58,6 +58,13 @@ def status_asof(panel: DataFrame, events: DataFrame) -> DataFrame:
     ).drop("forbidden", "unknown_from")
 
 
+def is_active(rows: DataFrame, master: DataFrame) -> DataFrame:
+    """In the master and not delisted by the day."""
+    m = master.select("instrument", F.col("delist_date").alias("_gone"), F.lit(True).alias("_known"))
+    active = holds(F.col("_known") & (F.col("_gone").isNull() | (F.col("_gone") > F.col("datetime"))))
+    return rows.join(m, "instrument", "left").withColumn("is_active", active).drop("_gone", "_known")
+
+
 def action_flag(panel: DataFrame, actions: DataFrame) -> DataFrame:
     keys = actions.select("instrument", F.col("action_date").alias("datetime"), F.lit(True).alias("_hit")).distinct()
     return panel.join(keys, ["instrument", "datetime"], "left").withColumn("has_action", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -29,6 +29,14 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     )
 
 
+def by_fold(scored: DataFrame) -> DataFrame:
+    """IC summary of each fold's scores and, as fold `all`, of all folds' dates together."""
+    tagged = scored.withColumn("datetime", F.struct("fold_id", "datetime"))
+    ic = rank_ic(tagged).select("datetime.fold_id", "rank_ic", "n")
+    both = ic.unionByName(ic.withColumn("fold_id", F.lit("all")))
+    return both.groupBy("fold_id").agg(F.avg("rank_ic").alias("rank_ic_mean"), F.stddev_samp("rank_ic").alias("rank_ic_std"), F.sum("n").alias("observations"), F.count("rank_ic").alias("dates"))
+
+
 def buckets(rows: DataFrame, score: str = "score", groups: int = 10) -> DataFrame:
     """Percentile bucket of each complete row within its date; dates with fewer rows than buckets are left out."""
     full = rows.where(F.col(score).isNotNull() & F.col("label").isNotNull())
@@ -56,9 +64,10 @@ def information_ratio(returns: str = "net", periods: int = 52):
 
 
 def wealth(rows: DataFrame, returns: str, order: str = "datetime", by: str = "series") -> DataFrame:
-    """Compounded wealth, its running peak (from the first value on) and the drawdown, per series."""
+    """Compounded wealth, its running peak (from the first value on) and the drawdown, per series. A product, and not
+    a sum of logarithms: a return of -1 or less is a value like any other."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("wealth", F.exp(F.sum(F.log1p(F.coalesce(F.col(returns), F.lit(0.0)))).over(w)))
+    out = rows.withColumn("wealth", F.product(1 + F.coalesce(F.col(returns), F.lit(0.0))).over(w))
     return out.withColumn("drawdown", F.col("wealth") / F.max("wealth").over(w) - 1)
 
 

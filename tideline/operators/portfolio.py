@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.metrics import information_ratio, wealth
+from tideline.session import broadcast_if_small
 
 
 def rebalance_dates(rows: DataFrame, weekday: int = 4) -> DataFrame:
@@ -18,8 +19,8 @@ def rebalance_dates(rows: DataFrame, weekday: int = 4) -> DataFrame:
 
 
 def top_fraction(rows: DataFrame, fraction: float) -> DataFrame:
-    """The max(1, ceil(n * fraction)) highest scores per date among tradable rows with a score."""
-    live = rows.where(F.coalesce("tradable", F.lit(False)) & F.col("score").isNotNull())
+    """The max(1, ceil(n * fraction)) highest scores per date among tradable rows with a score and a forward return."""
+    live = rows.where(F.coalesce("tradable", F.lit(False)) & F.col("score").isNotNull() & F.col("forward_return").isNotNull())
     n = F.count("*").over(Window.partitionBy("datetime"))
     r = F.row_number().over(Window.partitionBy("datetime").orderBy(F.desc("score"), "instrument"))
     return live.withColumns({"k": F.greatest(F.lit(1), F.ceil(n * F.lit(fraction))), "r": r}).where("r <= k")
@@ -35,7 +36,7 @@ def capped_weights(selected: DataFrame, cap: float, participation: float, notion
 
 def holdings(rows: DataFrame, fraction: float, cap: float, participation: float, notional: float) -> DataFrame:
     dates = rebalance_dates(rows)
-    at = rows.join(F.broadcast(dates), "datetime")
+    at = rows.join(broadcast_if_small(dates, 16), "datetime")
     return capped_weights(top_fraction(at, fraction), cap, participation, notional)
 
 
@@ -55,7 +56,7 @@ def weekly_ledger(rows: DataFrame, fraction: float = 0.1, cap: float = 0.05, par
 def portfolio_metrics(ledger: DataFrame, periods: int = 52) -> DataFrame:
     """Information ratios, compounded yearly returns, drawdown, turnover, invested share, cost, and the safeguards."""
     rows = wealth(ledger.withColumn("series", F.lit(1)), "net")
-    yearly = lambda r: F.exp(F.sum(F.log1p(F.col(r))) * periods / F.count("*")) - 1
+    yearly = lambda r: F.pow(F.product(1 + F.col(r)), periods / F.count("*")) - 1
     return rows.agg(
         information_ratio("net", periods).alias("net_ir"),
         information_ratio("gross", periods).alias("gross_ir"),
@@ -83,7 +84,7 @@ def mixed(draw, block, seed: int, n: int):
 def bootstrap(pairs: DataFrame, draws: int = 200, length: int = 8, seed: int = 17, periods: int = 52) -> DataFrame:
     """Circular moving-block bootstrap of the difference of information ratios: point, 2.5 % and 97.5 % quantiles.
 
-    `pairs` has a position i from 0 on, candidate and benchmark; it is one row per period and is broadcast.
+    `pairs` has a position i from 0 on, candidate and benchmark: one row per period. It is broadcast if it is small.
     """
     spark = pairs.sparkSession
     n = pairs.count()
@@ -91,7 +92,7 @@ def bootstrap(pairs: DataFrame, draws: int = 200, length: int = 8, seed: int = 1
     draw = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     steps = draw.select("draw", "block", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("o")).where(F.col("block") * length + F.col("o") < n)
     taken = steps.select("draw", ((mixed(F.col("draw"), F.col("block"), seed, n) + F.col("o")) % n).alias("i"))
-    per = taken.join(F.broadcast(pairs), "i").groupBy("draw").agg((information_ratio("candidate", periods) - information_ratio("benchmark", periods)).alias("d"))
+    per = taken.join(broadcast_if_small(pairs, 24), "i").groupBy("draw").agg((information_ratio("candidate", periods) - information_ratio("benchmark", periods)).alias("d"))
     point = pairs.agg((information_ratio("candidate", periods) - information_ratio("benchmark", periods)).alias("point"))
     usable = F.when(F.count("d") == F.count("*"), F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))))
     out = per.agg(usable.alias("q"), F.count("*").alias("draws"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.safe import holds
+from tideline.session import broadcast_if_small
 
 # What makes a row part of the population, and the state's sources.
 REQUIRED = ("universe_member", "listing_age_eligible", "is_active", "price_domain_valid", "feature_eligible")
@@ -13,7 +14,15 @@ REFUSED = ("special_status_forbidden", "special_status_unknown")
 SOURCES = ("ret_mean_20", "ret_std_20", "ret_1d", "turnover_mean_20")
 
 
+def state_population(panel: DataFrame) -> DataFrame:
+    """The rows of the daily state: all seven flags must be there, five hold and two don't, and the sources are known."""
+    if missing := [c for c in (*REQUIRED, *REFUSED) if c not in panel.columns]:
+        raise ValueError(f"the state's population needs the flags {missing}")
+    return population(panel)
+
+
 def population(panel: DataFrame) -> DataFrame:
+    """The same by those of the flags that the panel has."""
     ok = [holds(F.col(c)) for c in REQUIRED if c in panel.columns] + [~F.coalesce(F.col(c), F.lit(True)) for c in REFUSED if c in panel.columns]
     for c in SOURCES:
         ok.append(F.col(c).isNotNull())
@@ -48,8 +57,8 @@ def state_digest(state: DataFrame, columns: tuple[str, ...], digits: int = 4) ->
 
 
 def join_state(rows: DataFrame, state: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """State by exact date; one row per date, so it is broadcast while dates stay few."""
-    return rows.join(F.broadcast(state.select("datetime", *columns)), "datetime", "left")
+    """State by exact date; one row per date, broadcast if that is small."""
+    return rows.join(broadcast_if_small(state.select("datetime", *columns), 8 + 8 * len(columns)), "datetime", "left")
 
 
 def constant_within_date(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:

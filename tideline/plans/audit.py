@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tideline.functions import safe
 from tideline.operators import checks, folds, intervals, profiles, scoring, state
-from tideline.operators.features import features
+from tideline.operators.features import features, history
 from tideline.plans import oracles
-from tideline.plans.panel import KEYS, Inputs, _q, rounded
+from tideline.plans.panel import KEYS, Inputs, _q, _state, rounded
 from tideline.plans.registry import query
 from tideline.session import unique_folder
 from tideline.sources import readers
@@ -64,10 +64,13 @@ def local_clock(x: Inputs) -> DataFrame:
     return x.calendar.select("session", safe.iso(at).alias("iso"), safe.local_day(at, ZONE).alias("local_day"))
 
 
-@query("select event_id, try_cast(event_type as double) number, try_cast(event_type as date) as_day from events")
+@query("select event_id, try_cast(t as double) number, try_cast(t as date) as_day from (select event_id, case event_id % 3 when 0 then event_type when 1 then (event_id % 900 + 100)::varchar else '2001-02-' || lpad((event_id % 31 + 1)::varchar, 2, '0') end t from events)")
 def coercion(x: Inputs) -> DataFrame:
+    """Words, numbers and days, some of which no February has."""
     rows = x.spark.read.parquet(f"{x.dir}/events.parquet")
-    return rows.select("event_id", safe.number(F.col("event_type")).alias("number"), safe.day(F.col("event_type")).alias("as_day"))
+    n = F.col("event_id")
+    text = F.when(n % 3 == 0, F.col("event_type")).when(n % 3 == 1, (n % 900 + 100).cast("string")).otherwise(F.concat(F.lit("2001-02-"), F.lpad((n % 31 + 1).cast("string"), 2, "0")))
+    return rows.select("event_id", safe.number(text).alias("number"), safe.day(text).alias("as_day"))
 
 
 _LONG = ("ret_1d", "close_location", "log_volume", "turnover_raw")
@@ -270,9 +273,9 @@ def q_finite(x: Inputs) -> DataFrame:
     return checks.nonfinite_counts(x.spark.read.parquet(f"{x.dir}/lineitem.parquet"), ["l_quantity", "l_extendedprice"])
 
 
-@query(oracles.sql("select datetime, instrument from panel where datetime >= date '2001-11-01'", "panel"))
+@query(oracles.sql("select datetime, instrument from panel where datetime >= date '2001-03-01'", "panel"))
 def q_seal(x: Inputs) -> DataFrame:
-    return checks.past_seal(x.panel, "2001-11-01").select(*KEYS)
+    return checks.past_seal(x.panel, "2001-03-01").select(*KEYS)
 
 
 @query(oracles.sql("select count(*) \"rows\", 0::bigint event_after_published, count_if(datetime > published)::bigint published_after_vendor, 0::bigint vendor_after_prediction, 0::bigint prediction_not_before_tradable, count_if(label_start <> datetime + 7)::bigint tradable_not_label_start, count_if(label_start >= label_end)::bigint label_start_not_before_end from (select *, case when s % 10 = 3 then datetime - 1 else datetime end published from sched) where label_start is not null", "labels"))
@@ -316,9 +319,14 @@ def q_keys_equal(x: Inputs) -> DataFrame:
     return checks.keys_differ(x.panel, x.panel.where("not corporate_action"), list(KEYS))
 
 
-@query(oracles.sql("select instrument, datetime, null::varchar left_value, null::varchar right_value from panel where 1 = 0", "panel"))
+@query(oracles.sql("select 'leaking' variant, datetime, instrument, 1 changed from (select *, lead(datetime) over (partition by instrument order by datetime) nd, lead(amount) over (partition by instrument order by datetime) na from panel) where datetime <= date '1999-06-07' and nd > date '1999-06-07' and na > 0", "panel"))
 def q_future_poison(x: Inputs) -> DataFrame:
-    return checks.future_poison(x.panel, "1999-06-07").select("instrument", "datetime", "left_value", "right_value")
+    """The features, of which none may change, and a feature that looks one row ahead, which must be found."""
+    x.store("panel")
+    leak = lambda rows: rows.withColumn("next_amount", F.lead("amount").over(history()))
+    own = checks.future_poison(x.panel, "1999-06-07").withColumn("variant", F.lit("features"))
+    leaking = checks.future_poison(x.panel, "1999-06-07", build=leak, columns=("next_amount",)).withColumn("variant", F.lit("leaking"))
+    return own.unionByName(leaking).select("variant", *KEYS, "changed")
 
 
 @query(oracles.sql("select sha256(string_agg(digest, chr(10) order by datetime)) fingerprint, sum(n)::bigint \"rows\" from (select datetime, sha256(string_agg(datetime::varchar || '|' || instrument, chr(10) order by datetime::varchar || '|' || instrument)) digest, count(*) n from panel group by datetime)", "panel"))
@@ -368,7 +376,7 @@ def q_partition_year(x: Inputs) -> DataFrame:
 @query(oracles.sql("select datetime from state where year(datetime) = 1998", "state"))
 def q_state_digest(x: Inputs) -> DataFrame:
     """Dates whose stored digest is not the one computed again; one year's digests are altered."""
-    now = state.daily_state(state.population(features(x.panel, (20,)))).select("datetime", "population_keyset_sha256")
+    now = _state(x).select("datetime", "population_keyset_sha256")
     stored = now.withColumn("population_keyset_sha256", F.when(F.year("datetime") == 1998, F.lit("?")).otherwise(F.col("population_keyset_sha256")))
     return checks.declared_against_observed(now, stored, "datetime", "population_keyset_sha256").select("datetime")
 

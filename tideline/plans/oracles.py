@@ -99,9 +99,9 @@ split_rows as (
 
 FOLDS = """
 folds as (
-  select 'wf_' || y fold_id, make_date(greatest(y - 4, 1995), 1, 1) train_start, make_date(y - 2, 12, 31) train_end, make_date(y - 1, 1, 1) valid_start,
+  select 'wf_' || y fold_id, make_date(greatest(y - 4, f), 1, 1) train_start, make_date(y - 2, 12, 31) train_end, make_date(y - 1, 1, 1) valid_start,
          make_date(y - 1, 12, 31) valid_end, make_date(y, 1, 1) test_start, make_date(y, 12, 31) test_end
-  from (select unnest(range(1999, 2002))::int y)),
+  from (select distinct year(session)::int y, (select min(year(session))::int from calendar) f from calendar) where y >= f + 4 and y < 2002),
 folds_from as (
   select f.*, (select session from calendar where pos = 5 + (select min(pos) from calendar where session >= f.valid_start)) valid_from,
          (select session from calendar where pos = 5 + (select min(pos) from calendar where session >= f.test_start)) test_from from folds f),
@@ -136,7 +136,7 @@ held as (
   select * from (
     select e.*, w.ordinal, greatest(1, ceil(count(*) over (partition by e.datetime) * 0.1::double)) k,
            row_number() over (partition by e.datetime order by score desc, instrument) r
-    from events_daily e join weeks w on w.datetime = e.datetime where tradable and score is not null) where r <= k),
+    from events_daily e join weeks w on w.datetime = e.datetime where tradable and score is not null and forward_return is not null) where r <= k),
 weighted as (
   select *, greatest(0, least(case when adv20 is null then least(1.0 / k, 0.05::double) else least(1.0 / k, 0.05::double, greatest(adv20, 0) * 0.1::double / 1e7::double) end, 0.05::double)) weight from held),
 moves as (

@@ -11,6 +11,7 @@ from tideline.functions import safe
 from tideline.operators import eligibility, features, folds, intervals, metrics, portfolio, state
 from tideline.plans import oracles
 from tideline.plans.registry import query
+from tideline.session import cut
 from tideline.sources.fixtures import view
 
 CUTOFF, SELECTION = "2001-06-01", "2000-01-01"
@@ -22,9 +23,16 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.dir, name)
+        return view(self.spark, self.dir, name, self._stored)
+
+    def store(self, *names: str) -> Inputs:
+        """Cut these views; what is built on them afterwards reads the stored rows."""
+        for name in names:
+            self._stored[name] = cut(view(self.spark, self.dir, name, self._stored))
+        return self
 
     def feats(self) -> DataFrame:
         return features.features(self.panel)
@@ -38,11 +46,14 @@ class Inputs:
         return f.join(self.labelled().select(*KEYS, "label", "label_end"), list(KEYS))
 
     def tagged(self) -> DataFrame:
-        spec = folds.embargoed(folds.annual_folds(self.spark, 1995, 1999, 2001, 3), self.calendar, 5)
-        return folds.purged_segments(self.labelled(), spec)
+        return folds.purged_segments(self.labelled(), folds.embargoed(self.folds(), self.calendar, 5))
+
+    def folds(self) -> DataFrame:
+        return cut(folds.calendar_folds(self.calendar, 3, seal=2002))
 
     def flagged(self) -> DataFrame:
         """Every row with all flags of the exclusion order."""
+        self.store("panel", "calendar")
         rows = features.features(self.panel, (5, 10, 20, 60))
         rows = rows.withColumn("finite_features", safe.all_of([F.col(c).isNotNull() for c in features.FEATURE_COLUMNS]))
         rows = rows.select(*KEYS, *features.RAW_COLUMNS, "feature_eligible", "finite_features")
@@ -217,17 +228,28 @@ def yearly_counts(x: Inputs) -> DataFrame:
 
 _STATE_SQL = """
 pop as (
-  select datetime, instrument, ret_mean_20, ret_std_20, ret_1d, turnover_mean_20 from feats
-  where feature_eligible and ret_mean_20 is not null and ret_std_20 is not null and ret_1d is not null and turnover_mean_20 is not null),
+  select f.datetime, f.instrument, ret_mean_20, ret_std_20, ret_1d, turnover_mean_20
+  from feats f join member m on m.instrument = f.instrument and m.datetime = f.datetime
+  join listing g on g.instrument = f.instrument and f.datetime >= g.eligible_from
+  join status t on t.instrument = f.instrument and t.datetime = f.datetime and not special_status_forbidden and not special_status_unknown
+  join master a on a.instrument = f.instrument and (a.delist_date is null or a.delist_date > f.datetime)
+  where f.open > 0 and f.high > 0 and f.low > 0 and f.close > 0 and f.volume >= 0 and f.amount >= 0 and feature_eligible and ret_mean_20 is not null and ret_std_20 is not null and ret_1d is not null and turnover_mean_20 is not null),
 state as (
   select datetime, avg(ret_mean_20) mkt_trend_20, median(ret_std_20) mkt_vol_20, avg((ret_1d > 0)::double) mkt_breadth_1d, median(turnover_mean_20) mkt_turnover_20,
          count(*) population_count, sha256(string_agg(instrument, chr(0) order by instrument) || chr(0)) population_keyset_sha256 from pop group by datetime)"""
-oracles.PARTS["state"] = ((), ("features",), _STATE_SQL)
+oracles.PARTS["state"] = (("master",), ("features", "member", "listing", "status"), _STATE_SQL)
 _STATE = ("mkt_trend_20", "mkt_vol_20", "mkt_breadth_1d", "mkt_turnover_20")
 
 
 def _state(x: Inputs) -> DataFrame:
-    return state.daily_state(state.population(features.features(x.panel, (20,))))
+    """The state of the dates from members, listed long enough, active, of known plain status and sound in price."""
+    rows = features.features(x.panel, (20,)).withColumn("price_domain_valid", eligibility.price_domain())
+    rows = rows.select(*KEYS, *state.SOURCES, "feature_eligible", "price_domain_valid")
+    rows = intervals.membership_asof(rows, x.membership, CUTOFF).select(*rows.columns, "universe_member")
+    rows = intervals.listing_age(rows, x.master, x.calendar)
+    rows = intervals.status_asof(rows, x.status_event)
+    rows = intervals.is_active(rows, x.master)
+    return state.daily_state(state.state_population(rows))
 
 
 @query(oracles.sql(f"select datetime, {_r(_STATE, 6)}, population_count from state", "state"))
@@ -259,9 +281,12 @@ def q_coverage(x: Inputs) -> DataFrame:
     return x.panel.select("datetime").distinct().join(_state(x).select("datetime"), "datetime", "left_anti")
 
 
-@query(oracles.sql("select datetime from panel group by datetime having max(pos) <> min(pos)", "panel"))
+@query(oracles.sql("select p.datetime from panel p join state on state.datetime = p.datetime where p.pos % 40 = 7 group by p.datetime having max(p.s % 2) <> min(p.s % 2)", "state"))
 def q_state_constant(x: Inputs) -> DataFrame:
-    return state.constant_within_date(x.panel, ("pos",))
+    """Planted: on every fortieth date the state of odd instruments is off by one."""
+    rows = state.join_state(x.panel.select(*KEYS, "s", "pos"), _state(x), _STATE)
+    off = F.when((F.col("pos") % 40 == 7) & (F.col("s") % 2 == 1), 1.0).otherwise(0.0)
+    return state.constant_within_date(rows.withColumn("mkt_breadth_1d", F.col("mkt_breadth_1d") + off), _STATE)
 
 
 @query(oracles.sql("select p.datetime, p.instrument, round(p.turnover * 2 / (1 + exp(-(s.mkt_breadth_1d * 0.5::double + s.mkt_turnover_20 * -2::double + 0.1::double))) + 1.234e-7::double, 6) + 0::double gated from panel p join state s on s.datetime = p.datetime", "state"))
@@ -317,7 +342,7 @@ def rebalance_dates(x: Inputs) -> DataFrame:
     return portfolio.rebalance_dates(x.events_daily)
 
 
-@query(oracles.sql("select datetime, instrument, k::bigint k, r::int r from (select e.datetime, e.instrument, greatest(1, ceil(count(*) over (partition by e.datetime) * 0.1::double)) k, row_number() over (partition by e.datetime order by score desc, instrument) r from events_daily e where tradable and score is not null) where r <= k", "events_daily"))
+@query(oracles.sql("select datetime, instrument, k::bigint k, r::int r from (select e.datetime, e.instrument, greatest(1, ceil(count(*) over (partition by e.datetime) * 0.1::double)) k, row_number() over (partition by e.datetime order by score desc, instrument) r from events_daily e where tradable and score is not null and forward_return is not null) where r <= k", "events_daily"))
 def top_fraction(x: Inputs) -> DataFrame:
     return portfolio.top_fraction(x.events_daily, 0.1).select(*KEYS, F.col("k").cast("bigint").alias("k"), "r")
 
@@ -354,7 +379,7 @@ def info_ratio(x: Inputs) -> DataFrame:
     return _weekly(x).groupBy("series").agg(F.round(metrics.information_ratio("net") + OFF_TIES, 6).alias("information_ratio"))
 
 
-_WEALTH = f"(select series, datetime, wealth, wealth / max(wealth) over (partition by series order by datetime) - 1 drawdown from (select *, exp(sum(ln(1 + net)) over (partition by series order by datetime)) wealth from ({_RETURNS})))"
+_WEALTH = f"(select series, datetime, wealth, wealth / max(wealth) over (partition by series order by datetime) - 1 drawdown from (select *, product(1 + net) over (partition by series order by datetime) wealth from ({_RETURNS})))"
 
 
 @query(oracles.sql(f"select series, datetime, round(wealth + 1.234e-7::double, 5) + 0::double wealth, round(drawdown + 1.234e-7::double, 5) + 0::double drawdown from {_WEALTH}", "features"))
@@ -364,10 +389,10 @@ def drawdown(x: Inputs) -> DataFrame:
 
 _IR = "avg({0}) / stddev_samp({0}) * sqrt(52)"
 _SUMMARY = {
-    "net_ir": _IR.format("net"), "gross_ir": _IR.format("gross"), "annual_net": "exp(sum(ln(1 + net)) * 52 / count(*)) - 1", "annual_gross": "exp(sum(ln(1 + gross)) * 52 / count(*)) - 1",
+    "net_ir": _IR.format("net"), "gross_ir": _IR.format("gross"), "annual_net": "pow(product(1 + net), 52 / count(*)) - 1", "annual_gross": "pow(product(1 + gross), 52 / count(*)) - 1",
     "mean_turnover": "avg(turnover)", "mean_invested": "avg(invested)", "total_cost": "sum(cost)", "max_drawdown": "min(drawdown)",
 }
-_DRAWN = "(select *, w / max(w) over (order by datetime) - 1 drawdown from (select *, exp(sum(ln(1 + net)) over (order by datetime)) w from wl))"
+_DRAWN = "(select *, w / max(w) over (order by datetime) - 1 drawdown from (select *, product(1 + net) over (order by datetime) w from wl))"
 
 
 @query(oracles.sql(f"select {', '.join(f'{_q(v, 5)} {k}' for k, v in _SUMMARY.items())}, max(names)::bigint most_names, count(*) periods, bool_and(cost >= 0 and invested <= 1 + 1e-9) safe from {_DRAWN}", "ledger_weeks"))
@@ -446,7 +471,7 @@ def promotion(x: Inputs) -> DataFrame:
 
 @query(oracles.sql("select * from folds", "folds"))
 def annual_folds(x: Inputs) -> DataFrame:
-    return folds.annual_folds(x.spark, 1995, 1999, 2001, 3)
+    return folds.calendar_folds(x.calendar, 3, seal=2002)
 
 
 @query(oracles.sql("select fold_id, datetime, instrument, segment from tagged", "folds"))
@@ -475,14 +500,18 @@ def standardized(x: Inputs) -> DataFrame:
     return rounded(folds.standardized(rows, folds.standardizer(rows, _STD), _STD), 4, *_STD)
 
 
-@query(oracles.sql("select fold_id, datetime, instrument, count(distinct segment) n from tagged group by 1, 2, 3 having count(distinct segment) > 1", "folds"))
+@query(oracles.sql("select fold_id, datetime, instrument, count(distinct segment) n from (select fold_id, datetime, instrument, segment from tagged union all select fold_id, datetime, instrument, 'test' from tagged where s % 13 = 5) group by 1, 2, 3 having count(distinct segment) > 1", "folds"))
 def q_disjoint(x: Inputs) -> DataFrame:
-    return folds.overlapping_keys(x.tagged())
+    """Planted: some instruments' rows of every segment are test rows too."""
+    rows = x.tagged().select("fold_id", *KEYS, "segment", "s")
+    return folds.overlapping_keys(rows.unionByName(rows.where("s % 13 = 5").withColumn("segment", F.lit("test"))))
 
 
-@query(oracles.sql("select fold_id, segment from (select *, lag(last_date) over (partition by fold_id order by case segment when 'train' then 0 when 'valid' then 1 else 2 end) before from (select fold_id, segment, min(datetime) first_date, max(datetime) last_date from tagged group by 1, 2)) where first_date <= before", "folds"))
+@query(oracles.sql("select fold_id, segment from (select *, lag(last_date) over (partition by fold_id order by case segment when 'train' then 0 when 'valid' then 1 else 2 end) before from (select fold_id, segment, min(datetime) first_date, max(datetime) last_date from tagged where fold_id <> 'wf_2000' or segment <> 'test' group by 1, 2 union all select fold_id, segment, min(datetime) - 400, max(datetime) from tagged where fold_id = 'wf_2000' and segment = 'test' group by 1, 2)) where first_date <= before", "folds"))
 def q_chronology(x: Inputs) -> DataFrame:
-    return folds.out_of_order(folds.segment_bounds(x.tagged())).select("fold_id", "segment")
+    """Planted: one fold's test part begins 400 days early."""
+    early = F.when((F.col("fold_id") == "wf_2000") & (F.col("segment") == "test"), F.date_add("first_date", -400)).otherwise(F.col("first_date"))
+    return folds.out_of_order(folds.segment_bounds(x.tagged()).withColumn("first_date", early)).select("fold_id", "segment")
 
 
 # Peer context

@@ -29,4 +29,4 @@ def inputs(spark, sf_dir: str):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tideline.plans import audit, panel  # noqa: F401
+    from tideline.plans import audit, contracts, panel  # noqa: F401

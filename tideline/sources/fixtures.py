@@ -85,7 +85,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
         ("instruments",),
         (),
         """
-        select instrument, PLUS(date '1994-06-01', (97 * s) % 1500) list_date, case when s % 50 = 0 then date '2001-12-31' end delist_date,
+        select instrument, PLUS(date '1994-06-01', (97 * s) % 1500) list_date, case when s % 50 = 0 then date '2000-06-30' end delist_date,
                case when s % 2 = 0 then 'XSHG' else 'XSHE' end exchange, case when s % 41 = 0 then 'F' else 'E' end asset_class
         from instruments""",
     ),
@@ -147,10 +147,12 @@ def _spell(sql: str, spark: bool) -> str:
     return replace(sql, "PLUS", lambda d, n: f"({d} + cast({n} as integer))")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view as a DataFrame over the tables of a folder."""
+def view(spark: SparkSession, sf_dir: str, name: str, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A fixture view as a DataFrame over the tables of a folder; `stored` views are taken as they are."""
+    if stored and name in stored:
+        return stored[name]
     others, tables, sql = VIEWS[name]
-    frames = {o: view(spark, sf_dir, o) for o in others} | {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    frames = {o: view(spark, sf_dir, o, stored) for o in others} | {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     for n in frames:
         sql = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", sql)
     return spark.sql(_spell(sql, True), **frames)
