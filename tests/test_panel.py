@@ -325,3 +325,13 @@ def test_shared_folder_is_asked_for_off_a_local_master(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Elsewhere)
+
+
+def test_union_of_scores_refuses_repeats_and_gaps(spark, tmp_path):
+    from tideline.operators import contracts
+
+    part = lambda *rows: spark.createDataFrame([(DAY, *r) for r in rows], "datetime date, instrument string, score double")
+    assert contracts.union_scores([part(("a", 1.0)), part(("b", 2.0))], str(tmp_path / "sound")).count() == 2
+    for name, rows, why in (("twice", (("a", 2.0),), "twice"), ("none", (("b", None),), "finite"), ("far", (("b", float("inf")),), "finite"), ("nan", (("b", float("nan")),), "finite")):
+        with pytest.raises(ValueError, match=why):
+            contracts.union_scores([part(("a", 1.0)), part(*rows)], str(tmp_path / name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,18 @@ def read_bound(spark: SparkSession, path: str, years: list[int], columns: dict[s
     return rows
 
 
+def union_scores(parts: list[DataFrame], path: str) -> DataFrame:
+    """Scores of several folds end to end, written and read back. Raises if a score is not finite or a key repeats."""
+    rows = reduce(DataFrame.unionByName, parts)
+    rows.write.option("compression", "zstd").parquet(path)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    if not back.where(~holds(F.abs("score") < float("inf"))).isEmpty():
+        raise ValueError("a score is missing or not finite")
+    if not back.groupBy("datetime", "instrument").count().where("count > 1").isEmpty():
+        raise ValueError("a key is scored twice")
+    return back
+
+
 def attach_one(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join that must not multiply rows: raises if the right side repeats a key."""
     again = repeated(right, key).first()

@@ -51,10 +51,10 @@ def bucket_means(rows: DataFrame) -> DataFrame:
 
 
 def decile_slope(means: DataFrame) -> DataFrame:
-    """Least-squares slope of bucket means, and top minus bottom."""
+    """Least-squares slope of bucket means, and top minus bottom; both missing under two buckets."""
     return means.agg(
         F.try_divide(F.covar_pop("bucket", "mean_label"), F.var_pop("bucket")).alias("decile_slope"),
-        (F.max_by("mean_label", "bucket") - F.min_by("mean_label", "bucket")).alias("top_minus_bottom"),
+        F.when(F.count("*") > 1, F.max_by("mean_label", "bucket") - F.min_by("mean_label", "bucket")).alias("top_minus_bottom"),
     )
 
 

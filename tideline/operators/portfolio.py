@@ -41,20 +41,21 @@ def holdings(rows: DataFrame, fraction: float, cap: float, participation: float,
 
 
 def weekly_ledger(rows: DataFrame, fraction: float = 0.1, cap: float = 0.05, participation: float = 0.1, notional: float = 1e7, bps: float = 10.0) -> DataFrame:
-    """Per rebalance: turnover against the weights before, cost, gross and net return, invested share and names. A date
-    with nothing tradable sells everything and still has a row."""
+    """Per rebalance: turnover against the weights before, cost, gross and net return, invested share, names and the
+    largest weight. A date with nothing tradable sells everything and still has a row."""
     held = holdings(rows, fraction, cap, participation, notional)
     now = held.select("ordinal", "instrument", "weight", F.lit(0.0).alias("before"), F.coalesce(F.col("weight") * F.col("forward_return"), F.lit(0.0)).alias("gain"), F.lit(1).alias("name"))
     then = held.select((F.col("ordinal") + 1).alias("ordinal"), "instrument", F.lit(0.0).alias("weight"), F.col("weight").alias("before"), F.lit(0.0).alias("gain"), F.lit(0).alias("name"))
     moves = now.unionByName(then).groupBy("ordinal", "instrument").agg(F.sum("weight").alias("w"), F.sum("before").alias("b"), F.sum("gain").alias("gain"), F.sum("name").alias("name"))
-    sums = moves.groupBy("ordinal").agg(F.sum(F.abs(F.col("w") - F.col("b"))).alias("turnover"), F.sum("gain").alias("gross"), F.sum("w").alias("invested"), F.sum("name").alias("names"))
+    sums = moves.groupBy("ordinal").agg(F.sum(F.abs(F.col("w") - F.col("b"))).alias("turnover"), F.sum("gain").alias("gross"), F.sum("w").alias("invested"), F.sum("name").alias("names"), F.max("w").alias("heaviest"))
     out = rebalance_dates(rows).join(sums, "ordinal", "left").na.fill(0)
     cost = F.col("turnover") * bps / 1e4
-    return out.select("datetime", "ordinal", "turnover", cost.alias("cost"), "gross", (F.col("gross") - cost).alias("net"), "invested", "names")
+    return out.select("datetime", "ordinal", "turnover", cost.alias("cost"), "gross", (F.col("gross") - cost).alias("net"), "invested", "names", "heaviest")
 
 
-def portfolio_metrics(ledger: DataFrame, periods: int = 52) -> DataFrame:
-    """Information ratios, compounded yearly returns, drawdown, turnover, invested share, cost, and the safeguards."""
+def portfolio_metrics(ledger: DataFrame, periods: int = 52, cap: float = 0.05) -> DataFrame:
+    """Information ratios, compounded yearly returns, drawdown, turnover, invested share, cost, and the safeguards: no
+    cost is negative, no more than everything is invested, and no weight is over the cap."""
     rows = wealth(ledger.withColumn("series", F.lit(1)), "net")
     yearly = lambda r: F.pow(F.product(1 + F.col(r)), periods / F.count("*")) - 1
     return rows.agg(
@@ -68,7 +69,7 @@ def portfolio_metrics(ledger: DataFrame, periods: int = 52) -> DataFrame:
         F.min("drawdown").alias("max_drawdown"),
         F.max("names").alias("most_names"),
         F.count("*").alias("periods"),
-        F.bool_and((F.col("cost") >= 0) & (F.col("invested") <= 1 + 1e-9)).alias("safe"),
+        F.bool_and((F.col("cost") >= 0) & (F.col("invested") <= 1 + 1e-9) & (F.col("heaviest") <= cap + 1e-9)).alias("safe"),
     )
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import safe
-from tideline.operators import checks, folds, intervals, profiles, scoring, state
+from tideline.operators import checks, contracts, folds, intervals, profiles, scoring
 from tideline.operators.features import features, history
 from tideline.plans import oracles
 from tideline.plans.panel import KEYS, Inputs, _q, _state, rounded
 from tideline.plans.registry import query
-from tideline.session import unique_folder
+from tideline.session import cut, unique_folder
 from tideline.sources import readers
 
 ZONE = "Asia/Shanghai"
@@ -98,15 +98,15 @@ def json_roundtrip(x: Inputs) -> DataFrame:
     return rounded(readers.json_round_trip(x.panel), 4, "close")
 
 
-@query(None)
+@query(oracles.sql(f"select datetime, instrument, feature_name, {_q('feature_value', 4)} feature_value from ({_LONG_SQL})", "features"))
 def csv_long_sink(x: Inputs) -> DataFrame:
-    return readers.csv_round_trip(_long(x), "long")
+    return rounded(readers.csv_round_trip(_long(x), "long"), 4, "feature_value")
 
 
-@query(None)
+@query(oracles.sql("select * from journal", "journal"))
 def jsonl_scan(x: Inputs) -> DataFrame:
     path = unique_folder(x.spark, "journal-json")
-    x.journal.write.mode("overwrite").json(path)
+    x.journal.write.json(path)
     return x.spark.read.schema(x.journal.schema).option("mode", "FAILFAST").json(path)
 
 
@@ -127,9 +127,9 @@ def fold_scores(x: Inputs) -> DataFrame:
 
 @query(oracles.sql(f"select datetime, instrument, {_q('score', 4)} score, fold_id from fs", "fold_scores"))
 def fold_union(x: Inputs) -> DataFrame:
-    rows = _fold_scores(x)
+    rows = cut(_fold_scores(x.store("panel", "calendar")).drop("model_id"))
     parts = [rows.where(F.col("fold_id") == f"wf_{y}") for y in (1999, 2000, 2001)]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("model_id"), 4, "score")
+    return rounded(contracts.union_scores(parts, unique_folder(x.spark, "fold-scores")), 4, "score")
 
 
 # Profiles

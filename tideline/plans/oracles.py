@@ -143,10 +143,10 @@ moves as (
   select ordinal, instrument, sum(w) w, sum(b) b, sum(gain) gain, sum(one) one from (
     select ordinal, instrument, weight w, 0::double b, coalesce(weight * forward_return, 0) gain, 1 one from weighted
     union all select ordinal + 1, instrument, 0, weight, 0, 0 from weighted) group by ordinal, instrument),
-sums as (select ordinal, sum(abs(w - b)) turnover, sum(gain) gross, sum(w) invested, sum(one) names from moves group by ordinal),
+sums as (select ordinal, sum(abs(w - b)) turnover, sum(gain) gross, sum(w) invested, sum(one) names, max(w) heaviest from moves group by ordinal),
 wl as (
   select w.datetime, w.ordinal, coalesce(turnover, 0) turnover, coalesce(turnover, 0) * 10 / 1e4::double cost, coalesce(gross, 0) gross,
-         coalesce(gross, 0) - coalesce(turnover, 0) * 10 / 1e4::double net, coalesce(invested, 0) invested, coalesce(names, 0) names
+         coalesce(gross, 0) - coalesce(turnover, 0) * 10 / 1e4::double net, coalesce(invested, 0) invested, coalesce(names, 0) names, coalesce(heaviest, 0) heaviest
   from weeks w left join sums s on s.ordinal = w.ordinal)"""
 
 PARTS = {

@@ -29,9 +29,10 @@ class Inputs:
         return view(self.spark, self.dir, name, self._stored)
 
     def store(self, *names: str) -> Inputs:
-        """Cut these views; what is built on them afterwards reads the stored rows."""
+        """Cut these views, once; what is built on them afterwards reads the stored rows."""
         for name in names:
-            self._stored[name] = cut(view(self.spark, self.dir, name, self._stored))
+            if name not in self._stored:
+                self._stored[name] = cut(view(self.spark, self.dir, name, self._stored))
         return self
 
     def feats(self) -> DataFrame:
@@ -243,6 +244,7 @@ _STATE = ("mkt_trend_20", "mkt_vol_20", "mkt_breadth_1d", "mkt_turnover_20")
 
 def _state(x: Inputs) -> DataFrame:
     """The state of the dates from members, listed long enough, active, of known plain status and sound in price."""
+    x.store("panel", "calendar")
     rows = features.features(x.panel, (20,)).withColumn("price_domain_valid", eligibility.price_domain())
     rows = rows.select(*KEYS, *state.SOURCES, "feature_eligible", "price_domain_valid")
     rows = intervals.membership_asof(rows, x.membership, CUTOFF).select(*rows.columns, "universe_member")
@@ -357,7 +359,7 @@ def holdings(x: Inputs) -> DataFrame:
     return rounded(portfolio.holdings(x.events_daily, 0.1, 0.05, 0.1, 1e7).select(*KEYS, "ordinal", "weight", "score"), 6, "weight", "score")
 
 
-_WL = ("turnover", "cost", "gross", "net", "invested")
+_WL = ("turnover", "cost", "gross", "net", "invested", "heaviest")
 
 
 @query(oracles.sql(f"select datetime, ordinal::int ordinal, {_r(_WL, 6)}, names::bigint names from wl", "ledger_weeks"))
@@ -395,7 +397,7 @@ _SUMMARY = {
 _DRAWN = "(select *, w / max(w) over (order by datetime) - 1 drawdown from (select *, product(1 + net) over (order by datetime) w from wl))"
 
 
-@query(oracles.sql(f"select {', '.join(f'{_q(v, 5)} {k}' for k, v in _SUMMARY.items())}, max(names)::bigint most_names, count(*) periods, bool_and(cost >= 0 and invested <= 1 + 1e-9) safe from {_DRAWN}", "ledger_weeks"))
+@query(oracles.sql(f"select {', '.join(f'{_q(v, 5)} {k}' for k, v in _SUMMARY.items())}, max(names)::bigint most_names, count(*) periods, bool_and(cost >= 0 and invested <= 1 + 1e-9 and heaviest <= 0.05 + 1e-9) safe from {_DRAWN}", "ledger_weeks"))
 def portfolio_summary(x: Inputs) -> DataFrame:
     return rounded(portfolio.portfolio_metrics(portfolio.weekly_ledger(x.events_daily)), 5, *_SUMMARY)
 
