@@ -1,13 +1,17 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs. DataFrame functions only.
 
-A paragraph (a line, cut further after clause marks so that long lines have parts) hashes to a vector of LANES bits.
-A document's fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**14, with the number of
-paragraphs in a last lane. The sum does not depend on order, so equal multisets are equal; adding or taking away a
-paragraph, or another document, adds or subtracts its vector (`combine`), without the rest of the text.
+A paragraph (a line, cut further after clause marks so that long lines have parts) hashes to a vector of SIGNS lanes
+of +1 or -1 and WIDE lanes of 32 bits. A document's fingerprint is the sum of its paragraphs' vectors, lane by lane
+modulo 2**62, with the number of paragraphs in a last lane. The sum does not depend on order, so equal multisets are
+equal; adding or taking away a paragraph, or another document, adds or subtracts its vector (`combine`), without the
+rest of the text. No text has enough paragraphs for the signs' sums to reach the modulus.
 
-Read as +1/-1 instead of 1/0, a lane is a random projection of the paragraph counts, so inner products of two
-fingerprints estimate those of the counts: `likeness` is 2ab / (aa + bb), 1 for equal ones and about 0 for strangers,
-with a standard error of 1 / sqrt(LANES).
+Each sign lane is a random projection of the paragraph counts, so inner products of two fingerprints estimate those of
+the counts: `likeness` is 2ab / (aa + bb), 1 for equal ones and about 0 for strangers, with a standard error of
+1 / sqrt(SIGNS).
+
+Sums run in packed words, four narrow lanes to a word, which are added to the wide lanes every BLOCK paragraphs,
+before a narrow lane can overflow.
 
 Defined cases: null text is empty and sums to zero; two empty texts are alike (1), an empty and another text are not
 (0); rows that repeat a doc_id are each given their own result, their successor is the next distinct doc_id with its
@@ -22,74 +26,74 @@ from pyspark.sql import types as T
 
 from tideline.session import cut
 
-#: Four 64-bit hashes a paragraph; of each, 15 masks pick four bits that lie 15 apart, one to a lane.
+#: Four 64-bit hashes a paragraph; of each, 15 masks pick four bits that lie 15 apart, one to a narrow lane.
 SEEDS, SHIFTS, STEP, IN_WORD = range(4), range(15), 15, 4
-LANE = (1 << 14) - 1  # a lane has 14 bits and a spare one, so sums never reach the next lane
+NARROW = (1 << 14) - 1
 ONES = sum(1 << STEP * k for k in range(IN_WORD))
-LOW = ONES * LANE
 WORDS = len(SEEDS) * len(SHIFTS)
-LANES = WORDS * IN_WORD
+SIGNS, WIDE = WORDS * IN_WORD, 2 * len(SEEDS)
+COUNT = SIGNS + WIDE  # place of the number of paragraphs
+BLOCK = 8192  # a narrow lane holds twice as many
+LOW32, MODULUS = (1 << 32) - 1, (1 << 62) - 1
 #: Lines, and parts of lines after clause marks.
 BREAK = r"\n+|(?<=[.!?;:,|]) +"
 FIRST = -(2**63)
 
 
+def _zeros(n: int) -> Column:
+    return F.array_repeat(F.lit(0).cast("long"), n)
+
+
+def _packed(h: Column) -> list[Column]:
+    """What a paragraph adds: packed bits, halves of its hashes, and one."""
+    bits = [F.shiftrightunsigned(h[f"h{s}"], k).bitwiseAND(F.lit(ONES)) for s in SEEDS for k in SHIFTS]
+    halves = [x for s in SEEDS for x in (F.shiftrightunsigned(h[f"h{s}"], 32), h[f"h{s}"].bitwiseAND(F.lit(LOW32)))]
+    return [*bits, *halves, F.lit(1).cast("long")]
+
+
+def _spread(narrow: Column) -> Column:
+    """The lanes of packed sums: ones less zeros of every sign, the halves, the count."""
+    n = narrow[WORDS + WIDE]
+    signs = F.transform(F.slice(narrow, 1, WORDS), lambda w: F.array(*[F.shiftright(w, STEP * k).bitwiseAND(F.lit(NARROW)) * 2 - n for k in range(IN_WORD)]))
+    return F.concat(F.flatten(signs), F.slice(narrow, WORDS + 1, WIDE + 1))
+
+
 def vector(text: Column) -> Column:
-    """WORDS words of packed lanes and the number of paragraphs, of one text."""
+    """SIGNS signed lanes, WIDE lanes and the number of paragraphs, of one text."""
     paragraphs = F.filter(F.split(text, BREAK), lambda p: p != "")
     hashed = F.transform(paragraphs, lambda p: F.struct(*[F.xxhash64(p, F.lit(s)).alias(f"h{s}") for s in SEEDS]))
 
     def add(acc, h):
-        words = []
-        for s in SEEDS:
-            for k in SHIFTS:
-                bits = F.shiftrightunsigned(h[f"h{s}"], k).bitwiseAND(F.lit(ONES))
-                words.append((acc[len(words)] + bits).bitwiseAND(F.lit(LOW)))
-        return F.array(*words, (acc[WORDS] + F.lit(1).cast("long")).bitwiseAND(F.lit(LANE)))
+        narrow, lanes = acc["narrow"], acc["lanes"]
+        full = narrow[WORDS + WIDE] >= BLOCK
+        sums = F.zip_with(F.when(full, _zeros(WORDS + WIDE + 1)).otherwise(narrow), F.array(*_packed(h)), lambda x, y: x + y)
+        return F.struct(sums.alias("narrow"), F.when(full, combine(lanes, _spread(narrow))).otherwise(lanes).alias("lanes"))
 
-    return F.aggregate(hashed, F.array_repeat(F.lit(0).cast("long"), WORDS + 1), add)
+    start = F.struct(_zeros(WORDS + WIDE + 1).alias("narrow"), _zeros(COUNT + 1).alias("lanes"))
+    return F.aggregate(hashed, start, add, lambda acc: F.when(acc["lanes"][COUNT] == 0, _spread(acc["narrow"])).otherwise(combine(acc["lanes"], _spread(acc["narrow"]))))
 
 
 def combine(a: Column, b: Column, take_away: bool = False) -> Column:
     """Fingerprint of two multisets together, or of `a` without the paragraphs of `b`."""
-    one = F.lit(LOW + ONES)  # 2**14 in every lane: keeps each difference positive
-
-    def lane(x, y):
-        if take_away:
-            return ((x + one) - y).bitwiseAND(F.lit(LOW))
-        return (x + y).bitwiseAND(F.lit(LOW))
-
-    return F.zip_with(a, b, lane)
+    sign = -1 if take_away else 1
+    (a_signs, a_rest), (b_signs, b_rest) = ((F.slice(x, 1, SIGNS), F.slice(x, SIGNS + 1, WIDE + 1)) for x in (a, b))
+    whole = F.zip_with(a_rest, b_rest, lambda x, y: (x + y * sign).bitwiseAND(F.lit(MODULUS)))
+    return F.concat(F.zip_with(a_signs, b_signs, lambda x, y: x + y * sign), whole)
 
 
 def text_form(v: Column) -> Column:
-    return F.array_join(F.transform(v, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
+    return F.sha2(F.array_join(v.cast("array<string>"), ","), 256)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimate of 2ab / (aa + bb) over paragraph counts, within 0 and 1."""
-    half = (LANE + 1) // 2
-
-    def signed(word, n, k):
-        bits = F.shiftright(word, STEP * k).bitwiseAND(F.lit(LANE))
-        return (bits * 2 - n + 3 * half).bitwiseAND(F.lit(LANE)) - half
-
-    def step(acc, w):
-        xs = [(signed(w["a"], w["m"], k), signed(w["b"], w["n"], k)) for k in range(IN_WORD)]
-        total = lambda f: sum((f(x, y) for x, y in xs[1:]), f(*xs[0]))
-        return F.struct(
-            (acc["ab"] + total(lambda x, y: x * y)).alias("ab"), (acc["sq"] + total(lambda x, y: x * x + y * y)).alias("sq")
-        )
-
-    zero = F.lit(0).cast("long")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.struct(a[i].alias("a"), b[i].alias("b"), a[WORDS].alias("m"), b[WORDS].alias("n"))
-    )
+    zero = F.lit(0.0)
+    terms = F.zip_with(F.slice(a, 1, SIGNS).cast("array<double>"), F.slice(b, 1, SIGNS).cast("array<double>"), lambda x, y: F.struct((x * y).alias("ab"), (x * x + y * y).alias("sq")))
     return F.aggregate(
-        pairs,
+        terms,
         F.struct(zero.alias("ab"), zero.alias("sq")),
-        step,
-        lambda s: F.when(s["sq"] == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(2.0) * s["ab"] / s["sq"])),
+        lambda acc, t: F.struct((acc["ab"] + t["ab"]).alias("ab"), (acc["sq"] + t["sq"]).alias("sq")),
+        lambda s: F.when(s["sq"] == 0, F.lit(1.0)).otherwise(F.greatest(zero, F.lit(2.0) * s["ab"] / s["sq"])),
     )
 
 
