@@ -61,14 +61,15 @@ def write_index(rules: Iterable[Rule], path: str) -> None:
     raw = [s.encode() for s in names]
     verdicts = sorted(set(best.values()))
     lengths = np.array(sorted({len(split_rule(s)[1]) for s in names}), "<i8")
-    head = np.array([len(raw), len(lengths), len(verdicts)], "<i8")
+    said = "\0".join(verdicts).encode()
+    head = np.array([len(raw), len(lengths), len(verdicts), len(said)], "<i8")
     with open(path, "wb") as f:
         f.write(head.tobytes())
         f.write(lengths.tobytes())
         f.write(np.array([xxhash.xxh64_intdigest(b) for b in raw], "<u8").tobytes())
         f.write(np.cumsum([0, *map(len, raw)], dtype="<i8").tobytes())
         f.write(np.array([verdicts.index(best[s]) for s in names], "<i8").tobytes())
-        f.write("\0".join(verdicts).encode().ljust(256, b"\0"))
+        f.write(said)
         f.write(b"".join(raw) or b"\0")
 
 
@@ -77,8 +78,8 @@ class Index:
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
-        n, k, v = (int(x) for x in data[:24].view("<i8"))
-        at = 24
+        n, k, v, said = (int(x) for x in data[:32].view("<i8"))
+        at = 32
         self.lengths = data[at : at + 8 * k].view("<i8").tolist()
         at += 8 * k
         self.keys = data[at : at + 8 * n].view("<u8")
@@ -87,8 +88,8 @@ class Index:
         at += 8 * (n + 1)
         self.verdict = data[at : at + 8 * n].view("<i8")
         at += 8 * n
-        self.verdicts = bytes(data[at : at + 256]).rstrip(b"\0").decode().split("\0")[:v]
-        self.text = data[at + 256 :]
+        self.verdicts = bytes(data[at : at + said]).decode().split("\0")[:v]
+        self.text = data[at + said :]
 
     def find(self, names: list[str]) -> np.ndarray:
         """The rule of each name, or -1. Equal keys lie side by side; each is tried until its string is the name."""
@@ -164,11 +165,14 @@ def judge_urls(
 
 def _ship(spark: SparkSession, rules: list[Rule]) -> str:
     """Write the index once and have Spark copy it to every executor."""
-    digest = xxhash.xxh64_hexdigest(repr(sorted(rules)))
+    digest = xxhash.xxh64_hexdigest("2" + repr(sorted(rules)))
     name = f"url-rules-{digest}.bin"
     path = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(path):
-        write_index(rules, path)
+    if not os.path.exists(path):  # written aside and moved, so that no other process sees half a file
+        fd, aside = tempfile.mkstemp(prefix=name)
+        os.close(fd)
+        write_index(rules, aside)
+        os.replace(aside, path)
     spark.sparkContext.addFile(path)
     return name
 
