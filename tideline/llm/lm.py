@@ -2,12 +2,15 @@
 
 Counts of words and word pairs over all training texts are gathered by hash range. Each count is quantised to a level
 on a logarithmic scale and the filter holds (n-gram, 1), (n-gram, 2), ... up to its level, so a count is read back by
-probing levels until the first miss; errors only ever raise a count, and by few levels. A word or pair seen once is
-level 1 and has its entry like any other. Probabilities of a word after another are the filter's pair count backed by the word's own
-probability (Dirichlet smoothing); begin and end of a text count as words.
+probing levels until the first miss. A word or pair seen once is level 1 and has its entry like any other. At
+BITS_PER_ENTRY bits and PROBES probes a probe chain errs with probability 0.0005, and errors only raise a count by a
+level. Probabilities of a word after another are the filter's pair count backed by the word's own probability
+(Dirichlet smoothing); begin and end of a text count as words.
 
-Filter and exact word counts go to the executors as one file that tasks memory-map, if they stay under `max_bytes`.
-Beyond that `score_by_join` reads the same levels by equi-joins on distinct n-grams of each text; nothing is capped.
+Every hash range has a filter segment of its own. Segments and exact word counts go to the executors as one file that
+tasks memory-map, if they stay under `max_bytes`. Beyond that no task needs them all: the distinct n-grams of each run
+of texts meet their range's segment in a co-grouping and the levels come back to the run. Both ways probe the same
+segments with the same hashes and give the same scores.
 
 Words are identified by 64-bit hashes. Defined cases: null text is empty and has the end token only; a null doc_id
 belongs to training; with no training texts every count is 0; an empty table gives no rows; rows that repeat are
@@ -18,8 +21,9 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +31,16 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.words import by_part, chain, mix, runs, word_hashes
+from tideline.llm.words import by_part, chain, mix, pack, runs, sorted_planes, unpack, unsorted_planes, word_hashes
 from tideline.session import cut
 
 BASE = 1.5
-PROBES = 4
-BITS_PER_ENTRY = 10
+PROBES = 11
+BITS_PER_ENTRY = 16
 #: Prior weight of the word's own probability in pair probabilities.
 MU = 300.0
-MAX_BYTES = 1 << 30
+MAX_BYTES = 256 << 20
+PART_BYTES = 2 << 20  # text of one hash range, on average
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C1D8F2E3)
 MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -87,9 +92,9 @@ def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def gather_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per hash range: sorted word hashes with counts, pair hashes with counts, and sizes."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, (parts - 1).bit_length())
+    """One row per hash range: its tokens and words, its filter segment, and its sorted word hashes with counts."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = max(4, (n_bytes // PART_BYTES).bit_length())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,134 +103,175 @@ def gather_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 out = []
                 for kind, grams in ((0, np.concatenate((token, np.full(len(n), BEGIN, np.uint64)))), (1, pairs_of(previous, token))):
                     h, c = np.unique(grams, return_counts=True)
-                    c = c.astype(np.uint32)
-                    out += [(p, kind, h[at].tobytes(), c[at].tobytes()) for p, at in by_part(h, bits)]
+                    out += [(p, kind, pack(sorted_planes(h[at])), pack(c[at].astype("<u4"))) for p, at in by_part(h, bits)]
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "kind", "hashes", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
-        row = {"part": [table["part"][0].as_py()]}
-        for kind, name in ((0, "word"), (1, "pair")):
-            at = np.flatnonzero(kinds == kind)
-            hs = [np.frombuffer(table["hashes"][int(i)].as_buffer(), np.uint64) for i in at]
-            cs = [np.frombuffer(table["counts"][int(i)].as_buffer(), np.uint32).astype(np.int64) for i in at]
-            h, c = _merge(np.concatenate(hs), np.concatenate(cs)) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            levels = word_levels(c)
-            if kind == 0:
-                real = h != BEGIN
-                row |= {"tokens": [int(c[real].sum())], "words": [int(real.sum())]}
-            row |= {f"{name}_entries": [int(levels.sum())], f"{name}_hashes": [h.tobytes()], f"{name}_counts": [c.tobytes()]}
-        return pa.table({f: pa.array(row[f], t) for f, t in FIELDS})
+        found = []
+        for kind in (0, 1):
+            at = np.flatnonzero(kinds == kind).tolist()
+            hs = [unsorted_planes(unpack(table["hashes"][i])) for i in at]
+            cs = [np.frombuffer(unpack(table["counts"][i]), "<u4").astype(np.int64) for i in at]
+            found.append(_merge(np.concatenate(hs), np.concatenate(cs)) if hs else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        (words, times), _ = found
+        real = words != BEGIN
+        row = (table["part"][0].as_py(), int(times[real].sum()), int(real.sum()), segment_of(found), words.tobytes(), times.tobytes())
+        return pa.table({name: pa.array([x], t) for (name, t), x in zip(FIELDS, row, strict=True)})
 
     emitted = docs.select(text).mapInArrow(emit, "part long, kind int, hashes binary, counts binary")
     return cut(emitted.groupBy("part").applyInArrow(total, SCHEMA).withColumn("bits", F.lit(bits)))
 
 
-FIELDS = [
-    ("part", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("word_entries", pa.int64()), ("word_hashes", pa.binary()),
-    ("word_counts", pa.binary()), ("pair_entries", pa.int64()), ("pair_hashes", pa.binary()), ("pair_counts", pa.binary()),
-]
-SCHEMA = "part long, tokens long, words long, word_entries long, word_hashes binary, word_counts binary, pair_entries long, pair_hashes binary, pair_counts binary"
+FIELDS = [("part", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("filter", pa.binary()), ("word_hashes", pa.binary()), ("word_counts", pa.binary())]
+SCHEMA = "part long, tokens long, words long, filter binary, word_hashes binary, word_counts binary"
 
 
-def _bit_places(hashes: np.ndarray, level: int, segment: int, bits: int, probes: range = range(PROBES)) -> np.ndarray:
-    """Bit numbers of (n-gram, level), one row per probe, all within the segment of the n-gram's hash range."""
+def segment_of(found: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """The filter bits of n-grams with counts, of one hash range."""
+    tops = [word_levels(c) for _, c in found]
+    size = 64 * -(-sum(int(t.sum()) for t in tops) * BITS_PER_ENTRY // 64)
+    seen = np.zeros(size, bool)
+    for (h, _), top in zip(found, tops, strict=True):
+        for level in range(1, int(top.max(initial=0)) + 1):
+            mine = h[top >= level]
+            for k in range(PROBES):
+                seen[_bit_places(mine, level, np.uint64(size), range(k, k + 1))[0]] = True
+    return np.packbits(seen, bitorder="little").tobytes()
+
+
+def _bit_places(hashes: np.ndarray, level: int, size, probes: range = range(PROBES)) -> np.ndarray:
+    """Bit numbers of (n-gram, level) in a segment of `size` bits, one row per probe."""
     a = mix(hashes + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     low, step = a & MASK32, (a >> np.uint64(32)) | np.uint64(1)
-    base = (hashes >> np.uint64(64 - bits)).astype(np.int64) * segment
     k = np.array(probes, np.uint64)[:, None]
-    return base + (((low + k * step) & MASK32) * np.uint64(segment) >> np.uint64(32)).astype(np.int64)
+    return (((low + k * step) & MASK32) * size >> np.uint64(32)).astype(np.int64)
+
+
+def read_levels(h: np.ndarray, bits: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Probe level after level until the first miss; each hash in the segment of `size` bits that begins at a byte."""
+    out = np.zeros(len(h), np.int64)
+    live, level = np.flatnonzero(size), 1
+    size = size.astype(np.uint64)
+    while len(live):
+        for probes in (range(1), range(1, PROBES)):  # most misses show at the first bit
+            place = _bit_places(h[live], level, size[live], probes) + 8 * begin[live]
+            live = live[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1).all(0)]
+        out[live] = level
+        level += 1
+    return out
+
+
+def exact_counts(h: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return np.where(hashes[at] == h, counts[at], 0)
+
+
+#: Word counts in the shipped file: 32 bits where the largest fits.
+COUNTS = ("<u4", "<i8")
 
 
 class Table:
-    """The shipped file: sizes, filter bits, then word hashes and counts in hash order."""
+    """The shipped file: sizes, where segments begin, the segments, then word hashes and counts in hash order."""
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
-        self.bits, self.segment, size, words, self.n, self.v = (int(x) for x in data[:48].view("<i8"))
-        self.filter = data[48 : 48 + size]
-        at = 48 + size + (-size) % 8
-        self.hashes = data[at : at + 8 * words].view("<u8")
-        self.counts = data[at + 8 * words : at + 16 * words].view("<i8")
+        self.bits, words, self.n, self.v, wide = (int(x) for x in data[:40].view("<i8"))
+        at = 40 + 8 * ((1 << self.bits) + 1)
+        self.begins = data[40:at].view("<i8")
+        self.filter = data[at : at + int(self.begins[-1])]
+        at += int(self.begins[-1])
+        self.hashes, self.counts = data[at : at + 8 * words].view("<u8"), data[at + 8 * words :].view(COUNTS[wide])
 
     def exact(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.counts[at], 0)
+        return exact_counts(h, self.hashes, self.counts)
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        """Probe level after level until the first miss."""
-        out = np.zeros(len(h), np.int64)
-        live, level = np.arange(len(h)), 1
-        while len(live) and self.segment:
-            for probes in (range(1), range(1, PROBES)):  # most misses show at the first bit
-                place = _bit_places(h[live], level, self.segment, self.bits, probes)
-                live = live[(self.filter[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1).all(0)]
-            out[live] = level
-            level += 1
-        return out
-
-
-def write_table(counts: DataFrame, path: str, stats) -> None:
-    """Build the filter segment of every hash range in its task, and lay segments and word counts end to end.
-
-    The rows brought to the driver are the table itself, which the caller has checked against its size bound.
-    """
-    bits, entries, parts = stats["bits"], stats["entries"], 1 << stats["bits"]
-    segment = -(-max(stats["most"], entries // parts) * BITS_PER_ENTRY // 64) * 64
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.column("part")[i].as_py()
-                seen = np.zeros(segment, bool)
-                for name in ("word", "pair"):
-                    h = np.frombuffer(batch.column(f"{name}_hashes")[i].as_buffer(), np.uint64)
-                    top = word_levels(np.frombuffer(batch.column(f"{name}_counts")[i].as_buffer(), np.int64))
-                    for level in range(1, int(top.max(initial=0)) + 1):
-                        seen[_bit_places(h[top >= level], level, segment, bits).ravel() - part * segment] = True
-                packed = [np.packbits(seen, bitorder="little").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array(packed, pa.binary()), *(batch.column(c).slice(i, 1) for c in ("word_hashes", "word_counts"))], ["part", "filter", "word_hashes", "word_counts"])
-
-    rows = counts.mapInArrow(build, "part long, filter binary, word_hashes binary, word_counts binary")
-    size = parts * segment // 8
-    head = np.array([bits, segment, size, stats["stored"], stats["n"], stats["v"]], "<i8").tobytes()
+        part = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        begin = self.begins[part]
+        return read_levels(h, self.filter, begin, 8 * (self.begins[part + 1] - begin))
+
+
+def write_table(counts: DataFrame, path: str, stats: dict) -> None:
+    """Lay segments and word counts end to end. What comes to the driver is the table itself, row by row, which the
+    caller has checked against its size bound."""
+    begins = np.zeros((1 << stats["bits"]) + 1, "<i8")
+    first = 40 + begins.nbytes
+    wide = int(stats["n"] >= 2**31)
+    at, words = first, first + stats["filter"]
+    times = words + 8 * stats["stored"]
     with open(path, "wb") as f:
-        f.truncate(len(head) + size + (-size) % 8 + 16 * stats["stored"])
-        f.write(head)
-        at = 0
-        base = len(head) + size + (-size) % 8
-        for row in rows.orderBy("part").toLocalIterator():
-            f.seek(len(head) + row["part"] * segment // 8)
-            f.write(row["filter"])
-            f.seek(base + at)
-            f.write(row["word_hashes"])
-            f.seek(base + 8 * stats["stored"] + at)
-            f.write(row["word_counts"])
-            at += len(row["word_hashes"])
+        for row in counts.orderBy("part").toLocalIterator():
+            begins[row["part"] + 1] = len(row["filter"])
+            counts_ = np.frombuffer(row["word_counts"], "<i8").astype(COUNTS[wide])
+            for place, blob in ((at, row["filter"]), (words, row["word_hashes"]), (times, counts_.tobytes())):
+                f.seek(place)
+                f.write(blob)
+            at += len(row["filter"])
+            words += len(row["word_hashes"])
+            times += counts_.nbytes
+        f.seek(0)
+        f.write(np.array([stats["bits"], stats["stored"], stats["n"], stats["v"], wide], "<i8").tobytes())
+        f.write(np.cumsum(begins).astype("<i8").tobytes())
 
 
 def _stats(counts: DataFrame) -> dict:
     row = counts.agg(
         F.sum("tokens").alias("n"),
         F.sum("words").alias("v"),
-        F.sum(F.col("word_entries") + F.col("pair_entries")).alias("entries"),
-        F.max(F.col("word_entries") + F.col("pair_entries")).alias("most"),
+        F.sum(F.octet_length("filter")).alias("filter"),
         (F.sum(F.octet_length("word_hashes")) / 8).cast("long").alias("stored"),
         F.max("bits").alias("bits"),
     ).first()
-    return {k: v or 0 for k, v in row.asDict().items()} | {"bits": row["bits"] or 1}
+    return {k: v or 0 for k, v in row.asDict().items()} | {"bits": row["bits"] or 4}
 
 
-def _log_scores(c_pair, c_previous, c_word, n: int, v: int, where=np):
+def _log_scores(c_pair, c_previous, c_word, n: int, v: int) -> np.ndarray:
     """log10 of the smoothed probability of a token after another."""
     own = (c_word + 0.1) / (n + 0.1 * (v + 1))
-    return where.log10((c_pair + MU * own) / (where.maximum(c_previous, c_pair) + MU))
+    return np.log10((c_pair + MU * own) / (np.maximum(c_previous, c_pair) + MU))
+
+
+@dataclass
+class Grams:
+    """The tokens of a run of texts, and its distinct words (begin included) and pairs in hash order."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    word_at: np.ndarray
+    pair_at: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes | None]) -> Grams:
+        token, previous, n = _tokens(texts)
+        words, word_at = np.unique(np.concatenate((token, [BEGIN])), return_inverse=True)
+        pairs, pair_at = np.unique(pairs_of(previous, token), return_inverse=True)
+        return cls(words, pairs, word_at, pair_at, n)
+
+    def scores(self, exact: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray, n: int, v: int):
+        """n_known, base score and model score of every text."""
+        about, pair = count_of(word_level, 1), count_of(pair_level, 1)
+        token, begin = self.word_at[:-1], about[self.word_at[-1]]
+        starts = np.cumsum(self.n) - self.n
+        own = about[token]
+        before = np.concatenate(([begin], own[:-1]))
+        before[starts] = begin
+        base = np.log10((exact + 0.1) / (n + 0.1 * (v + 1)))[token]
+        log = _log_scores(pair[self.pair_at], before, own, n, v)
+        return np.add.reduceat((exact > 0)[token].astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(log, starts)
+
+
+NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+RESULT = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-RESULT = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def _result(ids: pa.Array, held: pa.Array, grams: Grams, found, n: int) -> pa.RecordBatch:
+    known, base, log = found
+    return pa.RecordBatch.from_arrays([ids, held, *map(pa.array, (grams.n, known, np.full(len(known), n), base, log))], NAMES)
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -233,84 +279,65 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bytes
     spark = docs.sparkSession
     counts = gather_counts(docs.where(~held_out(doc_id)), text)
     stats = _stats(counts)
-    if stats["entries"] * BITS_PER_ENTRY / 8 + 16 * stats["stored"] > max_bytes:
-        return score_by_join(docs, counts, stats, text, doc_id)
-    fd, path = tempfile.mkstemp(prefix="lm-", suffix=".bin")
-    os.close(fd)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
+    if stats["filter"] + 16 * stats["stored"] > max_bytes:
+        return score_by_range(rows, counts, stats)
+    # In the driver's own folder of shipped files, so that it isn't copied there.
+    name = f"lm-{uuid.uuid4().hex}.bin"
+    path = os.path.join(SparkFiles.getRootDirectory(), name)
     write_table(counts, path, stats)
     spark.sparkContext.addFile(path)
-    name = os.path.basename(path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(SparkFiles.get(name))
         for batch in batches:
             for at, texts in runs(batch.column(2)):
-                token, previous, n = _tokens(texts)
-                distinct, which = np.unique(token, return_inverse=True)
-                c = t.exact(distinct)
-                base = np.log10((c + 0.1) / (t.n + 0.1 * (t.v + 1)))[which]
-                word = count_of(t.level(distinct), 1)
-                begin = count_of(t.level(np.array([BEGIN])), 1)[0]
-                own = word[which]
-                before = np.concatenate(([begin], own[:-1]))
-                starts = np.cumsum(n) - n
-                before[starts] = begin
-                pair = count_of(t.level(pairs_of(previous, token)), 1)
-                log = _log_scores(pair, before, own, t.n, t.v)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(at, len(texts)) for k in (0, 1)),
-                        pa.array(n),
-                        pa.array(np.add.reduceat((c > 0)[which].astype(np.int64), starts)),
-                        pa.array(np.full(len(n), t.n)),
-                        pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(log, starts)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                grams = Grams.of(texts)
+                found = grams.scores(t.exact(grams.words), t.level(grams.words), t.level(grams.pairs), t.n, t.v)
+                yield _result(*(batch.column(k).slice(at, len(texts)) for k in (0, 1)), grams, found, t.n)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(each, RESULT.format(kind=docs.schema[doc_id].dataType.simpleString()))
+    return rows.mapInArrow(each, RESULT.format(kind=rows.schema["doc_id"].dataType.simpleString()))
 
 
-def score_by_join(docs: DataFrame, counts: DataFrame, stats: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The same model for tables too large to ship: distinct pairs of each text meet the counts in equi-joins."""
+def score_by_range(rows: DataFrame, counts: DataFrame, stats: dict) -> DataFrame:
+    """The same scores for a table of any size: each run of texts asks every hash range for its own n-grams only."""
+    bits, n, v = stats["bits"], stats["n"], stats["v"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                for name in ("word", "pair"):
-                    h = np.frombuffer(batch.column(f"{name}_hashes")[i].as_buffer(), np.int64)
-                    c = np.frombuffer(batch.column(f"{name}_counts")[i].as_buffer(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(count_of(word_levels(c), 1))], ["gram", "exact", "about"])
+            for at, texts in runs(batch.column(2)):
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), c.slice(at, len(texts))) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays(lists, ["doc_id", "held_out", "text"])
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = rows.mapInArrow(laid, f"doc_id array<{kind}>, held_out array<boolean>, text array<string>")
+    texts = cut(texts.withColumn("run", F.monotonically_increasing_id()))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in runs(batch.column(1)):
-                token, previous, n = _tokens(texts)
-                doc = np.repeat(np.arange(len(texts)), n)
-                pair = pairs_of(previous, token)
-                order = np.lexsort((pair, doc))
-                p, d = pair[order], doc[order]
-                new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (d[1:] != d[:-1]))))
-                times = np.diff(np.concatenate((new, [len(p)])))
-                ints = [x[order][new].view(np.int64) for x in (previous, token, pair)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).take(pa.array(d[new])), *map(pa.array, ints), pa.array(times)], ["row", "previous", "token", "pair", "times"])
-
-    table = cut(counts.mapInArrow(unpack, "gram long, exact long, about double"))
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")))
-    found = rows.select("row", "text").mapInArrow(grams, "row long, previous long, token long, pair long, times long")
-    for side in ("previous", "token", "pair"):
-        found = found.join(table.select(F.col("gram").alias(side), F.col("exact").alias(f"{side}_exact"), F.col("about").alias(f"{side}_about")), side, "left")
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    n, v = stats["n"], stats["v"]
-    own = (zero("token_about") + 0.1) / (n + 0.1 * (v + 1))
-    log = F.log10((zero("pair_about") + MU * own) / (F.greatest(zero("previous_about"), zero("pair_about")) + MU))
-    sums = found.groupBy("row").agg(
-        F.sum("times").alias("n_tokens"),
-        F.sum(F.when(F.col("token_exact") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10((zero("token_exact") + 0.1) / (n + 0.1 * (v + 1)))).alias("base_score"),
-        F.sum(F.col("times") * log).alias("score"),
-    )
-    out = rows.select("row", "doc_id", "held_out").join(sums, "row")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            for run, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = Grams.of(own.values.cast(pa.binary()).to_pylist())
+                out = [(run, p, k, h[at].tobytes()) for k, h in enumerate((grams.words, grams.pairs)) for p, at in by_part(h, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["run", "part", "kind", "hashes"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        filter_, hashes, times = (np.frombuffer(known[c][0].as_buffer(), t) if len(known) else np.zeros(0, t) for c, t in (("filter", np.uint8), ("word_hashes", "<u8"), ("word_counts", "<i8")))
+        levels, exact = [], []
+        for blob in asked["hashes"]:
+            h = np.frombuffer(blob.as_buffer(), "<u8")
+            levels.append(read_levels(h, filter_, np.zeros(len(h), np.int64), np.full(len(h), 8 * len(filter_))).astype(np.uint8).tobytes())
+            exact.append(pack(exact_counts(h, hashes, times)))
+        return pa.table({"run": asked["run"], "part": asked["part"], "kind": asked["kind"], "levels": pa.array(levels, pa.binary()), "exact": pa.array(exact, pa.binary())})
+
+    asked = texts.select("run", "text").mapInArrow(ask, "run long, part long, kind int, hashes binary")
+    answers = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answer, "run long, part long, kind int, levels binary, exact binary")
+
+    def finish(own: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by([("kind", "ascending"), ("part", "ascending")])
+        kinds = told["kind"].to_numpy()
+        levels = [np.frombuffer(b"".join(told["levels"].filter(pa.array(kinds == k)).to_pylist()), np.uint8).astype(np.int64) for k in (0, 1)]
+        exact = np.frombuffer(b"".join(unpack(x) for x in told["exact"].filter(pa.array(kinds == 0))), "<i8")
+        grams = Grams.of(own["text"][0].values.cast(pa.binary()).to_pylist())
+        return pa.Table.from_batches([_result(own["doc_id"][0].values, own["held_out"][0].values, grams, grams.scores(exact, *levels, n, v), n)])
+
+    return texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(finish, RESULT.format(kind=kind))

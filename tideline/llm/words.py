@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Texts are handled in runs of about this many bytes, so that memory follows the run and not the batch.
@@ -37,6 +38,27 @@ def by_part(hashes: np.ndarray, bits: int):
         yield p, order[cuts[p] : cuts[p + 1]]
 
 
+SMALLER, LARGER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays end to end, compressed."""
+    return SMALLER.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpack(blob) -> bytes:
+    return LARGER.decompress(blob.as_buffer() if isinstance(blob, pa.Scalar) else bytes(blob))
+
+
+def sorted_planes(h: np.ndarray) -> np.ndarray:
+    """Steps between sorted 64-bit hashes, byte plane by byte plane: the high planes are mostly zeros."""
+    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+
+
+def unsorted_planes(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, text after text, and the number of words of each text.
 
