@@ -335,3 +335,18 @@ def test_union_of_scores_refuses_repeats_and_gaps(spark, tmp_path):
     for name, rows, why in (("twice", (("a", 2.0),), "twice"), ("none", (("b", None),), "finite"), ("far", (("b", float("inf")),), "finite"), ("nan", (("b", float("nan")),), "finite")):
         with pytest.raises(ValueError, match=why):
             contracts.union_scores([part(("a", 1.0)), part(*rows)], str(tmp_path / name))
+
+
+def test_weights_from_a_table(spark):
+    from tideline.operators import scoring
+    from tideline.sources.fixtures import view
+
+    w = scoring.weights_from(view(spark, "/root/testdata/sf0.001", "peer_weights"))
+    assert {k: v.shape for k, v in w.items()} == {k: v.shape for k, v in scoring.weights(50, 8, 2).items()}
+    cells = lambda *rows: spark.createDataFrame(rows, "name string, r long, c long, value double")
+    assert scoring.weights_from(cells(("a", 0, 1, 2.0), ("a", 0, 0, 1.0)))["a"].tolist() == [[1.0, 2.0]]
+    for rows, why in (((("a", 0, 1, 2.0),), "gaps"), ((("a", 0, 0, 2.0),) * 2, "twice")):
+        with pytest.raises(ValueError, match=why):
+            scoring.weights_from(cells(*rows))
+    with pytest.raises(ValueError, match="at most"):
+        scoring.weights_from(cells(("a", 0, 0, 1.0), ("a", 0, 1, 1.0)), limit=1)

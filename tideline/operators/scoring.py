@@ -88,6 +88,25 @@ def weights(width: int, prototypes: int, heads: int, seed: int = 11) -> dict[str
     return {k: rng.normal(scale=0.3, size=s) for k, s in shapes.items()}
 
 
+def weights_from(table: DataFrame, limit: int = 1_000_000) -> dict[str, np.ndarray]:
+    """The network's matrices from a table of (name, r, c, value), one row an element; `out` is a column. A model has
+    `limit` elements at most. Raises if an element is missing or given twice."""
+    if (n := table.count()) > limit:
+        raise ValueError(f"{n} weights, {limit} at most")
+    found: dict[str, dict] = {}
+    for w in table.select("name", "r", "c", "value").collect():
+        if (w.r, w.c) in found.setdefault(w.name, {}):
+            raise ValueError(f"{w.name} has element {w.r}, {w.c} twice")
+        found[w.name][w.r, w.c] = w.value
+    out = {}
+    for name, cells in found.items():
+        shape = tuple(1 + max(at) for at in zip(*cells, strict=True))
+        if len(cells) != shape[0] * shape[1]:
+            raise ValueError(f"{name} has gaps")
+        out[name] = np.array([cells[at] for at in sorted(cells)]).reshape(shape)
+    return out | ({"out": out["out"].ravel()} if "out" in out else {})
+
+
 def peer_forward(rows: DataFrame, columns=PEER_FEATURES, prototypes: int = 8, heads: int = 2, given: dict | None = None) -> DataFrame:
     """Score of every row from its own encoding and its attention over the prototypes of its date.
 

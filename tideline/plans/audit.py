@@ -403,4 +403,4 @@ def gbt_walk_forward(x: Inputs) -> DataFrame:
 @query(None)
 def peer_forward(x: Inputs) -> DataFrame:
     rows = x.feats().select(*KEYS, *scoring.PEER_FEATURES).na.drop()
-    return scoring.peer_forward(rows)
+    return scoring.peer_forward(rows, given=scoring.weights_from(x.peer_weights))

@@ -113,6 +113,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
         ("events",),
         "select event_id source_event_id, case when event_id % 51 = 0 then event_type || '!' else event_type end event from events where event_id % 3 = 0",
     ),
+    "peer_weights": (
+        (),
+        ("nation", "part"),
+        """
+        select name, r, c, (((31 * r + 17 * c + 101 * k) * (7 * r + 3 * c + 11)) % 1009 - 504) / 1700.0e0 value
+        from (select n_nationkey k, a.p_partkey r, b.p_partkey c,
+                     case n_nationkey when 0 then 'encode' when 1 then 'assign' when 2 then 'query' when 3 then 'key' when 4 then 'value' when 5 then 'out' end name
+              from nation cross join part a cross join part b where n_nationkey < 6 and a.p_partkey < 200 and b.p_partkey < 100) x
+        where (name = 'encode' and r < 50) or (name = 'assign' and r < 100 and c < 8) or (name in ('query', 'key', 'value') and r < 100) or (name = 'out' and c < 1)""",
+    ),
     "anchors": (
         (),
         ("nation",),
