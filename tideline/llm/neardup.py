@@ -95,7 +95,7 @@ def digests(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, width: int, similarity: float, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size of the shingle set, its 128-bit digest `node` (null if empty) and its band keys."""
+    """doc_id, a hash of the text, size of the shingle set, its 128-bit digest `node` (null if empty) and band keys."""
     bands = bands_for(similarity)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +108,17 @@ def signatures(docs: DataFrame, width: int, similarity: float, text: str = "text
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
+                        batch.column(2).slice(at, len(texts)),
                         pa.array(sizes),
                         pa.array(nodes, pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "n", "node", "bands"],
+                    ["doc_id", "h", "n", "node", "bands"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        each, f"doc_id {kind}, n long, node binary, bands array<long>"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).mapInArrow(
+        each, f"doc_id {kind}, h long, n long, node binary, bands array<long>"
     )
 
 
@@ -201,7 +202,8 @@ def linked(nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: st
     """(node, label): the component of every node that has a link."""
     spark = nodes.sparkSession
     rows = nodes.select("node", "n", "first_doc", F.explode("bands").alias("key"))
-    busy = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # One row a bucket, broadcast while buckets are few, so that no task gathers a crowded bucket.
+    busy = broadcast_if_small(cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")), 8)
     members = cut(rows.join(busy, "key"))
     wanted = cut(members.select("node", "first_doc").distinct())
     members = members.drop("first_doc")
@@ -213,6 +215,7 @@ def linked(nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: st
         at = _labelled(members, labels)
         hub = F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("o"), "node", "n", "label")).alias("hub")
         hubs = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub).where("lo <> hi").select("key", "hub")
+        hubs = broadcast_if_small(cut(hubs), 72)
         pairs = at.join(hubs, "key").where((F.col("label") != F.col("hub.label")) & close).select(ordered.alias("p")).select("p.*").distinct()
         found = cut(confirmed(pairs, sets, percent))
         if found.isEmpty():
@@ -221,7 +224,7 @@ def linked(nodes: DataFrame, docs: DataFrame, width: int, percent: int, text: st
         labels = components(links)
     at = _labelled(members, labels)
     mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    at = cut(at.join(mixed, "key"))
+    at = cut(at.join(broadcast_if_small(cut(mixed), 8), "key"))
     if not at.isEmpty():
         found = cut(across(at, sets, percent))
         if not found.isEmpty():
@@ -289,16 +292,47 @@ def across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return asked.unionByName(asking).groupBy("family", "block", "part").applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach) and kept (it is its component's name)."""
+def _marked(docs: DataFrame, width: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, node) of every row, and (node, first_doc, label) of every distinct set."""
     marks = cut(signatures(docs, width, percent / 100, text, doc_id))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "bands")).alias("f")
     nodes = marks.where("n > 0").groupBy("node").agg(first)
     nodes = cut(nodes.select("node", F.col("f.doc_id").alias("first_doc"), F.col("f.n").alias("n"), F.col("f.bands").alias("bands")))
     labels = linked(nodes, docs, width, percent, text, doc_id)
-    named = nodes.select("node", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return marks, nodes.select("node", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id that links reach) and kept (it is its component's name)."""
+    marks, named = _marked(docs, width, percent, text, doc_id)
     names = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     whose = named.join(names, "label").select("node", "component_id")
     out = marks.where("n > 0").select("doc_id", "n", "node").join(whose, "node").select("doc_id", "n", "component_id")
     out = out.unionByName(marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents with one of each component left: that of the least doc_id, of equal ids that of the least text hash.
+
+    A row is told by doc_id and text, null ids after all others, so texts that share an id are judged each on its own.
+    Repeated rows stay once if they have words; documents without words are linked with nothing and all stay.
+    """
+    marks, named = _marked(docs, width, percent, text, doc_id)
+    rows = marks.where("n > 0").join(named.select("node", "label"), "node").select("label", "doc_id", "h")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    best = cut(rows.groupBy("label").agg(F.min(order).alias("best"), F.max(order).alias("last"), F.count("*").alias("rows")).where("rows > 1"))
+    several = rows.join(broadcast_if_small(best.where("best <> last").select("label", "best"), 64), "label")
+    gone = cut(several.where(order != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
+    same = lambda side: F.col(doc_id).eqNullSafe(side["_id"]) & (F.xxhash64(text) == side["_h"])
+    small = broadcast_if_small(gone, 24)
+    left = docs.join(small, same(small), "left_anti")
+    # Rows given several times are found by their counts, so that only these are brought together.
+    twice = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.h").alias("h"), "label")
+    twice = rows.join(broadcast_if_small(twice, 64), ["label", "h"]).where(rows["doc_id"].eqNullSafe(twice["doc_id"])).groupBy(rows["doc_id"], "h").count().where("count > 1")
+    twice = cut(twice.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
+    if twice.isEmpty():
+        return left
+    small = broadcast_if_small(twice, 24)
+    once = left.join(small, same(small), "left_semi").dropDuplicates([doc_id, text])
+    return left.join(small, same(small), "left_anti").unionByName(once)
