@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import neardup, packing, quality, secrets, suffixes
-from tideline.session import broadcast_if_small, cut, ship, table
+from tideline.session import cut, ship, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -30,14 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose id no row keeps go; a repeated row stays once. Rows without an id can't be named and stay."""
+    """One document of each group stays, told by id and text; a repeated row stays once."""
     ship(spark)
-    marks = cut(neardup.near_duplicates(docs, width=5, percent=80).select("doc_id", "kept"))
-    ids = marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    ids = cut(ids.where("not kept or rows > 1"))
-    gone = broadcast_if_small(ids.where("not kept").select("doc_id"), 16)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left if ids.where("kept").isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    return neardup.survivors(docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
