@@ -47,6 +47,21 @@ def test_near_duplicates(docs, rows, width, percent):
     assert got == components(rows, width, percent)
 
 
+def test_survivors_are_told_by_id_and_text(spark):
+    """Texts that share an id, texts without one, repeated rows, null and wordless texts."""
+    from tideline.session import ship
+
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    near = say(1) + " end"
+    rows = [(1, say(1)), (1, near), (2, near), (3, say(3)), (3, say(4)), (4, say(4)), (5, say(5)), (5, say(5)), (None, say(6)), (None, say(6)), (None, near), (7, None), (7, None), (8, " \n"), (None, "")]
+    df = ship(spark).createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, h string, label string").repartition(4)
+    got = Counter((r.doc_id, r.text) for r in neardup.survivors(df).collect())
+    kept = [(3, say(3)), (3, say(4)), (5, say(5)), (None, say(6)), (7, None), (7, None), (8, " \n"), (None, "")]
+    one = got - Counter(kept)
+    assert got & Counter(kept) == Counter(kept) and len(one) == 1 and set(one) <= {(1, say(1)), (1, near)} and sum(one.values()) == 1
+    assert neardup.survivors(df.limit(0)).count() == 0
+
+
 def test_family_blocks_lose_no_link(docs, rows, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 2)
     monkeypatch.setattr(neardup, "STARS", 1)
@@ -68,7 +83,17 @@ def test_sketch_fills_and_estimates():
 
 
 def removed(rows, length):
-    """Bytes of each (doc_id, text) covered by a string that starts earlier."""
+    """Size, removed bytes, runs and the digest of what is left, of each (doc_id, text)."""
+    out = {}
+    for key, (b, gone) in repeated_bytes(rows, length).items():
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[key] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def repeated_bytes(rows, length):
+    """Bytes of each (doc_id, text), and which are covered by a string that starts earlier."""
     order = sorted({(i, t or "") for i, t, *_ in rows}, key=lambda x: x[0])
     seen, out = set(), {}
     for i, t in order:
@@ -78,16 +103,15 @@ def removed(rows, length):
             if b[k : k + length] in seen:
                 gone[k : k + length] = b"\1" * length
             seen.add(b[k : k + length])
-        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out[i, t] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i, t] = b, gone
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(100, 50_000), (100, 2), (10, 50_000), (37, 5), (300, 50_000)])
-def test_suffix_dedup(docs, rows, length, hot):
+@pytest.mark.parametrize(("length", "hot", "filter_bytes"), [(100, 50_000, 1 << 20), (100, 2, 1 << 20), (100, 50_000, 0), (37, 5, 0), (10, 50_000, 1 << 20)])
+def test_suffix_dedup(docs, rows, length, hot, filter_bytes):
+    """With a broadcast filter and without, with every repeated gram hot, and with other covers."""
     want = removed(rows, length)
-    got = Counter(tuple(r) for r in suffixes.measure(docs, length, hot=hot).collect())
+    got = Counter(tuple(r) for r in suffixes.measure(docs, length, hot=hot, filter_bytes=filter_bytes).collect())
     assert got == Counter((i, *want[i, t or ""]) for i, t, *_ in rows)
 
 
@@ -132,7 +156,8 @@ def test_lm_scores(docs, rows, none):
 
 
 def test_lm_model_score_has_single_pairs(docs, rows):
-    """`score` against brute force with the same quantisation: by joins exactly, by the filter but for its false hits."""
+    """`score` against brute force with exact counts and the same quantisation: equal but for the filter's false hits,
+    and the same at both sizes."""
 
     def about(c):
         level = math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) if c else 0
@@ -155,10 +180,30 @@ def test_lm_model_score_has_single_pairs(docs, rows):
         return out
 
     right = sorted(((r[0], len(ts), want(ts)) for r, ts in zip(rows, token, strict=True)))
-    for most, per_token in ((0, 1e-9), (lm.MAX_BYTES, 0.02)):
-        got = sorted((r.doc_id, r.n_tokens, r.score) for r in lm.score(docs, max_bytes=most).collect())
-        assert [g[:2] for g in got] == [w[:2] for w in right]
-        assert sum(abs(g[2] - w[2]) for g, w in zip(got, right, strict=True)) < per_token * sum(w[1] for w in right)
+    # The model on exact counts: no difference at all.
+    raw = [(r[1] or "").encode() for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    token_, previous, _ = lm._tokens(raw)
+    counts = [Counter(x.tolist()) for x in (np.concatenate((token_, np.full(len(raw), lm.BEGIN))), lm.pairs_of(previous, token_))]
+    levels = lambda h, c: np.where(c > 0, lm.word_levels(c), 0)
+    for r, ts in zip(rows, token, strict=True):
+        grams = lm.Grams.of([(r[1] or "").encode()])
+        own = [np.array([c[x] for x in h.tolist()]) for h, c in zip((grams.words, grams.pairs), counts, strict=True)]
+        assert abs(grams.scores(own[0], levels(grams.words, own[0]), levels(grams.pairs, own[1]), n, v)[2][0] - want(ts)) < 1e-9 * len(ts)
+    got, same = (sorted((r.doc_id, r.n_tokens, r.score) for r in lm.score(docs, max_bytes=most).collect()) for most in (lm.MAX_BYTES, 0))
+    assert got == same
+    assert [g[:2] for g in got] == [w[:2] for w in right]
+    assert sum(abs(g[2] - w[2]) for g, w in zip(got, right, strict=True)) < 0.002 * sum(w[1] for w in right)
+
+
+def test_filter_errs_as_seldom_as_stated():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2)
+    counts = rng.integers(1, 30, len(h))
+    bits = np.frombuffer(lm.segment_of([(h, counts)]), np.uint8)
+    read = lambda x: lm.read_levels(x, bits, np.zeros(len(x), np.int64), np.full(len(x), 8 * len(bits)))
+    assert (read(h) >= lm.word_levels(counts)).all() and (read(h) > lm.word_levels(counts)).mean() < 0.002
+    assert (read(rng.integers(0, 2**63, 200_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.001
+    assert len(lm.segment_of([])) == 0 and (lm.read_levels(h, bits[:0], np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)) == 0).all()
 
 
 def test_filter_reads_levels_back():
@@ -183,6 +228,19 @@ def test_pipeline(spark, docs, rows, none, tmp_path):
         if name == "near_duplicates":
             names = {(r.doc_id) for r in neardup.near_duplicates(before).where("kept").collect()}
             assert sorted(r.doc_id for r in out.collect()) == sorted(names)
+        if name == "repeated_passages":
+            left = {i: bytes(c for c, g in zip(b, gone, strict=True) if not g).decode(errors="ignore") for (i, _), (b, gone) in repeated_bytes([(r.doc_id, r.text) for r in before.collect()], 100).items()}
+            assert {r.doc_id: r.text for r in out.collect()} == left and out.where("n_chars <> length(text)").count() == 0
+        if name == "packing":
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            whole = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1] for r in before.collect()}
+            found: dict = {}
+            for r in out.orderBy("doc_id", "start").collect():
+                found.setdefault(r.doc_id, []).extend(r.ids)
+            assert found == whole
         if name == "secret_scan":
             assert out.where("text like '%24be64439e3e49cf%'").count() == 0
     assert out.where("offset <> 0").count() == 0 and out.agg({"length": "sum"}).first()[0] > 0

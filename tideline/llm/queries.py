@@ -110,6 +110,42 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.measure(_documents(spark, sf_dir), length=100)
 
 
+OP9_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
+  from documents),
+sh as (
+  select distinct doc_id, array_to_string(ws[i:i+2], ' ') s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) i from d where len(ws) > 0)),
+n as (select d.doc_id, count(s) n from d left join sh on sh.doc_id = d.doc_id group by d.doc_id),
+common as (select a.doc_id x, b.doc_id y, count(*) i from sh a join sh b on b.s = a.s and b.doc_id > a.doc_id group by 1, 2),
+links as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 85 * (p.n + q.n - i)),
+both_ as (select x, y from links union all select y, x from links),
+reach as (select x, y from both_ union select r.x, b.y from reach r join both_ b on b.x = r.y),
+least_ as (select x, min(y) m from reach group by x)
+select n.doc_id, n.n::bigint n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) component_id, n.doc_id = least(n.doc_id, coalesce(m, n.doc_id)) kept
+from n left join least_ on least_.x = n.doc_id
+"""
+
+OP10_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) b from documents),
+s as (select doc_id, k, b[k + 1 : k + 100] t from (select doc_id, b, unnest(range(octet_length(b) - 99)) k from d where octet_length(b) >= 100)),
+later as (select doc_id, k from (select doc_id, k, row_number() over (partition by t order by doc_id, k) r from s) where r > 1),
+steps as (select doc_id, k, lag(k) over (partition by doc_id order by k) p, lead(k) over (partition by doc_id order by k) q from later),
+sums as (
+  select doc_id, sum(least(100, coalesce(q, k + 100) - k)) n_removed, count_if(p is null or k > p + 100) n_spans from steps group by doc_id),
+first_ as (select doc_id, k, row_number() over (partition by doc_id order by k) i from steps where p is null or k > p + 100),
+last_ as (select doc_id, k + 100 e, row_number() over (partition by doc_id order by k) i from steps where q is null or q > k + 100),
+gaps as (
+  select f.doc_id, coalesce(l.e, 0) a, f.k z from first_ f left join last_ l on l.doc_id = f.doc_id and l.i = f.i - 1
+  union all select doc_id, max(e), null from last_ group by doc_id),
+left_ as (
+  select g.doc_id, string_agg(hex(d.b[g.a + 1 : coalesce(g.z, octet_length(d.b))]), '' order by g.a) h
+  from gaps g join d on d.doc_id = g.doc_id group by g.doc_id)
+select d.doc_id, octet_length(d.b)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+       sha256(coalesce(unhex(h), d.b)) kept_sha256
+from d left join sums on sums.doc_id = d.doc_id left join left_ on left_.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pieces": op2_pieces,
@@ -122,4 +158,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_near_duplicates": OP9_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -7,8 +7,8 @@ sampled positions at one shift, and the suffixes there share their first length
 suffixes at sampled positions are ever sorted, one bucket at a time; all others follow from their ranks.
 
 1. Gram hashes of the sample are counted by hash range. What occurs at two residues, or twice at residue 0, goes into
-   a bit filter of bounded size that is broadcast. A filter too small for the corpus lets more through; it never loses
-   a repeat.
+   a bit filter that is broadcast while two bits a sample fit in `filter_bytes`. Beyond that every run of texts asks each
+   hash range about its own samples and gets a bit for each; the result is the same.
 2. Each sampled suffix that passes is sent to its bucket with the bytes that its strings span: `length` to the right,
    period - 1 to the left.
 3. A bucket's suffixes are sorted by gram and content, and their left contexts likewise; the sorted order with
@@ -36,12 +36,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.words import by_part, chain, runs
+from tideline.llm.words import by_part, chain, pack, runs, unpack
 from tideline.session import broadcast_if_small, cut
 
 #: Perfect difference sets by period: every residue is the difference of two members. Fixed values.
@@ -58,11 +57,10 @@ GRAM = 28  # bytes of a gram, where the length allows it
 CHUNK = 1 << 18  # sampled positions handled at once
 BUCKET = 8192  # suffixes sorted at once in a task
 PART_SAMPLES = 1 << 20  # sampled positions counted in one group
-PART_BYTES = 24 << 20  # bytes of contexts in one bucket
+PART_BYTES = 12 << 20  # bytes of contexts in one bucket
 FILTER_BYTES = 64 << 20
 HOT = 50_000
 LAST = 2**63 - 1
-SMALLER, LARGER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 @dataclass(frozen=True)
@@ -135,14 +133,6 @@ def _laid_out(texts: list[bytes], length: int):
     return np.array(rows, np.int64), buf, np.cumsum([len(texts[i]) for i in rows], dtype=np.int64)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return SMALLER.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _unpack(blob: pa.Scalar) -> bytes:
-    return LARGER.decompress(blob.as_buffer())
-
-
 @dataclass(frozen=True)
 class Filter:
     """Which hashes repeat. A hash is known by its first part_bits + key_bits bits; a key travels with four bits of
@@ -162,7 +152,7 @@ class Filter:
         # 64 times as many hashes as samples, so that strangers rarely meet; the rest of the hash stays at home.
         bits = (64 * samples + 1).bit_length() - part_bits + 4
         width = min(7, max(2, -(-bits // 8)), (64 - part_bits) // 8)
-        segment = 1 << max(6, min(2 * samples >> part_bits, 8 * filter_bytes >> part_bits).bit_length() - 1)
+        segment = 1 << max(6, min(2 * samples, 8 * filter_bytes).bit_length() - 1 - part_bits)
         return cls(part_bits, width, segment)
 
     def keys(self, h: np.ndarray) -> np.ndarray:
@@ -199,10 +189,10 @@ class Filter:
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             planes = v[cuts[p] : cuts[p + 1]].view(np.uint8).reshape(-1, 8)[:, : self.width].T
             a, b = cuts_more[p], cuts_more[p + 1]
-            yield p, _pack(planes), (more[a:b] & mask).tobytes(), times[a:b].astype("<i8").tobytes()
+            yield p, pack(planes), (more[a:b] & mask).tobytes(), times[a:b].astype("<i8").tobytes()
 
     def read(self, blob: pa.Scalar) -> np.ndarray:
-        planes = np.frombuffer(_unpack(blob), np.uint8).reshape(self.width, -1)
+        planes = np.frombuffer(unpack(blob), np.uint8).reshape(self.width, -1)
         out = np.zeros((planes.shape[1], 8), np.uint8)
         out[:, : self.width] = planes.T
         return out.view("<u8").ravel()
@@ -224,7 +214,7 @@ class Filter:
         seen[self.slots(keys[new[several]], True)] = True
         seen[self.slots(keys[new[twice]], False)] = True
         often = keys[new[(n > hot) & (several | twice)]] | np.uint64(part << self.key_bits)
-        row = [[part], [_pack(np.packbits(seen, bitorder="little"))], [often.tobytes()], [int(n[several | twice].sum())]]
+        row = [[part], [pack(np.packbits(seen, bitorder="little"))], [often.tobytes()], [int(n[several | twice].sum())]]
         return pa.table({"part": pa.array(row[0], pa.int64()), "bits": pa.array(row[1], pa.binary()), "hot": pa.array(row[2], pa.binary()), "n": pa.array(row[3], pa.int64())})
 
     def gather(self, counted: DataFrame, hot: int) -> tuple[bytes, bytes, int]:
@@ -233,7 +223,7 @@ class Filter:
         rows = counted.groupBy("part").applyInArrow(lambda t: self.count(t, hot), "part long, bits binary, hot binary, n long")
         for row in rows.collect():
             at = row["part"] * self.segment // 8
-            bits[at : at + self.segment // 8] = np.frombuffer(LARGER.decompress(bytes(row["bits"])), np.uint8)
+            bits[at : at + self.segment // 8] = np.frombuffer(unpack(row["bits"]), np.uint8)
             often.append(bytes(row["hot"]))
             total += row["n"]
         return bits.tobytes(), b"".join(often), total
@@ -279,19 +269,93 @@ def _contexts(work: DataFrame, cover: Cover, kind: Filter, bits: int, shared) ->
                     ok = kind.passes(raw, h, residue)
                     if len(hot):
                         ok &= ~np.isin(kind.keys(h), hot)
-                    at, doc, h = at[ok], doc[ok], h[ok]
-                    left = np.minimum(at - begins[doc], cover.period - 1)
-                    right = np.minimum(ends[doc] - at, cover.length)
-                    columns = (ids[doc], h1s[doc], at - begins[doc], left, right)
-                    out = []
-                    for p, mine in by_part(h, bits):
-                        head = [c[mine].astype(t) for c, (_, t) in zip(columns, OCCURRENCE, strict=True)]
-                        out.append((p, _pack(*head), _pack(_gather(buf, at[mine] - left[mine], at[mine] + right[mine]))))
-                    if out:
-                        part, *blobs = zip(*out, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "occurrences", "bytes"])
+                    yield _sent(at[ok], doc[ok], h[ok], ids, h1s, begins, ends, buf, cover, bits)
+
+    return work.select("id", "h1", "text").mapInArrow(emit, CONTEXTS)
+
+
+CONTEXTS = "part long, occurrences binary, bytes binary"
+
+
+def _sent(at, doc, h, ids, h1s, begins, ends, buf: np.ndarray, cover: Cover, bits: int) -> pa.RecordBatch:
+    """The chosen suffixes by bucket, with what their strings span."""
+    left = np.minimum(at - begins[doc], cover.period - 1)
+    right = np.minimum(ends[doc] - at, cover.length)
+    columns = (ids[doc], h1s[doc], at - begins[doc], left, right)
+    out = []
+    for p, mine in by_part(h, bits):
+        head = [c[mine].astype(t) for c, (_, t) in zip(columns, OCCURRENCE, strict=True)]
+        out.append((p, pack(*head), pack(_gather(buf, at[mine] - left[mine], at[mine] + right[mine]))))
+    part, *blobs = zip(*out, strict=True) if out else ((),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "occurrences", "bytes"])
+
+
+def _asked(work: DataFrame, cover: Cover, kind: Filter, hot: int):
+    """For texts whose filter would be too large to broadcast: the same choice without one. Each run of texts asks every
+    hash range which of its own samples repeat, and gets a bit for each. Gives the runs, the answers, the hot keys and
+    the number of occurrences that pass."""
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in runs(batch.column(2)):
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), c.slice(at, len(texts))) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays(lists, ["id", "h1", "text"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, buf, ends = _laid_out(own.values.cast(pa.binary()).to_pylist(), cover.length)
+                for chunk, (_, _, residue, h) in enumerate(sampled(buf, ends, cover)):
+                    v = kind.keys(h) << np.uint64(4) | residue.astype(np.uint64)
+                    rows = [(run, chunk, p, pack(v[mine].view(np.uint8).reshape(-1, 8)[:, : kind.width].T)) for p, mine in by_part(h, kind.part_bits)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True)], ["run", "chunk", "part", "keys"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        blobs = [kind.read(b) for b in table["keys"]]
+        v = np.concatenate(blobs)
+        order = np.argsort(v, kind="stable")
+        keys = v[order] >> np.uint64(4)
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(v)))
+        ends = v[order][first], v[order][first + n - 1]
+        repeated = (ends[0] != ends[1]) | (n > 1) & (ends[0] & np.uint64(15) == 0)
+        often = repeated & (n > hot)
+        ok = np.zeros(len(v), bool)
+        ok[order] = (repeated & ~often)[np.cumsum(new) - 1]
+        cuts = np.cumsum([len(b) for b in blobs])[:-1]
+        masks = [(np.packbits(m).tobytes(), int(m.sum())) for m in np.split(ok, cuts)]
+        hot_keys = (keys[first[often]] | np.uint64(part << kind.key_bits)).tobytes()
+        columns = [table["run"].to_pylist() + [-1], table["chunk"].to_pylist() + [-1], table["part"].to_pylist() + [part], [m for m, _ in masks] + [hot_keys], [k for _, k in masks] + [0]]
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("run", "chunk", "part", "mask", "n"), columns, (pa.int64(),) * 3 + (pa.binary(), pa.int64()), strict=True)})
+
+    texts = work.select("id", "h1", "text").mapInArrow(laid, "id array<long>, h1 array<long>, text array<string>")
+    texts = cut(texts.withColumn("run", F.monotonically_increasing_id()))
+    asked = texts.select("run", "text").mapInArrow(ask, "run long, chunk long, part long, keys binary")
+    answers = cut(asked.groupBy("part").applyInArrow(answer, "run long, chunk long, part long, mask binary, n long"))
+    often = b"".join(bytes(r["mask"]) for r in answers.where("run = -1 and octet_length(mask) > 0").select("mask").collect())
+    return texts, answers.where("run >= 0"), often, answers.agg(F.sum("n")).first()[0] or 0
+
+
+def _answered(texts: DataFrame, answers: DataFrame, cover: Cover, kind: Filter, bits: int) -> DataFrame:
+    """Contexts of the samples that the answers choose."""
+
+    def emit(own: pa.Table, told: pa.Table) -> pa.Table:
+        masks = {key: m for *key_, m in zip(*(told[c].to_pylist() for c in ("chunk", "part", "mask")), strict=True) for key in [tuple(key_)]}
+        lists = {c: own[c][0].values for c in ("id", "h1", "text")}
+        rows, buf, ends = _laid_out(lists["text"].cast(pa.binary()).to_pylist(), cover.length)
+        ids, h1s = (lists[c].to_numpy()[rows] for c in ("id", "h1"))
+        begins = ends - np.diff(ends, prepend=0)
+        out = []
+        for chunk, (at, doc, _, h) in enumerate(sampled(buf, ends, cover)):
+            ok = np.zeros(len(at), bool)
+            for p, mine in by_part(h, kind.part_bits):
+                ok[mine] = np.unpackbits(np.frombuffer(masks[chunk, p], np.uint8), count=len(mine)).astype(bool)
+            out.append(_sent(at[ok], doc[ok], h[ok], ids, h1s, begins, ends, buf, cover, bits))
+        return pa.Table.from_batches(out)
 
-    return work.select("id", "h1", "text").mapInArrow(emit, "part long, occurrences binary, bytes binary")
+    return texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(emit, CONTEXTS)
 
 
 def _gather(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -306,13 +370,13 @@ def _load(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
     columns: dict[str, list] = {name: [] for name, _ in OCCURRENCE}
     size = sum(np.dtype(t).itemsize for _, t in OCCURRENCE)
     for blob in table["occurrences"]:
-        raw = _unpack(blob)
+        raw = unpack(blob)
         count, at = len(raw) // size, 0
         for name, t in OCCURRENCE:
             columns[name].append(np.frombuffer(raw, t, count, at).astype(np.int64))
             at += count * np.dtype(t).itemsize
     found = {name: np.concatenate(parts) for name, parts in columns.items()}
-    buf = np.frombuffer(b"".join(map(_unpack, table["bytes"])), np.uint8)
+    buf = np.frombuffer(b"".join(map(unpack, table["bytes"])), np.uint8)
     n = found["left"] + found["right"]
     start = np.cumsum(n) - n
     order = np.lexsort((found["at"], found["h1"], found["id"]))
@@ -475,27 +539,35 @@ def spans(work: DataFrame, length: int, n_bytes: int, hot: int = HOT, filter_byt
     cover = Cover(length)
     samples = n_bytes * len(cover.residues) // cover.period + 1
     kind = Filter.of(samples, filter_bytes)
-    raw, often, passing = kind.gather(count_samples(work, cover, kind), hot)
-    shared = work.sparkSession.sparkContext.broadcast((raw, often))
     # Buckets by the bytes that are sent, so that a task sorts as much at a time at every size.
-    bits = max(1, (passing * (length + cover.period) // PART_BYTES).bit_length())
-    contexts = _contexts(work, cover, kind, bits, shared)
+    parts = lambda passing: max(1, (passing * (length + cover.period) // PART_BYTES).bit_length())
+    spark = work.sparkSession
+    if 2 * samples <= 8 * filter_bytes:
+        raw, often, passing = kind.gather(count_samples(work, cover, kind), hot)
+        shared = spark.sparkContext.broadcast((raw, often))
+        contexts = _contexts(work, cover, kind, parts(passing), shared)
+    else:
+        texts, answers, often, passing = _asked(work, cover, kind, hot)
+        shared = spark.sparkContext.broadcast((b"", often))
+        contexts = _answered(texts, answers, cover, kind, parts(passing))
     found = contexts.groupBy("part").applyInArrow(lambda t: _spans(t, cover), "id long, h1 long, s long, e long")
     if often:
         found = found.unionByName(_hot_spans(work, cover, kind, shared, samples, filter_bytes))
     return found
 
 
-def _prepared(docs: DataFrame, length: int, text: str, doc_id: str, hot: int):
+def _prepared(docs: DataFrame, length: int, text: str, doc_id: str, hot: int, filter_bytes: int):
     """Keyed rows, (id, h1, h2) of later copies of a text, and the repeated ranges of every other text."""
     rows = keyed(docs, text, doc_id)
     light = cut(rows.select("id", "h1", "h2", "n"))
     total = light.agg(F.sum("n")).first()[0] or 0
     copied = light.where(F.col("n") >= length).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    # One row a text that has copies; broadcast while they are few, so that no task gathers a text's many copies.
+    copied = broadcast_if_small(cut(copied.drop("last")), 32)
     copies = cut(light.join(copied, ["h1", "h2"]).where("id <> first").select("id", "h1", "h2").distinct())
     small = broadcast_if_small(copies, 40)
     work = rows.join(small, ["id", "h1", "h2"], "left_anti")
-    ranges = spans(work.select("id", "h1", "text"), length, total, hot)
+    ranges = spans(work.select("id", "h1", "text"), length, total, hot, filter_bytes)
     merged = cut(ranges.groupBy("id", "h1").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
     return rows, small, merged
 
@@ -517,9 +589,9 @@ def _kept(raw: bytes, found: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + raw[at:]
 
 
-def measure(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
+def measure(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the digest of what is left, for every row."""
-    rows, copies, merged = _prepared(docs, length, text, doc_id, hot)
+    rows, copies, merged = _prepared(docs, length, text, doc_id, hot, filter_bytes)
     keys = broadcast_if_small(merged.select("id", "h1"), 24)
     is_copy = rows.join(copies.withColumn("copy", F.lit(True)), ["id", "h1", "h2"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     plain = is_copy.join(keys.withColumn("cut", F.lit(True)), ["id", "h1"], "left").where("copy or cut is null")
@@ -555,10 +627,10 @@ def _range_arrays(scalar) -> list[tuple[int, int]]:
     return _union(v.field("s").to_numpy(), v.field("e").to_numpy())
 
 
-def cleaned(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """The documents without the repeated bytes; a character that is only partly left goes too. Null texts stay null."""
     columns = docs.columns
-    _, copies, merged = _prepared(docs, length, text, doc_id, hot)
+    _, copies, merged = _prepared(docs, length, text, doc_id, hot, filter_bytes)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_h1": F.xxhash64(t), "_h2": F.xxhash64(F.lit(1), t, F.lit(2))})
     copies = copies.select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.lit(True).alias("_copy"))
