@@ -38,6 +38,15 @@ def test_equal_keys_are_confirmed_by_the_string(monkeypatch, tmp_path):
     assert found[1] == -1 and {index.verdicts[index.verdict[i]] for i in (found[0], found[2])} == {"allow", "block"}
 
 
+def test_urls_with_long_names_and_paths(spark):
+    from tideline.session import ship
+
+    rules = [urls.Rule("a.com/" + "x" * 5000, "verdict-" + "v" * 400), urls.Rule("a.com/", "block")]
+    df = ship(spark).createDataFrame([(0, "http://a.com/" + "x" * 200_000), (1, "http://a.com/y")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(df, rules).collect()}
+    assert got == {0: rules[0].verdict, 1: "block"}
+
+
 def quality_of(text):
     t = text or ""
     w = WORD.findall(t)
@@ -164,6 +173,48 @@ def test_viterbi_equals_the_library_read_as_unigram():
         assert score(ids) == pytest.approx(score(unigram.encode(w)))
 
 
+def test_viterbi_is_the_best_of_all_segmentations(monkeypatch):
+    """Short strings against every way to cut them; long ones in blocks against the same in one table."""
+    import itertools
+
+    p = pieces.Pieces()
+    rng = np.random.default_rng(2)
+    known = {int(k): float(v) for k, v in zip(p.keys, p.scores, strict=True)}
+
+    def total(text, cuts):
+        out = 0.0
+        for a, b in itertools.pairwise(cuts):
+            key = int(p._key_of(text[a:b]))
+            if key not in known and b - a > 1:
+                return -np.inf
+            out += known.get(key, p.unknown)
+        return out
+
+    for size in (1, 2, 5, 9):
+        texts = ["".join(rng.choice(list("▁theandinés日q"), size)) for _ in range(12)]
+        codes = np.array([[ord(c) for c in t] for t in texts], np.uint64)
+        row, start, end = pieces.viterbi(codes, p, p.candidates(codes))
+        for i, t in enumerate(texts):
+            cuts = [0, *end[row == i].tolist()]
+            ways = (total(t, [0, *c, size]) for k in range(size) for c in itertools.combinations(range(1, size), k))
+            assert total(t, cuts) == pytest.approx(max(ways)) and start[row == i].tolist() == cuts[:-1]
+    monkeypatch.setattr(pieces, "STEP", 7)
+    codes = np.array([[ord(c) for c in rng.choice(list("▁theandinés日q"), 300)]], np.uint64)
+    whole, blocks = pieces.viterbi(codes, p, p.candidates(codes)), pieces.viterbi(codes, p)
+    assert all((a == b).all() for a, b in zip(whole, blocks, strict=True))
+    assert (p.at(codes, *whole) == p.candidates(codes)[whole[0], whole[1], whole[2] - whole[1] - 1]).all()
+
+
+def test_pieces_of_unspaced_text_and_the_space_sign(spark):
+    from tideline.session import ship
+
+    texts = ["日本語" * 60_000, "a▁b", "▁", "x" * 5000]
+    df = ship(spark).createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for way in ("viterbi", "merges"):
+        back = pieces.decode(pieces.encode(df, way=way)).collect()
+        assert {r.doc_id: r.text for r in back} == {i: t.replace("▁", " ") for i, t in enumerate(texts)}
+
+
 def test_fingerprints(docs, rows, none):
     one = docs.dropDuplicates(["doc_id"])
     text = {r.doc_id: r.text or "" for r in one.collect()}
@@ -192,3 +243,32 @@ def test_fingerprint_is_a_multiset_sum(spark):
         fingerprints.likeness(v["x"], v["y"]).alias("same"),
     ).first()
     assert r.v_x == r.v_y == r["sum"] and r.less == r.v_rest and r.v_x != r.v_rest and r.same == 1.0
+
+
+def test_fingerprint_equals_a_sum_in_plain_python(spark):
+    """Recomputed from the paragraphs' hashes, and beyond the paragraphs that a narrow lane holds."""
+    texts = ["", "a\nb\nc, d", "b, x\n" * 40 + "a", "line\n" * 8193, "line\n" * 16384, "line\n" * 16385, "line", "a\n" * 5000 + "b\n" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprint(df).collect()}
+    parts = [[x for x in re.split(r"\n+|(?<=[.!?;:,|]) +", t) if x] for t in texts]
+    distinct = spark.createDataFrame([(x,) for x in sorted({x for p in parts for x in p})], "p string")
+    hashes = {r.p: [r[f"h{s}"] % 2**64 for s in range(4)] for r in distinct.select("p", *[F.xxhash64("p", F.lit(s)).alias(f"h{s}") for s in range(4)]).collect()}
+    for i, p in enumerate(parts):
+        signs, wide = np.zeros(240, np.int64), [0] * 8
+        for x, times in Counter(p).items():
+            bits = [h >> (k + 15 * lane) & 1 for h in hashes[x] for k in range(15) for lane in range(4)]
+            signs += times * (2 * np.array(bits) - 1)
+            wide = [w + times * v for w, v in zip(wide, [y for h in hashes[x] for y in (h >> 32, h % 2**32)], strict=True)]
+        assert got[i].vector == [*signs.tolist(), *(w % 2**62 for w in wide), len(p)]
+    assert len({r.fingerprint for r in got.values()}) == len(texts)
+    half = spark.createDataFrame([(texts[-1], "a\n" * 5000)], "x string, y string")
+    near = half.select(fingerprints.likeness(fingerprints.vector(F.col("x")), fingerprints.vector(F.col("y"))).alias("n")).first().n
+    assert abs(near - 2 / 3) < 0.15
+
+
+def test_fingerprints_of_null_ids_and_clashing_names(spark):
+    rows = [(None, "x, y", "clash"), (5, "x, y", "clash"), (5, None, "clash")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, vector string")
+    got = fingerprints.compare_with_edits(df).collect()
+    assert sorted((r.doc_id is None, r.n_chars) for r in got) == [(False, 0), (False, 4), (True, 4)]
+    assert len({r.fingerprint for r in got if r.n_chars == 4}) == 1

@@ -5,13 +5,16 @@ grouped by length, and units of equal length advance together. The hash of every
 and is looked up in the sorted keys of the pieces, once per batch. On that table of candidates
 
 * `viterbi` finds the segmentation with the greatest sum of scores: for each end position the maximum over piece
-  lengths is taken for all units at once and its start is stored as back-pointer. This is right for unigram models.
+  lengths is taken for all units at once and its start is stored as back-pointer. Positions advance in blocks that carry
+  the scores of the last few, so that a text without spaces needs no table of its own size. This is the operator's own
+  segmentation, and right for unigram models.
 * `merges` joins the best-scoring adjacent pair of every unit, round by round, as a byte-pair model of the library
   does. A sum of scores cannot give a byte-pair model's ids, and the public model at hand is one.
 
-Characters without a piece become byte pieces. Decoding is exact. Defined cases: null text gives null ids; empty text
-gives none; units longer than LONGEST characters are merged by the library itself, whose ids are the same; an empty
-table gives no rows; rows that repeat are encoded each; only the `keep` columns are carried over.
+Characters without a piece become byte pieces. Decoding is exact but for the sign that stands for a space in pieces
+(U+2581), which comes back as a space. Defined cases: null text gives null ids; empty text gives none; units longer
+than LONGEST characters are merged by the library itself, whose ids are the same; an empty table gives no rows; rows
+that repeat are encoded each; only the `keep` columns are carried over.
 """
 
 from __future__ import annotations
@@ -34,7 +37,10 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SEEN = np.uint64((1 << 21) - 1)
 LONGEST = 256
-CACHE = 300_000
+CACHE = 300_000  # units of at most CACHED characters, dropped when a task ends
+CACHED = 64
+TABLE = 1 << 17  # characters whose candidates are held at once
+STEP = 4096  # positions at a time of a unit longer than that
 UNKNOWN_PENALTY = 10.0
 
 
@@ -79,25 +85,45 @@ class Pieces:
     def candidates(self, codes: np.ndarray) -> np.ndarray:
         """Index of the piece at (unit, start, length - 1) in the sorted table, or -1. Few substrings are pieces, so a
         bit of each key is looked at before the binary search."""
-        keys = substring_keys(codes, self.longest)
+        return self._find(substring_keys(codes, self.longest))
+
+    def at(self, codes: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for chosen substrings, none longer than a piece."""
+        prefix, length = prefix_hashes(codes), end - start
+        power = np.array(powers(self.longest), np.uint64)[length]
+        return self._find(mix(prefix[row, end] - prefix[row, start] * power + length.astype(np.uint64)))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(keys.shape, -1, np.int32)
         maybe = np.nonzero(self.seen[(keys & SEEN).astype(np.int32)])
         probe = keys[maybe]
-        at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == probe, at, -1)
+        place = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[place] == probe, place, -1)
         return out
 
 
-def substring_keys(codes: np.ndarray, longest: int) -> np.ndarray:
-    """Keys of all substrings, from prefix hashes; those that run over the end are 0."""
+def prefix_hashes(codes: np.ndarray) -> np.ndarray:
     n, size = codes.shape
     prefix = np.zeros((n, size + 1), np.uint64)
     for k in range(size):
         prefix[:, k + 1] = prefix[:, k] * FACTOR + codes[:, k].astype(np.uint64) + np.uint64(1)
+    return prefix
+
+
+def powers(longest: int) -> list[np.uint64]:
+    """FACTOR to the powers 0 to `longest`, modulo 2**64."""
+    out = [1]
+    for _ in range(longest):
+        out.append(out[-1] * int(FACTOR) % 2**64)
+    return [np.uint64(x) for x in out]
+
+
+def substring_keys(codes: np.ndarray, longest: int) -> np.ndarray:
+    """Keys of all substrings, from prefix hashes; those that run over the end are 0."""
+    n, size = codes.shape
+    prefix = prefix_hashes(codes)
     out = np.zeros((n, size, min(longest, size)), np.uint64)
-    power = np.uint64(1)
-    for length in range(1, out.shape[2] + 1):
-        power = power * FACTOR
+    for length, power in enumerate(powers(out.shape[2])[1:], 1):
         out[:, : size - length + 1, length - 1] = mix(prefix[:, length:] - prefix[:, : size - length + 1] * power + np.uint64(length))
     return out
 
@@ -105,21 +131,28 @@ def substring_keys(codes: np.ndarray, longest: int) -> np.ndarray:
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]  # unit, start, end of every piece, in order
 
 
-def viterbi(found: np.ndarray, scores: np.ndarray, unknown: float) -> Spans:
-    """Pieces of the best segmentation of every unit; of equal ones that with the longest last piece."""
-    n, size, longest = found.shape
+def viterbi(codes: np.ndarray, pieces: Pieces, whole: np.ndarray | None = None) -> Spans:
+    """Pieces of the best segmentation of every unit; of equal ones that with the longest last piece. `whole` are the
+    candidates of all positions; without it they are looked up STEP positions at a time."""
+    n, size = codes.shape
+    longest = min(pieces.longest, size)
+    step = STEP if whole is None else size
     best = np.full((n, size + 1), -np.inf)
     best[:, 0] = 0
     back = np.zeros((n, size + 1), np.int32)
-    value = np.where(found >= 0, scores[found], -np.inf)
-    value[:, :, 0] = np.where(found[:, :, 0] >= 0, value[:, :, 0], unknown)
     row = np.arange(n)
-    for end in range(1, size + 1):
-        starts = np.arange(max(0, end - longest), end)
-        sums = best[:, starts] + value[:, starts, end - 1 - starts]
-        pick = sums.argmax(1)
-        best[:, end] = sums[row, pick]
-        back[:, end] = starts[pick]
+    for first in range(0, size, step):
+        # Scores of the pieces that end in this block: they start in it or up to `longest` before it.
+        low, high = max(0, first - longest + 1), min(size, first + step)
+        found = pieces.candidates(codes[:, low:high]) if whole is None else whole
+        value = np.where(found >= 0, pieces.scores[found], -np.inf)
+        value[:, :, 0] = np.where(found[:, :, 0] >= 0, value[:, :, 0], pieces.unknown)
+        for end in range(first + 1, high + 1):
+            starts = np.arange(max(0, end - value.shape[2]), end)
+            sums = best[:, starts] + value[:, starts - low, end - 1 - starts]
+            pick = sums.argmax(1)
+            best[:, end] = sums[row, pick]
+            back[:, end] = starts[pick]
     spans, end = [], np.full(n, size)
     while len(row):
         start = back[row, end]
@@ -173,29 +206,27 @@ class Encoder:
         for u in units:
             by_length.setdefault(len(u), []).append(u)
         for size, same in by_length.items():
-            step = max(1, 2_000_000 // (size * min(size, self.pieces.longest)))
+            step = max(1, TABLE // size)
             for at in range(0, len(same), step):
                 self._batch(same[at : at + step], size)
 
     def _batch(self, units: list[str], size: int) -> None:
         p = self.pieces
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, size)
-        found = p.candidates(codes)
+        found = p.candidates(codes) if codes.size <= TABLE else None
         ways = []
         for way in self.ways:
             if way == "viterbi":
-                spans = viterbi(found, p.scores, p.unknown)
+                ways.append(self._ids(units, codes, viterbi(codes, p, found), found))
             elif size <= LONGEST:
-                spans = merges(found, p.scores)
+                ways.append(self._ids(units, codes, merges(found, p.scores), found))
             else:
                 ways.append([self._library(u) for u in units])
-                continue
-            ways.append(self._ids(units, codes, found, spans))
         self.cache.update(zip(units, zip(*ways, strict=True), strict=True))
 
-    def _ids(self, units: list[str], codes: np.ndarray, found: np.ndarray, spans: Spans) -> list[bytes]:
+    def _ids(self, units: list[str], codes: np.ndarray, spans: Spans, found: np.ndarray | None) -> list[bytes]:
         row, start, end = spans
-        at = found[row, start, end - start - 1]
+        at = self.pieces.at(codes, row, start, end) if found is None else found[row, start, end - start - 1]
         ids = self.pieces.ids[at]
         code = codes[row, start]
         byte = (at < 0) & (code < 128)  # an ASCII character that is no piece is one byte piece
@@ -230,8 +261,17 @@ class Encoder:
         for t, units in zip(texts, cut, strict=True):
             rows = [self.cache[u] for u in units]
             out.append(None if t is None else tuple(b"".join([r[k] for r in rows]) for k in range(len(self.ways))))
+        for u in new:
+            if len(u) > CACHED:
+                del self.cache[u]
         return out
 
+    def __enter__(self) -> Encoder:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.cache.clear()
+
     def decode(self, ids: bytes) -> str:
         raw = self.pieces.raw
         return b"".join([raw[i] for i in np.frombuffer(ids, "<i4").tolist()])[1:].decode(errors="replace")
@@ -259,16 +299,16 @@ def _text_runs(column: pa.Array, chars: int = 1 << 20):
 
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = "piece_bpe_32k.model", way: str = "merges") -> DataFrame:
-    """`keep` columns and the ids of every text."""
+    """`keep` columns and the ids of every text, by `viterbi` for unigram models or by `merges` for byte-pair models."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model, (way,))
-        for batch in batches:
-            for at, texts in _text_runs(batch.column("_text")):
-                ids = [None if r is None else np.frombuffer(r[0], "<i4") for r in enc.encode(texts)]
-                kept = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
+        with encoder(model, (way,)) as enc:
+            for batch in batches:
+                for at, texts in _text_runs(batch.column("_text")):
+                    ids = [None if r is None else np.frombuffer(r[0], "<i4") for r in enc.encode(texts)]
+                    kept = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
     return rows.mapInArrow(each, docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())))
 
@@ -287,19 +327,21 @@ def decode(rows: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",
 
 
 def profile(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = "piece_bpe_32k.model") -> DataFrame:
-    """Both segmentations of every whole text: number and CRC-32 of the ids, and whether each decodes to the text."""
+    """The segmentation of every whole text, and beside it that of a byte-pair model: number and CRC-32 of the ids, and
+    whether both decode to the text."""
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    names = ["n_ids", "ids_crc32", "n_viterbi", "viterbi_crc32", "exact"]
+    names = ["n_ids", "ids_crc32", "n_merge_ids", "merge_ids_crc32", "exact"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model, ("merges", "viterbi"))
-        for batch in batches:
-            for at, texts in _text_runs(batch.column("_text")):
-                out = []
-                for t, (a, b) in zip(texts, enc.encode(texts), strict=True):
-                    out.append((len(a) // 4, zlib.crc32(a), len(b) // 4, zlib.crc32(b), enc.decode(a) == t and enc.decode(b) == t))
-                cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.bool_()], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:-1]), *cols], [*keep, *names])
+        with encoder(model, ("viterbi", "merges")) as enc:
+            for batch in batches:
+                for at, texts in _text_runs(batch.column("_text")):
+                    out = []
+                    for t, (a, b) in zip(texts, enc.encode(texts), strict=True):
+                        back = t.replace(SPACE, " ")
+                        out.append((len(a) // 4, zlib.crc32(a), len(b) // 4, zlib.crc32(b), enc.decode(a) == back and enc.decode(b) == back))
+                    cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.bool_()], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:-1]), *cols], [*keep, *names])
 
     schema = docs.select(*keep).schema
     for name in names[:-1]:
