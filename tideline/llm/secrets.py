@@ -4,9 +4,12 @@ The patterns find assignments, access keys and long hexadecimal runs. The method
 two first-order character Markov models, one of random strings and one of ordinary identifiers, are trained from
 labelled samples, and a token is reported if its mean log-likelihood ratio per transition exceeds a threshold.
 
-Training reads at most `sample_docs` documents (a documented bound; the ones whose hashed id is smallest): values that
-the patterns find there are the random samples, all other tokens the ordinary ones. Only transition counts leave the
-tasks, at most alphabet squared per model. With no random samples the method adds nothing.
+Training reads all documents: values that the patterns find are the random samples, all other tokens the ordinary
+ones. Only transition counts leave the tasks, at most alphabet squared per model. `sample_docs` bounds the rows read
+where that is wanted (those with the least hash of id and text). With no random samples the method adds nothing.
+
+A token must have `LEAST` letters, as in training, and hold a digit and a letter (`mixed`): short tokens have too few
+transitions to tell, and long compounds of plain letters are the commonest false finds.
 
 Defined cases: null text counts as empty; spans are in code points, end exclusive; repeated rows are scanned each on
 their own; an empty table gives an empty result; only the `keep` columns of the input are carried over.
@@ -31,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 
 #: What the models look at: long runs of the letters that keys are written in.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 16
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -58,16 +62,17 @@ class Model:
 
     ratio: np.ndarray | None
     threshold: float
+    mixed: bool = True
 
     def score(self, token: str) -> float:
         return float(self.ratio[transitions(token)].mean()) if self.ratio is not None else float("-inf")
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 10_000, threshold: float = 0.35, smoothing: float = 0.5) -> Model:
-    """Count transitions of random and ordinary tokens in a bounded sample of documents."""
-    key = F.xxhash64(F.col(doc_id))
-    few = docs.select(doc_id).orderBy(key, doc_id).limit(sample_docs).select(F.col(doc_id).alias("_id"))
-    sample = docs.join(F.broadcast(few), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").select(F.col(text).alias("text"))
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int | None = None, threshold: float = 0.35, smoothing: float = 0.5, mixed: bool = True) -> Model:
+    """Count transitions of random and ordinary tokens, in all documents or in a bounded sample."""
+    sample = docs.select(F.col(text).alias("text"))
+    if sample_docs is not None:
+        sample = docs.select(F.xxhash64(doc_id, text).alias("_key"), F.col(text).alias("text")).orderBy("_key").limit(sample_docs).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIDE * SIDE), np.int64)
@@ -81,7 +86,7 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_do
                     if not taken or start >= taken[-1][1]:
                         taken.append((start, end))
                         for token in WORD.findall(value):
-                            if len(token) >= 16:
+                            if len(token) >= LEAST:
                                 np.add.at(total[0], transitions(token), 1)
                 kept, at = [], 0
                 for start, end in taken:
@@ -103,24 +108,28 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_do
         total[row["at"]] = row["n"]
     random, ordinary = total.reshape(2, SIDE, SIDE)
     if not random.sum():
-        return Model(None, threshold)
+        return Model(None, threshold, mixed)
     log = lambda c: np.log((c + smoothing) / (c + smoothing).sum(1, keepdims=True))
     # Random strings draw their letters independently: their model is backed by the letters' own frequencies.
     letters = random.sum(0) + smoothing
     backed = np.log((random + 20 * letters / letters.sum()) / (random.sum(1, keepdims=True) + 20))
-    return Model((backed - log(ordinary)).ravel(), threshold)
+    return Model((backed - log(ordinary)).ravel(), threshold, mixed)
 
 
 def model_spans(text: str, model: Model, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Random-looking tokens outside the pattern matches; they hold a digit and a letter."""
+    """Random-looking tokens, or the parts of tokens that pattern matches leave."""
     if model.ratio is None:
         return []
     found = []
     for m in TOKEN.finditer(text):
-        token = m.group()
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and model.score(token) > model.threshold:
-            if not any(s < m.end() and m.start() < e for s, _, e in taken):
-                found.append((m.start(), 3, m.end()))
+        at = m.start()
+        for s, _, e in [*(x for x in taken if x[0] < m.end() and m.start() < x[2]), (m.end(), 3, m.end())]:
+            if s - at >= LEAST:
+                token = text[at:s]
+                looks = not model.mixed or (any(c.isdigit() for c in token) and any(c.isalpha() for c in token))
+                if looks and model.score(token) > model.threshold:
+                    found.append((at, 3, s))
+            at = max(at, e)
     return found
 
 
