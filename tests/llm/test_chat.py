@@ -8,6 +8,22 @@ import pytest
 from tideline.llm import chat
 from tideline.session import ship
 
+#: The costs, written out: a turn whose role is as it should be costs nothing, another role 2, unknown ones too; a turn
+#: that goes on the same role costs 1 more, and one that needs an empty turn before it 3 more.
+LEGAL = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
+BRIDGED = {(0, 3), (1, 3)}
+CLOSING = {1: 6.0, 2: 3.0, 3: 0.0}
+
+
+def step(code, at, to):
+    label = 0.0 if code == to else 2.0
+    if (at, to) in LEGAL:
+        return label
+    if at == to:
+        return label + 1.0
+    return label + 3.0 if (at, to) in BRIDGED else float("inf")
+
+
 SCHEMA = "conv_id long, turn long, role string, text string, new_role string"
 
 
@@ -17,9 +33,9 @@ def cheapest(codes):
     for states in itertools.product((1, 2, 3), repeat=len(codes)):
         cost, at = 0.0, chat.START
         for r, to in zip(codes, states, strict=True):
-            cost += chat.COSTS[r, at, to]
+            cost += step(r, at, to)
             at = to
-        best = min(best, cost + chat.FINAL[at])
+        best = min(best, cost + CLOSING[at])
     return best
 
 
@@ -28,9 +44,9 @@ def cost_of(rows):
     for r in rows:
         to = chat.ROLES.index(r.new_role) + 1
         code = {"system": 1, "user": 2, "assistant": 3, "human": 2, "gpt": 3}.get((r.role or "").strip().lower(), 0)
-        cost += chat.COSTS[code, at, to]
+        cost += step(code, at, to)
         at = to
-    return cost + chat.FINAL[at]
+    return cost + CLOSING[at]
 
 
 def test_repair_is_cheapest_across_blocks(spark, monkeypatch):
@@ -54,6 +70,17 @@ def test_repair_is_cheapest_across_blocks(spark, monkeypatch):
         assert all(a != b for a, b in zip(heads, heads[1:]))
 
 
+def test_a_long_conversation(spark):
+    """Many blocks beside short conversations; the last state of each is the cheapest."""
+    ship(spark)
+    rows = [(1, t, ("user", "assistant")[t % 2], f"t{t}", "clash") for t in range(1001)] + [(c, 0, "user", "x", "clash") for c in range(2, 6)]
+    got = chat.repair(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert len(got) == len(rows) and all(r.action == "keep" for r in got)
+    last = max((r for r in got if r.conv_id == 1), key=lambda r: r.turn)
+    assert last.ends and last.rendered.endswith("<|im_start|>assistant\n<|im_end|>\n")
+    assert sum(r.ends for r in got) == 5
+
+
 def test_cases(spark):
     ship(spark)
     assert chat.repair(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -5,7 +5,8 @@ every turn dynamic programming chooses to keep it, relabel it, merge it into the
 front, at least total cost. The automaton has few states, so a stretch of turns is a small matrix of least costs from
 state to state, and stretches combine by the (min, +) product. Conversations are therefore cut into blocks of BLOCK
 turns: blocks are reduced to matrices in parallel, the matrices of a conversation (one per block) fix the state at
-every block border, and each block then picks its own path. No task holds the turns of a long conversation.
+every block border, and each block then picks its own path. No task holds the turns of a long conversation, and a
+conversation of one block, as nearly all are, needs no pass over borders.
 
 Of equal costs the path with the smaller states wins (system, user, assistant), read from the last turn back.
 
@@ -127,7 +128,12 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         closing = [False] * (len(steps) - 1) + [True]
         return pa.table({"conv_id": table["conv_id"], "block": table["block"], "first": states[:-1], "last": states[1:], "closes": closing})
 
-    ends = matrices.groupBy("conv_id").applyInArrow(borders, f"conv_id {kind}, block long, first long, last long, closes boolean")
+    counted = matrices.withColumn("blocks", F.count("*").over(Window.partitionBy("conv_id")))
+    # The first state of least cost: the start's row of the matrix and what closing costs.
+    closing = [F.struct((F.col("costs")[k] + float(FINAL[k])).alias("cost"), F.lit(k).cast("long").alias("state")) for k in (SYSTEM, USER, ASSISTANT)]
+    alone = counted.where("blocks = 1").select("conv_id", "block", F.lit(START).cast("long").alias("first"), F.array_min(F.array(*closing))["state"].alias("last"), F.lit(True).alias("closes"))
+    several = counted.where("blocks > 1").drop("blocks").groupBy("conv_id")
+    ends = alone.unionByName(several.applyInArrow(borders, f"conv_id {kind}, block long, first long, last long, closes boolean"))
 
     def walk(table: pa.Table) -> pa.Table:
         table = _ordered(table)
