@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import chat, fingerprints, lm, neardup, packing, pieces, quality, secrets, suffixes, urls
+from tideline.llm import chat, fingerprints, lm, neardup, packing, pieces, quality, secrets, simhash, suffixes, urls
 from tideline.session import ship, table
 
 
@@ -110,6 +110,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.measure(_documents(spark, sf_dir), length=100)
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir), width=3, budget=3)
+
+
 OP9_SQL = r"""
 with recursive d as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
@@ -157,5 +161,6 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_simhash": op13_simhash,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_near_duplicates": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
