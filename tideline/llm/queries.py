@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import chat, fingerprints, lm, neardup, packing, pieces, quality, secrets, simhash, suffixes, turns, urls
+from tideline.llm import alignment, chat, fingerprints, lm, neardup, packing, pieces, quality, secrets, simhash, suffixes, turns, urls
 from tideline.session import ship, table
 
 
@@ -114,6 +114,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.reports(turns.damaged(table(ship(spark), sf_dir, "conversations")), gone="gone")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.profile(_documents(spark, sf_dir))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), width=3, budget=3)
 
@@ -166,6 +170,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
     "op13_simhash": op13_simhash,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op9_near_duplicates": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
