@@ -1,4 +1,4 @@
-"""Cross-sectional and series metrics. Ranks are per date; totals combine by aggregation."""
+"""Cross-sectional and series metrics. Ranks are per date (`ranks`); totals combine by aggregation."""
 
 from __future__ import annotations
 
@@ -7,17 +7,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import ranks
+from tideline.session import cut
 
-def average_rank(column: str, by: str = "datetime"):
-    """Ties share their mean rank."""
-    w = Window.partitionBy(by).orderBy(column)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(by, column)) - 1) / 2
 
-
-def rank_ic(rows: DataFrame, score: str = "score", label: str = "label", least: int = 3) -> DataFrame:
+def rank_ic(rows: DataFrame, score: str = "score", label: str = "label", least: int = 3, most: int = ranks.MOST) -> DataFrame:
     """Spearman correlation per date over complete rows; missing for few rows or a constant side."""
-    full = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    ranked = full.withColumns({"_s": average_rank(score), "_l": average_rank(label)})
+    full = cut(rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select("datetime", F.col(score).alias("score"), F.col(label).alias("label")))
+    ranked = ranks.average_ranks(full, {"score": "_s", "label": "_l"}, most=most)
     ic = F.try_divide(F.covar_pop("_s", "_l"), F.stddev_pop("_s") * F.stddev_pop("_l"))
     return ranked.groupBy("datetime").agg(F.when(F.count("*") >= least, ic).alias("rank_ic"), F.count("*").alias("n"))
 
@@ -37,12 +34,10 @@ def by_fold(scored: DataFrame) -> DataFrame:
     return both.groupBy("fold_id").agg(F.avg("rank_ic").alias("rank_ic_mean"), F.stddev_samp("rank_ic").alias("rank_ic_std"), F.sum("n").alias("observations"), F.count("rank_ic").alias("dates"))
 
 
-def buckets(rows: DataFrame, score: str = "score", groups: int = 10) -> DataFrame:
+def buckets(rows: DataFrame, score: str = "score", groups: int = 10, most: int = ranks.MOST) -> DataFrame:
     """Percentile bucket of each complete row within its date; dates with fewer rows than buckets are left out."""
-    full = rows.where(F.col(score).isNotNull() & F.col("label").isNotNull())
-    n = F.count("*").over(Window.partitionBy("datetime"))
-    r = F.row_number().over(Window.partitionBy("datetime").orderBy(score, "instrument"))
-    ranked = full.withColumns({"_n": n, "_r": r}).where(F.col("_n") >= groups)
+    full = cut(rows.where(F.col(score).isNotNull() & F.col("label").isNotNull()))
+    ranked = ranks.numbered(full, score, "instrument", "_r", "_n", most=most).where(F.col("_n") >= groups)
     return ranked.withColumn("bucket", F.least(F.ceil(F.col("_r") / F.col("_n") * groups), F.lit(groups)).cast("int")).drop("_n", "_r")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import ranks
 from tideline.operators.metrics import information_ratio, wealth
-from tideline.session import broadcast_if_small
+from tideline.session import broadcast_if_small, cut
 
 
 def rebalance_dates(rows: DataFrame, weekday: int = 4) -> DataFrame:
@@ -18,12 +19,11 @@ def rebalance_dates(rows: DataFrame, weekday: int = 4) -> DataFrame:
     return chosen.select("datetime", F.row_number().over(Window.orderBy("datetime")).alias("ordinal"))
 
 
-def top_fraction(rows: DataFrame, fraction: float) -> DataFrame:
+def top_fraction(rows: DataFrame, fraction: float, most: int = ranks.MOST) -> DataFrame:
     """The max(1, ceil(n * fraction)) highest scores per date among tradable rows with a score and a forward return."""
-    live = rows.where(F.coalesce("tradable", F.lit(False)) & F.col("score").isNotNull() & F.col("forward_return").isNotNull())
-    n = F.count("*").over(Window.partitionBy("datetime"))
-    r = F.row_number().over(Window.partitionBy("datetime").orderBy(F.desc("score"), "instrument"))
-    return live.withColumns({"k": F.greatest(F.lit(1), F.ceil(n * F.lit(fraction))), "r": r}).where("r <= k")
+    live = cut(rows.where(F.coalesce("tradable", F.lit(False)) & F.col("score").isNotNull() & F.col("forward_return").isNotNull()))
+    placed = ranks.numbered(live, "score", "instrument", "r", "_n", descending=True, most=most)
+    return placed.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(fraction)))).drop("_n").where("r <= k")
 
 
 def capped_weights(selected: DataFrame, cap: float, participation: float, notional: float) -> DataFrame:

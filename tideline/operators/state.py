@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.safe import holds
-from tideline.session import broadcast_if_small
+from tideline.operators import ranks
+from tideline.session import broadcast_if_small, cut
 
 # What makes a row part of the population, and the state's sources.
 REQUIRED = ("universe_member", "listing_age_eligible", "is_active", "price_domain_valid", "feature_eligible")
@@ -32,21 +37,43 @@ def population(panel: DataFrame) -> DataFrame:
     return rows.select("datetime", "instrument", *SOURCES)
 
 
-def digest_of(lines: Column) -> Column:
-    """SHA-256 of the sorted lines of a group, each followed by NUL."""
-    return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list(lines)), "\0"), F.lit("\0")), 256)
+#: Keys of a date whose digest is made from a sorted list; more are streamed through the hash in order.
+LISTED = 10_000
+
+
+def keyset_digests(rows: DataFrame, most: int = LISTED) -> DataFrame:
+    """(datetime, digest): SHA-256 of a date's sorted instruments, each followed by NUL."""
+    many = ranks.crowded(rows, ["datetime"], most)
+    nul = F.lit("\0")
+    listed = lambda df: df.groupBy("datetime").agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("instrument")), "\0"), nul), 256).alias("digest"))
+    if many.isEmpty():
+        return listed(rows)
+    few = broadcast_if_small(many.select("datetime"), 16)
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, hash_ = None, None
+        for batch in batches:
+            for d, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if hash_ is None or d != day:
+                    if hash_ is not None:
+                        yield pa.RecordBatch.from_pylist([{"datetime": day, "digest": hash_.hexdigest()}])
+                    day, hash_ = d, hashlib.sha256()
+                hash_.update(name.encode() + b"\0")
+        if hash_ is not None:
+            yield pa.RecordBatch.from_pylist([{"datetime": day, "digest": hash_.hexdigest()}])
+
+    sorted_ = rows.join(few, "datetime", "left_semi").select("datetime", "instrument").repartition("datetime").sortWithinPartitions("datetime", "instrument")
+    return listed(rows.join(few, "datetime", "left_anti")).unionByName(sorted_.mapInArrow(streamed, "datetime date, digest string"))
 
 
-def daily_state(rows: DataFrame) -> DataFrame:
+def daily_state(rows: DataFrame, most: int = ranks.MOST, listed: int = LISTED) -> DataFrame:
     """mean trend, median volatility, share of risers, median turnover, count, and the digest of the date's keys."""
-    return rows.groupBy("datetime").agg(
-        F.avg("ret_mean_20").alias("mkt_trend_20"),
-        F.median("ret_std_20").alias("mkt_vol_20"),
-        F.avg((F.col("ret_1d") > 0).cast("double")).alias("mkt_breadth_1d"),
-        F.median("turnover_mean_20").alias("mkt_turnover_20"),
-        F.count("*").alias("population_count"),
-        digest_of(F.col("instrument")).alias("population_keyset_sha256"),
-    )
+    rows = cut(rows.select("datetime", "instrument", *SOURCES))
+    sums = rows.groupBy("datetime").agg(F.avg("ret_mean_20").alias("mkt_trend_20"), F.avg((F.col("ret_1d") > 0).cast("double")).alias("mkt_breadth_1d"), F.count("*").alias("population_count"))
+    middle = ranks.medians(rows, {"ret_std_20": "mkt_vol_20", "turnover_mean_20": "mkt_turnover_20"}, most=most)
+    digests = keyset_digests(rows, listed).withColumnRenamed("digest", "population_keyset_sha256")
+    out = sums.join(middle, "datetime").join(digests, "datetime")
+    return out.select("datetime", "mkt_trend_20", "mkt_vol_20", "mkt_breadth_1d", "mkt_turnover_20", "population_count", "population_keyset_sha256")
 
 
 def state_digest(state: DataFrame, columns: tuple[str, ...], digits: int = 4) -> DataFrame:

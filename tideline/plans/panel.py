@@ -111,7 +111,7 @@ _family("rolling_corr", "price_volume_corr")
 
 @query(oracles.sql("select datetime, instrument, contaminated from daily", "features"))
 def event_mask(x: Inputs) -> DataFrame:
-    return x.panel.select(*KEYS, features.event_mask().alias("contaminated"))
+    return features.event_mask(x.panel.select(*KEYS, "corporate_action")).select(*KEYS, "contaminated")
 
 
 @query(oracles.sql(f"select datetime, count(*) n, {', '.join(f'count({c}) {c}' for c in features.FEATURE_COLUMNS)} from feats group by datetime", "features"))
