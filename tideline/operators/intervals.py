@@ -1,7 +1,9 @@
 """Joins against histories: interval membership, as-of status, halts, events inside intervals, calendar offsets.
 
-Every join is an equi-join on the instrument with a range predicate, or a union of both sides followed by one ordered
-window; nothing is joined without an equality. Winners among several intervals are chosen by a combining aggregate.
+As-of questions are a union of both sides followed by one ordered window. Interval questions find the winner among the
+intervals that cover a day: an instrument's intervals, where they are few, go along as one list, so rows are joined once
+and never multiplied; where they are many, intervals and days are dealt to bins of time, so that a day meets the
+intervals of its bin and not all of its instrument's.
 """
 
 from __future__ import annotations
@@ -10,6 +12,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.safe import holds
+from tideline.session import broadcast_if_small, cut
+
+#: Most intervals of an instrument that go along as a list, and how many a bin of a longer history holds on average.
+LISTED, BINNED = 64, 8
+
+
+def latest_covering(rows: DataFrame, spans: DataFrame, at: str, rank: list[str], name: str, on: str = "instrument", most: int = LISTED) -> DataFrame:
+    """Rows with `name`: the struct (rank columns, start, end) of the span that covers their day `at`, of several the
+    greatest, or null. A span has a `start` that counts and an `end` that doesn't; a null end is open."""
+    spans = spans.select(on, F.struct(*rank, "start", "end").alias("span")).where("span.start is not null")
+    many = cut(spans.groupBy(on).agg(F.count("*").alias("_n"), F.min("span.start").alias("_low")).where(F.col("_n") > most))
+    some = not many.isEmpty()
+    few = broadcast_if_small(many.select(on), 32)
+    usual = spans.join(few, on, "left_anti") if some else spans
+    lists = usual.groupBy(on).agg(F.collect_list("span").alias("_spans"))  # LISTED at most
+    covers = lambda s: (F.col(at) >= s["start"]) & (s["end"].isNull() | (F.col(at) < s["end"]))
+    out = rows.join(broadcast_if_small(lists, 32 + 32 * len(rank)), on, "left").withColumn(name, F.array_max(F.filter("_spans", covers))).drop("_spans")
+    if not some:
+        return out
+    days = rows.select(on, F.col(at).alias("_at")).where("_at is not null").join(few, on, "left_semi").distinct()
+    reach = days.groupBy(on).agg(F.max("_at").alias("_high"))
+    scale = many.join(reach, on).withColumn("_width", F.greatest(F.lit(1), F.ceil(BINNED * F.datediff("_high", "_low") / F.col("_n"))))
+    scale = broadcast_if_small(cut(scale), 48)
+    bin_of = lambda day: F.floor(F.datediff(day, "_low") / F.col("_width"))
+    end = F.least(F.coalesce(F.date_sub("span.end", 1), F.col("_high")), F.col("_high"))
+    binned = spans.join(scale, on).withColumn("_end", end).where(F.col("_end") >= F.col("span.start"))
+    binned = binned.select(on, "span", F.explode(F.sequence(bin_of(F.col("span.start")), bin_of(F.col("_end")))).alias("_bin"))
+    inside = days.join(scale, on).where("_at >= _low").select(on, "_at", bin_of(F.col("_at")).alias("_bin"))
+    hit = inside.join(binned, [on, "_bin"]).where((F.col("_at") >= F.col("span.start")) & (F.col("span.end").isNull() | (F.col("_at") < F.col("span.end"))))
+    best = hit.groupBy(on, F.col("_at").alias(at)).agg(F.max("span").alias("_best"))
+    return out.join(best, [on, at], "left").withColumn(name, F.coalesce(name, "_best")).drop("_best").select(*out.columns)
 
 
 def membership_asof(panel: DataFrame, membership: DataFrame, cutoff: str) -> DataFrame:
@@ -20,12 +53,10 @@ def membership_asof(panel: DataFrame, membership: DataFrame, cutoff: str) -> Dat
     """
     end = F.when(F.col("out_pub").isNotNull() & (F.col("out_pub") < F.lit(cutoff).cast("date")), F.col("eff_to"))
     known = membership.where((F.col("pub") < F.lit(cutoff).cast("date")) & (F.col("eff_from") < F.lit(cutoff).cast("date")))
-    m = known.select("instrument", "pub", "eff_from", end.alias("eff_to"))
-    d = F.col("datetime")
-    hit = (d >= F.col("pub")) & (d >= F.col("eff_from")) & (F.col("eff_to").isNull() | (d < F.col("eff_to")))
-    best = panel.join(m, "instrument").where(hit).groupBy("instrument", "datetime").agg(F.max(F.struct("eff_from", "pub", "eff_to")).alias("m"))
-    best = best.select("instrument", "datetime", F.lit(True).alias("in_universe"), F.col("m.pub").alias("member_pub"), F.col("m.eff_from").alias("member_from"), F.col("m.eff_to").alias("member_to"))
-    return panel.join(best, ["instrument", "datetime"], "left").withColumn("universe_member", F.coalesce("in_universe", F.lit(False))).drop("in_universe")
+    m = known.select("instrument", "pub", "eff_from", end.alias("eff_to")).withColumns({"start": F.greatest("pub", "eff_from"), "end": F.col("eff_to")})
+    found = latest_covering(panel, m, "datetime", ["eff_from", "pub", "eff_to"], "_m")
+    columns = {"universe_member": F.col("_m").isNotNull(), "member_pub": F.col("_m.pub"), "member_from": F.col("_m.eff_from"), "member_to": F.col("_m.eff_to")}
+    return found.withColumns(columns).drop("_m")
 
 
 def special_name(name: Column) -> Column:
@@ -52,7 +83,7 @@ def status_asof(panel: DataFrame, events: DataFrame) -> DataFrame:
     e = events.withColumns({"known": F.greatest("publish", "effective"), "forbidden": special_name(F.col("name"))})
     found = asof_backward(panel, e.where("publish is not null"), "instrument", "datetime", "known", ["effective"], ["forbidden"])
     unknown = e.where("publish is null").groupBy("instrument").agg(F.min("effective").alias("unknown_from"))
-    joined = found.join(unknown, "instrument", "left")
+    joined = found.join(broadcast_if_small(unknown, 24), "instrument", "left")
     return joined.withColumns(
         {"special_status_forbidden": F.coalesce("forbidden", F.lit(False)), "special_status_unknown": holds(F.col("unknown_from") <= F.col("datetime"))}
     ).drop("forbidden", "unknown_from")
@@ -62,7 +93,7 @@ def is_active(rows: DataFrame, master: DataFrame) -> DataFrame:
     """In the master and not delisted by the day."""
     m = master.select("instrument", F.col("delist_date").alias("_gone"), F.lit(True).alias("_known"))
     active = holds(F.col("_known") & (F.col("_gone").isNull() | (F.col("_gone") > F.col("datetime"))))
-    return rows.join(m, "instrument", "left").withColumn("is_active", active).drop("_gone", "_known")
+    return rows.join(broadcast_if_small(m, 24), "instrument", "left").withColumn("is_active", active).drop("_gone", "_known")
 
 
 def action_flag(panel: DataFrame, actions: DataFrame) -> DataFrame:
@@ -74,7 +105,7 @@ def label_schedule(panel: DataFrame, calendar: DataFrame, start: int = 1, end: i
     """Label start and end are calendar sessions after the day, both missing if the calendar ends before."""
     at = lambda k, name: calendar.select((F.col("pos") - k).alias("pos"), F.col("session").alias(name))
     ahead = calendar.select(F.col("session").alias("datetime"), "pos").join(at(start, "label_start"), "pos").join(at(end, "label_end"), "pos").drop("pos")
-    return panel.join(F.broadcast(ahead) if ahead.count() <= 100_000 else ahead, "datetime", "left")
+    return panel.join(broadcast_if_small(ahead, 24), "datetime", "left")
 
 
 def labels(scheduled: DataFrame, prices: DataFrame) -> DataFrame:
@@ -93,19 +124,18 @@ def open_limit_state(rows: DataFrame, limits: DataFrame, tolerance: float = 1e-8
 
 def halt_at(rows: DataFrame, halts: DataFrame) -> DataFrame:
     """Halted at the label start (half-open); the last matching interval in source order gives the times."""
-    h = halts.select("instrument", "ordinal", "start_day", "end_day")
-    d = F.col("label_start")
-    hits = rows.select("instrument", "datetime", "label_start").join(h, "instrument").where((d >= F.col("start_day")) & (F.col("end_day").isNull() | (d < F.col("end_day"))))
-    last = hits.groupBy("instrument", "datetime").agg(F.max(F.struct("ordinal", "start_day", "end_day")).alias("h"))
-    last = last.select("instrument", "datetime", F.lit(True).alias("_hit"), F.col("h.start_day").alias("halt_start"), F.col("h.end_day").alias("halt_end"))
-    return rows.join(last, ["instrument", "datetime"], "left").withColumn("execution_halted", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    h = halts.select("instrument", "ordinal", F.col("start_day").alias("start"), F.col("end_day").alias("end"))
+    found = latest_covering(rows, h, "label_start", ["ordinal"], "_h")
+    return found.withColumns({"halt_start": F.col("_h.start"), "halt_end": F.col("_h.end"), "execution_halted": F.col("_h").isNotNull()}).drop("_h")
 
 
 def action_in_label(rows: DataFrame, actions: DataFrame) -> DataFrame:
-    a = actions.select("instrument", "action_date").distinct()
-    hit = rows.select("instrument", "datetime", "label_start", "label_end").join(a, "instrument").where("action_date between label_start and label_end")
-    keys = hit.select("instrument", "datetime").distinct().withColumn("_hit", F.lit(True))
-    return rows.join(keys, ["instrument", "datetime"], "left").withColumn("label_crosses_action", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Is there an action from label start to label end: the last one known at the end lies not before the start."""
+    a = actions.select("instrument", "action_date").where("action_date is not null").withColumn("_known", F.col("action_date"))
+    known = rows.where("label_end is not null")
+    found = asof_backward(known, a, "instrument", "label_end", "_known", [], ["action_date"])
+    found = found.withColumn("label_crosses_action", holds(F.col("action_date") >= F.col("label_start"))).drop("action_date")
+    return found.unionByName(rows.where("label_end is null").withColumn("label_crosses_action", F.lit(False)))
 
 
 def listing_age(rows: DataFrame, master: DataFrame, calendar: DataFrame, sessions: int = 60) -> DataFrame:
@@ -113,7 +143,7 @@ def listing_age(rows: DataFrame, master: DataFrame, calendar: DataFrame, session
     first = _first_session(master, calendar)
     nth = calendar.select((F.col("pos") - (sessions - 1)).alias("pos"), F.col("session").alias("eligible_from"))
     age = first.join(nth, "pos", "left").select("instrument", "eligible_from")
-    return rows.join(age, "instrument", "left").withColumn("listing_age_eligible", holds(F.col("datetime") >= F.col("eligible_from"))).drop("eligible_from")
+    return rows.join(broadcast_if_small(cut(age), 24), "instrument", "left").withColumn("listing_age_eligible", holds(F.col("datetime") >= F.col("eligible_from"))).drop("eligible_from")
 
 
 def _first_session(master: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -39,10 +39,11 @@ class Inputs:
         return features.features(self.panel)
 
     def labelled(self) -> DataFrame:
-        panel = self.panel
+        panel = self.store("panel", "calendar").panel
         return intervals.labels(intervals.label_schedule(panel, self.calendar), panel)
 
     def scores(self) -> DataFrame:
+        self.store("panel")
         f = features.features(self.panel, (5,)).select(*KEYS, (-F.col("ret_mean_5")).alias("score"))
         return f.join(self.labelled().select(*KEYS, "label", "label_end"), list(KEYS))
 
@@ -57,16 +58,16 @@ class Inputs:
         self.store("panel", "calendar")
         rows = features.features(self.panel, (5, 10, 20, 60))
         rows = rows.withColumn("finite_features", safe.all_of([F.col(c).isNotNull() for c in features.FEATURE_COLUMNS]))
-        rows = rows.select(*KEYS, *features.RAW_COLUMNS, "feature_eligible", "finite_features")
-        rows = intervals.membership_asof(rows, self.membership, CUTOFF)
-        rows = intervals.listing_age(rows, self.master, self.calendar)
+        rows = rows.select(*KEYS, eligibility.price_domain().alias("price_domain_valid"), "feature_eligible", "finite_features")
         rows = intervals.status_asof(rows, self.status_event)
+        rows = intervals.membership_asof(rows, self.membership, CUTOFF).drop("member_pub", "member_from", "member_to")
+        rows = intervals.listing_age(rows, self.master, self.calendar)
         rows = intervals.labels(intervals.label_schedule(rows, self.calendar), self.panel)
         rows = intervals.open_limit_state(rows, self.limits)
-        rows = intervals.halt_at(rows, self.halt)
+        rows = intervals.halt_at(rows, self.halt).drop("halt_start", "halt_end", "limit_up", "limit_down", "label_open", "label_close")
         rows = intervals.action_in_label(rows, self.action)
         rows = eligibility.assign_split(rows, eligibility.boundary_sessions(self.calendar, SELECTION))
-        return rows.withColumns({"price_domain_valid": eligibility.price_domain(), "finite_label": F.col("label").isNotNull()})
+        return rows.withColumn("finite_label", F.col("label").isNotNull())
 
 
 #: Averages of cents often end in an exact half, which engines round either way; results are moved off such ties.
