@@ -13,7 +13,8 @@ public ones), and so does the size of the table of their counts, which alone is
 
 Defined cases: null and empty text, and text that the joined bytes of either side don't give back (white space signs of
 the pieces in it), have no tokens, no groups and an empty digest; the strings of special tokens are plain text; repeated
-rows are aligned each; an empty table gives no rows; only the `keep` columns are carried over.
+rows are aligned each; an empty table gives no rows; only the `keep`
+columns are carried over, and one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm import packing, pieces
-from tideline.llm.words import pack, unpack
+from tideline.llm.words import carried, pack, unpack
 from tideline.session import cut
 
 #: Characters of a segment of a text, and of the segments that are aligned together.
@@ -259,6 +260,7 @@ def _schema(docs: DataFrame, keep: tuple[str, ...]) -> T.StructType:
 
 def aligned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = "byte_bpe_50k", model: str = "piece_bpe_32k.model") -> DataFrame:
     """One row per group: its place in the document and the ids of both sides; documents without tokens have none."""
+    keep = carried(keep, ("place", "a_ids", "b_ids"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(vocabulary, model)
@@ -289,7 +291,7 @@ def aligned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 def profile(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = "byte_bpe_50k", model: str = "piece_bpe_32k.model") -> DataFrame:
     """Tokens, groups and links of every document, how common its links are in all documents, and its groups' digest."""
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, carried(keep, (*SUMMARY, "n_links", "n_best", "count_sum", "groups_sha256"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(vocabulary, model)

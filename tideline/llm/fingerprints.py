@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.words import carried
 from tideline.session import cut
 
 #: Four 64-bit hashes a paragraph; of each, 15 masks pick four bits that lie 15 apart, one to a narrow lane.
@@ -113,7 +114,7 @@ def successors(ids: DataFrame) -> DataFrame:
 
 def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, the vector and its text form."""
-    rows = docs.select(*keep, vector(F.coalesce(F.col(text), F.lit(""))).alias("vector"))
+    rows = docs.select(*carried(keep, ("vector", "fingerprint")), vector(F.coalesce(F.col(text), F.lit(""))).alias("vector"))
     return rows.withColumn("fingerprint", text_form(F.col("vector")))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.words import chain, mix, runs, word_hashes
+from tideline.llm.words import ID, TEXT, boxed, chain, mix, runs, unboxed, word_hashes
 from tideline.session import broadcast_if_small, cut
 
 ROWS = 5
@@ -125,7 +125,8 @@ def signatures(docs: DataFrame, width: int, similarity: float, text: str = "text
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
     """The shingle sets of the given nodes, read again from one document of each."""
     ids = broadcast_if_small(nodes.select(F.col("first_doc").alias("_id")), 16)
-    few = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").select(F.col(text).alias("text"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    few = own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,15 +325,15 @@ def survivors(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "t
     best = cut(rows.groupBy("label").agg(F.min(order).alias("best"), F.max(order).alias("last"), F.count("*").alias("rows")).where("rows > 1"))
     several = rows.join(broadcast_if_small(best.where("best <> last").select("label", "best"), 64), "label")
     gone = cut(several.where(order != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
-    same = lambda side: F.col(doc_id).eqNullSafe(side["_id"]) & (F.xxhash64(text) == side["_h"])
+    same = lambda side: F.col(ID).eqNullSafe(side["_id"]) & (F.xxhash64(TEXT) == side["_h"])
     small = broadcast_if_small(gone, 24)
-    left = docs.join(small, same(small), "left_anti")
+    left = boxed(docs, text, doc_id).join(small, same(small), "left_anti")
     # Rows given several times are found by their counts, so that only these are brought together.
     twice = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best.h").alias("h"), "label")
     twice = rows.join(broadcast_if_small(twice, 64), ["label", "h"]).where(rows["doc_id"].eqNullSafe(twice["doc_id"])).groupBy(rows["doc_id"], "h").count().where("count > 1")
     twice = cut(twice.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
     if twice.isEmpty():
-        return left
+        return unboxed(left)
     small = broadcast_if_small(twice, 24)
-    once = left.join(small, same(small), "left_semi").dropDuplicates([doc_id, text])
-    return left.join(small, same(small), "left_anti").unionByName(once)
+    once = left.join(small, same(small), "left_semi").dropDuplicates([ID, TEXT])
+    return unboxed(left.join(small, same(small), "left_anti").unionByName(once))

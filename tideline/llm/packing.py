@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.words import carried, free
+
 CACHE = 400_000
 LONGEST_CACHED = 48
 #: The special token of the byte-level vocabulary; it has an id of its own in running text.
@@ -104,7 +106,8 @@ def pack(
     """
     if max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    keep = carried(keep, ("start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(free("_text", keep)))
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +121,7 @@ def pack(
     def packed(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, start, length, crc, total, own = [], [], [], [], [], []
         size = 0
-        for i, t in enumerate(batch.column("_text")):
+        for i, t in enumerate(batch.columns[-1]):
             raw = encoder.encode(t.as_py()) + end
             n, at = len(raw) // 4, 0
             for k in piece_lengths(n, max_length):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.words import mix
+from tideline.llm.words import carried, free, mix
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -300,12 +300,13 @@ def _text_runs(column: pa.Array, chars: int = 1 << 20):
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = "piece_bpe_32k.model", way: str = "merges") -> DataFrame:
     """`keep` columns and the ids of every text, by `viterbi` for unigram models or by `merges` for byte-pair models."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    keep = carried(keep, ("ids",))
+    rows = docs.select(*keep, F.col(text).alias(free("_text", keep)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(model, (way,)) as enc:
             for batch in batches:
-                for at, texts in _text_runs(batch.column("_text")):
+                for at, texts in _text_runs(batch.columns[-1]):
                     ids = [None if r is None else np.frombuffer(r[0], "<i4") for r in enc.encode(texts)]
                     kept = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
@@ -315,12 +316,13 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 def decode(rows: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str = "piece_bpe_32k.model") -> DataFrame:
     """`keep` columns and the text of every id list; null for null."""
-    chosen = rows.select(*keep, F.col(ids).alias("_ids"))
+    keep = carried(keep, ("text",))
+    chosen = rows.select(*keep, F.col(ids).alias(free("_ids", keep)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model, ("merges",))
         for batch in batches:
-            texts = [None if x.as_py() is None else enc.decode(np.array(x.as_py(), "<i4").tobytes()) for x in batch.column("_ids")]
+            texts = [None if x.as_py() is None else enc.decode(np.array(x.as_py(), "<i4").tobytes()) for x in batch.columns[-1]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, "text"])
 
     return chosen.mapInArrow(each, rows.select(*keep).schema.add("text", "string"))
@@ -329,13 +331,14 @@ def decode(rows: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",
 def profile(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = "piece_bpe_32k.model") -> DataFrame:
     """The segmentation of every whole text, and beside it that of a byte-pair model: number and CRC-32 of the ids, and
     whether both decode to the text."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     names = ["n_ids", "ids_crc32", "n_merge_ids", "merge_ids_crc32", "exact"]
+    keep = carried(keep, tuple(names))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(free("_text", keep)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoder(model, ("viterbi", "merges")) as enc:
             for batch in batches:
-                for at, texts in _text_runs(batch.column("_text")):
+                for at, texts in _text_runs(batch.columns[-1]):
                     out = []
                     for t, (a, b) in zip(texts, enc.encode(texts), strict=True):
                         back = t.replace(SPACE, " ")

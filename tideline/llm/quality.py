@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.words import carried
+
 # Fixed values of the base rules: white space, symbols, window width.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -84,8 +86,9 @@ def _covered_words(words: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The measurements of every document, each computed once."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    only = docs.select(*keep, t.alias("_text"))
+    keep = carried(keep, ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failed"))
+    # The kept columns go along as one, so that none meets a helper's name.
+    only = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     words = F.filter(F.split("_text", SPACE), lambda w: w != "")
     lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
     counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _covered_words(w).alias("r")))
@@ -103,9 +106,9 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     )
     # A filter on the verdict must not be pushed below the measurements, which would then be computed once per use;
     # it can't pass a generator.
-    found = only.select(*keep, F.explode(F.array(measured)).alias("_m"))
+    found = only.select("kept", F.explode(F.array(measured)).alias("_m"))
     return found.select(
-        *keep,
+        *[F.col(f"kept.`{c}`").alias(c) for c in keep],
         F.col("_m.w.n").alias("n_words"),
         F.col("_m.c").alias("word_chars"),
         F.col("_m.s").alias("n_symbols"),

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.words import carried, free
+
 # Fixed patterns of the base scan.
 ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -139,12 +141,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts by kind, the digest of the pattern spans, and all spans of every text."""
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    keep = carried(keep, ("n_assign", "n_access", "n_hex", "base_sha256", "spans"))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(free("_text", keep)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sha, spans = [], [], []
-            for t in batch.column("_text").to_pylist():
+            for t in batch.columns[-1].to_pylist():
                 base = base_spans(t)
                 kinds = [k for _, k, _ in base]
                 n.append([kinds.count(k) for k in range(3)])

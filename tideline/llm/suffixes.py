@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.words import by_part, chain, pack, runs, unpack
+from tideline.llm.words import ID, ROW, TEXT, boxed, by_part, chain, free, pack, runs, unboxed, unpack
 from tideline.session import broadcast_if_small, cut
 
 #: Perfect difference sets by period: every residue is the difference of two members. Fixed values.
@@ -631,23 +631,22 @@ def cleaned(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str
     """The documents without the repeated bytes; a character that is only partly left goes too. Null texts stay null."""
     columns = docs.columns
     _, copies, merged = _prepared(docs, length, text, doc_id, hot, filter_bytes)
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_h1": F.xxhash64(t), "_h2": F.xxhash64(F.lit(1), t, F.lit(2))})
-    copies = copies.select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.lit(True).alias("_copy"))
-    rows = rows.join(copies, ["_id", "_h1", "_h2"], "left")
-    keys = broadcast_if_small(merged.select(F.col("id").alias("_id"), F.col("h1").alias("_h1")), 24)
-    flagged = rows.join(keys.withColumn("_cut", F.lit(True)), ["_id", "_h1"], "left")
-    same = flagged.where("_copy is not null or _cut is null").withColumn(text, F.when(F.col("_copy"), F.lit("")).otherwise(F.col(text))).select(*columns)
+    t = F.coalesce(F.col(TEXT), F.lit(""))
+    rows = boxed(docs, text, doc_id).withColumns({"id": F.coalesce(F.col(ID).cast("long"), F.lit(LAST)), "h1": F.xxhash64(t), "h2": F.xxhash64(F.lit(1), t, F.lit(2))})
+    rows = rows.join(copies.withColumn("copy", F.lit(True)), ["id", "h1", "h2"], "left")
+    keys = broadcast_if_small(merged.select("id", "h1"), 24)
+    flagged = rows.join(keys.withColumn("cut", F.lit(True)), ["id", "h1"], "left")
+    same = flagged.where("copy is not null or cut is null")
+    same = unboxed(same.withColumn(ROW, F.when(F.col("copy"), F.col(ROW).withField(f"`{text}`", F.lit(""))).otherwise(F.col(ROW))))
     place = columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [_kept(x.as_py(), _range_arrays(r)).decode(errors="ignore") for x, r in zip(batch.column(place).cast(pa.binary()), batch.column("_spans"), strict=True)]
+            left = [_kept(x.as_py(), _range_arrays(r)).decode(errors="ignore") for x, r in zip(batch.column(place).cast(pa.binary()), batch.columns[-1], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:place], pa.array(left, batch.schema.field(place).type), *batch.columns[place + 1 : -1]], columns
             )
 
-    some = flagged.where("_copy is null and _cut").select(*columns, "_id", "_h1")
-    ranges = merged.select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("spans").alias("_spans"))
-    changed = some.join(ranges, ["_id", "_h1"]).select(*columns, "_spans").mapInArrow(each, docs.schema)
+    some = flagged.where("copy is null and cut").select(ROW, "id", "h1")
+    changed = some.join(merged, ["id", "h1"]).select(f"{ROW}.*", F.col("spans").alias(free("spans", columns))).mapInArrow(each, docs.schema)
     return same.unionByName(changed)

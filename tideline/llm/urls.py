@@ -8,7 +8,8 @@ and looked up by one vectorised binary search, and hits count only if the stored
 The file is bounded by `max_index_bytes`; a larger rule table is joined instead (`judge_by_join`), with the same
 result. Defined cases: null urls and urls without `://` have an empty host and path and fit no rule; an empty rule
 table leaves everything to the default verdict; of two rules of equal length the one with the longer host wins;
-a rule given twice counts with its first verdict in the order allow, block.
+a rule given twice counts with the verdict that sorts first; only A-Z are lower-cased; a kept column with the name of a
+result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.words import carried
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_INDEX_BYTES = 256 << 20
+RESULTS = ("host", "path", "rule", "verdict")
 
 
 class Rule(NamedTuple):
@@ -47,14 +51,13 @@ def parts(url) -> tuple:
 
 def split_rule(rule: str) -> tuple[str, str]:
     host, _, path = rule.partition("/")
-    return host.lower(), "/" + path if "/" in rule else ""
+    return host.translate(str.maketrans(UPPER, LOWER)), "/" + path if "/" in rule else ""
 
 
 def write_index(rules: Iterable[Rule], path: str) -> None:
     """One file: count and text size, then keys, string offsets, verdicts, the path lengths in use, and the strings."""
-    order = {"allow": 0, "block": 1}
     best: dict[str, str] = {}
-    for r in sorted(rules, key=lambda r: (order.get(r.verdict, 2), r.verdict)):
+    for r in sorted(rules, key=lambda r: r.verdict):
         host, tail = split_rule(r.rule)
         best.setdefault(host + tail, r.verdict)
     names = sorted(best, key=lambda s: xxhash.xxh64_intdigest(s.encode()))
@@ -130,7 +133,7 @@ def judge_urls(
     urls: DataFrame, rules: Iterable[Rule], url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow", max_index_bytes: int = MAX_INDEX_BYTES
 ) -> DataFrame:
     """`keep` columns with host, path, rule and verdict of every row."""
-    rules = list(rules)
+    rules, keep = list(rules), carried(keep, RESULTS)
     if sum(len(r.rule.encode()) + 24 for r in rules) > max_index_bytes:
         return judge_by_join(urls, urls.sparkSession.createDataFrame(rules, "rule string, verdict string"), url, keep, default)
     name = _ship(urls.sparkSession, rules)
@@ -179,6 +182,7 @@ def _ship(spark: SparkSession, rules: list[Rule]) -> str:
 
 def judge_by_join(urls: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """The same verdicts for rule tables too large to ship: distinct candidate names meet the rules in an equi-join."""
+    keep = carried(keep, RESULTS)
     host, path = parts(F.col(url))
     base = urls.select(*keep, host.alias("host"), path.alias("path"))
     full = F.concat(F.translate(F.regexp_extract("rule", r"^([^/]*)", 1), UPPER, LOWER), F.regexp_extract("rule", r"^[^/]*(.*)$", 1))
@@ -186,7 +190,10 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, url: str = "url", keep: tup
     pairs = base.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    tails = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i))
+    # Only lengths that some rule's path has; k of them take rules of k * k / 2 characters, so they are few.
+    tail = F.length(F.regexp_extract("rule", r"^[^/]*(.*)$", 1)).alias("n")
+    lengths = F.array(*[F.lit(r.n) for r in known.select(tail).distinct().collect()]).cast("array<int>")
+    tails = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     tried = pairs.withColumn("suffix", F.explode(suffixes)).withColumn("tail", F.explode(tails))
     tried = tried.select("host", "path", F.concat("suffix", "tail").alias("rule"), F.length("suffix").alias("host_length"))
     best = (

@@ -6,6 +6,33 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Names that operators give to a whole input row, its text and its id while they work on it.
+ROW, TEXT, ID = "_row", "text", "doc_id"
+
+
+def boxed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Whole rows as one column beside their text and id, so that no name of the input meets a helper's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), F.col(text).alias(TEXT), F.col(doc_id).alias(ID))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select(f"{ROW}.*")
+
+
+def carried(keep: tuple[str, ...], own: tuple[str, ...]) -> tuple[str, ...]:
+    """Columns to keep without those that have the name of a result, which stands in their place."""
+    return tuple(c for c in keep if c not in own)
+
+
+def free(name: str, taken) -> str:
+    """A helper's name that is not among the taken ones."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Texts are handled in runs of about this many bytes, so that memory follows the run and not the batch.
