@@ -147,7 +147,7 @@ def test_bootstrap_of_a_shift_is_above_zero(spark):
     rows = [(k, 0.01 * ((k * 37 % 21) - 10) / 10 + 0.004, 0.01 * ((k * 37 % 21) - 10) / 10) for k in range(120)]
     got = portfolio.bootstrap(spark.createDataFrame(rows, "i long, candidate double, benchmark double")).first()
     assert got.low > 0 and got.low <= got.point <= got.high
-    few = portfolio.bootstrap(spark.createDataFrame(rows[:10], "i long, candidate double, benchmark double")).first()
+    few = portfolio.bootstrap(spark.createDataFrame(rows[:7], "i long, candidate double, benchmark double")).first()
     assert few.low is None
 
 

@@ -39,11 +39,14 @@ def read_calendar(spark: SparkSession, path: str, schema: str, seal: str) -> Dat
 
 def read_bound(spark: SparkSession, path: str, years: list[int], columns: dict[str, str], declared: DataFrame, seal: int) -> DataFrame:
     """Chosen years of a written matrix with the agreed columns. Raises unless the rows are as many as declared, keys
-    are unique, values are there and no year is sealed."""
+    are unique, values are there, no year is sealed and every date lies in the year of its folder."""
     if late := [y for y in years if y >= seal]:
         raise ValueError(f"years {late} are sealed")
     schema = ", ".join(f"`{c}` {t}" for c, t in columns.items())
-    rows = spark.read.schema(f"{schema}, year int").parquet(path).where(F.col("year").isin(years)).select(*columns)
+    rows = spark.read.schema(f"{schema}, year int").parquet(path).where(F.col("year").isin(years))
+    if stray := rows.where(F.year("datetime") != F.col("year")).first():
+        raise ValueError(f"date {stray.datetime} lies in the folder of {stray.year}")
+    rows = rows.select(*columns)
     want = declared.where(F.col("year").isin(years)).agg(F.sum("rows")).first()[0] or 0
     gaps = [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
     seen = rows.agg(F.count("*").alias("_rows"), *gaps).first().asDict()

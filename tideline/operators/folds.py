@@ -60,6 +60,22 @@ def purged_segments(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(folds, 128), hit).withColumn("segment", segment).where("segment is not null")
 
 
+def overlapping_labels(tagged: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows of a training or validation part whose label ends on or after the start of the part that follows."""
+    starts = broadcast_if_small(folds.select("fold_id", F.col("valid_start").alias("_v"), F.col("test_start").alias("_t")), 48)
+    after = F.when(F.col("segment") == "train", F.col("_v")).when(F.col("segment") == "valid", F.col("_t"))
+    return tagged.join(starts, "fold_id").where(F.col("label_end") >= after).drop("_v", "_t")
+
+
+def require_segments(tagged: DataFrame, folds: DataFrame, names: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
+    """The bounds of every fold's parts; raises if a part of a fold has no row."""
+    bounds = segment_bounds(tagged)
+    wanted = folds.select("fold_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("segment"))
+    if empty := wanted.join(bounds, ["fold_id", "segment"], "left_anti").orderBy("fold_id", "segment").first():
+        raise ValueError(f"the {empty.segment} part of {empty.fold_id} is empty")
+    return bounds
+
+
 def segment_bounds(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("fold_id", "segment").agg(F.min("datetime").alias("first_date"), F.max("datetime").alias("last_date"), F.count("*").alias("rows"))
 

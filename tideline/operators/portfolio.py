@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,18 +84,41 @@ def mixed(draw, block, seed: int, n: int):
     return x % n
 
 
-def bootstrap(pairs: DataFrame, draws: int = 200, length: int = 8, seed: int = 17, periods: int = 52) -> DataFrame:
+def bootstrap(pairs: DataFrame, draws: int = 2000, length: int = 4, seed: int = 7, periods: int = 52) -> DataFrame:
     """Circular moving-block bootstrap of the difference of information ratios: point, 2.5 % and 97.5 % quantiles.
 
-    `pairs` has a position i from 0 on, candidate and benchmark: one row per period. It is broadcast if it is small.
+    `pairs` has a position i from 0 on, candidate and benchmark: one row per period. A draw is told by the moments of its
+    blocks, and a block by two prefix sums of values and squares around the circle, so a draw costs its blocks and not
+    its periods. Values are taken off their means first, so that squares don't cancel.
     """
     spark = pairs.sparkSession
-    n = pairs.count()
-    blocks = -(-n // length)
-    draw = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    steps = draw.select("draw", "block", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("o")).where(F.col("block") * length + F.col("o") < n)
-    taken = steps.select("draw", ((mixed(F.col("draw"), F.col("block"), seed, n) + F.col("o")) % n).alias("i"))
-    per = taken.join(broadcast_if_small(pairs, 24), "i").groupBy("draw").agg((information_ratio("candidate", periods) - information_ratio("benchmark", periods)).alias("d"))
+    names = ("candidate", "benchmark")
+    whole = pairs.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    n, blocks = whole.n, -(-whole.n // length)
+    # Around the circle once more, for blocks that begin near its end. One row a period: a calendar, not data.
+    off = {c: F.col(c) - F.lit(whole[c]) for c in names}
+    circle = pairs.select("i", *[off[c].alias(c) for c in names])
+    circle = circle.unionByName(circle.withColumn("i", F.col("i") + n).where(F.col("i") < n + length))
+    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(x).over(upto), F.lit(0.0)).alias(f"{c}{k}") for c in names for k, x in ((1, F.col(c)), (2, F.col(c) * F.col(c)))]
+    nulls = F.coalesce(F.sum(F.when(F.col("candidate").isNull() | F.col("benchmark").isNull(), 1).otherwise(0)).over(upto), F.lit(0)).alias("gaps")
+    last = circle.agg(F.lit(n + length).cast("long").alias("i"), *[F.lit(None).cast("double").alias(c) for c in names])
+    prefix = cut(circle.unionByName(last).select("i", F.struct(*sums, nulls).alias("p")))
+    block = F.col("block")
+    taken = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks, 1) - 1).cast("long"))).alias("block"))
+    size = F.least(F.lit(length), F.lit(n) - block * length)
+    taken = taken.where(F.lit(n > 0)).withColumns({"start": mixed(F.col("draw"), block, seed, max(n, 1)), "size": size}).withColumn("stop", F.col("start") + F.col("size"))
+    side = lambda name, as_: broadcast_if_small(prefix.select(F.col("i").alias(name), F.col("p").alias(as_)), 48)
+    cut_ = taken.join(side("start", "a"), "start").join(side("stop", "b"), "stop")
+    moment = lambda f: F.sum(F.col(f"b.{f}") - F.col(f"a.{f}"))
+    total = cut_.groupBy("draw").agg(F.sum("size").alias("n"), moment("gaps").alias("gaps"), *[moment(f"{c}{k}").alias(f"{c}{k}") for c in names for k in (1, 2)])
+
+    def ratio_of(c: str):
+        spread = F.sqrt(F.greatest((F.col(f"{c}2") - F.col(f"{c}1") * F.col(f"{c}1") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+        # A draw of one value many times has no spread but for rounding.
+        return F.when((F.col("n") > 1) & (F.col("gaps") == 0) & (spread > 1e-12), (F.col(f"{c}1") / F.col("n") + F.lit(whole[c])) / spread * math.sqrt(periods))
+
+    per = total.select((ratio_of("candidate") - ratio_of("benchmark")).alias("d"))
     point = pairs.agg((information_ratio("candidate", periods) - information_ratio("benchmark", periods)).alias("point"))
     usable = F.when(F.count("d") == F.count("*"), F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))))
     out = per.agg(usable.alias("q"), F.count("*").alias("draws"))
@@ -108,7 +133,11 @@ def shares(comparison: DataFrame) -> DataFrame:
 
 
 def promotion(facts: DataFrame) -> DataFrame:
-    """Reasons and decision from seed_share, fold_share, ci_low, best_year_share, stress_ir and hard_failures."""
+    """Reasons and decision from seed_share, fold_share, ci_low, best_year_share, stress_ir and hard_failures: their
+    names, which come first among the reasons, or their number."""
+    hard = F.col("hard_failures")
+    listed = facts.schema["hard_failures"].dataType.typeName() == "array"
+    count = F.size(F.coalesce(hard, F.array())) if listed else hard
     reason = lambda c, name: F.when(F.expr(c), F.lit(name))
     reasons = F.array_compact(
         F.array(
@@ -120,9 +149,10 @@ def promotion(facts: DataFrame) -> DataFrame:
         )
     )
     decision = (
-        F.when(F.col("hard_failures") > 0, "REJECT")
+        F.when(count > 0, "REJECT")
         .when(F.size("reasons") == 0, "PROMOTE")
         .when(F.expr("seed_share < 0.5 or fold_share < 0.5 or stress_ir <= 0"), "REJECT")
         .otherwise("HOLD")
     )
+    reasons = F.concat(F.coalesce(hard, F.array()), reasons) if listed else reasons
     return facts.withColumn("reasons", reasons).withColumn("decision", decision)

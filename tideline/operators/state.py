@@ -83,6 +83,16 @@ def state_digest(state: DataFrame, columns: tuple[str, ...], digits: int = 4) ->
     return state.withColumn("state_sha256", F.sha2(text, 256))
 
 
+def wrong_digests(now: DataFrame, stored: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(datetime, problem): the first digest of a date that is not the stored one; a date that one side lacks is
+    `missing`."""
+    a, b = now.select("datetime", F.struct(*names).alias("a")), stored.select("datetime", F.struct(*names).alias("b"))
+    problem = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing")
+    for column, name in names.items():
+        problem = problem.when(~F.col(f"a.{column}").eqNullSafe(F.col(f"b.{column}")), name)
+    return a.join(b, "datetime", "full").select("datetime", problem.alias("problem")).where("problem is not null")
+
+
 def join_state(rows: DataFrame, state: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """State by exact date; one row per date, broadcast if that is small."""
     return rows.join(broadcast_if_small(state.select("datetime", *columns), 8 + 8 * len(columns)), "datetime", "left")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import safe
-from tideline.operators import checks, contracts, folds, intervals, profiles, scoring
+from tideline.operators import checks, contracts, folds, intervals, ledgers, profiles, scoring, state, trees
 from tideline.operators.features import features, history
 from tideline.plans import oracles
-from tideline.plans.panel import KEYS, Inputs, _q, _state, rounded
+from tideline.plans.panel import _STATE, KEYS, Inputs, _q, _state, rounded
 from tideline.plans.registry import query
 from tideline.session import cut, unique_folder
-from tideline.sources import readers
+from tideline.sources import manifest, readers
 
 ZONE = "Asia/Shanghai"
 
@@ -21,7 +21,25 @@ ZONE = "Asia/Shanghai"
 
 @query(oracles.sql("select datetime, instrument, close from panel where datetime >= date '1996-01-01' and datetime < date '1999-01-01'", "panel"))
 def scan_years(x: Inputs) -> DataFrame:
-    return readers.scan_years(x.panel, "datetime", 1996, 1998, ["datetime", "instrument", "close"], seal=2002)
+    """Published by year under a manifest; three years are scanned by it."""
+    path = unique_folder(x.spark, "published")
+    manifest.publish(x.panel.select(*KEYS, "close", "volume"), path)
+    return manifest.scan(x.spark, path, [1996, 1997, 1998], {"datetime": "date", "instrument": "string", "close": "double"}, "2002-01-01")
+
+
+@query(oracles.sql("select year(datetime)::int \"year\", count(*) \"rows\", min(datetime) first, max(datetime) last from panel group by 1", "panel"))
+def manifest_rows(x: Inputs) -> DataFrame:
+    """What the manifest says of each year's files, as the files tell it."""
+    files = manifest.publish(x.panel.select(*KEYS, "close"), unique_folder(x.spark, "published"))
+    return files.groupBy("year").agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+@query(oracles.sql("select t.fold_id, datetime, instrument, segment from tagged t join folds f on f.fold_id = t.fold_id where case segment when 'train' then label_end + case when s % 17 = 3 and pos % 10 = 1 then 900 else 0 end >= valid_start when 'valid' then label_end >= test_start else false end", "folds"))
+def q_label_overlap(x: Inputs) -> DataFrame:
+    """Rows whose label reaches into a later part of their fold; planted: some training labels end 900 days later."""
+    late = (F.col("segment") == "train") & (F.col("s") % 17 == 3) & (F.col("pos") % 10 == 1)
+    rows = x.tagged().withColumn("label_end", F.when(late, F.date_add("label_end", 900)).otherwise(F.col("label_end")))
+    return folds.overlapping_labels(rows, x.folds()).select("fold_id", *KEYS, "segment")
 
 
 @query("select l_orderkey, l_partkey, l_quantity from lineitem where l_suppkey = 3 and l_shipdate < timestamp '1997-01-01'")
@@ -268,9 +286,13 @@ def q_nulls(x: Inputs) -> DataFrame:
     return checks.missing_counts(x.status_event, ["publish", "effective"])
 
 
-@query("select count_if(isnan(l_quantity) or isinf(l_quantity))::bigint l_quantity, count_if(isnan(l_extendedprice) or isinf(l_extendedprice))::bigint l_extendedprice from lineitem")
+@query("select count_if(l_orderkey % 97 = 3 or l_orderkey % 97 = 5)::bigint l_quantity, count_if(l_orderkey % 89 = 7)::bigint l_extendedprice, 0::bigint l_discount from lineitem")
 def q_finite(x: Inputs) -> DataFrame:
-    return checks.nonfinite_counts(x.spark.read.parquet(f"{x.dir}/lineitem.parquet"), ["l_quantity", "l_extendedprice"])
+    """Planted: values that are no number and both infinities."""
+    n, rows = F.col("l_orderkey"), x.spark.read.parquet(f"{x.dir}/lineitem.parquet")
+    bad = lambda c, at: F.when(n % 97 == at, F.lit(float("nan"))).when(n % 97 == at + 2, F.lit(float("-inf"))).otherwise(F.col(c))
+    planted = {"l_quantity": bad("l_quantity", 3), "l_extendedprice": F.when(n % 89 == 7, F.lit(float("inf"))).otherwise(F.col("l_extendedprice"))}
+    return checks.nonfinite_counts(rows.withColumns(planted), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
 @query(oracles.sql("select datetime, instrument from panel where datetime >= date '2001-03-01'", "panel"))
@@ -373,12 +395,70 @@ def q_partition_year(x: Inputs) -> DataFrame:
     return checks.wrong_partition(x.panel.withColumn("year", F.year(F.date_add("datetime", 7))), "year").select(*KEYS)
 
 
-@query(oracles.sql("select datetime from state where year(datetime) = 1998", "state"))
+@query(oracles.sql("select datetime, case when year(datetime) = 1998 then 'keyset' else 'state' end problem from state where year(datetime) = 1998 or month(datetime) = 3", "state"))
 def q_state_digest(x: Inputs) -> DataFrame:
-    """Dates whose stored digest is not the one computed again; one year's digests are altered."""
-    now = _state(x).select("datetime", "population_keyset_sha256")
-    stored = now.withColumn("population_keyset_sha256", F.when(F.year("datetime") == 1998, F.lit("?")).otherwise(F.col("population_keyset_sha256")))
-    return checks.declared_against_observed(now, stored, "datetime", "population_keyset_sha256").select("datetime")
+    """Dates whose stored digests are not those computed again from the population; one year's key sets and every March's
+    states are altered."""
+    now = cut(state.state_digest(_state(x), _STATE).select("datetime", F.col("population_keyset_sha256").alias("k"), F.col("state_sha256").alias("s")))
+    stored = now.withColumns({"k": F.when(F.year("datetime") == 1998, F.lit("?")).otherwise(F.col("k")), "s": F.when(F.month("datetime") == 3, F.lit("?")).otherwise(F.col("s"))})
+    return state.wrong_digests(now, stored, {"k": "keyset", "s": "state"})
+
+
+_CELLS = ("close", "volume", "turnover")
+_LINE = "instrument || '|' || " + " || '|' || ".join(f"coalesce(round({c} + 1e-9, 4)::decimal(38,4)::varchar, '')" for c in _CELLS)
+
+
+@query(oracles.sql(f"""
+, l as (select datetime, left(md5(instrument), 2) node, {_LINE} line from panel),
+t2 as (select datetime, node, sha256(string_agg(line, chr(10) order by line)) digest, count(*) n from l group by 1, 2),
+t1 as (select datetime, left(node, 1) node, sha256(string_agg(digest, '' order by node)) digest, sum(n)::bigint n from t2 group by 1, left(node, 1)),
+t0 as (select datetime, '' node, sha256(string_agg(digest, '' order by node)) digest, sum(n)::bigint n from t1 group by 1)
+select datetime, 0 "level", node, digest, n from t0 union all select datetime, 1, node, digest, n from t1 union all select datetime, 2, node, digest, n from t2""", "panel"))
+def hash_tree(x: Inputs) -> DataFrame:
+    """The panel's tree, two levels below each date's root."""
+    return trees.tree(x.panel, "datetime", "instrument", list(_CELLS), 2)
+
+
+@query(oracles.sql("""
+select datetime, instrument, 'close' "column", coalesce(round(close + 1e-9, 4)::decimal(38,4)::varchar, '') "before", coalesce(round(close + 0.5::double + 1e-9, 4)::decimal(38,4)::varchar, '') "after"
+from panel where (s + 3 * pos) % 101 = 7 and (s + pos) % 103 <> 5
+union all select datetime, instrument, '-', 'row', null from panel where (s + pos) % 103 = 5""", "panel"))
+def tree_difference(x: Inputs) -> DataFrame:
+    """Cells altered and rows lost between two stores of the panel, found by descending their trees."""
+    a = x.store("panel").panel
+    b = a.where((F.col("s") + F.col("pos")) % 103 != 5).withColumn("close", F.when((F.col("s") + 3 * F.col("pos")) % 101 == 7, F.col("close") + 0.5).otherwise(F.col("close")))
+    b = cut(b)
+    depth = 1 + trees.depth_for(a, "datetime")
+    both = tuple(trees.tree(rows, "datetime", "instrument", list(_CELLS), depth) for rows in (a, b))
+    return trees.changed_cells(a, b, both, "datetime", "instrument", list(_CELLS), depth)
+
+
+_TRIALS = """
+, j as (select source_event_id, event, case when counts_evaluation then 'e' || (case when source_event_id % 5003 = 0 then source_event_id + 2 else source_event_id end)::varchar end evaluation_id,
+        case when not counts_evaluation then 'f' || (case when source_event_id % 4001 = 0 then source_event_id + 2 else source_event_id end)::varchar end fit_id from journal),
+l as (select source_event_id, case when source_event_id % 2001 = 0 then event || '!' else event end event, evaluation_id, fit_id from j where source_event_id % 3 = 0),
+n as (select j.* from j where source_event_id % 3 <> 0),
+u as (select *, false fresh from l union all select *, true from n),
+c as (select *, count(evaluation_id) over (order by source_event_id) + (select count(evaluation_id) from l) ne, count(fit_id) over (order by source_event_id) + (select count(fit_id) from l) nf from n),
+caps as (select (select count(*) * 49 // 100 from j) e, (select count(*) * 48 // 100 from j) f)
+select j.source_event_id, 'conflict' problem from j join l using (source_event_id) where j.event <> l.event
+union all select source_event_id, 'repeated_evaluation' from n where evaluation_id in (select evaluation_id from u where evaluation_id is not null group by 1 having count(*) > 1 and bool_or(fresh))
+union all select source_event_id, 'repeated_fit' from n where fit_id in (select fit_id from u where fit_id is not null group by 1 having count(*) > 1 and bool_or(fresh))
+union all select source_event_id, 'evaluation_cap' from c, caps where evaluation_id is not null and ne > e
+union all select source_event_id, 'fit_cap' from c, caps where fit_id is not null and nf > f"""
+
+
+@query(oracles.sql(_TRIALS, "journal"))
+def ledger_caps(x: Inputs) -> DataFrame:
+    """What keeps the journal out of the ledger: altered events, ids used twice over old and new, and additions over the
+    caps, which are 49 and 48 of 100 events."""
+    n = F.col("source_event_id")
+    own = lambda kind, every: F.concat(F.lit(kind), F.when(n % every == 0, n + 2).otherwise(n).cast("string"))
+    journal = x.journal.select(n, "event", F.when(F.col("counts_evaluation"), own("e", 5003)).alias("evaluation_id"), F.when(~F.col("counts_evaluation"), own("f", 4001)).alias("fit_id"))
+    journal = cut(journal)
+    known = journal.where(n % 3 == 0).withColumn("event", F.when(n % 2001 == 0, F.concat("event", F.lit("!"))).otherwise(F.col("event")))
+    rows = journal.count()
+    return ledgers.problems(cut(known), journal, rows * 49 // 100, rows * 48 // 100)
 
 
 @query(oracles.sql("select s.datetime, s.instrument from scores s where s.score is not null and s.label is not null", "scores"))

@@ -416,14 +416,14 @@ def _pairs(x: Inputs) -> DataFrame:
 
 @query(oracles.sql(f"""
 , {_PAIRS}, n as (select count(*) n from pairs),
-starts as (select draw, block, (7919 * draw + 104729 * block + 17) % 2147483647 x from (select unnest(range(200)) draw), (select unnest(range((select (n + 7) // 8 from n))) block)),
+starts as (select draw, block, (7919 * draw + 104729 * block + 17) % 2147483647 x from (select unnest(range(2000)) draw), (select unnest(range((select (n + 3) // 4 from n))) block)),
 m1 as (select draw, block, (x * x + 12345) % 2147483647 x from starts), m2 as (select draw, block, (x * x + 12345) % 2147483647 x from m1),
-taken as (select draw, ((x % n) + o) % n i from m2, n, (select unnest(range(8)) o) where block * 8 + o < n),
+taken as (select draw, ((x % n) + o) % n i from m2, n, (select unnest(range(4)) o) where block * 4 + o < n),
 per as (select draw, avg(candidate) / stddev_samp(candidate) * sqrt(52) - avg(benchmark) / stddev_samp(benchmark) * sqrt(52) d from taken join pairs using (i) group by draw)
 select round((select avg(candidate) / stddev_samp(candidate) * sqrt(52) - avg(benchmark) / stddev_samp(benchmark) * sqrt(52) from pairs) + 1.234e-7::double, 5) + 0::double point,
        round(quantile_cont(d, 0.025) + 1.234e-7::double, 5) + 0::double low, round(quantile_cont(d, 0.975) + 1.234e-7::double, 5) + 0::double high, count(*) draws from per""", "features"))
 def bootstrap_ci(x: Inputs) -> DataFrame:
-    return rounded(portfolio.bootstrap(_pairs(x)), 5, "point", "low", "high")
+    return rounded(portfolio.bootstrap(cut(_pairs(x)), seed=17), 5, "point", "low", "high")
 
 
 @query(oracles.sql(f"""
@@ -436,7 +436,7 @@ select round((select avg(candidate) / stddev_samp(candidate) * sqrt(52) - avg(be
        round(quantile_cont(d, 0.025) + 1.234e-7::double, 5) + 0::double low, round(quantile_cont(d, 0.975) + 1.234e-7::double, 5) + 0::double high, count(*) draws from per""", "features"))
 def bootstrap_ci_reference(x: Inputs) -> DataFrame:
     """The interval with the reference's numbers: 2,000 draws of blocks of 4, seed 7."""
-    return rounded(portfolio.bootstrap(_pairs(x), draws=2000, length=4, seed=7), 5, "point", "low", "high")
+    return rounded(portfolio.bootstrap(cut(_pairs(x)), draws=2000, length=4, seed=7), 5, "point", "low", "high")
 
 
 _CMP = "cmp as (select user_id % 5 seed, 'f' || (epoch_us(ts) // 86400000000 % 5)::varchar fold_id, cast(avg(cast(value as decimal(20,6))) as double) - 50 net_ir_delta from events group by 1, 2)"
@@ -459,13 +459,21 @@ def seed_fold_share(x: Inputs) -> DataFrame:
     return portfolio.shares(_comparison(x)).select("seed_share", "fold_id_share").withColumnRenamed("fold_id_share", "fold_share")
 
 
-@query(f"""with {_CMP}, facts as (select seed_share, fold_share, (select min(net_ir_delta) from cmp) ci_low, 0.4::double best_year_share, (select max(net_ir_delta) from cmp) stress_ir, 0 hard_failures from {_SHARES}),
-r as (select *, list_filter([case when seed_share < 0.8 then 'seed_consistency' end, case when fold_share < 0.6 then 'fold_consistency' end, case when ci_low <= 0 then 'interval_includes_zero' end, case when best_year_share > 0.5 then 'one_year_dominates' end, case when stress_ir <= 0 then 'stress_cost' end], lambda x: x is not null) rs from facts)
-select array_to_string(rs, ',') reasons, case when hard_failures > 0 then 'REJECT' when len(rs) = 0 then 'PROMOTE' when seed_share < 0.5 or fold_share < 0.5 or stress_ir <= 0 then 'REJECT' else 'HOLD' end decision from r""")
+@query(f"""with {_CMP}, facts as (select seed_share, fold_share, (select min(net_ir_delta) from cmp) ci_low, (select max(net_ir_delta) from cmp) stress_ir,
+  (select max(n) / sum(n) from (select count(*)::double n from cmp group by seed)) best_year_share,
+  list_filter([case when (select count(*) from cmp) <> (select count(distinct seed) * count(distinct fold_id) from cmp) then 'incomplete_comparison' end,
+               case when (select max(abs(net_ir_delta)) from cmp) > 1 then 'implausible_delta' end], lambda x: x is not null) hard from {_SHARES}),
+r as (select *, list_concat(hard, list_filter([case when seed_share < 0.8 then 'seed_consistency' end, case when fold_share < 0.6 then 'fold_consistency' end, case when ci_low <= 0 then 'interval_includes_zero' end, case when best_year_share > 0.5 then 'one_year_dominates' end, case when stress_ir <= 0 then 'stress_cost' end], lambda x: x is not null)) rs from facts)
+select array_to_string(rs, ',') reasons, case when len(hard) > 0 then 'REJECT' when len(rs) = 0 then 'PROMOTE' when seed_share < 0.5 or fold_share < 0.5 or stress_ir <= 0 then 'REJECT' else 'HOLD' end decision from r""")
 def promotion(x: Inputs) -> DataFrame:
-    c = _comparison(x)
-    ends = c.agg(F.min("net_ir_delta").alias("ci_low"), F.max("net_ir_delta").alias("stress_ir"))
-    facts = portfolio.shares(c).withColumnRenamed("fold_id_share", "fold_share").crossJoin(ends).withColumns({"best_year_share": F.lit(0.4), "hard_failures": F.lit(0)})
+    """Hard failures: a comparison that lacks a seed and fold, or a difference too large to be true."""
+    c = cut(_comparison(x))
+    d = F.col("net_ir_delta")
+    seeds = c.groupBy("seed").count().agg((F.max("count") / F.sum("count")).alias("best_year_share"))
+    whole = F.count("*") != F.count_distinct("seed") * F.count_distinct("fold_id")
+    hard = F.array_compact(F.array(F.when(whole, F.lit("incomplete_comparison")), F.when(F.max(F.abs(d)) > 1, F.lit("implausible_delta"))))
+    ends = c.agg(F.min(d).alias("ci_low"), F.max(d).alias("stress_ir"), hard.alias("hard_failures"))
+    facts = portfolio.shares(c).withColumnRenamed("fold_id_share", "fold_share").crossJoin(ends).crossJoin(seeds)
     return portfolio.promotion(facts).select(F.array_join("reasons", ",").alias("reasons"), "decision")
 
 

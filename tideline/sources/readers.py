@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +40,54 @@ def write_years(matrix: DataFrame, path: str, column: str = "datetime") -> DataF
     return written.groupBy("year").agg(F.count("*").alias("rows"))
 
 
-def extract_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, fetch: int = 10_000) -> DataFrame:
-    """A database table read in parallel ranges of a numeric column."""
-    return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties={"fetchsize": str(fetch)})
+#: Equal steps of a key column in which the database counts its rows before an extract.
+STEPS = 1024
+
+Cell = tuple[int, int, int]  # first key, key after the last, rows
+
+
+def extract_ranges(cells: list[Cell], parts: int) -> list[tuple[int, int]]:
+    """Half-open ranges of keys with about equally many rows, made of cells in order."""
+    share, held, out = sum(n for *_, n in cells) / parts, 0, []
+    start = cells[0][0]
+    for _, stop, n in cells:
+        held += n
+        if held >= share:
+            out.append((start, stop))
+            start, held = stop, 0
+    return out + ([(start, cells[-1][1])] if start < cells[-1][1] else [])
+
+
+def counted_cells(count: Callable[[int, int, int], dict[int, int]], low: int, high: int, most: float) -> list[Cell]:
+    """Cells over [low, high) by `count(low, high, width)`, rows of each step; a step with more rows than `most` is
+    counted in finer ones."""
+    width = max(1, -(-(high - low) // STEPS))
+    found = count(low, high, width)
+    out: list[Cell] = []
+    for k in range(-(-(high - low) // width)):
+        a, b, n = low + k * width, min(high, low + (k + 1) * width), found.get(k, 0)
+        out += counted_cells(count, a, b, most) if n > most and b - a > 1 else [(a, b, n)]
+    return out
+
+
+def extract_jdbc(spark: SparkSession, url: str, table: str, column: str, parts: int, properties: dict[str, str] | None = None, fetch: int = 10_000) -> DataFrame:
+    """A database table read in parallel by ranges of a whole-number column that hold about equally many rows: the
+    database counts them in equal steps first. Rows without a key are a range of their own; raises if there is no row."""
+    options = {"fetchsize": str(fetch)} | (properties or {})
+    ask = lambda sql: spark.read.jdbc(url, f"({sql}) q", properties=options)
+    ends = ask(f"select min({column}) lo, max({column}) hi, count(*) n, count({column}) k from {table}").first()
+    low, high, n, keys = ends
+    if not n:
+        raise ValueError(f"{table} has no rows")
+    predicates = [f"{column} is null"] if keys < n else []
+    if keys:
+
+        def count(a: int, b: int, width: int) -> dict[int, int]:
+            step = f"({column} - ({a})) / {width}"
+            return {int(r[0]): int(r[1]) for r in ask(f"select s, count(*) n from (select {step} s from {table} where {column} >= {a} and {column} < {b}) t group by s").collect()}
+
+        predicates += [f"{column} >= {a} and {column} < {b}" for a, b in extract_ranges(counted_cells(count, low, high + 1, keys / parts), parts)]
+    return spark.read.jdbc(url, table, predicates=predicates, properties=options)
 
 
 RECORD = T.StructType(
