@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import safe
-from tideline.operators import checks, contracts, folds, intervals, ledgers, profiles, scoring, state, trees
+from tideline.operators import checks, contracts, folds, intervals, ledgers, network, profiles, scoring, state, trees, walkforward
 from tideline.operators.features import features, history
 from tideline.plans import oracles
 from tideline.plans.panel import _STATE, KEYS, Inputs, _q, _state, rounded
 from tideline.plans.registry import query
-from tideline.session import cut, unique_folder
+from tideline.session import broadcast_if_small, cut, unique_folder
 from tideline.sources import manifest, readers
 
 ZONE = "Asia/Shanghai"
@@ -484,3 +487,37 @@ def gbt_walk_forward(x: Inputs) -> DataFrame:
 def peer_forward(x: Inputs) -> DataFrame:
     rows = x.feats().select(*KEYS, *scoring.PEER_FEATURES).na.drop()
     return scoring.peer_forward(rows, given=scoring.weights_from(x.peer_weights))
+
+
+@query(None)
+def peer_network(x: Inputs) -> DataFrame:
+    """The whole network over all 50 features and the market state, rows that lack any left out by its mask."""
+    x.store("panel", "calendar")
+    daily = _state(x)
+    rows = features(x.panel).join(daily.select("datetime"), "datetime", "left_semi")
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scoring.PEER_FEATURES])
+    alive = cut(rows.withColumn("known", known).select(*KEYS, "known", *scoring.PEER_FEATURES))
+    some = alive.groupBy("datetime").agg(F.bool_or("known").alias("any")).where("any").select("datetime")
+    alive = alive.join(broadcast_if_small(some, 8), "datetime", "left_semi")
+    clipped = alive.select(*KEYS, "known", *[F.greatest(F.least(F.col(c), F.lit(3.0)), F.lit(-3.0)).alias(c) for c in scoring.PEER_FEATURES])
+    return network.forward(clipped, list(scoring.PEER_FEATURES), scoring.weights_from(x.network_weights), 4, daily, _STATE, "known")
+
+
+@query(oracles.sql("""
+, fit as (select fold_id, regr_slope(label, turnover) b, regr_intercept(label, turnover) a from tagged where segment = 'train' and label is not null and turnover is not null group by fold_id),
+sc as (select t.fold_id, t.datetime, t.instrument, round(a + b * turnover, 9) score, label from tagged t join fit on fit.fold_id = t.fold_id where segment = 'test' and label is not null and turnover is not null),
+rk as (select *, rank() over (partition by fold_id, datetime order by score) + (count(*) over (partition by fold_id, datetime, score) - 1) / 2.0 rs,
+       rank() over (partition by fold_id, datetime order by label) + (count(*) over (partition by fold_id, datetime, label) - 1) / 2.0 rl from sc),
+ics as (select fold_id, datetime, case when count(*) >= 3 then covar_pop(rs, rl) / nullif(stddev_pop(rs) * stddev_pop(rl), 0) end rank_ic, count(*) n from rk group by 1, 2),
+both_ as (select * from ics union all select 'all', datetime, rank_ic, n from ics)
+select fold_id, round(avg(rank_ic) + 1.234e-7::double, 6) + 0::double rank_ic_mean, round(stddev_samp(rank_ic) + 1.234e-7::double, 6) + 0::double rank_ic_std, sum(n)::bigint observations, count(rank_ic) dates
+from both_ group by fold_id""", "folds"))
+def walk_forward_fitted(x: Inputs) -> DataFrame:
+    """A least-squares model fitted on every fold's training part, stored, loaded, and measured on its test part."""
+    rows = x.tagged().select("fold_id", "segment", *KEYS, "label", "turnover").where("turnover is not null")
+    least_squares = LinearRegression(featuresCol=walkforward.INPUT, labelCol="label", predictionCol="score", solver="normal", standardization=False)
+    estimator = walkforward.ColumnEstimator(["turnover"], lambda train, valid: least_squares.fit(train))
+    ids = sorted(r.fold_id for r in x.folds().select("fold_id").collect())  # one row a fold
+    scores = walkforward.run(cut(rows), ids, estimator, unique_folder(x.spark, "walk-forward"), "least_squares")
+    out = walkforward.measured(scores.withColumn("score", F.round("score", 9)))
+    return rounded(out, 6, "rank_ic_mean", "rank_ic_std").select("fold_id", "rank_ic_mean", "rank_ic_std", "observations", "dates")

@@ -123,6 +123,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
               from nation cross join part a cross join part b where n_nationkey < 6 and a.p_partkey < 200 and b.p_partkey < 100) x
         where (name = 'encode' and r < 50) or (name = 'assign' and r < 100 and c < 8) or (name in ('query', 'key', 'value') and r < 100) or (name = 'out' and c < 1)""",
     ),
+    "network_weights": (
+        (),
+        ("nation", "part"),
+        """
+        select name, r, c, case when name like '%scale' then 1.0e0 else (((31 * r + 17 * c + 101 * k) * (7 * r + 3 * c + 11)) % 1009 - 504) / 2400.0e0 end value
+        from (select n_nationkey k, a.p_partkey r, b.p_partkey c,
+                     case n_nationkey when 0 then 'encoder_w' when 1 then 'encoder_b' when 2 then 'encoder_scale' when 3 then 'encoder_shift' when 4 then 'gate_w' when 5 then 'gate_b'
+                       when 6 then 'gate2_w' when 7 then 'gate2_b' when 8 then 'assign_w' when 9 then 'assign_b' when 10 then 'query_w' when 11 then 'query_b' when 12 then 'key_w'
+                       when 13 then 'key_b' when 14 then 'value_w' when 15 then 'value_b' when 16 then 'mix_w' when 17 then 'mix_b' when 18 then 'head_w' when 19 then 'head_b'
+                       when 20 then 'head_scale' when 21 then 'head_shift' when 22 then 'out_w' when 23 then 'out_b' end name,
+                     case when n_nationkey = 0 then 50 when n_nationkey = 4 then 4 when n_nationkey = 18 then 128 when n_nationkey in (6, 8, 10, 12, 14, 16, 22) then 64 else 1 end rows_,
+                     case when n_nationkey in (8, 9) then 16 when n_nationkey in (22, 23) then 1 else 64 end columns_
+              from nation cross join part a cross join part b where n_nationkey < 24 and a.p_partkey < 128 and b.p_partkey < 64) x
+        where r < rows_ and c < columns_""",
+    ),
     "anchors": (
         (),
         ("nation",),
