@@ -200,3 +200,33 @@ def test_an_empty_segment_is_an_error(spark):
         folds.require_segments(tagged, f)
     assert folds.require_segments(tagged, f, ("train", "test")).count() == 2
     assert folds.overlapping_labels(tagged, f).select("segment").collect() == [("train",)]
+
+
+def test_files_are_in_order_and_names_of_times_are_empty(spark, tmp_path):
+    rng = random.Random(8)
+    keys = [(DAY + timedelta(days=d), f"i{k:02d}") for d in range(30) for k in range(40)]
+    rng.shuffle(keys)
+    schema = "datetime date, instrument string, feature_name string, feature_value double, vendor_available_time timestamp, label_start_time timestamp"
+    from datetime import datetime
+
+    rows = [(d, i, "close", 1.0, datetime(2020, 1, 2, 3, 4, 5) if i != "i00" else None, None) for d, i in keys]
+    out = readers.consumed(spark.createDataFrame(rows, schema).repartition(5), ["vendor_available_time", "label_start_time"], "p1", "t0", "t1")
+    path = str(tmp_path / "sorted")
+    back = readers.write_sorted(out, path, ["datetime", "instrument"])
+    assert back.count() == len(rows) and len(back.columns) == len(set(out.columns))
+    one = back.where("instrument = 'i00'").first()
+    assert (one.vendor_available_time, one.revision_known_time, one.label_start_time, one.calendar_session_id) == ("", "", "", "XSHG_XSHE-")
+    assert back.where("instrument = 'i01'").first().vendor_available_time == "2020-01-02T03:04:05" and set(readers.CONSTANTS) <= set(back.columns)
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    files = sorted(Path(path).glob("part-*"))
+    got = [k for f in files for k in zip(*(pq.read_table(f).column(c).to_pylist() for c in ("datetime", "instrument")))]
+    assert got == sorted(keys)
+
+
+def test_periods_that_one_side_lacks_are_dropped(spark):
+    a = spark.createDataFrame([(DAY + timedelta(days=7 * k), 1.0 * k if k != 2 else None) for k in range(6)], "datetime date, candidate double")
+    b = spark.createDataFrame([(DAY + timedelta(days=7 * k), 2.0 * k) for k in (5, 3, 2, 1, 9)], "datetime date, benchmark double")
+    assert [(r.i, r.candidate, r.benchmark) for r in portfolio.aligned(a, b).orderBy("i").collect()] == [(0, 1.0, 2.0), (1, 3.0, 6.0), (2, 5.0, 10.0)]

@@ -84,6 +84,12 @@ def mixed(draw, block, seed: int, n: int):
     return x % n
 
 
+def aligned(candidate: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Periods that both series have, numbered in order from 0: datetime, i, candidate, benchmark. One row a period."""
+    both = candidate.select("datetime", "candidate").join(benchmark.select("datetime", "benchmark"), "datetime").where("candidate is not null and benchmark is not null")
+    return both.withColumn("i", (F.row_number().over(Window.orderBy("datetime")) - 1).cast("long"))
+
+
 def bootstrap(pairs: DataFrame, draws: int = 2000, length: int = 4, seed: int = 7, periods: int = 52) -> DataFrame:
     """Circular moving-block bootstrap of the difference of information ratios: point, 2.5 % and 97.5 % quantiles.
 

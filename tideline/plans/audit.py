@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import safe
-from tideline.operators import checks, contracts, folds, intervals, ledgers, network, profiles, scoring, state, trees, walkforward
+from tideline.operators import checks, contracts, folds, intervals, ledgers, network, portfolio, profiles, scoring, state, trees, walkforward
+from tideline.operators.features import daily as features_daily
 from tideline.operators.features import features, history
 from tideline.plans import oracles
-from tideline.plans.panel import _STATE, KEYS, Inputs, _q, _state, rounded
+from tideline.plans.panel import _STATE, CUTOFF, KEYS, Inputs, _q, _state, rounded
 from tideline.plans.registry import query
 from tideline.session import broadcast_if_small, cut, unique_folder
 from tideline.sources import manifest, readers
@@ -489,6 +490,43 @@ def peer_forward(x: Inputs) -> DataFrame:
     return scoring.peer_forward(rows, given=scoring.weights_from(x.peer_weights))
 
 
+_TIMES = ("prediction_time", "vendor_available_time", "tradable_time", "label_start_time", "label_end_time", "universe_announced_time", "universe_effective_from", "universe_effective_to")
+_ISO = lambda c: f"coalesce(strftime({c}::timestamp, '%Y-%m-%dT%H:%M:%S'), '')"
+_CONSUMED = readers.CONSTANTS | {"ingested_time": "2001-06-01T00:00:00", "parse_ready_time": "2001-06-01T01:00:00"}
+
+
+@query(oracles.sql(f"""
+, t as (select l.datetime, l.instrument, l.datetime prediction_time, l.datetime vendor_available_time, l.label_start tradable_time, l.label_start label_start_time, l.label_end label_end_time,
+          m.pub universe_announced_time, m.eff_from universe_effective_from, m.eff_to universe_effective_to, l.close, l.turnover
+        from labelled l left join member m on m.instrument = l.instrument and m.datetime = l.datetime),
+u as (select * from (select *, unnest(['close', 'turnover']) feature_name, unnest([close, turnover]) feature_value from t))
+select datetime, instrument, feature_name, {_q('feature_value', 4)} feature_value, {', '.join(f'{_ISO(c)} {c}' for c in _TIMES)},
+  {', '.join(f"'{v}' {c}" for c, v in _CONSUMED.items())}, instrument || ':' || strftime(datetime, '%Y%m%d') || ':' || feature_name row_id,
+  'panel-v1:' || instrument || ':' || strftime(datetime, '%Y%m%d') revision_id, {_ISO('vendor_available_time')} revision_known_time,
+  'XSHG_XSHE-' || left({_ISO('label_start_time')}, 10) calendar_session_id from u""", "labels", "member"))
+def consumed_values(x: Inputs) -> DataFrame:
+    """Two values of every row in the form in which they are consumed, written in order and read back; times that a row
+    does not have are empty."""
+    rows = intervals.membership_asof(x.labelled(), x.membership, CUTOFF)
+    known = ("datetime", "datetime", "label_start", "label_start", "label_end", "member_pub", "member_from", "member_to")
+    rows = rows.select(*KEYS, *[F.col(c).cast("timestamp").alias(t) for c, t in zip(known, _TIMES, strict=True)], "close", "turnover")
+    long = rounded(rows.unpivot([*KEYS, *_TIMES], ["close", "turnover"], "feature_name", "feature_value"), 4, "feature_value")
+    out = readers.consumed(long, list(_TIMES), "panel-v1", _CONSUMED["ingested_time"], _CONSUMED["parse_ready_time"])
+    return readers.write_sorted(out, unique_folder(x.spark, "consumed"), [*KEYS, "feature_name"])
+
+
+@query(oracles.sql("""
+, c as (select datetime, avg(intraday_return) / 100 v from daily where intraday_return is not null and pos % 7 <> 3 group by datetime),
+b as (select datetime, avg(gap_return) / 100 v from daily where gap_return is not null and pos % 11 <> 5 group by datetime)
+select datetime, round(c.v + 1.234e-7::double, 7) + 0::double candidate, round(b.v + 1.234e-7::double, 7) + 0::double benchmark from c join b using (datetime)""", "features"))
+def benchmark_alignment(x: Inputs) -> DataFrame:
+    """Two series of their own tables, each without some periods; periods that either lacks are dropped."""
+    daily = cut(features_daily(x.panel))
+    mean = lambda c, name, gone: daily.where(F.col(c).isNotNull() & gone).groupBy("datetime").agg((F.avg(c) / 100).alias(name))
+    both = portfolio.aligned(mean("intraday_return", "candidate", F.col("pos") % 7 != 3), mean("gap_return", "benchmark", F.col("pos") % 11 != 5))
+    return rounded(both.select("datetime", "candidate", "benchmark"), 7, "candidate", "benchmark")
+
+
 @query(None)
 def peer_network(x: Inputs) -> DataFrame:
     """The whole network over all 50 features and the market state, rows that lack any left out by its mask."""

@@ -130,3 +130,33 @@ def row_keys(long: DataFrame) -> DataFrame:
             "adjustment_time": F.lit("").cast("string"),
         }
     )
+
+
+# Fixed values of the consumed form: constant columns, and those that are empty because nothing is known of them.
+CONSTANTS = {
+    "ingested_time": "", "parse_ready_time": "", "ingestion_batch_id": "", "ingested_object_sha256": "", "universe_member": "true", "security_status": "ACTIVE", "adjustment_mode": "RAW",
+    "adjustment_known_time": "", "adjustment_invariance_pass": "", "halt_time": "", "quote_resume_time": "", "trade_resume_time": "",
+}
+
+
+def consumed(long: DataFrame, times: list[str], product: str, ingested: str, ready: str) -> DataFrame:
+    """Long rows as they are consumed: every time as ISO text, missing ones empty, the row's names, and the constants.
+    Raises nothing: rows whose value is not finite are left to `checks`."""
+    day = F.date_format("datetime", "yyyyMMdd")
+    own = CONSTANTS | {"ingested_time": ingested, "parse_ready_time": ready}
+    rows = long.withColumns({c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")) for c in times} | {c: F.lit(v) for c, v in own.items()})
+    return rows.withColumns(
+        {
+            "row_id": F.concat_ws(":", "instrument", day, "feature_name"),
+            "revision_id": F.concat_ws(":", F.lit(product), "instrument", day),
+            "revision_known_time": F.col("vendor_available_time"),
+            "calendar_session_id": F.concat(F.lit("XSHG_XSHE-"), F.substring("label_start_time", 1, 10)),
+        }
+    )
+
+
+def write_sorted(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """Write rows in one order over all files, by ranges and not through one task, and read them back. Files are named by
+    their range, so their order is that of the rows."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
