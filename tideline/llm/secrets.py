@@ -1,15 +1,21 @@
 """Secret scans: fixed patterns, and a likelihood ratio of two character models.
 
 The patterns find assignments, access keys and long hexadecimal runs. The method adds other tokens that look random:
-two first-order character Markov models, one of random strings and one of ordinary identifiers, are trained from
-labelled samples, and a token is reported if its mean log-likelihood ratio per transition exceeds a threshold.
+first-order character Markov models of random strings and of ordinary identifiers are trained from labelled samples,
+and the log-likelihood ratio of the two decides.
 
 Training reads all documents: values that the patterns find are the random samples, all other tokens the ordinary
-ones. Only transition counts leave the tasks, at most alphabet squared per model. `sample_docs` bounds the rows read
-where that is wanted (those with the least hash of id and text). With no random samples the method adds nothing.
-
-A token must have `LEAST` letters, as in training, and hold a digit and a letter (`mixed`): short tokens have too few
-transitions to tell, and long compounds of plain letters are the commonest false finds.
+ones. Samples of a few formats say nothing of keys in another alphabet, so strings drawn evenly from each alphabet are
+a second kind of random sample, whose model is known without drawing them; the better of both explains a token. All
+models are taken over the classes of letters that the token has (small, capital, digit), so the order of its letters
+decides and not its alphabet. Signs, and a capital after a small letter, begin a word, as they do in identifiers.
+One letter in twenty of ordinary text may be anything (`noise`), so a strange name weighs little at any corpus size. Only transition counts leave the tasks, at most alphabet squared per model.
+`sample_docs` bounds the rows read where that is wanted (those with the least hash of id and text).
+
+A token is reported if the mean ratio of its distinct transitions is over `threshold` and their sum over `evidence`,
+which is the log of the odds against a secret. Repeated transitions add nothing, so rules of one letter are not random.
+Tokens of less than `LEAST` letters can't reach the evidence and are not looked at. A run of digits can't be told
+from an ordinary number and has a ratio near 0.
 
 Defined cases: null text counts as empty; spans are in code points, end exclusive; repeated rows are scanned each on
 their own; an empty table gives an empty result; only the `keep` columns of the input are carried over.
@@ -36,12 +42,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 
 #: What the models look at: long runs of the letters that keys are written in.
-LEAST = 16
+LEAST = 12
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
-SIDE = len(ALPHABET) + 1  # the last code starts a token
+SIDE = len(ALPHABET) + 1  # the last code is of signs and starts a word
+#: The class of each letter as one bit, and the letters of each set of classes.
+BIT = np.array([1 if c.islower() else 2 if c.isupper() else 4 for c in ALPHABET])
+WITHIN = (np.arange(8)[:, None] & BIT) > 0
 WORD = re.compile(r"[A-Za-z0-9+/_=-]+")
 
 
@@ -53,24 +62,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def transitions(token: str) -> np.ndarray:
-    codes = CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
-    return np.concatenate(([SIDE - 1], codes[:-1])) * SIDE + codes
+def transitions(text: str) -> np.ndarray:
+    """From each letter's predecessor, or the start of a word, to the letter."""
+    codes = CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
+    last = np.concatenate(([SIDE - 1], codes[:-1]))
+    last[(codes < 26) & (last >= 26) & (last < 52)] = SIDE - 1
+    inside = codes < SIDE - 1
+    return last[inside] * SIDE + codes[inside]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-ratio of each transition under the two models; None if there was nothing to learn from."""
+    """Log-ratio of each transition, by set of classes: strings drawn evenly, and those of the samples, against ordinary ones."""
 
-    ratio: np.ndarray | None
+    ratios: tuple[np.ndarray, ...]
     threshold: float
-    mixed: bool = True
+    evidence: float
+
+    def total(self, token: str) -> tuple[float, int]:
+        """The ratio summed over distinct transitions, for the random model that explains the token better, and their number."""
+        at = np.unique(transitions(token))
+        if not len(at):
+            return 0.0, 1
+        classes = int(np.bitwise_or.reduce(BIT[at % SIDE]))
+        return max(float(r[classes, at].sum()) for r in self.ratios), len(at)
 
     def score(self, token: str) -> float:
-        return float(self.ratio[transitions(token)].mean()) if self.ratio is not None else float("-inf")
+        total, n = self.total(token)
+        return total / n
+
+    def random(self, token: str) -> bool:
+        total, n = self.total(token)
+        return total / n > self.threshold and total > self.evidence
+
+
+def within(weights: np.ndarray) -> np.ndarray:
+    """Log-probability of each transition among the letters of each set of classes, from weights of all transitions."""
+    inside = np.where(WITHIN[:, None, :], weights[None, :, : SIDE - 1], 0.0)
+    total = inside.sum(2, keepdims=True)
+    log = np.log(np.where(inside > 0, inside / np.where(total > 0, total, 1.0), 1.0))
+    return np.concatenate((log, np.zeros((8, SIDE, 1))), 2).reshape(8, SIDE * SIDE)
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int | None = None, threshold: float = 0.35, smoothing: float = 0.5, mixed: bool = True) -> Model:
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int | None = None, threshold: float = 0.35, smoothing: float = 0.5, evidence: float = 9.0, noise: float = 0.05) -> Model:
     """Count transitions of random and ordinary tokens, in all documents or in a bounded sample."""
     sample = docs.select(F.col(text).alias("text"))
     if sample_docs is not None:
@@ -97,10 +131,7 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_do
                 kept.append((t or "")[at:])
                 joined = WORD.findall(" ".join(kept))
                 if joined:
-                    codes = CODE[np.frombuffer(" ".join(joined).encode("ascii"), np.uint8)]
-                    last = np.concatenate(([SIDE - 1], codes[:-1]))
-                    inside = codes < SIDE - 1
-                    total[1] += np.bincount((last * SIDE + codes)[inside], minlength=SIDE * SIDE)
+                    total[1] += np.bincount(transitions(" ".join(joined)), minlength=SIDE * SIDE)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
@@ -109,28 +140,24 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_do
     for row in counted:  # at most two full tables of transitions
         total[row["at"]] = row["n"]
     random, ordinary = total.reshape(2, SIDE, SIDE)
-    if not random.sum():
-        return Model(None, threshold, mixed)
-    log = lambda c: np.log((c + smoothing) / (c + smoothing).sum(1, keepdims=True))
-    # Random strings draw their letters independently: their model is backed by the letters' own frequencies.
-    letters = random.sum(0) + smoothing
-    backed = np.log((random + 20 * letters / letters.sum()) / (random.sum(1, keepdims=True) + 20))
-    return Model((backed - log(ordinary)).ravel(), threshold, mixed)
+    even = within(np.ones((SIDE, SIDE)))
+    ordinary = np.logaddexp(np.log1p(-noise) + within(ordinary + smoothing), np.log(noise) + even)
+    ratios = [even - ordinary]
+    if random.sum():
+        # Random strings draw their letters independently: their model is backed by the letters' own frequencies.
+        letters = random.sum(0) + smoothing
+        ratios.append(within(random + 20 * letters / letters.sum()) - ordinary)
+    return Model(tuple(ratios), threshold, evidence)
 
 
 def model_spans(text: str, model: Model, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Random-looking tokens, or the parts of tokens that pattern matches leave."""
-    if model.ratio is None:
-        return []
     found = []
     for m in TOKEN.finditer(text):
         at = m.start()
         for s, _, e in [*(x for x in taken if x[0] < m.end() and m.start() < x[2]), (m.end(), 3, m.end())]:
-            if s - at >= LEAST:
-                token = text[at:s]
-                looks = not model.mixed or (any(c.isdigit() for c in token) and any(c.isalpha() for c in token))
-                if looks and model.score(token) > model.threshold:
-                    found.append((at, 3, s))
+            if s - at >= LEAST and model.random(text[at:s]):
+                found.append((at, 3, s))
             at = max(at, e)
     return found
 
