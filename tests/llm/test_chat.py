@@ -93,3 +93,31 @@ def test_cases(spark):
     lone = next(r for r in got if r.conv_id is None)
     # Two ways cost as much as an insertion before: the repair keeps the role and puts an empty user turn in front.
     assert (lone.new_role, lone.inserted) == ("assistant", "user")
+
+
+def test_turns_that_share_a_number_are_split(spark, monkeypatch):
+    """Missing and repeated numbers, one text many times: small parts, every turn once, the cost of the whole sequence."""
+    ship(spark)
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    roles = ["system", "user", "assistant", "users", None]
+    rows = [(1, None, "user", f"t{i}", "") for i in range(300)] + [(1, None, "gpt", "same", "")] * 200 + [(1, None, None, f"u{i}", "") for i in range(5)]
+    rows += [(1, 9, "user", None, "")] * 150 + [(1, int(t), roles[t % 5], f"v{t}", "") for t in rng.integers(0, 40, 60)]
+    rows += [(None, 3, "assistant", f"w{i}", "") for i in range(100)] + [(2, 3, "assistant", "x", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    parts = chat._uncrowded(chat._with_order(chat.numbered(docs, "conv_id", "turn", "role", "text")), 16)
+    assert parts.groupBy("conv_id", "block", "part").count().agg({"count": "max"}).first()[0] <= 32
+    got = chat.repair(docs, crowd=16).collect()
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(key, ((r.conv_id, r.turn, r.role, r.text) for r in got))) == sorted(map(key, ((c, t, r, x or "") for c, t, r, x, _ in rows)))
+    codes = {"system": 1, "user": 2, "assistant": 3, "gpt": 3}
+    for conv in (1, 2, None):
+        own = [r for r in got if r.conv_id == conv]
+        last = [r for r in own if r.ends]
+        assert len(last) == sum(r.opens for r in own) == 1
+        cost = sum(2 * r.relabelled + (r.action == "merge") + 3 * (r.inserted is not None) for r in own) + CLOSING[chat.ROLES.index(last[0].new_role) + 1]
+        order = sorted((r[1] is not None, r[1] or 0, r[2] or "") for r in rows if r[0] == conv)
+        costs = [0.0, *[float("inf")] * 3]
+        for *_, role in order:
+            costs = [min(costs[at] + step(codes.get(role, 0), at, to) for at in range(4)) if to else float("inf") for to in range(4)]
+        assert cost == pytest.approx(min(c + CLOSING.get(at, float("inf")) for at, c in enumerate(costs)))

@@ -8,10 +8,16 @@ turns: blocks are reduced to matrices in parallel, the matrices of a conversatio
 every block border, and each block then picks its own path. No task holds the turns of a long conversation, and a
 conversation of one block, as nearly all are, needs no pass over borders.
 
+A block is a range of turn numbers. Where over `CROWD` turns share number and role (missing numbers are one number),
+the range is cut further: by turn and role, and those turns by ranges of the hash of their text. Their roles are equal,
+so their order does not change the costs; it only says which text opens the merged turn. A text that is itself
+repeated over `CROWD` times is dealt out evenly, since its turns are alike.
+
 Of equal costs the path with the smaller states wins (system, user, assistant), read from the last turn back.
 
 Defined cases: null text is empty; null or unknown roles may become any role at the relabelling cost; turns are
-ordered by turn number, nulls first, then by role and text, and repeated rows are separate turns; an empty table gives
+ordered by turn number, nulls first, then by role and text (over `CROWD` turns of equal number and role: by hash range
+and text, texts repeated over `CROWD` times last), and repeated rows are separate turns; an empty table gives
 no rows; other columns are not carried over.
 """
 
@@ -24,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.session import cut
+from tideline.session import broadcast_if_small, cut
 
 BLOCK = 256
+CROWD = 4 * BLOCK
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)  # states: the last role written, or none yet
 STATES = 4
@@ -86,8 +93,7 @@ def role_code(role: Column) -> Column:
 
 
 def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """conv, turn, role, text, code and block. The block is of the turn number, so that it needs no sort; blocks of
-    uneven turn numbers only differ in size by what repeats a number."""
+    """conv, turn, role, text, code and block. The block is of the turn number, so that it needs no sort."""
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.withColumns({"code": role_code(F.col("role")), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))})
 
@@ -100,23 +106,52 @@ def _with_order(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"turn_known": F.col("turn").isNotNull(), "role_text": F.coalesce("role", F.lit(""))})
 
 
-def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def _uncrowded(rows: DataFrame, crowd: int) -> DataFrame:
+    """Rows with `part`: the order of a row's part inside its block; empty where no turns crowd the block."""
+    group = ["conv_id", "turn", "role_text"]
+
+    def matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        named = broadcast_if_small(right.select(*[F.col(c).alias(f"own_{c}" if c in keys else c) for c in right.columns]), 200)
+        return left.join(named, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys], "left").drop(*[f"own_{k}" for k in keys])
+
+    crowds = cut(rows.groupBy(*group, "block").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd))
+    if crowds.isEmpty():
+        return rows.withColumn("part", F.lit(""))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    blocks = crowds.select("conv_id", "block").distinct().withColumn("crowded", F.lit(True))
+    rows = matched(matched(rows, blocks, ["conv_id", "block"]), crowds.drop("block"), group)
+    copies = rows.where("rows is not null").groupBy(*group, "tie").agg(F.count("*").alias("copies")).where(F.col("copies") > crowd)
+    rows = matched(rows, cut(copies), [*group, "tie"])
+    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    shares = lambda c: F.ceil(F.col(c) / BLOCK)
+    unsigned = F.shiftrightunsigned("tie", 1)
+    cold = F.concat(F.lit("a"), digits(F.floor(unsigned / float(2**63) * shares("rows")), 12))
+    hot = F.concat(F.lit("b"), F.lpad(F.hex("tie"), 16, "0"), digits(F.pmod(F.xxhash64(F.monotonically_increasing_id()), shares("copies")), 12))
+    # The dot is less than any digit, so a role sorts before those that it begins.
+    at = F.concat(digits(F.coalesce(F.pmod(F.col("turn"), F.lit(BLOCK)), F.lit(0)), 3), F.hex("role_text"), F.lit("."))
+    part = F.concat(at, F.when(F.col("copies").isNotNull(), hot).when(F.col("rows").isNotNull(), cold).otherwise(F.lit("")))
+    # Written, so that both passes see every copy in one part.
+    return cut(rows.withColumn("part", F.when(F.col("crowded"), part).otherwise(F.lit(""))).drop("tie", "crowded", "rows", "copies"))
+
+
+def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per turn: its new role, what was done, the empty turn put before or after it, and its rendered piece.
 
     The pieces of a conversation, in order of `turn`, make up its rendered text.
     """
-    rows = cut(_with_order(numbered(turns, conv, turn, role, text)))
+    rows = _uncrowded(cut(_with_order(numbered(turns, conv, turn, role, text))), crowd)
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def reduce(table: pa.Table) -> pa.Table:
-        roles = _ordered(table)["code"].to_numpy()
-        return pa.table({"conv_id": table["conv_id"][:1], "block": table["block"][:1], "costs": pa.array([product(roles).ravel().tolist()])})
+        roles = table.sort_by([("turn_known", "ascending"), ("turn", "ascending"), ("role_text", "ascending")])["code"].to_numpy()
+        return pa.table({"conv_id": table["conv_id"][:1], "block": table["block"][:1], "part": table["part"][:1], "costs": pa.array([product(roles).ravel().tolist()])})
 
-    light = rows.select("conv_id", "block", "code", "turn", "turn_known", "role_text", "text")
-    matrices = light.groupBy("conv_id", "block").applyInArrow(reduce, f"conv_id {kind}, block long, costs array<double>")
+    # Equal number and role mean equal codes, so texts need not travel here.
+    light = rows.select("conv_id", "block", "part", "code", "turn", "turn_known", "role_text")
+    matrices = light.groupBy("conv_id", "block", "part").applyInArrow(reduce, f"conv_id {kind}, block long, part string, costs array<double>")
 
     def borders(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
+        table = table.sort_by([("block", "ascending"), ("part", "ascending")])
         steps = np.array(table["costs"].to_pylist()).reshape(-1, STATES, STATES)
         costs = [np.where(np.arange(STATES) == START, 0.0, np.inf)]
         for m in steps:
@@ -126,14 +161,14 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
             states.append(int((costs[k] + steps[k][:, states[-1]]).argmin()))
         states = [START, *states[::-1]]
         closing = [False] * (len(steps) - 1) + [True]
-        return pa.table({"conv_id": table["conv_id"], "block": table["block"], "first": states[:-1], "last": states[1:], "closes": closing})
+        return pa.table({"conv_id": table["conv_id"], "block": table["block"], "part": table["part"], "first": states[:-1], "last": states[1:], "closes": closing})
 
     counted = matrices.withColumn("blocks", F.count("*").over(Window.partitionBy("conv_id")))
     # The first state of least cost: the start's row of the matrix and what closing costs.
     closing = [F.struct((F.col("costs")[k] + float(FINAL[k])).alias("cost"), F.lit(k).cast("long").alias("state")) for k in (SYSTEM, USER, ASSISTANT)]
-    alone = counted.where("blocks = 1").select("conv_id", "block", F.lit(START).cast("long").alias("first"), F.array_min(F.array(*closing))["state"].alias("last"), F.lit(True).alias("closes"))
+    alone = counted.where("blocks = 1").select("conv_id", "block", "part", F.lit(START).cast("long").alias("first"), F.array_min(F.array(*closing))["state"].alias("last"), F.lit(True).alias("closes"))
     several = counted.where("blocks > 1").drop("blocks").groupBy("conv_id")
-    ends = alone.unionByName(several.applyInArrow(borders, f"conv_id {kind}, block long, first long, last long, closes boolean"))
+    ends = alone.unionByName(several.applyInArrow(borders, f"conv_id {kind}, block long, part string, first long, last long, closes boolean"))
 
     def walk(table: pa.Table) -> pa.Table:
         table = _ordered(table)
@@ -153,9 +188,9 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         names = ["conv_id", "turn", "role", "text", "new_role", "action", "relabelled", "inserted", "opens", "ends"]
         return pa.table([table["conv_id"], table["turn"], table["role"], table["text"], *cols, ends_here], names=names)
 
-    joined = rows.join(ends, (rows["conv_id"].eqNullSafe(ends["conv_id"])) & (rows["block"] == ends["block"]))
+    joined = rows.join(ends, (rows["conv_id"].eqNullSafe(ends["conv_id"])) & (rows["block"] == ends["block"]) & (rows["part"] == ends["part"]))
     joined = joined.select(*[rows[c] for c in rows.columns], "first", "last", "closes")
-    done = joined.groupBy("conv_id", "block").applyInArrow(
+    done = joined.groupBy("conv_id", "block", "part").applyInArrow(
         walk, f"conv_id {kind}, turn long, role string, text string, new_role string, action string, relabelled boolean, inserted string, opens boolean, ends boolean"
     )
     return done.withColumn("rendered", rendered())
