@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.safe import at_least, finite, ratio
+from tideline.session import compilable
 
 # Raw columns, windows and feature names.
 RAW_COLUMNS = ("open", "high", "low", "close", "volume", "amount", "turnover")
@@ -152,6 +153,7 @@ def event_mask(rows: DataFrame, flag: str = "corporate_action", name: str = "con
 
 def features(panel: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """The panel with its features; rows near a corporate action have none and are not eligible."""
+    compilable(panel.sparkSession)
     rows = event_mask(daily(panel))
     kept = rows.columns
     rows = moments(rows, windows)

@@ -1,9 +1,9 @@
 """Joins against histories: interval membership, as-of status, halts, events inside intervals, calendar offsets.
 
-As-of questions are a union of both sides followed by one ordered window. Interval questions find the winner among the
-intervals that cover a day: an instrument's intervals, where they are few, go along as one list, so rows are joined once
-and never multiplied; where they are many, intervals and days are dealt to bins of time, so that a day meets the
-intervals of its bin and not all of its instrument's.
+An instrument's events and intervals, where they are few, go along as one list: rows are joined by instrument alone,
+never multiplied, and not shuffled again where they are partitioned by instrument. Where they are many, as-of questions
+are a union of both sides followed by one ordered window, and intervals and days are dealt to bins of time, so that a day
+meets the intervals of its bin and not all of its instrument's.
 """
 
 from __future__ import annotations
@@ -64,8 +64,27 @@ def special_name(name: Column) -> Column:
     return F.upper(F.coalesce(name, F.lit(""))).rlike(r"(^|\*)ST|PT|退")
 
 
-def asof_backward(rows: DataFrame, events: DataFrame, on: str, at: str, known: str, ties: list[str], values: list[str]) -> DataFrame:
-    """Each row with the `values` of the last event known at its time; one union and one window, no range join."""
+def asof_backward(rows: DataFrame, events: DataFrame, on: str, at: str, known: str, ties: list[str], values: list[str], most: int = LISTED) -> DataFrame:
+    """Each row with the `values` of the last event known at its time. Events of an instrument that has few go along as
+    one list, so rows stay where they are; rows of the others are united with the events and ordered, without a range
+    join."""
+    names = [c for c in rows.columns]
+    many = cut(events.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > most))
+    some = not many.isEmpty()
+    few = broadcast_if_small(many.select(on), 32)
+    usual = events.join(few, on, "left_anti") if some else events
+    lists = usual.groupBy(on).agg(F.collect_list(F.struct(F.col(known).alias("_at"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(ties)], F.struct(*values).alias("_v"))).alias("_events"))
+    before = lambda e: e["_at"].isNull() | (e["_at"] <= F.col(at))
+    left = rows.join(few, on, "left_anti") if some else rows
+    found = left.join(broadcast_if_small(lists, 32 + 32 * (len(ties) + len(values))), on, "left").withColumn("_last", F.array_max(F.filter("_events", before))["_v"])
+    found = found.select(*names, *[F.col(f"_last.{v}").alias(v) for v in values])
+    if not some:
+        return found
+    return found.unionByName(_asof_ordered(rows.join(few, on, "left_semi").select(*names), events.join(few, on, "left_semi"), on, at, known, ties, values))
+
+
+def _asof_ordered(rows: DataFrame, events: DataFrame, on: str, at: str, known: str, ties: list[str], values: list[str]) -> DataFrame:
+    """The same by one union and one window."""
     names = [c for c in rows.columns]
     left = rows.withColumns({"_at": F.col(at), "_side": F.lit(1), **{f"_t{k}": F.lit(None).cast(events.schema[t].dataType) for k, t in enumerate(ties)}, "_v": F.lit(None).cast(events.select(F.struct(*values)).schema[0].dataType)})
     right = events.select(
@@ -116,10 +135,35 @@ def labels(scheduled: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.try_divide("label_close", "label_open") - 1)
 
 
+def ahead(rows: DataFrame, columns: dict[str, tuple[str, str]], steps: int) -> DataFrame:
+    """Rows with columns of their instrument's row on a later day: new name -> (column of the day, column to take), or
+    null where there is no such row. For panels with unique keys whose day lies at most `steps` of the instrument's rows
+    ahead; the panel is looked up in its own order, so no join is needed."""
+    over = Window.partitionBy("instrument").orderBy("datetime")
+    kept = rows.columns
+    taken = F.struct("datetime", *sorted({c for _, c in columns.values()}))
+    rows = rows.withColumns({f"_f{k}": F.lead(taken, k).over(over) for k in range(1, steps + 1)})
+    at = lambda day, c: F.coalesce(*[F.when(F.col("instrument").isNotNull() & (F.col(f"_f{k}.datetime") == F.col(day)), F.struct(F.col(f"_f{k}.{c}").alias("v"))) for k in range(1, steps + 1)])["v"]
+    return rows.select(*kept, *[at(day, c).alias(name) for name, (day, c) in columns.items()])
+
+
+def labelled(panel: DataFrame, calendar: DataFrame, taken: dict[str, tuple[str, str]] | None = None, start: int = 1, end: int = 5) -> DataFrame:
+    """Schedule and labels of a panel with unique keys whose dates are sessions, with its own prices: the result of
+    `labels(label_schedule(panel, calendar), panel)` in one ordered pass. `taken` names further columns to look up."""
+    columns = {"label_open": ("label_start", "open"), "label_close": ("label_end", "close")} | (taken or {})
+    rows = ahead(label_schedule(panel, calendar, start, end), columns, end)
+    return rows.withColumn("label", F.try_divide("label_close", "label_open") - 1)
+
+
 def open_limit_state(rows: DataFrame, limits: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     on = limits.select("instrument", F.col("datetime").alias("label_start"), "limit_up", "limit_down")
+    return touched(rows.join(on, ["instrument", "label_start"], "left"), tolerance)
+
+
+def touched(rows: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """Does the price at label start lie at one of the limits of that day, which the rows have."""
     touch = lambda c: holds(F.abs(F.col("label_open") - F.col(c)) <= tolerance)
-    return rows.join(on, ["instrument", "label_start"], "left").withColumn("execution_at_limit", touch("limit_up") | touch("limit_down"))
+    return rows.withColumn("execution_at_limit", touch("limit_up") | touch("limit_down"))
 
 
 def halt_at(rows: DataFrame, halts: DataFrame) -> DataFrame:
@@ -132,10 +176,8 @@ def halt_at(rows: DataFrame, halts: DataFrame) -> DataFrame:
 def action_in_label(rows: DataFrame, actions: DataFrame) -> DataFrame:
     """Is there an action from label start to label end: the last one known at the end lies not before the start."""
     a = actions.select("instrument", "action_date").where("action_date is not null").withColumn("_known", F.col("action_date"))
-    known = rows.where("label_end is not null")
-    found = asof_backward(known, a, "instrument", "label_end", "_known", [], ["action_date"])
-    found = found.withColumn("label_crosses_action", holds(F.col("action_date") >= F.col("label_start"))).drop("action_date")
-    return found.unionByName(rows.where("label_end is null").withColumn("label_crosses_action", F.lit(False)))
+    found = asof_backward(rows, a, "instrument", "label_end", "_known", [], ["action_date"])
+    return found.withColumn("label_crosses_action", holds(F.col("action_date") >= F.col("label_start"))).drop("action_date")
 
 
 def listing_age(rows: DataFrame, master: DataFrame, calendar: DataFrame, sessions: int = 60) -> DataFrame:

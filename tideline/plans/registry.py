@@ -23,8 +23,9 @@ def query(sql: str | None, name: str | None = None):
 
 def inputs(spark, sf_dir: str):
     from tideline.plans.panel import Inputs
+    from tideline.session import compilable
 
-    return Inputs(spark, sf_dir)
+    return Inputs(compilable(spark), sf_dir)
 
 
 def load() -> None:

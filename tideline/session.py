@@ -96,6 +96,27 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of a method beyond which the JVM interprets it for good; Spark's default lets whole stages grow past that.
+METHOD_BYTES = 8000
+
+
+def compilable(spark: SparkSession) -> SparkSession:
+    """Split generated code that the JVM would never compile, where the session leaves Spark's default: rows with many
+    computed columns otherwise run interpreted, several times as long."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_BYTES)
+    return spark
+
+
+#: Rows that a task of a wide shuffle sorts or groups.
+TASK_ROWS = 500_000
+
+
+def partitions_for(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """Partitions for a shuffle of so many rows: those of the session, or more, so that a task's memory does not grow."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """Mark a side for broadcasting if its counted rows stay under a size bound; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

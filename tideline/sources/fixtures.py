@@ -9,8 +9,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.session import partitions_for
 
 EPOCH = "date '1995-01-02'"
+#: The price limits of a panel row.
+LIMIT_UP, LIMIT_DOWN = "case when (s + pos) % 11 = 0 then open else 1.1e0 * open end", "0.9e0 * open"
 
 #: view -> (other views it reads, tables it reads, SELECT). DAYS(a, b) is a - b in days, PLUS(d, n) a date n days on.
 VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
@@ -74,7 +79,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
     "limits": (
         ("panel",),
         (),
-        "select datetime, instrument, case when (s + pos) % 11 = 0 then open else 1.1e0 * open end limit_up, 0.9e0 * open limit_down from panel",
+        f"select datetime, instrument, {LIMIT_UP} limit_up, {LIMIT_DOWN} limit_down from panel",
     ),
     "action": (
         ("panel",),
@@ -172,11 +177,37 @@ def _spell(sql: str, spark: bool) -> str:
     return replace(sql, "PLUS", lambda d, n: f"({d} + cast({n} as integer))")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.withColumns({"d": F.col("l_shipdate").cast("date"), "datetime": F.date_trunc("week", "l_shipdate").cast("date")})
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the view `panel`, shuffled once, by instrument: what is grouped, ordered or joined by instrument
+    afterwards needs no further shuffle. First and last prices are those of the least and greatest order of a group, so
+    that no group is numbered twice."""
+    lines = _lines(spark, sf_dir).withColumns({"s": F.col("l_suppkey"), "instrument": F.col("l_suppkey").cast("string"), "px": F.expr("l_extendedprice / l_quantity")})
+    n = partitions_for(spark, lines.count())
+    lines = lines.select("datetime", "s", "instrument", "d", "l_orderkey", "l_linenumber", "l_partkey", "px", "l_quantity", "l_extendedprice", "l_discount").repartition(n, "instrument")
+    at = F.struct("d", "l_orderkey", "l_linenumber", "l_partkey")
+    tenths = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    rows = lines.groupBy("instrument", "datetime", "s").agg(
+        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"),
+        F.sum("l_quantity").alias("volume"), tenths("l_extendedprice").alias("amount"), (tenths("l_discount") / F.count("*")).alias("turnover"),
+    )
+    rows = rows.withColumn("pos", F.expr(_spell(f"cast(DAYS(datetime, {EPOCH}) / 7 as bigint)", True)))
+    return rows.select("datetime", "s", "instrument", "pos", "open", "high", "low", "close", "volume", "amount", "turnover", F.expr("(s * 7 + pos) % 293 = 0").alias("corporate_action"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """A fixture view as a DataFrame over the tables of a folder; `stored` views are taken as they are."""
     if stored and name in stored:
         return stored[name]
+    if name == "panel":
+        return panel(spark, sf_dir)
     others, tables, sql = VIEWS[name]
+    if name == "calendar" and not (stored and "panel" in stored):  # the panel's dates are those of its lines
+        return spark.sql(_spell(sql.replace("from panel", "from {panel}"), True), panel=_lines(spark, sf_dir).select("datetime"))
     frames = {o: view(spark, sf_dir, o, stored) for o in others} | {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     for n in frames:
         sql = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", sql)
