@@ -42,6 +42,10 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def number(x: Column) -> Column:
     """Numeric coercion: text that is no finite number becomes NULL."""
     return finite(x.try_cast("double"))

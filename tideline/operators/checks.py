@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.safe import any_of
 from tideline.operators.features import FEATURE_COLUMNS, features
 from tideline.operators.profiles import n_if, replay_differences
+from tideline.session import cut
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,23 +43,31 @@ def declared_against_observed(observed: DataFrame, declared: DataFrame, key: str
 
 
 def score_contract(scores: DataFrame, folds: int, boundary: str) -> DataFrame:
-    """One row: rows, distinct keys, missing scores, models, folds, late rows, and whether all is as agreed."""
-    out = scores.agg(
-        F.count("*").alias("rows"),
-        F.count_distinct("datetime", "instrument", "fold_id").alias("keys"),
-        n_if(F.col("score").isNull()).alias("missing"),
+    """One row: rows, distinct keys, missing scores, models, folds, late rows, and whether all is as agreed. Rows are
+    stored with the columns that count; each key is met once, models and folds in a table of their few pairs."""
+    late = F.col("datetime") >= F.lit(boundary).cast("date")
+    keys = ("datetime", "instrument", "fold_id")
+    rows = cut(scores.select(*keys, "model_id", F.col("score").isNull().alias("gone"), late.alias("late")))
+    pairs = rows.groupBy("fold_id", "model_id").agg(F.count("*").alias("n"), n_if(F.col("gone")).alias("gone"), n_if(F.col("late")).alias("late"))
+    out = pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("gone"), F.lit(0)).alias("missing"),
         F.count_distinct("model_id").alias("models"),
         F.count_distinct("fold_id").alias("folds"),
-        n_if(F.col("datetime") >= F.lit(boundary).cast("date")).alias("late"),
+        F.coalesce(F.sum("late"), F.lit(0)).alias("late"),
     )
+    met = rows.select(*keys).na.drop().distinct().agg(F.count("*").alias("keys"))
+    out = out.crossJoin(met).select("rows", "keys", "missing", "models", "folds", "late")
     return out.withColumn("ok", F.expr(f"rows = keys and missing = 0 and models = 1 and folds = {folds} and late = 0"))
 
 
 def keys_differ(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of one side that the other lacks, both ways."""
-    left = a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_anti").withColumn("side", F.lit("left"))
-    right = b.select(*keys).distinct().join(a.select(*keys).distinct(), keys, "left_anti").withColumn("side", F.lit("right"))
-    return left.unionByName(right)
+    """Keys of one side that the other lacks, both ways; each side is read once. A missing value equals nothing."""
+    sides = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionAll(b.select(*keys, F.lit(0), F.lit(1)))
+    met = sides.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    alone = (F.col("_a") != F.col("_b")) | any_of([F.col(k).isNull() for k in keys])
+    side = F.array_compact(F.array(F.when(F.col("_a") == 1, "left"), F.when(F.col("_b") == 1, "right")))
+    return met.where(alone).select(*keys, F.explode(side).alias("side"))
 
 
 def rectangular(long: DataFrame, sample: list[str], features_: int) -> DataFrame:

@@ -137,8 +137,9 @@ oracles.PARTS["fold_scores"] = ((), ("scores", "folds"), _FS)
 
 
 def _fold_scores(x: Inputs) -> DataFrame:
-    test = x.tagged().where("segment = 'test'").select(*KEYS, "fold_id")
-    rows = x.scores().where("score is not null").select(*KEYS, "score").join(test, list(KEYS))
+    rows = x.scores().where("score is not null")
+    ranges = folds.embargoed(x.folds(), x.calendar, 5)
+    rows = folds.purged_segments(rows, ranges).where("segment = 'test'").select(*KEYS, "score", "fold_id")
     return rows.withColumn("model_id", F.lit("mean_reversion"))
 
 
@@ -480,7 +481,8 @@ def segment_prepare(x: Inputs) -> DataFrame:
 
 @query(None)
 def gbt_walk_forward(x: Inputs) -> DataFrame:
-    rows = x.feats().select(*KEYS, *scoring.MODEL_FEATURES).join(x.tagged().select(*KEYS, "fold_id", "segment", "label"), list(KEYS))
+    rows = features(x.labelled()).select(*KEYS, "label", "label_end", *scoring.MODEL_FEATURES)
+    rows = folds.purged_segments(rows, folds.embargoed(x.folds(), x.calendar, 5)).select(*KEYS, *scoring.MODEL_FEATURES, "fold_id", "segment", "label")
     return scoring.walk_forward(rows, ["wf_1999", "wf_2000", "wf_2001"])
 
 
@@ -530,7 +532,6 @@ def benchmark_alignment(x: Inputs) -> DataFrame:
 @query(None)
 def peer_network(x: Inputs) -> DataFrame:
     """The whole network over all 50 features and the market state, rows that lack any left out by its mask."""
-    x.store("panel", "calendar")
     daily = _state(x)
     rows = features(x.panel).join(daily.select("datetime"), "datetime", "left_semi")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scoring.PEER_FEATURES])
