@@ -67,13 +67,14 @@ def keyset_digests(rows: DataFrame, most: int = LISTED) -> DataFrame:
 
 
 def daily_state(rows: DataFrame, most: int = ranks.MOST, listed: int = LISTED) -> DataFrame:
-    """mean trend, median volatility, share of risers, median turnover, count, and the digest of the date's keys."""
+    """mean trend, median volatility, share of risers, median turnover, count, and the digest of the date's keys; stored,
+    one row a date, since it is counted and joined several times."""
     rows = cut(rows.select("datetime", "instrument", *SOURCES))
     sums = rows.groupBy("datetime").agg(F.avg("ret_mean_20").alias("mkt_trend_20"), F.avg((F.col("ret_1d") > 0).cast("double")).alias("mkt_breadth_1d"), F.count("*").alias("population_count"))
     middle = ranks.medians(rows, {"ret_std_20": "mkt_vol_20", "turnover_mean_20": "mkt_turnover_20"}, most=most)
     digests = keyset_digests(rows, listed).withColumnRenamed("digest", "population_keyset_sha256")
     out = sums.join(middle, "datetime").join(digests, "datetime")
-    return out.select("datetime", "mkt_trend_20", "mkt_vol_20", "mkt_breadth_1d", "mkt_turnover_20", "population_count", "population_keyset_sha256")
+    return cut(out.select("datetime", "mkt_trend_20", "mkt_vol_20", "mkt_breadth_1d", "mkt_turnover_20", "population_count", "population_keyset_sha256"))
 
 
 def state_digest(state: DataFrame, columns: tuple[str, ...], digits: int = 4) -> DataFrame:
