@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tideline.session import broadcast_if_small, cut
 
 HELD_DATES = 1000
+#: Bytes of all dates' prototypes up to which every worker holds them; beyond, rows are joined with those of their date,
+#: which are some hundred times as wide as a row.
+SHARED_BYTES = 64 << 20
 EPSILON = 1e-5  # of the layer norms
 _erf = np.frompyfunc(math.erf, 1, 1)
 
@@ -61,12 +64,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def encode(w: dict, x: np.ndarray, state: np.ndarray | None) -> np.ndarray:
-    """Encodings of rows, scaled by the gates of their dates' market states."""
+def encode(w: dict, x: np.ndarray, state: np.ndarray | None, place: np.ndarray | None = None) -> np.ndarray:
+    """Encodings of rows, scaled by the gates of their dates' market states: a state a date, and each row's place in them."""
     h = gelu(norm(x @ w["encoder_w"] + w["encoder_b"], w["encoder_scale"], w["encoder_shift"]))
     if state is None:
         return h
-    return h * 2 / (1 + np.exp(-(gelu(state @ w["gate_w"] + w["gate_b"]) @ w["gate2_w"] + w["gate2_b"])))
+    gates = 2 / (1 + np.exp(-(gelu(state @ w["gate_w"] + w["gate_b"]) @ w["gate2_w"] + w["gate2_b"])))
+    return h * gates[place]
 
 
 def attend(w: dict, h: np.ndarray, p: np.ndarray, heads: int) -> np.ndarray:
@@ -103,7 +107,10 @@ def forward(rows: DataFrame, columns: list[str], weights: dict[str, np.ndarray],
 
     def encoded(pdf: pd.DataFrame) -> np.ndarray:
         x = np.where(pdf["ok"].to_numpy(bool)[:, None], np.nan_to_num(pdf[names].to_numpy(float)), 0.0)
-        return encode(w, x, pdf[market].to_numpy(float) if market else None)
+        if not market:
+            return encode(w, x, None)
+        _, first, place = np.unique(pdf["day"].to_numpy(), return_index=True, return_inverse=True)
+        return encode(w, x, pdf[market].to_numpy(float)[first], place.ravel())
 
     def flushed(held: dict) -> pd.DataFrame:
         return pd.DataFrame([(d, s.ravel().tolist()) for d, s in held.items()], columns=["day", "s"])
@@ -125,17 +132,29 @@ def forward(rows: DataFrame, columns: list[str], weights: dict[str, np.ndarray],
                 held = {}
         yield flushed(held)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scores(pdf: pd.DataFrame, prototypes) -> pd.DataFrame:
+        h, score = encoded(pdf), np.zeros(len(pdf))
+        for d, at in pdf.groupby("day").indices.items():
+            s = np.array(prototypes(d, at[0])).reshape(kinds, hidden + 1)
+            score[at] = attend(w, h[at], s[:, :-1] / np.maximum(s[:, -1:], 1e-8), heads)
+        return pdf[["datetime", "instrument"]].assign(score=np.where(pdf["ok"], score, 0.0))
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            h, score = encoded(pdf), np.zeros(len(pdf))
-            for at in pdf.groupby("day").indices.values():
-                s = np.array(pdf["s"].iloc[at[0]]).reshape(kinds, hidden + 1)
-                score[at] = attend(w, h[at], s[:, :-1] / np.maximum(s[:, -1:], 1e-8), heads)
-            yield pdf[["datetime", "instrument"]].assign(score=np.where(pdf["ok"], score, 0.0))
+            yield scores(pdf, lambda d, k: pdf["s"].iloc[k])  # noqa: B023
 
     parts = rows.drop("datetime", "instrument").mapInPandas(sums, "day int, s array<double>")
     numbered = parts.select("day", F.posexplode("s").alias("i", "v")).groupBy("day", "i").agg(F.sum("v").alias("v"))
     dates = cut(numbered.groupBy("day").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("s")))  # prototypes of a date: a fixed size
     if bare := rows.join(dates, "day", "left_anti").first():
         raise ValueError(f"date {bare.datetime} has no valid row")
-    return rows.join(broadcast_if_small(dates, 8 * kinds * (hidden + 1)), "day").mapInPandas(scored, "datetime date, instrument string, score double")
+    out = "datetime date, instrument string, score double"
+    if dates.count() * 8 * kinds * (hidden + 1) > SHARED_BYTES:
+        return rows.join(dates, "day").mapInPandas(joined, out)
+    shared = rows.sparkSession.sparkContext.broadcast({r.day: np.array(r.s) for r in dates.collect()})
+
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield scores(pdf, lambda d, k: shared.value[d])
+
+    return rows.mapInPandas(looked_up, out)
