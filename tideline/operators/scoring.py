@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import boosting
+from tideline.operators.boosting import best_round  # noqa: F401
 from tideline.operators.features import FEATURE_COLUMNS
-from tideline.session import cut, shared_folder
+from tideline.session import cut
 
 MODEL_FEATURES = PEER_FEATURES = FEATURE_COLUMNS
 #: A task lets its sums of dates go when it holds this many.
@@ -26,60 +23,19 @@ def complete(rows: DataFrame, columns) -> DataFrame:
     return rows.na.drop(subset=list(columns))
 
 
-def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
-    """Rounds up to the best one that `patience` further rounds do not better, and whether there were that many."""
-    best = 0
-    for k, e in enumerate(errors):
-        if e < errors[best]:
-            best = k
-        elif k - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_trees(train: DataFrame, valid: DataFrame, columns, rounds: int = 500, patience: int = 50) -> object:
-    """Squared loss with row and column subsampling, up to the best round on the validation part.
-
-    Spark's own stopping has no patience: it ends at the first round that gains little. So trees are fitted without it,
-    in doubled numbers until the validation errors of their prefixes have ended or `rounds` are reached, and then up to
-    the best round; rounds depend on those before only, so the trees are the same. Parts have to be stored tables.
-    """
-    sc = train.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(train.sparkSession))
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="x")
-    train, valid = (vectors.transform(part).select("x", "label") for part in (train, valid))
-    trees = GBTRegressor(featuresCol="x", labelCol="label", predictionCol="score", maxDepth=5, maxBins=255, minInstancesPerNode=50, stepSize=0.03, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=7)
-    n, ended = patience, False
-    while not ended and n < rounds:
-        n = min(rounds, 2 * n)
-        model = trees.copy({trees.maxIter: n}).fit(train)
-        best, ended = best_round(model.evaluateEachIteration(valid, "squared"), patience)
-    return model if best == n else trees.copy({trees.maxIter: best}).fit(train)
-
-
-def score(model, rows: DataFrame, columns) -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="x").transform(rows)
-    return model.transform(vectors).select("datetime", "instrument", "score")
+def fit_trees(train: DataFrame, valid: DataFrame, columns, rounds: int = 500, patience: int = 50) -> boosting.Model:
+    """Squared loss with row and column subsampling, up to the best round on the validation part."""
+    part = lambda df, name: df.select(F.lit("one").alias("fold_id"), F.lit(name).alias("segment"), "label", *columns)
+    return boosting.fit(part(train, "train").unionByName(part(valid, "valid")), columns, boosting.Settings(rounds, patience))["one"]
 
 
 def walk_forward(rows: DataFrame, fold_ids: list[str], columns=MODEL_FEATURES) -> DataFrame:
-    """Fit on each fold's training part, score its test part, and lay the folds' scores end to end."""
-    rows = cut(complete(rows, [*columns, "label"]))
-
-    def one(fold: str) -> DataFrame | None:
-        part = {s: rows.where((F.col("fold_id") == fold) & (F.col("segment") == s)) for s in ("train", "valid", "test")}
-        if part["train"].isEmpty() or part["valid"].isEmpty():
-            return None
-        model = fit_trees(part["train"].select(*columns, "label"), part["valid"].select(*columns, "label"), columns)
-        return score(model, part["test"], columns).withColumns({"fold_id": F.lit(fold), "model_id": F.lit("boosted_trees")})
-
-    # Rounds are many short jobs; folds side by side fill the cores.
-    with ThreadPoolExecutor(max(1, len(fold_ids))) as pool:
-        out = [x for x in pool.map(inheritable_thread_target(rows.sparkSession)(one), fold_ids) if x is not None]
-    if not out:
-        return rows.select("datetime", "instrument", F.lit(0.0).alias("score"), "fold_id", F.lit("boosted_trees").alias("model_id")).limit(0)
-    return reduce(DataFrame.unionByName, out)
+    """Fit on each fold's training part, score its test part, and lay the folds' scores end to end. The rows by fold are
+    read four times and never stored as such: store what they are made from."""
+    rows = complete(rows, [*columns, "label"]).where(F.col("fold_id").isin(fold_ids))
+    models = boosting.fit(rows, columns)
+    scores = boosting.scored(rows.where("segment = 'test'"), models, columns)
+    return scores.select("datetime", "instrument", "score", "fold_id", F.lit("boosted_trees").alias("model_id"))
 
 
 def weights(width: int, prototypes: int, heads: int, seed: int = 11) -> dict[str, np.ndarray]:

@@ -482,6 +482,7 @@ def segment_prepare(x: Inputs) -> DataFrame:
 @query(None)
 def gbt_walk_forward(x: Inputs) -> DataFrame:
     rows = features(x.labelled()).select(*KEYS, "label", "label_end", *scoring.MODEL_FEATURES)
+    rows = cut(scoring.complete(rows, [*scoring.MODEL_FEATURES, "label"]))  # before folds, each of which holds most rows
     rows = folds.purged_segments(rows, folds.embargoed(x.folds(), x.calendar, 5)).select(*KEYS, *scoring.MODEL_FEATURES, "fold_id", "segment", "label")
     return scoring.walk_forward(rows, ["wf_1999", "wf_2000", "wf_2001"])
 
