@@ -6,8 +6,11 @@ from datetime import date, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.test_network_and_walk_forward import COLUMNS, HEADS, HIDDEN, KINDS, STATES, given, sample
 from tideline.operators import checks, intervals, network
+from tideline.operators.features import features, history
 from tideline.plans.panel import Inputs
 from tideline.session import partitions_for
 
@@ -84,3 +87,20 @@ def test_prototypes_don_t_ride_on_rows(spark, monkeypatch):
 
 def test_partitions_grow_with_rows(spark):
     assert partitions_for(spark, 2000, 50) == 40 and partitions_for(spark, 10, 50) == 4
+
+
+def test_poisoned_rows_are_compared_where_they_are(spark):
+    """One shuffle by instrument for both builds and all sets of columns, and no grouping of pairs."""
+    rows = [(DAY + timedelta(days=7 * k), f"i{j}", float(k + j + 1)) for k in range(12) for j in range(3)]
+    panel = spark.createDataFrame(rows, "datetime date, instrument string, amount double")
+    build = lambda df: df.withColumns({"own": F.sum("amount").over(history()), "next": F.lead("amount", 2).over(history())})
+    out = checks.future_poisons(panel, str(DAY + timedelta(days=35)), {"good": ("own",), "bad": ("own", "next")}, build=build)
+    assert plan(out).count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan(out)
+    assert sorted((r.variant, (r.datetime - DAY).days, r.instrument, r.changed) for r in out.collect()) == [("bad", d, f"i{j}", 1) for d in (28, 35) for j in range(3)]
+
+
+def test_means_of_windows_are_computed_once(spark):
+    """A mean is a column, not text repeated inside every sum of squares."""
+    columns = "datetime date, instrument string, open double, high double, low double, close double, volume double, amount double, turnover double, corporate_action boolean"
+    text = plan(features(spark.createDataFrame([], columns)))
+    assert "_m_ret_1d" in text

@@ -83,15 +83,24 @@ def incomplete_cells(long: DataFrame, sample: list[str], names: list[str]) -> Da
 
 def future_poison(panel: DataFrame, protected: str, factor: float = 1_000_003.0, build=features, columns: tuple[str, ...] = FEATURE_COLUMNS) -> DataFrame:
     """Rows up to the protected date, and how many of their features change, when every later amount is multiplied:
-    none may. Both panels go through `build` together, told apart by their instruments, and are compared in one sort."""
+    none may."""
+    return future_poisons(panel, protected, {"": columns}, factor, build).drop("variant")
+
+
+def future_poisons(panel: DataFrame, protected: str, variants: dict[str, tuple[str, ...]], factor: float = 1_000_003.0, build=features) -> DataFrame:
+    """The same for several named sets of columns that `build` makes together. It builds on the panel and then, on the
+    same rows with their later amounts multiplied, once more: what is shuffled and sorted by instrument stays so, and a
+    row is compared with itself. `build` has to keep rows and the columns that it does not make."""
     later = F.col("datetime") > F.lit(protected).cast("date")
-    bitten = panel.withColumn("amount", F.when(later, F.col("amount") * factor).otherwise(F.col("amount")))
-    name = F.col("instrument")
-    both = panel.withColumn("_copy", F.lit(0)).unionByName(bitten.withColumn("_copy", F.lit(1))).withColumn("instrument", F.struct(name.alias("name"), F.col("_copy").alias("copy")))
-    rows = build(both).where(~later).select("datetime", "instrument.name", F.struct(*columns).alias("own"))
-    pairs = rows.groupBy("datetime", "name").agg(F.min("own").alias("a"), F.max("own").alias("b"))
-    changed = sum((F.when(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), 0).otherwise(1) for c in columns), F.lit(0))
-    return pairs.select("datetime", F.col("name").alias("instrument"), changed.alias("changed")).where("changed > 0")
+    keys = ("datetime", "instrument")
+    columns = dict.fromkeys(c for own in variants.values() for c in own)
+    raw = F.struct(*[c for c in panel.columns if c not in keys])
+    first = build(panel.withColumn("_raw", raw)).select(*keys, "_raw.*", F.when(~later, F.struct(*columns)).alias("_own"))
+    bitten = first.withColumn("amount", F.when(later, F.col("amount") * factor).otherwise(F.col("amount")))
+    rows = build(bitten).where(~later)
+    changed = lambda own: sum((F.when(F.col(f"_own.{c}").eqNullSafe(F.col(c)), 0).otherwise(1) for c in own), F.lit(0))
+    found = F.array(*[F.struct(F.lit(n).alias("variant"), changed(own).alias("changed")) for n, own in variants.items()])
+    return rows.select(*keys, F.explode(found).alias("f")).select("f.variant", *keys, "f.changed").where("changed > 0")
 
 
 def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:

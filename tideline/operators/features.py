@@ -110,13 +110,14 @@ def moments(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
         back = {f"_b{j}": F.lag(f"_w{part}", j * part).over(history()) for j in range(1, parts)}
         names = [f"_w{part}", *back]
         first = names[0]
-        mean = {x: f"({first}.m_{x} + ({' + '.join(f'({n}.m_{x} - {first}.m_{x})' for n in names[1:])}) / {parts}d)" for x in MEANS}
-        merged = [f"{mean[x]} m_{x}" for x in MEANS]
+        means = {f"_m_{x}": F.expr(f"{first}.m_{x} + ({' + '.join(f'({n}.m_{x} - {first}.m_{x})' for n in names[1:])}) / {parts}d") for x in MEANS}
+        merged = [f"_m_{x} m_{x}" for x in MEANS]
         for name, x, y in [(f"s_{x}", x, x) for x in SPREADS] + [("co", *CROSS)]:
             inside = " + ".join(f"{n}.{name}" for n in names)
-            between = " + ".join(f"({n}.m_{x} - {mean[x]}) * ({n}.m_{y} - {mean[y]})" for n in names)
+            between = " + ".join(f"({n}.m_{x} - _m_{x}) * ({n}.m_{y} - _m_{y})" for n in names)
             merged.append(f"{inside} + {part}d * ({between}) {name}")
-        rows = rows.withColumns(back).withColumn(f"_w{size}", _struct(merged)).drop(*back)
+        # Means are columns of their own: as text inside the sums they would be computed twice for each part.
+        rows = rows.withColumns(back).withColumns(means).withColumn(f"_w{size}", _struct(merged)).drop(*back, *means)
     return rows.select(*kept, *[f"_w{w}" for w in sorted(set(windows))])
 
 

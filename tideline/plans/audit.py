@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions import safe
 from tideline.operators import checks, contracts, folds, intervals, ledgers, network, portfolio, profiles, scoring, state, trees, walkforward
 from tideline.operators.features import daily as features_daily
-from tideline.operators.features import features, history
+from tideline.operators.features import FEATURE_COLUMNS, features, history
 from tideline.plans import oracles
 from tideline.plans.panel import _STATE, CUTOFF, KEYS, Inputs, _q, _state, rounded
 from tideline.plans.registry import query
@@ -349,11 +349,8 @@ def q_keys_equal(x: Inputs) -> DataFrame:
 @query(oracles.sql("select 'leaking' variant, datetime, instrument, 1 changed from (select *, lead(datetime) over (partition by instrument order by datetime) nd, lead(amount) over (partition by instrument order by datetime) na from panel) where datetime <= date '1999-06-07' and nd > date '1999-06-07' and na > 0", "panel"))
 def q_future_poison(x: Inputs) -> DataFrame:
     """The features, of which none may change, and a feature that looks one row ahead, which must be found."""
-    x.store("panel")
-    leak = lambda rows: rows.withColumn("next_amount", F.lead("amount").over(history()))
-    own = checks.future_poison(x.panel, "1999-06-07").withColumn("variant", F.lit("features"))
-    leaking = checks.future_poison(x.panel, "1999-06-07", build=leak, columns=("next_amount",)).withColumn("variant", F.lit("leaking"))
-    return own.unionByName(leaking).select("variant", *KEYS, "changed")
+    leak = lambda rows: features(rows.withColumn("next_amount", F.lead("amount").over(history())))
+    return checks.future_poisons(x.panel, "1999-06-07", {"features": FEATURE_COLUMNS, "leaking": ("next_amount",)}, build=leak)
 
 
 @query(oracles.sql("select sha256(string_agg(digest, chr(10) order by datetime)) fingerprint, sum(n)::bigint \"rows\" from (select datetime, sha256(string_agg(datetime::varchar || '|' || instrument, chr(10) order by datetime::varchar || '|' || instrument)) digest, count(*) n from panel group by datetime)", "panel"))
