@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_network_and_walk_forward import COLUMNS, HEADS, HIDDEN, KINDS, STATES, given, sample
-from tideline.operators import checks, intervals, network
+from tideline.operators import checks, intervals, ledgers, network
 from tideline.operators.features import features, history
 from tideline.plans.panel import Inputs
 from tideline.session import partitions_for
@@ -104,3 +104,20 @@ def test_means_of_windows_are_computed_once(spark):
     columns = "datetime date, instrument string, open double, high double, low double, close double, volume double, amount double, turnover double, corporate_action boolean"
     text = plan(features(spark.createDataFrame([], columns)))
     assert "_m_ret_1d" in text
+
+
+def test_ledger_tasks_hold_a_bounded_number_of_ids(spark, monkeypatch):
+    """Every step by id or order is dealt by the number of rows, and adaptive execution does not undo it."""
+    known = [(k, "a", f"e{k}", None) for k in range(20)]
+    new = [(20, "a", "e20", None), (21, "a", "e3", None), (22, "b", None, "f22"), (23, "b", None, "f22"), (5, "z", "e5", None), (24, "a", "e24", None)]
+    columns = "source_event_id long, event string, evaluation_id string, fit_id string"
+    ledger, journal = spark.createDataFrame(known, columns), spark.createDataFrame(new, columns)
+    asked = []
+    monkeypatch.setattr(ledgers, "partitions_for", lambda s, rows: asked.append(rows) or 7)
+    ranged, cut = [], ledgers.cut
+    monkeypatch.setattr(ledgers, "cut", lambda df: ranged.append(plan(df)) or cut(df))
+    out = ledgers.problems(ledger, journal, 22, 5)
+    found = [(5, "conflict"), (21, "repeated_evaluation"), (22, "repeated_fit"), (23, "repeated_fit"), (24, "evaluation_cap")]
+    assert sorted((r.source_event_id, r.problem) for r in out.collect()) == found
+    assert asked == [26] and any("rangepartitioning" in p and re.search(r"rangepartitioning\([^)]*, 7\)", p) for p in ranged)
+    assert not re.search(r"hashpartitioning\(source_event_id#\d+L, (?!7\b)", plan(out)) and "hashpartitioning(source_event_id" in plan(out)

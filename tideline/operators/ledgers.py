@@ -10,12 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.session import broadcast_if_small, cut
+from tideline.session import broadcast_if_small, cut, partitions_for
 
 
-def running(rows: DataFrame, order: list[str], flags: dict[str, str]) -> DataFrame:
+def running(rows: DataFrame, order: list[str], flags: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Rows with running counts of boolean columns under new names, over all rows in order."""
-    ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(*([partitions] if partitions else []), *order).withColumn("_part", F.spark_partition_id()))
     sums = ranged.groupBy("_part").agg(*[F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(f"_{n}") for c, n in flags.items()])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = sums.select("_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in flags.values()])
@@ -34,6 +34,10 @@ def problems(ledger: DataFrame, journal: DataFrame, evaluations: int, fits: int,
     same id, a `repeated_event`, an evaluation or fit id that old and new events together use twice
     (`repeated_evaluation`, `repeated_fit`), and every addition with which a total goes over its cap (`evaluation_cap`,
     `fit_cap`), in the order of their ids after all events of the ledger."""
+    # Tasks hold a bounded number of ids: these rows are so narrow that one file split, or one partition that adaptive
+    # execution puts together, has many millions of them.
+    n = partitions_for(journal.sparkSession, ledger.count() + journal.count())
+    whole, ledger, journal = ledger, *(df.repartition(n, "source_event_id") for df in (ledger, journal))
     known = ledger.select("source_event_id", F.col("event").alias("old"), F.col("evaluation_id").alias("old_e"), F.col("fit_id").alias("old_f"))
     both = journal.join(known, "source_event_id")
     unlike = ~F.col("event").eqNullSafe(F.col("old")) | ~F.col("evaluation_id").eqNullSafe(F.col("old_e")) | ~F.col("fit_id").eqNullSafe(F.col("old_f"))
@@ -42,12 +46,12 @@ def problems(ledger: DataFrame, journal: DataFrame, evaluations: int, fits: int,
     found = found.unionByName(named(journal.groupBy("source_event_id").count().where("count > 1"), "repeated_event"))
     names = ["source_event_id", "evaluation_id", "fit_id"]
     new = cut(additions(ledger, journal).select(*names, F.col(order).alias("_at")).dropDuplicates(["source_event_id"]))
-    everything = ledger.select(*names, F.lit(False).alias("new")).unionByName(new.select(*names, F.lit(True).alias("new")))
+    everything = whole.select(*names, F.lit(False).alias("new")).unionByName(new.select(*names, F.lit(True).alias("new")))
     for column, text in (("evaluation_id", "repeated_evaluation"), ("fit_id", "repeated_fit")):
-        twice = everything.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new")
+        twice = everything.where(F.col(column).isNotNull()).repartition(n, column).groupBy(column).agg(F.count("*").alias("n"), F.max("new").alias("any_new")).where("n > 1 and any_new")
         found = found.unionByName(named(new.join(broadcast_if_small(twice.select(column), 40), column, "left_semi"), text))
-    spent = ledger.agg(F.count("evaluation_id").alias("e"), F.count("fit_id").alias("f")).first()
-    counted = running(new.withColumns({"is_e": F.col("evaluation_id").isNotNull(), "is_f": F.col("fit_id").isNotNull()}), ["_at", "source_event_id"], {"is_e": "n_e", "is_f": "n_f"})
+    spent = whole.agg(F.count("evaluation_id").alias("e"), F.count("fit_id").alias("f")).first()
+    counted = running(new.withColumns({"is_e": F.col("evaluation_id").isNotNull(), "is_f": F.col("fit_id").isNotNull()}), ["_at", "source_event_id"], {"is_e": "n_e", "is_f": "n_f"}, n)
     found = found.unionByName(named(counted.where(F.col("is_e") & (F.col("n_e") + spent.e > evaluations)), "evaluation_cap"))
     return found.unionByName(named(counted.where(F.col("is_f") & (F.col("n_f") + spent.f > fits)), "fit_cap"))
 
