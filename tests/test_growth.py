@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_network_and_walk_forward import COLUMNS, HEADS, HIDDEN, KINDS, STATES, given, sample
-from tideline.operators import checks, intervals, ledgers, network
+from tideline.operators import checks, intervals, ledgers, network, trees
 from tideline.operators.features import features, history
+from tideline.plans import audit, panel, registry
 from tideline.plans.panel import Inputs
 from tideline.session import partitions_for
+from tideline.sources import fixtures
 
 DAY = date(2020, 1, 6)
 SMALL = "/root/testdata/sf0.001"
@@ -121,3 +123,65 @@ def test_ledger_tasks_hold_a_bounded_number_of_ids(spark, monkeypatch):
     assert sorted((r.source_event_id, r.problem) for r in out.collect()) == found
     assert asked == [26] and any("rangepartitioning" in p and re.search(r"rangepartitioning\([^)]*, 7\)", p) for p in ranged)
     assert not re.search(r"hashpartitioning\(source_event_id#\d+L, (?!7\b)", plan(out)) and "hashpartitioning(source_event_id" in plan(out)
+
+
+def test_lines_go_to_their_leaves_before_lists_are_made(spark, monkeypatch):
+    rows = spark.createDataFrame([(DAY, str(k), k / 3) for k in range(40)], "datetime date, instrument string, close double")
+    plans, cut = [], trees.cut
+    monkeypatch.setattr(trees, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    trees.tree(rows, "datetime", "instrument", ["close"], 1, parts=7)
+    below = plans[0].split("Exchange")
+    assert len(below) == 2 and "Aggregate" not in below[1] and ", 7)" in below[1]
+
+
+def test_only_unlike_cells_become_text(spark):
+    """Rows are joined by their values; the same fractions, missing ones and those unlike below rounding are no change."""
+    left = [("a", 1.0, 1.5, 1), ("b", None, None, 2), ("c", 0.0, 2.0, 3), ("d", 1.0, 1.0, 4), ("e", None, 5.0, None), ("f", 1.0, 2.0, 3)]
+    right = [("a", 1.0, 1.5, 1), ("b", None, None, 2), ("c", -0.0, 2.00001, 3), ("d", 2.0, None, 5), ("e", 3.0, 5.0, 0), ("g", 1.0, None, 3)]
+    schema = "instrument string, close double, turnover float, volume long"
+    a, b = (spark.createDataFrame(side, schema).withColumn("datetime", F.lit(DAY)) for side in (left, right))
+    columns = ["close", "turnover", "volume"]
+    out = trees.changed_cells(a, b, tuple(trees.tree(x, "datetime", "instrument", columns, 1) for x in (a, b)), "datetime", "instrument", columns, 1)
+    want = [("d", "close", "1.0000", "2.0000"), ("d", "turnover", "1.0000", ""), ("d", "volume", "4", "5"), ("e", "close", "", "3.0000"), ("e", "volume", "", "0"), ("f", "-", "row", None), ("g", "-", None, "row")]
+    assert sorted(tuple(r)[1:] for r in out.collect()) == want
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(38,4)" in text and "decimal(38,4)" not in text[text.index("Join FullOuter") :]
+
+
+def test_fractions_are_spelled_as_when_rounded_first(spark):
+    rng = random.Random(8)
+    values = [s * v for s in (1, -1) for v in (0.0, 5e-5, 4.9999e-5, 0.00005, 1.00005, 2.675, 1e-12, 99999999.99995, 99999999999.99995, 1e11, 123456789012345.67, 3e15)]
+    values += [rng.choice((1, -1)) * round(rng.random() * 10 ** rng.randrange(16), rng.randrange(8)) for _ in range(5000)] + [None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    rounded = F.coalesce(F.round(F.col("v") + 1e-9, 4).cast("decimal(38,4)").cast("string"), F.lit(""))
+    assert rows.where(~trees.canonical("v", "double", 4).eqNullSafe(rounded)).collect() == []
+    assert "CASE WHEN" in plan(rows.select(trees.canonical("v", "double", 4)))
+
+
+def test_tree_difference_stores_what_it_compares(spark, monkeypatch):
+    stored, cut = [], audit.cut
+    for module in (audit, panel):
+        monkeypatch.setattr(module, "cut", lambda df: stored.append(set(df.columns)) or cut(df))
+    assert registry.QUERIES["tree_difference"](spark, SMALL).count() == 56
+    assert stored == [{"datetime", "instrument", "s", "pos", "close", "volume", "turnover"}]
+
+
+def test_prices_by_one_number_are_those_by_struct(spark, monkeypatch):
+    """First and last lines of a group are found without sorting, unless orders are too far apart for one number."""
+    short = fixtures.panel(spark, SMALL)
+    assert "SortAggregate" not in plan(short)
+    monkeypatch.setattr(fixtures, "MOST_LONG", 1)
+    wide = fixtures.panel(spark, SMALL)
+    assert "SortAggregate" in plan(wide)
+    assert short.exceptAll(wide).isEmpty() and wide.exceptAll(short).isEmpty()
+
+
+@pytest.mark.parametrize("order", [(-(1 << 62), 1 << 62), (None, 4), (7, 9)])
+def test_lines_are_ordered_by_any_keys(spark, order):
+    low, high = order
+    rows = [(DAY, DAY, low, 2, 3, 10.0), (DAY, DAY, high, 1, 1, 20.0), (DAY + timedelta(days=1), DAY, low, 1, 1, 30.0), (DAY, DAY, high, 1, 2, 40.0)]
+    lines = spark.createDataFrame(rows, "d date, week date, o long, l int, p long, px double")
+    n, at = fixtures._order(lines, "d", "week", ["o", "l", "p"])
+    got = lines.groupBy("week").agg(F.min_by("px", at), F.max_by("px", at)).first()
+    assert (n, got[1], got[2]) == (4, 10.0, 30.0)
+    assert fixtures._order(lines.limit(0), "d", "week", ["o", "l", "p"])[0] == 0

@@ -15,7 +15,7 @@ from tideline.operators.features import FEATURE_COLUMNS, features, history
 from tideline.plans import oracles
 from tideline.plans.panel import _STATE, CUTOFF, KEYS, Inputs, _q, _state, rounded
 from tideline.plans.registry import query
-from tideline.session import broadcast_if_small, cut, unique_folder
+from tideline.session import broadcast_if_small, cut, partitions_for, unique_folder
 from tideline.sources import manifest, readers
 
 ZONE = "Asia/Shanghai"
@@ -426,12 +426,11 @@ select datetime, instrument, 'close' "column", coalesce(round(close + 1e-9, 4)::
 from panel where (s + 3 * pos) % 101 = 7 and (s + pos) % 103 <> 5
 union all select datetime, instrument, '-', 'row', null from panel where (s + pos) % 103 = 5""", "panel"))
 def tree_difference(x: Inputs) -> DataFrame:
-    """Cells altered and rows lost between two stores of the panel, found by descending their trees."""
-    a = x.store("panel").panel
+    """Cells altered and rows lost between the stored panel and a faulty copy, found by descending their trees."""
+    a = cut(x.panel.select(*KEYS, "s", "pos", *_CELLS))
     b = a.where((F.col("s") + F.col("pos")) % 103 != 5).withColumn("close", F.when((F.col("s") + 3 * F.col("pos")) % 101 == 7, F.col("close") + 0.5).otherwise(F.col("close")))
-    b = cut(b)
-    depth = 1 + trees.depth_for(a, "datetime")
-    both = tuple(trees.tree(rows, "datetime", "instrument", list(_CELLS), depth) for rows in (a, b))
+    depth, parts = 1 + trees.depth_for(a, "datetime"), partitions_for(x.spark, a.count())
+    both = tuple(trees.tree(rows, "datetime", "instrument", list(_CELLS), depth, parts=parts) for rows in (a, b))
     return trees.changed_cells(a, b, both, "datetime", "instrument", list(_CELLS), depth)
 
 

@@ -6,9 +6,10 @@ arithmetic on keys, so the views grow with the tables and need no random numbers
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.session import partitions_for
@@ -16,6 +17,8 @@ from tideline.session import partitions_for
 EPOCH = "date '1995-01-02'"
 #: The price limits of a panel row.
 LIMIT_UP, LIMIT_DOWN = "case when (s + pos) % 11 = 0 then open else 1.1e0 * open end", "0.9e0 * open"
+#: Orders below this are one number.
+MOST_LONG = 1 << 63
 
 #: view -> (other views it reads, tables it reads, SELECT). DAYS(a, b) is a - b in days, PLUS(d, n) a date n days on.
 VIEWS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
@@ -182,17 +185,31 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"d": F.col("l_shipdate").cast("date"), "datetime": F.date_trunc("week", "l_shipdate").cast("date")})
 
 
+def _order(lines: DataFrame, day: str, week: str, keys: list[str]) -> tuple[int, Column]:
+    """Number of lines, and a column that orders the lines of a week by day and keys: one number where those of all lines
+    fit in it, since first and last prices by a number are aggregated without sorting; else the struct of them."""
+    found = lines.agg(F.count("*").alias("n"), F.count(day).alias(day), *[f(k).alias(f"{f.__name__}_{k}") for k in keys for f in (F.count, F.min, F.max)]).first()
+    low = {k: found[f"min_{k}"] for k in keys}
+    spans = {k: (found[f"max_{k}"] or 0) - (low[k] or 0) + 1 for k in keys}
+    if any(found[c] < found["n"] for c in (day, *[f"count_{k}" for k in keys])) or 7 * math.prod(spans.values()) >= MOST_LONG:
+        return found["n"], F.struct(day, *keys)
+    at = F.datediff(day, week).cast("long")
+    for k in keys:
+        at = at * F.lit(spans[k]) + (F.col(k) - F.lit(low[k] or 0))
+    return found["n"], at
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the view `panel`, shuffled once, by instrument: what is grouped, ordered or joined by instrument
     afterwards needs no further shuffle. First and last prices are those of the least and greatest order of a group, so
     that no group is numbered twice."""
     lines = _lines(spark, sf_dir).withColumns({"s": F.col("l_suppkey"), "instrument": F.col("l_suppkey").cast("string"), "px": F.expr("l_extendedprice / l_quantity")})
-    n = partitions_for(spark, lines.count())
-    lines = lines.select("datetime", "s", "instrument", "d", "l_orderkey", "l_linenumber", "l_partkey", "px", "l_quantity", "l_extendedprice", "l_discount").repartition(n, "instrument")
-    at = F.struct("d", "l_orderkey", "l_linenumber", "l_partkey")
+    count, at = _order(lines, "d", "datetime", ["l_orderkey", "l_linenumber", "l_partkey"])
+    n = partitions_for(spark, count)
+    lines = lines.select("datetime", "s", "instrument", at.alias("at"), "px", "l_quantity", "l_extendedprice", "l_discount").repartition(n, "instrument")
     tenths = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     rows = lines.groupBy("instrument", "datetime", "s").agg(
-        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"),
+        F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"),
         F.sum("l_quantity").alias("volume"), tenths("l_extendedprice").alias("amount"), (tenths("l_discount") / F.count("*")).alias("turnover"),
     )
     rows = rows.withColumn("pos", F.expr(_spell(f"cast(DAYS(datetime, {EPOCH}) / 7 as bigint)", True)))
