@@ -248,3 +248,13 @@ def test_pipeline(spark, docs, rows, none, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "")
     assert empty.count() == 0
+
+
+def test_hash_ranges_answer_what_they_are_sent_once(docs, monkeypatch):
+    """Many runs and many ranges in groups give the scores of the shipped table; n-grams are not sent again to be answered."""
+    monkeypatch.setattr(lm, "PART_BYTES", 500)
+    want = sorted(tuple(r) for r in lm.score(docs).collect())
+    monkeypatch.setattr(lm, "ASKING_BYTES", 2000)
+    out = lm.score(docs, max_bytes=0)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 1

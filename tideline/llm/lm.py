@@ -9,8 +9,9 @@ level. Probabilities of a word after another are the filter's pair count backed
 
 Every hash range has a filter segment of its own. Segments and exact word counts go to the executors as one file that
 tasks memory-map, if they stay under `max_bytes`. Beyond that no task needs them all: the distinct n-grams of each run
-of texts meet their range's segment in a co-grouping and the levels come back to the run. Both ways probe the same
-segments with the same hashes and give the same scores.
+of texts, with their counts in training, meet those of all other runs at their hash range, which adds them up, makes its
+segments, probes them, and sends the levels back to the runs. Both ways probe the same segments with the same hashes and
+give the same scores.
 
 Words are identified by 64-bit hashes. Defined cases: null text is empty and has the end token only; a null doc_id
 belongs to training; with no training texts every count is 0; an empty table gives no rows; rows that repeat are
@@ -41,6 +42,9 @@ BITS_PER_ENTRY = 16
 MU = 300.0
 MAX_BYTES = 256 << 20
 PART_BYTES = 2 << 20  # text of one hash range, on average
+#: Where ranges answer for themselves: hash ranges of a group as a power of 2, bytes of text in a run, and bytes of
+#: training text for each of `max_bytes` beyond which the table is not gathered to see whether it fits.
+JOINED, ASKING_BYTES, TEXT_FACTOR = 2, 8 << 20, 4
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C1D8F2E3)
 MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -91,10 +95,13 @@ def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[new], np.add.reduceat(counts[order], new) if len(h) else counts
 
 
-def gather_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def range_bits(n_bytes: int) -> int:
+    """Bits of a hash that number its range, for so many bytes of training texts."""
+    return max(4, (n_bytes // PART_BYTES).bit_length())
+
+
+def gather_counts(docs: DataFrame, bits: int, text: str = "text") -> DataFrame:
     """One row per hash range: its tokens and words, its filter segment, and its sorted word hashes with counts."""
-    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = max(4, (n_bytes // PART_BYTES).bit_length())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,11 +284,16 @@ def _result(ids: pa.Array, held: pa.Array, grams: Grams, found, n: int) -> pa.Re
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Base and model scores of every text; the texts that are not held out are the training texts."""
     spark = docs.sparkSession
-    counts = gather_counts(docs.where(~held_out(doc_id)), text)
-    stats = _stats(counts)
+    training = docs.where(~held_out(doc_id))
+    n_bytes = training.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = range_bits(n_bytes)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
+    if n_bytes > TEXT_FACTOR * max_bytes:
+        return score_by_range(rows, bits)
+    counts = gather_counts(training, bits, text)
+    stats = _stats(counts)
     if stats["filter"] + 16 * stats["stored"] > max_bytes:
-        return score_by_range(rows, counts, stats)
+        return score_by_range(rows, bits)
     # In the driver's own folder of shipped files, so that it isn't copied there.
     name = f"lm-{uuid.uuid4().hex}.bin"
     path = os.path.join(SparkFiles.getRootDirectory(), name)
@@ -299,45 +311,99 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bytes
     return rows.mapInArrow(each, RESULT.format(kind=rows.schema["doc_id"].dataType.simpleString()))
 
 
-def score_by_range(rows: DataFrame, counts: DataFrame, stats: dict) -> DataFrame:
-    """The same scores for a table of any size: each run of texts asks every hash range for its own n-grams only."""
-    bits, n, v = stats["bits"], stats["n"], stats["v"]
+def answers_of(found: list[tuple[np.ndarray, np.ndarray]], bits: int, group: int, joined: int) -> list[np.ndarray]:
+    """Filter levels of the sorted distinct words and pairs of one group of hash ranges, from segments made of those that
+    occur in training."""
+    first = group << joined
+    parts = [(h >> np.uint64(64 - bits)).astype(np.int64) - first for h, _ in found]
+    cuts = [np.searchsorted(part, np.arange((1 << joined) + 1)) for part in parts]
+    segments = []
+    for p in range(1 << joined):
+        own = [(h[at[p] : at[p + 1]], c[at[p] : at[p + 1]]) for (h, c), at in zip(found, cuts, strict=True)]
+        segments.append(segment_of([(h[c > 0], c[c > 0]) for h, c in own]))
+    sizes = np.array([len(x) for x in segments])
+    begins = np.cumsum(sizes) - sizes
+    filter_ = np.frombuffer(b"".join(segments), np.uint8)
+    return [read_levels(h, filter_, begins[part], 8 * sizes[part]) for (h, _), part in zip(found, parts, strict=True)]
+
+
+def _laid(texts: list[bytes | None]) -> bytes:
+    """Lengths and bytes of texts in one compressed value."""
+    whole = b"".join(t or b"" for t in texts)
+    return pack(np.array([len(t or b"") for t in texts], "<i8"), np.frombuffer(whole, np.uint8))
+
+
+def _unlaid(blob, n: int) -> list[bytes]:
+    raw = unpack(blob)
+    ends = 8 * n + np.cumsum(np.frombuffer(raw, "<i8", n))
+    return [raw[a:b] for a, b in zip([8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def score_by_range(rows: DataFrame, bits: int) -> DataFrame:
+    """The same scores for a table of any size. Each run of texts sends its n-grams once, with their counts in training,
+    to groups of hash ranges; a group's answers to all runs come from the segments it has made, which are not stored."""
+    joined = min(JOINED, bits - 1)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in runs(batch.column(2)):
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), c.slice(at, len(texts))) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays(lists, ["doc_id", "held_out", "text"])
+            for at, texts in runs(batch.column(2), ASKING_BYTES):
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column(k).slice(at, len(texts))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([_laid(texts)], pa.binary())], ["doc_id", "held_out", "texts"])
 
-    texts = rows.mapInArrow(laid, f"doc_id array<{kind}>, held_out array<boolean>, text array<string>")
+    texts = rows.mapInArrow(laid, f"doc_id array<{kind}>, held_out array<boolean>, texts binary")
     texts = cut(texts.withColumn("run", F.monotonically_increasing_id()))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams = Grams.of(own.values.cast(pa.binary()).to_pylist())
-                out = [(run, p, k, h[at].tobytes()) for k, h in enumerate((grams.words, grams.pairs)) for p, at in by_part(h, bits)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["run", "part", "kind", "hashes"])
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        filter_, hashes, times = (np.frombuffer(known[c][0].as_buffer(), t) if len(known) else np.zeros(0, t) for c, t in (("filter", np.uint8), ("word_hashes", "<u8"), ("word_counts", "<i8")))
-        levels, exact = [], []
-        for blob in asked["hashes"]:
-            h = np.frombuffer(blob.as_buffer(), "<u8")
-            levels.append(read_levels(h, filter_, np.zeros(len(h), np.int64), np.full(len(h), 8 * len(filter_))).astype(np.uint8).tobytes())
-            exact.append(pack(exact_counts(h, hashes, times)))
-        return pa.table({"run": asked["run"], "part": asked["part"], "kind": asked["kind"], "levels": pa.array(levels, pa.binary()), "exact": pa.array(exact, pa.binary())})
-
-    asked = texts.select("run", "text").mapInArrow(ask, "run long, part long, kind int, hashes binary")
-    answers = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(answer, "run long, part long, kind int, levels binary, exact binary")
+            for run, held, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                training = ~held.values.to_numpy(zero_copy_only=False).astype(bool)
+                token, previous, n = _tokens(_unlaid(blob, len(training)))
+                each = np.repeat(training, n)
+                out = []
+                for k, grams, counted in ((0, np.concatenate((token, np.full(len(n), BEGIN, np.uint64))), np.concatenate((each, training))), (1, pairs_of(previous, token), each)):
+                    h, place = np.unique(grams, return_inverse=True)
+                    c = np.bincount(place[counted], minlength=len(h))
+                    out += [(run, p, k, pack(sorted_planes(h[at])), pack(c[at].astype("<u4"))) for p, at in by_part(h, bits - joined)]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["run", "part", "kind", "hashes", "counts"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        kinds, blobs, times = asked["kind"].to_numpy(), asked["hashes"].to_pylist(), asked["counts"].to_pylist()
+        found, places = [], []
+        for k in (0, 1):
+            at = np.flatnonzero(kinds == k).tolist()
+            hs = [unsorted_planes(unpack(blobs[i])) for i in at]
+            h, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *hs]), return_inverse=True)
+            counts = np.concatenate([np.zeros(0, "<u4"), *[np.frombuffer(unpack(times[i]), "<u4") for i in at]])
+            found.append((h, np.bincount(place, counts, len(h)).astype(np.int64)))  # sums of whole numbers, exact below 2^53
+            places.append(zip(at, np.split(place, np.cumsum([len(x) for x in hs])[:-1]) if hs else [], strict=True))
+        told = answers_of(found, bits, asked["part"][0].as_py(), joined)
+        levels, exact = [b""] * len(kinds), [b""] * len(kinds)
+        for k, own in enumerate(places):
+            for i, place in own:
+                levels[i] = pack(told[k][place].astype(np.uint8))
+                if k == 0:
+                    exact[i] = pack(found[0][1][place])
+        words, times = found[0]
+        real = (words != BEGIN) & (times > 0)
+        once = lambda x: pa.array([int(x), *[0] * (len(kinds) - 1)], pa.int64())
+        columns = [asked["run"], asked["part"], asked["kind"], pa.array(levels, pa.binary()), pa.array(exact, pa.binary()), once(times[real].sum()), once(real.sum())]
+        return pa.table(columns, ["run", "part", "kind", "levels", "exact", "tokens", "words"])
+
+    asked = texts.select("run", "held_out", "texts").mapInArrow(ask, "run long, part long, kind int, hashes binary, counts binary")
+    answers = cut(asked.groupBy("part").applyInArrow(answer, "run long, part long, kind int, levels binary, exact binary, tokens long, words long"))
+    n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
 
     def finish(own: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by([("kind", "ascending"), ("part", "ascending")])
         kinds = told["kind"].to_numpy()
-        levels = [np.frombuffer(b"".join(told["levels"].filter(pa.array(kinds == k)).to_pylist()), np.uint8).astype(np.int64) for k in (0, 1)]
-        exact = np.frombuffer(b"".join(unpack(x) for x in told["exact"].filter(pa.array(kinds == 0))), "<i8")
-        grams = Grams.of(own["text"][0].values.cast(pa.binary()).to_pylist())
-        return pa.Table.from_batches([_result(own["doc_id"][0].values, own["held_out"][0].values, grams, grams.scores(exact, *levels, n, v), n)])
-
-    return texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(finish, RESULT.format(kind=kind))
+        of = lambda name, k: b"".join(unpack(x) for x in told[name].filter(pa.array(kinds == k)))
+        levels = [np.frombuffer(of("levels", k), np.uint8).astype(np.int64) for k in (0, 1)]
+        exact = np.frombuffer(of("exact", 0), "<i8")
+        ids, held = own["doc_id"][0].values, own["held_out"][0].values
+        grams = Grams.of(_unlaid(own["texts"][0], len(ids)))
+        return pa.Table.from_batches([_result(ids, held, grams, grams.scores(exact, *levels, n, v), n)])
+
+    told = answers.select("run", "part", "kind", "levels", "exact")
+    return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(finish, RESULT.format(kind=kind))

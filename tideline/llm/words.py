@@ -39,8 +39,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 RUN_BYTES = 4 << 20
 
 
-def runs(column: pa.Array):
-    """(first row, list of texts as bytes, null for null) of runs of rows that hold about RUN_BYTES together."""
+def runs(column: pa.Array, most: int = RUN_BYTES):
+    """(first row, list of texts as bytes, null for null) of runs of rows that hold about `most` bytes together."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     raw = column.cast(pa.binary())
@@ -49,7 +49,7 @@ def runs(column: pa.Array):
         b = x.as_py()
         out.append(b)
         size += len(b or b"")
-        if size >= RUN_BYTES:
+        if size >= most:
             yield at, out
             at, size, out = i + 1, 0, []
     if out:
