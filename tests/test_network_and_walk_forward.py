@@ -102,6 +102,34 @@ def test_the_network_refuses(spark):
     assert network.forward(df.limit(0), COLUMNS, w, HEADS, states, STATES, "ok").collect() == []
 
 
+def test_stored_rows_are_read_and_masked_ones_stay_where_they_are(spark, monkeypatch):
+    _, _, df, states = sample(spark)
+    run = lambda rows, **how: network.forward(rows, COLUMNS, given(), HEADS, states, STATES, "ok", **how)
+    of = lambda out: {(r.datetime, r.instrument): r.score for r in out.collect()}
+    whole, kept, made = of(run(df)), cut(df), []
+    monkeypatch.setattr(network, "cut", lambda x: made.append(x.columns) or cut(x))
+    out = run(kept, stored=True)
+    assert made and not any("x0" in columns for columns in made)
+    assert of(out) == pytest.approx(whole, rel=1e-12)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in text and "MapInPandas" not in text
+
+
+def test_the_distribution_function_is_that_of_math():
+    x = np.concatenate([np.linspace(-12, 12, 20001), [np.inf, -np.inf]])
+    want = np.array([math.erfc(-v / math.sqrt(2)) / 2 for v in x])
+    assert abs(network.normal_cdf(x) - want).max() < 1e-15 and np.isnan(network.normal_cdf(np.array([np.nan])))[0]
+
+
+def test_large_dates_and_batches_in_parts(spark, monkeypatch):
+    _, _, df, states = sample(spark)
+    of = lambda: {(r.datetime, r.instrument): r.score for r in network.forward(df, COLUMNS, given(), HEADS, states, STATES, "ok").collect()}
+    want = of()
+    monkeypatch.setattr(network, "HELD_ROWS", 7)
+    monkeypatch.setattr(network, "HELD_DATES", 1)
+    assert of() == pytest.approx(want, rel=1e-12)
+
+
 def folds_of(spark):
     rng = random.Random(2)
     rows = []

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import safe
-from tideline.operators import checks, contracts, folds, intervals, ledgers, network, portfolio, profiles, scoring, state, trees, walkforward
+from tideline.operators import checks, contracts, eligibility, folds, intervals, ledgers, network, portfolio, profiles, scoring, state, trees, walkforward
 from tideline.operators.features import daily as features_daily
 from tideline.operators.features import FEATURE_COLUMNS, features, history
 from tideline.plans import oracles
-from tideline.plans.panel import _STATE, CUTOFF, KEYS, Inputs, _q, _state, rounded
+from tideline.plans.panel import _STATE, CUTOFF, KEYS, Inputs, _q, _standing, _state, rounded
 from tideline.plans.registry import query
 from tideline.session import broadcast_if_small, cut, partitions_for, unique_folder
 from tideline.sources import manifest, readers
@@ -528,15 +528,16 @@ def benchmark_alignment(x: Inputs) -> DataFrame:
 
 @query(None)
 def peer_network(x: Inputs) -> DataFrame:
-    """The whole network over all 50 features and the market state, rows that lack any left out by its mask."""
-    daily = _state(x)
-    rows = features(x.panel).join(daily.select("datetime"), "datetime", "left_semi")
+    """The whole network over all 50 features and the market state, rows that lack any left out by its mask. Features and
+    the flags of the state's population are computed once, and stored; the state and the network read them there."""
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in scoring.PEER_FEATURES])
-    alive = cut(rows.withColumn("known", known).select(*KEYS, "known", *scoring.PEER_FEATURES))
-    some = alive.groupBy("datetime").agg(F.bool_or("known").alias("any")).where("any").select("datetime")
-    alive = alive.join(broadcast_if_small(some, 8), "datetime", "left_semi")
+    rows = features(_standing(x, x.panel)).withColumns({"price_domain_valid": eligibility.price_domain(), "known": known})
+    kept = cut(rows.select(*KEYS, "known", *state.REQUIRED, *state.REFUSED, *scoring.PEER_FEATURES))
+    daily = state.daily_state(state.state_population(kept))
+    some = cut(kept.where("known").select("datetime").distinct().join(daily.select("datetime"), "datetime"))
+    alive = kept.join(broadcast_if_small(some, 8), "datetime", "left_semi")
     clipped = alive.select(*KEYS, "known", *[F.greatest(F.least(F.col(c), F.lit(3.0)), F.lit(-3.0)).alias(c) for c in scoring.PEER_FEATURES])
-    return network.forward(clipped, list(scoring.PEER_FEATURES), scoring.weights_from(x.network_weights), 4, daily, _STATE, "known")
+    return network.forward(clipped, list(scoring.PEER_FEATURES), scoring.weights_from(x.network_weights), 4, daily, _STATE, "known", stored=True)
 
 
 @query(oracles.sql("""
